@@ -28,12 +28,12 @@ _FOUND = """
 WITH s AS (SELECT id, max_by(struct_pack(c := created_at, d := deleted_at, r := in_reply_to_id), updated_at) AS v
            FROM statuses GROUP BY id),
 f AS (SELECT id, max_by(struct_pack(c := created_at, t := status_id), updated_at) AS v FROM favourites GROUP BY id),
-refs AS (SELECT 'favourites' AS ref_table, id AS ref_id, v.t AS target, v.c AS at FROM f
+refs AS (SELECT 'favourites' AS ref_table, id AS ref_id, v.t AS target, v.c AS ref_at FROM f
          UNION ALL SELECT 'statuses', id, v.r, v.c FROM s),
 met AS (SELECT ref_table, ref_id,
                CASE WHEN s.id IS NULL THEN 'missing' WHEN s.v.d IS NOT NULL THEN 'deleted'
-                    WHEN s.v.c > at THEN 'late' END AS kind,
-               strftime(at, '%Y-%m') AS ref_month
+                    WHEN s.v.c > ref_at THEN 'late' END AS kind,
+               strftime(ref_at, '%Y-%m') AS ref_month
         FROM refs LEFT JOIN s ON s.id = refs.target WHERE target IS NOT NULL)
 SELECT ref_table, ref_id, kind, ref_month FROM met WHERE kind IS NOT NULL"""
 
