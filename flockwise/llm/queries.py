@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flockwise.llm.garbled import garbled
 from flockwise.llm.terms import marked, term_counts
 from flockwise.llm.topn import top_n_per_group
 from flockwise.sources.tables import newest, table
@@ -35,6 +36,16 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     return p5_terms(spark, directory).where(F.col("mark").isNotNull()).select("term", "mark")
 
 
+def p8_restored(spark: SparkSession, directory: str) -> DataFrame:
+    """Each document with garbled text, its restored text, the layers undone and whether damage remains."""
+    return garbled(table(spark, directory, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents with garbled text."""
+    return p8_restored(spark, directory).select("doc_id").distinct()
+
+
 _TOP = """
 SELECT viewer_user_id, post_id, final_score, rank FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY viewer_user_id ORDER BY final_score DESC, post_id DESC) AS INTEGER) AS rank
@@ -42,5 +53,5 @@ SELECT viewer_user_id, post_id, final_score, rank FROM (
         WHERE viewer_user_id IS NOT NULL AND post_id IS NOT NULL AND final_score IS NOT NULL AND isfinite(final_score)
         GROUP BY 1, 2)) WHERE rank <= 10"""
 
-QUERIES = {"p3_found": p3_found, "p3_top_posts": p3_top_posts, "p5_found": p5_found, "p5_terms": p5_terms}
+QUERIES = {"p3_found": p3_found, "p3_top_posts": p3_top_posts, "p5_found": p5_found, "p5_terms": p5_terms, "p8_found": p8_found, "p8_restored": p8_restored}
 SQL = {"p3_found": f"SELECT viewer_user_id, post_id FROM ({_TOP})", "p3_top_posts": _TOP}
