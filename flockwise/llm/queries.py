@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flockwise.llm.garbled import garbled
+from flockwise.llm.leaks import leaks
 from flockwise.llm.terms import marked, term_counts
 from flockwise.llm.topn import top_n_per_group
 from flockwise.sources.tables import newest, table
@@ -36,6 +37,16 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     return p5_terms(spark, directory).where(F.col("mark").isNotNull()).select("term", "mark")
 
 
+def p7_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents with at least 15 consecutive words of an evaluation passage, and the item."""
+    return leaks(table(spark, directory, "documents"), "doc_id", "text", table(spark, directory, "eval_items"), "item_id", "passage")
+
+
+def p7_item_report(spark: SparkSession, directory: str) -> DataFrame:
+    """Number of documents that each leaked item is in."""
+    return p7_found(spark, directory).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+
+
 def p8_restored(spark: SparkSession, directory: str) -> DataFrame:
     """Each document with garbled text, its restored text, the layers undone and whether damage remains."""
     return garbled(table(spark, directory, "documents"), "doc_id", "text")
@@ -53,5 +64,5 @@ SELECT viewer_user_id, post_id, final_score, rank FROM (
         WHERE viewer_user_id IS NOT NULL AND post_id IS NOT NULL AND final_score IS NOT NULL AND isfinite(final_score)
         GROUP BY 1, 2)) WHERE rank <= 10"""
 
-QUERIES = {"p3_found": p3_found, "p3_top_posts": p3_top_posts, "p5_found": p5_found, "p5_terms": p5_terms, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p3_found": p3_found, "p3_top_posts": p3_top_posts, "p5_found": p5_found, "p5_terms": p5_terms, "p7_found": p7_found, "p7_item_report": p7_item_report, "p8_found": p8_found, "p8_restored": p8_restored}
 SQL = {"p3_found": f"SELECT viewer_user_id, post_id FROM ({_TOP})", "p3_top_posts": _TOP}
