@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flockwise.llm.garbled import garbled
+from flockwise.llm.language import label_cases, languages
 from flockwise.llm.leaks import leaks
 from flockwise.llm.terms import marked, term_counts
 from flockwise.llm.topn import top_n_per_group
@@ -14,6 +15,18 @@ from flockwise.sources.tables import newest, table
 RARE_RECORDS, COMMON_SHARE, TOP_POSTS = 2, 0.05, 10
 
 
+def p1_languages(spark: SparkSession, directory: str) -> DataFrame:
+    """The newest row of each status with its language, confidence and one-language segments."""
+    statuses = table(spark, directory, "statuses")
+    rows = newest(statuses, "id", "updated_at", ["id", "updated_at", "text", "language"])
+    return languages(rows, "id", "text", "language", training=statuses)
+
+
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Statuses with a missing or wrong label or several languages, one row per language of the text."""
+    return label_cases(p1_languages(spark, directory), "id")
+
+
 def p3_top_posts(spark: SparkSession, directory: str) -> DataFrame:
     """The ten posts of each viewer with the highest final score, with score and rank."""
     return top_n_per_group(table(spark, directory, "recommendation_detail"), "viewer_user_id", "post_id", "final_score", TOP_POSTS)
@@ -64,5 +77,5 @@ SELECT viewer_user_id, post_id, final_score, rank FROM (
         WHERE viewer_user_id IS NOT NULL AND post_id IS NOT NULL AND final_score IS NOT NULL AND isfinite(final_score)
         GROUP BY 1, 2)) WHERE rank <= 10"""
 
-QUERIES = {"p3_found": p3_found, "p3_top_posts": p3_top_posts, "p5_found": p5_found, "p5_terms": p5_terms, "p7_found": p7_found, "p7_item_report": p7_item_report, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p3_found": p3_found, "p3_top_posts": p3_top_posts, "p5_found": p5_found, "p5_terms": p5_terms, "p7_found": p7_found, "p7_item_report": p7_item_report, "p8_found": p8_found, "p8_restored": p8_restored}
 SQL = {"p3_found": f"SELECT viewer_user_id, post_id FROM ({_TOP})", "p3_top_posts": _TOP}
