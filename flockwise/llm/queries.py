@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from flockwise.llm.garbled import garbled
 from flockwise.llm.language import label_cases, languages
 from flockwise.llm.leaks import leaks
+from flockwise.llm.similar import similar
 from flockwise.llm.terms import marked, term_counts
 from flockwise.llm.topn import top_n_per_group
 from flockwise.sources.tables import newest, table
 
+NEIGHBOURS, LEAST_COSINE, QUERY_EVERY = 10, 0.9, 100
 RARE_RECORDS, COMMON_SHARE, TOP_POSTS = 2, 0.05, 10
 
 
@@ -27,6 +29,17 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return label_cases(p1_languages(spark, directory), "id")
 
 
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of posts of cosine 0.9 or more of which one is among the ten nearest of the other."""
+    near = similar(table(spark, directory, "post"), "id", "embedding", NEIGHBOURS, least=LEAST_COSINE)
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+def p2_neighbours(spark: SparkSession, directory: str) -> DataFrame:
+    """The ten nearest posts of every post whose id is divisible by 100, whatever their cosine."""
+    return similar(table(spark, directory, "post"), "id", "embedding", NEIGHBOURS, asks=lambda c: c % QUERY_EVERY == 0)
+
+
 def p3_top_posts(spark: SparkSession, directory: str) -> DataFrame:
     """The ten posts of each viewer with the highest final score, with score and rank."""
     return top_n_per_group(table(spark, directory, "recommendation_detail"), "viewer_user_id", "post_id", "final_score", TOP_POSTS)
@@ -77,5 +90,12 @@ SELECT viewer_user_id, post_id, final_score, rank FROM (
         WHERE viewer_user_id IS NOT NULL AND post_id IS NOT NULL AND final_score IS NOT NULL AND isfinite(final_score)
         GROUP BY 1, 2)) WHERE rank <= 10"""
 
-QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p3_found": p3_found, "p3_top_posts": p3_top_posts, "p5_found": p5_found, "p5_terms": p5_terms, "p7_found": p7_found, "p7_item_report": p7_item_report, "p8_found": p8_found, "p8_restored": p8_restored}
-SQL = {"p3_found": f"SELECT viewer_user_id, post_id FROM ({_TOP})", "p3_top_posts": _TOP}
+QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_top_posts": p3_top_posts, "p5_found": p5_found, "p5_terms": p5_terms, "p7_found": p7_found, "p7_item_report": p7_item_report, "p8_found": p8_found, "p8_restored": p8_restored}
+_NEAR = """
+WITH v AS (SELECT id, [x::DOUBLE for x in max(embedding)] AS e FROM post
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+           GROUP BY id),
+s AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, other) AS n FROM s)
+SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM r WHERE n <= 10 AND c >= 0.9"""
+SQL = {"p2_found": _NEAR, "p3_found": f"SELECT viewer_user_id, post_id FROM ({_TOP})", "p3_top_posts": _TOP}
