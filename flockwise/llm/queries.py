@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flockwise.llm.garbled import garbled
 from flockwise.llm.language import label_cases, languages
 from flockwise.llm.leaks import leaks
+from flockwise.llm.packing import MOST_BUDGETS, pack_texts, packing_report
 from flockwise.llm.similar import similar
 from flockwise.llm.terms import marked, term_counts
 from flockwise.llm.topn import top_n_per_group
@@ -63,6 +64,18 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     return p5_terms(spark, directory).where(F.col("mark").isNotNull()).select("term", "mark")
 
 
+def p6_containers(spark: SparkSession, directory: str) -> DataFrame:
+    """The container of each document, or of each piece of a document larger than the capacity, for each budget."""
+    held = table(spark, directory, "token_budgets").select("budget_id", "capacity_tokens").distinct().limit(MOST_BUDGETS + 1).collect()
+    budgets = sorted((r[0], r[1]) for r in held if r[0] is not None and r[1])
+    return pack_texts(table(spark, directory, "documents"), "doc_id", "text", "source", budgets).withColumnRenamed("id", "doc_id")
+
+
+def p6_report(spark: SparkSession, directory: str) -> DataFrame:
+    """How well the room of the containers is used."""
+    return packing_report(p6_containers(spark, directory))
+
+
 def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     """Documents with at least 15 consecutive words of an evaluation passage, and the item."""
     return leaks(table(spark, directory, "documents"), "doc_id", "text", table(spark, directory, "eval_items"), "item_id", "passage")
@@ -90,7 +103,7 @@ SELECT viewer_user_id, post_id, final_score, rank FROM (
         WHERE viewer_user_id IS NOT NULL AND post_id IS NOT NULL AND final_score IS NOT NULL AND isfinite(final_score)
         GROUP BY 1, 2)) WHERE rank <= 10"""
 
-QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_top_posts": p3_top_posts, "p5_found": p5_found, "p5_terms": p5_terms, "p7_found": p7_found, "p7_item_report": p7_item_report, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_top_posts": p3_top_posts, "p5_found": p5_found, "p5_terms": p5_terms, "p6_containers": p6_containers, "p6_report": p6_report, "p7_found": p7_found, "p7_item_report": p7_item_report, "p8_found": p8_found, "p8_restored": p8_restored}
 _NEAR = """
 WITH v AS (SELECT id, [x::DOUBLE for x in max(embedding)] AS e FROM post
            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
