@@ -22,8 +22,16 @@ from pyspark.sql import functions as F
 #: Encodings that UTF-8 text is often read in, most frequent first; the first also stands for Latin-1.
 WRONG = ("cp1252", "mac_roman", "cp437", "cp850", "cp866", "cp1251", "koi8_r", "cp1250", "cp1254", "iso8859_2", "cp1253")
 MAX_LAYERS = 8
-#: Letters of the common Latin alphabets beyond ASCII.
-LATIN = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßÿœšžąćęłńśźżčďěňřťůőűğışășțāēīūģķļņģđ"
+#: (read as, written in, least drop) of texts of one byte a letter; the drop adds up over the words of a text.
+SINGLE = (
+    ("mac_roman", "cp1252", 1.5), ("cp437", "cp1252", 1.5), ("cp850", "cp1252", 1.5), ("cp1250", "cp1252", 1.0), ("iso8859_2", "cp1252", 1.0), ("cp1251", "cp1252", 1.5), ("cp1253", "cp1252", 1.5),
+    ("cp1252", "iso8859_2", 2.0), ("cp1252", "cp1250", 2.0), ("cp1252", "mac_roman", 2.0), ("cp1252", "cp437", 2.0), ("cp1252", "cp850", 2.0),
+    ("cp1252", "cp1251", 3.0), ("cp1252", "koi8_r", 3.0), ("cp1252", "cp866", 3.0), ("cp1251", "koi8_r", 3.0), ("koi8_r", "cp1251", 3.0), ("cp866", "cp1251", 3.0), ("cp1251", "cp866", 3.0), ("koi8_r", "cp866", 3.0), ("mac_roman", "cp1251", 3.0),
+)
+#: Letters beyond ASCII of the languages texts are expected in and of their neighbours.
+LATIN = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßœąćęłńśźż"
+#: The most frequent letters of Russian.
+COMMON_RUSSIAN = "оеаинтсрвл"
 #: Signs that often end a word, so that they follow a letter in sound text too.
 CLOSING = "“”‘’…–—«»„‚‹›°ºª™®"
 _SEQUENCE = "[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf4][\x80-\xbf]{3}"
@@ -79,7 +87,9 @@ def _char_cost(c: str) -> float:
     if 0x370 <= n < 0x400:
         return 1.5 if 0x391 <= n <= 0x3C9 else 3.0
     if 0x400 <= n < 0x530:
-        return 1.0 if 0x410 <= n <= 0x44F or c in "Ёё" else 2.5
+        if not (0x410 <= n <= 0x44F or c in "Ёё"):
+            return 2.5
+        return (0.7 if c.lower() in COMMON_RUSSIAN else 1.3) + (0.2 if c.isupper() else 0.0)
     if 0x2000 <= n < 0x2070 or c == "€":
         return 1.0 if c not in "†‡‰‹›" else 2.0
     if 0x2190 <= n < 0x2500 or 0x2070 <= n < 0x2190:
@@ -97,7 +107,7 @@ def _char_cost(c: str) -> float:
 
 def garbling_cost(text: str, before: str = "") -> float:
     """How unlike written language the text is; 0 for ASCII, about 1 for each usual other character."""
-    cost, last = 0.0, before
+    cost, last, sign = 0.0, before, False
     for c in text:
         if c >= "\x80":
             cost += _char_cost(c)
@@ -105,12 +115,23 @@ def garbling_cost(text: str, before: str = "") -> float:
                 cost += 1.5
             if "\xc0" <= c <= "\xff" and "\xc0" <= last <= "\xff":
                 cost += 0.5
-        if last >= "\x80" and c.isupper() and last.islower():
-            cost += 0.5
+        if c >= "\x80" or last >= "\x80":
+            if last >= "\x80" and c < "\x80" and c.isupper() and last.islower():
+                cost += 1.0
+            if c.isalpha() and last.isalpha() and _script(c) != _script(last):
+                cost += 1.0
+            if sign and c.isalpha():
+                cost += 1.0
+        sign = c >= "\x80" and c not in "\xa0\xad" and last.isalpha() and not c.isalpha() and _char_cost(c) >= 1.5
         last = c
     return cost
 
 
+def _script(c: str) -> int:
+    n = ord(c)
+    return 0 if n < 0x250 else 1 if n < 0x400 else 2 if n < 0x530 else 3
+
+
 def _utf8(s: str) -> str | None:
     try:
         return s.encode("latin-1").decode("utf-8")
@@ -119,7 +140,8 @@ def _utf8(s: str) -> str | None:
 
 
 def _lowered(s: str) -> str | None:
-    return _utf8(_ONE_LOWERED.sub(lambda m: m[1] or chr(ord(m[2]) - 0x20) + m[3], s))
+    fixed = _utf8(_ONE_LOWERED.sub(lambda m: m[1] or chr(ord(m[2]) - 0x20) + m[3], s))
+    return fixed and fixed.lower()
 
 
 def _raised(s: str) -> str | None:
@@ -179,34 +201,101 @@ def _written_in(encoding: str):
     return decode
 
 
-#: (read as, written in, what a run of it looks like in bytes) of text that was not UTF-8.
-_LEGACY = [
+#: (read as, written in, what a run of it looks like in bytes) of text of two bytes a letter.
+_DOUBLE = [
     ("cp1252", "shift_jis", re.compile("(?:[\x81-\x9f\xe0-\xef][\x40-\x7e\x80-\xfc]|[\xa1-\xdf]){5,}")),
     ("cp1252", "euc_jp", re.compile("(?:[\xa1-\xfe][\xa1-\xfe]){4,}")),
-    ("cp1252", "cp1251", re.compile("[\xc0-\xff\xa8\xb8]{4,}")),
-    ("cp1252", "koi8_r", re.compile("[\xc0-\xff\xa3\xb3]{4,}")),
 ]
-_WRITTEN_IN = {e: _written_in(e) for _, e, _ in _LEGACY}
+_WRITTEN_IN = {e: _written_in(e) for _, e, _ in _DOUBLE}
+_WORDS = re.compile(r"[^\s]+")
+#: Something that sound words don't have: letters of other alphabets, signs or capitals inside, lone signs of drawing.
+_ODD = re.compile(
+    "[a-zà-öø-ÿœąćęłńśźż][À-ÖØ-Þ]|[à-öø-ÿ][A-Z]|[A-Za-zÀ-ÿ][\u0370-\u052f]|[\u0370-\u052f][A-Za-zÀ-ÿ]|[а-яё][А-ЯЁ]|[À-ÿ]{4}"
+    "|[A-Za-zÀ-ÿ][^\\w\\s\x00-\x7f“”‘’…–—«»„‚‹›·•\u0300-\u036f\u200b-\u200f\xad\xa0\ufffd\ufe00-\ufe0f\U0001f000-\U0001ffff]|[^\\w\\s\x00-\x7f“”‘’…–—«»„‹›¿¡€•\u0300-\u036f\u200b-\u200f\xad\xa0\ufffd\U0001f000-\U0001ffff][A-Za-zÀ-ÿ]|[\u0100-\u024f\u207f]|[\x80-\x9f]"
+)
+
+
+@lru_cache(maxsize=None)
+def _swaps(wrong: str, intended: str) -> dict[int, str]:
+    """Code point as read -> character as written, where they differ."""
+    out = {}
+    for point, byte in _bytes_of(wrong).items():
+        try:
+            c = byte.encode("latin-1").decode(intended)
+        except UnicodeDecodeError:
+            continue
+        if ord(c) != point and point not in (0xA0, 0xAD):
+            out[point] = c
+    return out
+
+
+def _single(text: str, wrong: str, intended: str) -> tuple[str, float]:
+    """The text with the words whose cost drops read in the other encoding, and the whole drop.
+
+    A line in which that happens also has those of its words changed that cost the same. Words need two letters, and
+    a drawing is none.
+    """
+    swaps = _swaps(wrong, intended)
+    out, whole = [], 0.0
+    for line in _lines(text):
+        changed, drop = [], 0.0
+        for m in _WORDS.finditer(line):
+            word = m[0]
+            if word.isascii() or sum(map(str.isalpha, word)) < 2 or _DRAWING.search(word):
+                continue
+            fixed = word.translate(swaps)
+            if fixed == word:
+                continue
+            less = garbling_cost(word) - garbling_cost(fixed)
+            if less >= 1:
+                drop += less
+                changed.append((m.span(), fixed))
+            elif less >= 0 and not any(c in CLOSING for c in word):
+                changed.append((m.span(), fixed))
+        if drop:
+            whole += drop
+            at = 0
+            for (a, b), fixed in changed:
+                out += (line[at:a], fixed)
+                at = b
+            line = line[at:]
+        out.append(line)
+    return "".join(out), whole
+
+
+_DRAWING = re.compile("[\u2500-\u259f]{2}")
 
 
 def _round_trips(text: str) -> Iterator[tuple[float, str, float]]:
     """(least drop to accept, text after the round trip, drop) of each candidate."""
+    done = False
     for encoding in WRONG if "�" not in text else WRONG[:1]:
         seen = text.translate(_TABLES[encoding])
         least = 1.0 if encoding in ("cp1252", "cp437", "cp850") else 2.0
-        yield least, *_replaced(text, seen, _UTF8, _utf8, "as is")
-        if encoding == "cp1252":
-            yield least, *_replaced(text, seen, _LOWERED, _lowered, "lower")
+        fixed, drop = _replaced(text, seen, _UTF8, _utf8, "as is")
+        done |= drop >= least
+        yield least, fixed, drop
+        if encoding == "cp1252" and drop < least:
+            fixed, drop = _replaced(text, seen, _LOWERED, _lowered, "lower")
+            done |= drop >= least
+            yield least, fixed, drop
             if text.isupper():
                 yield 2 * least, *_replaced(text, seen, _RAISED, _raised, "upper")
-    for encoding, intended, runs in _LEGACY if "�" not in text else ():
+    if done:  # other readings only of what is not UTF-8
+        return
+    if "�" in text:
+        return
+    for encoding, intended, runs in _DOUBLE:
         yield 3.0, *_replaced(text, text.translate(_TABLES[encoding]), runs, _WRITTEN_IN[intended], "as is")
+    if _ODD.search(text):
+        for wrong, intended, least in SINGLE:
+            yield least, *_single(text, wrong, intended)
 
 
 def _undone(text: str) -> tuple[str, int]:
     """The text after as many round trips as lower its cost, the best of each layer first; their number."""
     layers = 0
-    while layers < MAX_LAYERS and _PAIR.search(text):
+    while layers < MAX_LAYERS and (_PAIR.search(text) or _ODD.search(text)):
         tried = [(fixed, drop) for least, fixed, drop in _round_trips(text) if drop >= least]
         if not tried:
             break
