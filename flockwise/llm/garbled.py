@@ -40,7 +40,7 @@ _LOWERED = re.compile(f"(?:{_SEQUENCE}|[\xe2-\xff][\x80-\xbf](?![\x80-\xbf]))+")
 _RAISED = re.compile(f"(?:[\xc1-\xcf][\x80-\xbf]{{2}}|[\xd0-\xd4][\x80-\xbf]{{3}}|{_SEQUENCE})+")
 _ONE_LOWERED = re.compile(f"({_SEQUENCE})|([\xe2-\xff])([\x80-\xbf])")
 _ONE_RAISED = re.compile(f"([\xc1-\xd4])([\x80-\xbf]{{2,3}})|({_SEQUENCE})")
-_PAIR = re.compile(r"[^\x00-\x7f]{2}")
+_HIGH = re.compile(r"[^\x00-\x7f]{2,}")
 #: Two-byte letters whose second byte was a kind of blank or hyphen and has been replaced or dropped since.
 _STRIPPED = ((re.compile(r"(?<![A-ZÀ-Þ])Ã (?=[a-zà-ÿ])"), "à "), (re.compile(r"(?<=[a-z])Ã(?=[a-z])"), "í"))
 _FAR = "Ā"
@@ -206,12 +206,15 @@ _DOUBLE = [
     ("cp1252", "shift_jis", re.compile("(?:[\x81-\x9f\xe0-\xef][\x40-\x7e\x80-\xfc]|[\xa1-\xdf]){5,}")),
     ("cp1252", "euc_jp", re.compile("(?:[\xa1-\xfe][\xa1-\xfe]){4,}")),
 ]
+_LATIN_RUN = re.compile("[\x80-\xff\u0152-\u02dc\u2013-\u2122][^\\s]{0,2}[\x80-\xff\u0152-\u02dc\u2013-\u2122][^\\s]{0,2}[\x80-\xff\u0152-\u02dc\u2013-\u2122][^\\s]{0,2}[\x80-\xff\u0152-\u02dc\u2013-\u2122]")
 _WRITTEN_IN = {e: _written_in(e) for _, e, _ in _DOUBLE}
 _WORDS = re.compile(r"[^\s]+")
 #: Something that sound words don't have: letters of other alphabets, signs or capitals inside, lone signs of drawing.
 _ODD = re.compile(
     "[a-zà-öø-ÿœąćęłńśźż][À-ÖØ-Þ]|[à-öø-ÿ][A-Z]|[A-Za-zÀ-ÿ][\u0370-\u052f]|[\u0370-\u052f][A-Za-zÀ-ÿ]|[а-яё][А-ЯЁ]|[À-ÿ]{4}"
-    "|[A-Za-zÀ-ÿ][^\\w\\s\x00-\x7f“”‘’…–—«»„‚‹›·•\u0300-\u036f\u200b-\u200f\xad\xa0\ufffd\ufe00-\ufe0f\U0001f000-\U0001ffff]|[^\\w\\s\x00-\x7f“”‘’…–—«»„‹›¿¡€•\u0300-\u036f\u200b-\u200f\xad\xa0\ufffd\U0001f000-\U0001ffff][A-Za-zÀ-ÿ]|[\u0100-\u024f\u207f]|[\x80-\x9f]"
+    "|[A-Za-zÀ-ÿ][^\\w\\s\x00-\x7f“”‘’…–—«»„‚‹›·•\u0300-\u036f\u200b-\u200f\xad\xa0\ufffd\ufe00-\ufe0f\U0001f000-\U0001ffff]|[^\\w\\s\x00-\x7f“”‘’…–—«»„‹›¿¡€•\u0300-\u036f\u200b-\u200f\xad\xa0\ufffd\U0001f000-\U0001ffff][A-Za-zÀ-ÿ]|[\x80-\x9f\u207f"
+    + "".join(chr(n) for n in range(0x100, 0x250) if chr(n).lower() not in LATIN)
+    + "]"
 )
 
 
@@ -266,10 +269,37 @@ def _single(text: str, wrong: str, intended: str) -> tuple[str, float]:
 _DRAWING = re.compile("[\u2500-\u259f]{2}")
 
 
+@lru_cache(maxsize=1)
+def _starts() -> dict[str, int]:
+    """Two characters that begin a UTF-8 sequence in some encoding -> bits of those encodings; plain Cyrillic is none."""
+    out: dict[str, int] = {}
+    for bit, encoding in enumerate(WRONG):
+        by: dict[int, list[str]] = {}
+        for point, byte in _bytes_of(encoding).items():
+            by.setdefault(ord(byte) >> 6, []).append(chr(point))
+        for a in by.get(3, ()):
+            for b in by.get(2, ()):
+                if not _SOUND.fullmatch(a + b):
+                    out[a + b] = out.get(a + b, 0) | 1 << bit
+    return out
+
+
+def _possible(text: str) -> int:
+    """Bits of the encodings in which the text may be UTF-8 in places."""
+    starts, bits = _starts(), 0
+    for m in _HIGH.finditer(text):
+        run = m[0]
+        for n in range(len(run) - 1):
+            bits |= starts.get(run[n : n + 2], 0)
+    return bits
+
+
 def _round_trips(text: str) -> Iterator[tuple[float, str, float]]:
     """(least drop to accept, text after the round trip, drop) of each candidate."""
-    done = False
-    for encoding in WRONG if "�" not in text else WRONG[:1]:
+    done, possible = False, _possible(text)
+    for bit, encoding in enumerate(WRONG if "�" not in text else WRONG[:1]):
+        if not possible >> bit & 1:
+            continue
         seen = text.translate(_TABLES[encoding])
         least = 1.0 if encoding in ("cp1252", "cp437", "cp850") else 2.0
         fixed, drop = _replaced(text, seen, _UTF8, _utf8, "as is")
@@ -285,7 +315,7 @@ def _round_trips(text: str) -> Iterator[tuple[float, str, float]]:
         return
     if "�" in text:
         return
-    for encoding, intended, runs in _DOUBLE:
+    for encoding, intended, runs in _DOUBLE if _LATIN_RUN.search(text) else ():
         yield 3.0, *_replaced(text, text.translate(_TABLES[encoding]), runs, _WRITTEN_IN[intended], "as is")
     if _ODD.search(text):
         for wrong, intended, least in SINGLE:
@@ -295,7 +325,7 @@ def _round_trips(text: str) -> Iterator[tuple[float, str, float]]:
 def _undone(text: str) -> tuple[str, int]:
     """The text after as many round trips as lower its cost, the best of each layer first; their number."""
     layers = 0
-    while layers < MAX_LAYERS and (_PAIR.search(text) or _ODD.search(text)):
+    while layers < MAX_LAYERS and (_HIGH.search(text) or _ODD.search(text)):
         tried = [(fixed, drop) for least, fixed, drop in _round_trips(text) if drop >= least]
         if not tried:
             break
