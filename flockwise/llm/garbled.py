@@ -30,8 +30,8 @@ SINGLE = (
 )
 #: Letters beyond ASCII of the languages texts are expected in and of their neighbours.
 LATIN = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßœąćęłńśźż"
-#: The most frequent letters of Russian.
-COMMON_RUSSIAN = "оеаинтсрвл"
+#: Cost of Russian letters, by how frequent they are.
+RUSSIAN = {c: cost for letters, cost in (("оеаин", 0.6), ("тсрвлкмдпу", 0.8), ("яыьгзбчй", 1.1), ("хжшюцщэфъё", 1.6)) for c in letters}
 #: Signs that often end a word, so that they follow a letter in sound text too.
 CLOSING = "“”‘’…–—«»„‚‹›°ºª™®"
 _SEQUENCE = "[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf4][\x80-\xbf]{3}"
@@ -89,7 +89,7 @@ def _char_cost(c: str) -> float:
     if 0x400 <= n < 0x530:
         if not (0x410 <= n <= 0x44F or c in "Ёё"):
             return 2.5
-        return (0.7 if c.lower() in COMMON_RUSSIAN else 1.3) + (0.2 if c.isupper() else 0.0)
+        return RUSSIAN[c.lower()] + (0.2 if c.isupper() else 0.0)
     if 0x2000 <= n < 0x2070 or c == "€":
         return 1.0 if c not in "†‡‰‹›" else 2.0
     if 0x2190 <= n < 0x2500 or 0x2070 <= n < 0x2190:

@@ -173,7 +173,7 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, pas
     """(key, item) of each document that holds at least 15 consecutive passage words with at most one in six wrong.
 
     The items are read in blocks of at most about `block_bytes`, each sent to all executors and searched in one narrow
-    pass over the documents; nothing of the documents is shuffled but the found pairs. Null, empty and short texts and
+    pass over the documents; 13 words in a row also count, as a window whose last two are dropped. Nothing of the documents is shuffled but the found pairs. Null, empty and short texts and
     passages of fewer than 15 words give no case; items that share a passage come out each. A single passage larger
     than a block makes a block of its own.
     """
