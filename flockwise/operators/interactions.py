@@ -21,14 +21,15 @@ class Cursors:
     follows: int = 0
 
 
-def interaction_edges(favourites: DataFrame, statuses: DataFrame, mentions: DataFrame, follows: DataFrame, s: Settings, since: Cursors = Cursors()) -> DataFrame:
+def interaction_edges(favourites: DataFrame, statuses: DataFrame, mentions: DataFrame, follows: DataFrame, s: Settings, since: Cursors = Cursors(), authors: DataFrame | None = None) -> DataFrame:
     """(src, dst, weight, max_favourite_id, max_status_id, max_mention_id, max_follow_id).
 
     Favourites, replies, reblogs and loud mentions count by number, a follow once per pair; nobody counts towards
-    oneself. Deleted statuses count as well. Each source is reduced to its pairs before the common sum; the join keys
+    oneself. Deleted statuses count as well; `authors` are the statuses that parents are looked up in, all of `statuses` if not
+    given. Each source is reduced to its pairs before the common sum; the join keys
     are the statuses' ids, so a busy author doesn't make a skewed join.
     """
-    author = statuses.select(F.col("id").alias("_p"), F.col("account_id").alias("_a"))
+    author = (statuses if authors is None else authors).select(F.col("id").alias("_p"), F.col("account_id").alias("_a"))
     own = statuses.where(F.col("id") > since.statuses)
 
     def branch(rows: DataFrame, src: str, dst: str, weight: Column, cursor: str, id_: str) -> DataFrame:

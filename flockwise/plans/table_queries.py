@@ -126,7 +126,7 @@ def interaction_edges_incremental(spark: SparkSession, d: str) -> DataFrame:
     """The edges up to a cursor, and those beyond it merged into them."""
     s, f = statuses_newest(spark, d), favourites_newest(spark, d)
     cut = 3000
-    old = interaction_edges(f.where(F.col("id") <= cut), s.where(F.col("id") <= CURSOR), _mentions(s).where(F.col("id") <= CURSOR), _follows(s).where(F.lit(False)), S)
+    old = interaction_edges(f.where(F.col("id") <= cut), s.where(F.col("id") <= CURSOR), _mentions(s).where(F.col("id") <= CURSOR), _follows(s).where(F.lit(False)), S, authors=s)
     new = interaction_edges(f, s, _mentions(s), _follows(s), S, Cursors(cut, CURSOR, CURSOR, 0))
     return merge.merge_interactions(old, new)
 
