@@ -55,14 +55,19 @@ def scored_interests(weights: DataFrame, as_of: Column, s: Settings) -> DataFram
     return rows.select("uc", "pc", (F.col("weight") / F.col("_top")).alias("score"), F.col("interactions").alias("based_on"), as_of.alias("last_updated"), days_before(as_of, -s.interest_ttl_days).alias("expires_at"))
 
 
-def rebuild_interests(edges: dict[str, DataFrame], users: DataFrame, posts: DataFrame, as_of: Column, s: Settings, communities: DataFrame | None = None) -> DataFrame:
+def rebuild_interests(edges: dict[str, DataFrame] | DataFrame, users: DataFrame, posts: DataFrame, as_of: Column, s: Settings, communities: DataFrame | None = None) -> DataFrame:
     """All interests from scratch, or those of some user communities (uc).
 
-    The click-through rate is off when no recommendation exists at all.
+    `edges` are tables by kind, or one table with a kind, which is read once. The click-through rate is off when no
+    recommendation exists at all.
     """
-    with_ctr = s.ctr_enabled and "recommended" in edges and not edges["recommended"].isEmpty()
-    kinds = {k: df for k, df in edges.items() if k in REACTIONS or (with_ctr and k == "recommended")}
-    signals = community_signals(reaction_union(kinds), users, posts, as_of, s)
+    if isinstance(edges, DataFrame):
+        with_ctr = s.ctr_enabled and not edges.where(F.col("kind") == "recommended").isEmpty()
+        every = edges.where(F.col("kind").isin(*REACTIONS, *(["recommended"] if with_ctr else [])))
+    else:
+        with_ctr = s.ctr_enabled and "recommended" in edges and not edges["recommended"].isEmpty()
+        every = reaction_union({k: df for k, df in edges.items() if k in REACTIONS or (with_ctr and k == "recommended")})
+    signals = community_signals(every, users, posts, as_of, s)
     if communities is not None:
         signals = signals.join(communities.select("uc"), "uc", "left_semi")
     return scored_interests(interest_weights(signals, s, with_ctr), as_of, s)

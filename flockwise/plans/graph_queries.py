@@ -33,7 +33,7 @@ def _edges(g: dict[str, DataFrame], ctr: bool = True) -> dict[str, DataFrame]:
 
 
 def _interests(g: dict[str, DataFrame]) -> DataFrame:
-    return interests.rebuild_interests(_edges(g), g["users"], g["posts"], _now(), S)
+    return interests.rebuild_interests(g["edges"], g["users"], g["posts"], _now(), S)
 
 
 def _sizes(g: dict[str, DataFrame], nodes: str) -> DataFrame:
@@ -371,6 +371,7 @@ def cleanup_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Rows of each table after users seen too long ago are removed with all that hangs on them."""
     g = _graph(spark, d)
     g["interests"], g["user_communities"], g["post_communities"] = _interests(g), _sizes(g, "users"), _sizes(g, "posts")
+    del g["edges"]
     return stats.table_counts(communities.cascade(g, communities.inactive(g["users"].withColumn("last_active", F.when(F.col("id") % 6 > 0, F.col("last_active"))), moment("2024-01-31 18:00:00"), 1)))
 
 

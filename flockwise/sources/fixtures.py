@@ -42,6 +42,12 @@ def event_graph(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
 
     graph = {name: first(kind) for name, kind in KINDS.items()}
     graph["bookmarked"] = first("click").where((F.col("user_id") + F.col("post_id")) % 3 == 0)
+    # all kinds at once, from one pass over the events; a click may also be a bookmark
+    name = F.create_map(*[F.lit(x) for n, k in KINDS.items() for x in (k, n)])
+    firsts = e.where(F.col("kind").isin(*KINDS.values())).groupBy("user_id", "post_id", "kind").agg(F.min("happened_at").alias("happened_at"))
+    marked = (F.col("kind") == "click") & ((F.col("user_id") + F.col("post_id")) % 3 == 0)
+    kinds = F.when(marked, F.array(F.lit("favourited"), F.lit("bookmarked"))).otherwise(F.array(name[F.col("kind")]))
+    graph["edges"] = firsts.select("user_id", "post_id", "happened_at", F.explode(kinds).alias("kind"))
     graph["hates"] = e.where(F.col("kind") == "error").select(F.col("user_id").alias("src"), (F.col("post_id") % 7).alias("dst")).where("src <> dst").distinct()
     graph["wrote"] = posts.select(F.col("author_id").alias("user_id"), F.col("id").alias("post_id"))
     return {"users": users, "posts": posts, **graph}
@@ -49,9 +55,7 @@ def event_graph(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
 
 def reactions_of(graph: dict[str, DataFrame]) -> DataFrame:
     """(user_id, post_id, happened_at, kind) of the four kinds of reaction."""
-    from flockwise.operators.interests import REACTIONS, reaction_union
-
-    return reaction_union({k: graph[k] for k in REACTIONS})
+    return graph["edges"].where(F.col("kind") != "recommended")
 
 
 def statuses_newest(spark: SparkSession, directory: str) -> DataFrame:

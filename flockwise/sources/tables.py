@@ -32,3 +32,12 @@ def within_bytes(df: DataFrame, bound: int, columns: list[str]) -> bool:
     size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(16))
     total = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
     return total <= bound
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores.
+
+    Only a table of fewer splits than that is moved, so a large one, which has many, is read in place.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
