@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import argparse
+from pathlib import Path
 
+from flockwise.operators.communities import PURGES
+from flockwise.operators.export import export_bundle, import_bundle
 from flockwise.plans.pipeline import Engine
 from flockwise.session import build_session
 
-VERBS = ("run", "refresh", "export", "validate", "user", "post")
+VERBS = ("run", "refresh", "export", "validate", "user", "post", "train", "clean", "reindex", "model-export", "model-import")
 
 
 def main(args: list[str] | None = None) -> int:
@@ -18,6 +21,9 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--as-of", required=True)
     parser.add_argument("--hours", type=float, default=24.0)
     parser.add_argument("--id", type=int)
+    parser.add_argument("--kind", choices=sorted(PURGES), default="interests", help="what to clean")
+    parser.add_argument("--model", help="directory or archive of a model")
+    parser.add_argument("--target", help="where a model goes")
     parser.add_argument("--dry-run", action="store_true", help="no feeds")
     given = parser.parse_args(args)
     engine = Engine(build_session(), given.source, given.root)
@@ -30,6 +36,16 @@ def main(args: list[str] | None = None) -> int:
         print(engine.export(given.as_of))
     elif given.verb == "validate":
         print(engine.validate())
+    elif given.verb == "train":
+        print(engine.train(given.model))
+    elif given.verb == "clean":
+        print(engine.clean(given.kind))
+    elif given.verb == "reindex":
+        print(engine.reindex())
+    elif given.verb == "model-export":
+        print(export_bundle(Path(given.model), Path(given.target), {"source": given.source}))
+    elif given.verb == "model-import":
+        print(import_bundle(Path(given.model), Path(given.target)))
     else:
         engine.table("users" if given.verb == "user" else "posts").where(f"id = {given.id}").show(truncate=60)
     return 0

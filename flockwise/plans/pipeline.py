@@ -13,10 +13,10 @@ from flockwise.operators.export import markdown_table, mermaid_graph, report
 from flockwise.operators.interactions import interaction_edges
 from flockwise.operators.leiden import leiden
 from flockwise.operators.pagerank import pagerank
-from flockwise.operators.text import hashed_embeddings, tokens
+from flockwise.operators.text import hashed_embeddings, joined_phrases, phrase_scores, to_embed_again, tokens, word2vec
 from flockwise.settings import Settings
 from flockwise.sources.fixtures import accounts_newest, favourites_newest, statuses_newest
-from flockwise.sources.scans import statuses_since
+from flockwise.sources.scans import corpus, corpus_extent, corpus_tokens, statuses_since
 from flockwise.sources.state import State, load_state, save_state
 
 _EDGE = "user_id long, post_id long, happened_at timestamp_ntz"
@@ -125,6 +125,49 @@ class Engine:
             },
         )
 
+    def clean(self, kind: str) -> State:
+        """A new version without one kind of data and what depends on it (see `communities.PURGES`)."""
+        old = self.state()
+        names = ("users", "posts", "favourited", "reblogged", "replied", "recommended", "interacts", "similar", "interests", "user_communities", "post_communities")
+        known = {n: self.table(n) for n in names}
+        for name, df in {**known, **communities.purge(known, kind)}.items():
+            df.write.mode("overwrite").parquet(f"{self.root}/v={old.version + 1}/{name}")
+        loaded = self.table("posts_loaded")
+        if kind in ("embeddings", "graph"):
+            loaded = loaded.withColumn("embedding", F.lit(None).cast("array<float>")) if kind == "embeddings" else loaded.where(F.lit(False))
+        loaded.write.mode("overwrite").parquet(f"{self.root}/v={old.version + 1}/posts_loaded")
+        start = {"last_status_id": 0} if kind == "graph" else {}
+        new = State(**{**old.__dict__, **start, "version": old.version + 1})
+        save_state(self.spark, f"{self.root}/state.json", new)
+        return new
+
+    def reindex(self) -> State:
+        """A new version whose posts without a vector, or all if the model's signature has changed, are embedded again."""
+        old, signature = self.state(), "local:hashed:64"
+        posts = self.table("posts_loaded")
+        todo = to_embed_again(posts, old.embedding_signature or None, signature)
+        vectors = hashed_embeddings(todo.select("id", tokens(F.col("text")).alias("tokens"))).withColumnRenamed("embedding", "_new")
+        fresh = posts.join(vectors, "id", "left").withColumn("embedding", F.coalesce("_new", "embedding")).drop("_new")
+        for name in ("favourited", "reblogged", "replied", "recommended", "users", "posts", "interacts", "similar", "interests", "user_communities", "post_communities"):
+            self.table(name).write.mode("overwrite").parquet(f"{self.root}/v={old.version + 1}/{name}")
+        fresh.write.mode("overwrite").parquet(f"{self.root}/v={old.version + 1}/posts_loaded")
+        new = old.advanced(version=old.version + 1, embedding_signature=signature)
+        save_state(self.spark, f"{self.root}/state.json", new)
+        return new
+
+    def train(self, model_dir: str, min_chars: int = 10, min_docs: int = 100, **options: int) -> dict[str, int]:
+        """Fits phrases and a word model on the public corpus and saves both; returns the corpus's extent.
+
+        Each training writes a version of its own beside the former ones, so a served model is never changed in place.
+        """
+        texts = corpus(statuses_newest(self.spark, self.source), min_chars)
+        words = corpus_tokens(texts)
+        phrases = phrase_scores(words)
+        phrases.write.mode("overwrite").parquet(f"{model_dir}/phrases")
+        joined = joined_phrases(words, self.spark.read.parquet(f"{model_dir}/phrases"))
+        word2vec(joined, min_docs=min_docs, **options).write().overwrite().save(f"{model_dir}/words")
+        return corpus_extent(texts).first().asDict()
+
     def validate(self) -> str:
         """'HEALTHY', 'DEGRADED' or 'FAILED' for the version that counts."""
         return stats.health(self.table("user_communities").limit(1).count(), self.table("posts").limit(1).count(), 0)

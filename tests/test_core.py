@@ -323,3 +323,22 @@ def test_pipeline_end_to_end(spark, small, tmp_path):
     assert second.version == 2 and engine.table("posts").count() == posts and second.last_status_id == first.last_status_id
     assert engine.refresh("2026-06-02 00:00:00", 24.0).count() > 0
     assert "## Interests" in engine.export("2026-06-01 00:00:00")
+    third = engine.clean("embeddings")
+    assert third.version == 3 and engine.table("interests").count() == 0 and engine.table("posts_loaded").where("embedding IS NOT NULL").count() == 0
+    fourth = engine.reindex()
+    assert fourth.version == 4 and engine.table("posts_loaded").where("embedding IS NULL").count() == 0
+    assert engine.train(f"file://{tmp_path}/model", min_docs=20, dims=8, min_count=2, epochs=1)["n_texts"] > 20
+
+
+def test_windowed_counts_drop_late_rows(spark, tmp_path):
+    from flockwise.streaming.loads import stream_table, windowed_counts
+
+    at = lambda h, m: ts(f"2024-01-01 {h:02d}:{m:02d}:00")
+    for n, part in enumerate(([(at(0, 1), "a"), (at(0, 4), "a"), (at(0, 6), "b")], [(at(3, 0), "a")], [(at(4, 0), "a")], [(at(0, 2), "a"), (at(5, 0), "a")])):
+        spark.createDataFrame(part, "t timestamp_ntz, k string").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    like = spark.createDataFrame([], "t timestamp_ntz, k string")
+    out = windowed_counts(stream_table(spark, f"{tmp_path}/in/*", like, 1), "t", ["k"], "5 minutes", "10 minutes")
+    query = out.writeStream.outputMode("append").format("memory").queryName("windows").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {(str(r.window_start)[11:16], r.k): r.n for r in spark.table("windows").collect()}
+    assert got[("00:00", "a")] == 2 and got[("00:05", "b")] == 1
