@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flockwise.sources.tables import spread
+
 #: Encodings that UTF-8 text is often read in, most frequent first; the first also stands for Latin-1.
 WRONG = ("cp1252", "mac_roman", "cp437", "cp850", "cp866", "cp1251", "koi8_r", "cp1250", "cp1254", "iso8859_2", "cp1253")
 MAX_LAYERS = 8
@@ -382,9 +384,9 @@ def garbled(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, restored, layers, remains) of the rows whose text is garbled; other rows are left out.
 
     `layers` counts the round trips undone, `remains` says that characters are lost or garbled still. One narrow pass:
-    no shuffle, and nothing is kept but the batch in work. Copies of a row are told apart by nothing and all come out.
+    no shuffle but of a table with fewer splits than cores, and nothing is kept but the batch in work. Copies of a row are told apart by nothing and all come out.
     """
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
-    out = rows.mapInArrow(_run, f"key {kind}, text string, layers int, remains boolean")
+    out = spread(rows).mapInArrow(_run, f"key {kind}, text string, layers int, remains boolean")
     return out.select(F.col("key").alias(key), F.col("text").alias("restored"), "layers", "remains")

@@ -279,7 +279,7 @@ class Scorer:
 
 
 def labelled_sample(rows: DataFrame, key: str, text: str, label: str, per_language: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """(language, text) of at most `per_language` labelled rows of each language, those with the smallest hash."""
+    """(language, text) of at most `per_language` labelled rows of each language, those with the largest hash."""
     named = rows.select(label_language(F.col(label)).alias("c"), F.struct(F.xxhash64(key).alias("h"), F.col(text).alias("t")).alias("r"))
     named = named.where(F.col("c").isNotNull() & (F.length("r.t") > 0))
     top = named.groupBy("c").agg(InternalFunction.collect_top_k(F.col("r"), per_language, False).alias("r"))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flockwise.llm.garbled import restored
+from flockwise.sources.tables import spread
 
 PIECE = 4
 MIN_WORDS = 15
@@ -182,7 +183,7 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, pas
     size = held.agg(F.coalesce(F.sum(F.octet_length("p") + 64), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size * 5 // (block_bytes * 4)))
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
+    rows = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0))
     out = None
     for b in range(blocks):
         # one block is bounded by block_bytes
