@@ -131,6 +131,14 @@ def test_regions_and_parts_lose_nothing(spark, monkeypatch):
     assert len(got ^ want) <= 0.02 * len(want)
 
 
+def test_pairs_of_few_directions_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(5000, 8)) @ rng.normal(size=(8, 64))
+    got = [(r["id"], r["other"]) for r in similar.similar(vectors(spark, x), "id", "embedding", 10, least=0.9).collect()]
+    want = brute(x, 10, 0.9)
+    assert len(got) == len(set(got)) and len(set(got) & want) >= 0.99 * len(want) and len(set(got) - want) <= 0.01 * len(want)
+
+
 def test_copies_nulls_and_empty_vectors(spark):
     one, two = [1.0] * 64, [-1.0] * 64
     data = [(i, one) for i in range(1, 31)] + [(40, two), (41, [x * 2 for x in two]), (50, None), (51, [0.0] * 64), (52, [float("nan")] * 64), (53, one[:63]), (54, [None, *one[1:]]), (55, [float("inf"), *one[1:]]), (1, one), (None, one)]
