@@ -150,6 +150,21 @@ def test_copies_nulls_and_empty_vectors(spark):
     assert similar.similar(df.limit(0), "id", "embedding", 10, least=0.9).count() == 0 and similar.similar(df.limit(0), "id", "embedding", 10).count() == 0
 
 
+def test_copies_are_found_by_others(spark):
+    rng = np.random.default_rng(4)
+    base, few = rng.normal(size=64), rng.normal(size=64)
+    x = np.stack([*[base] * 14, base + 0.1 * rng.normal(size=64), base + 0.15 * rng.normal(size=64), *[few] * 4, few + 0.1 * rng.normal(size=64), *rng.normal(size=(9, 64))])
+    x = x[rng.permutation(len(x))]
+    pairs = {(r["id"], r["other"]) for r in similar.similar(vectors(spark, x), "id", "embedding", 10, least=0.9).collect()}
+    nearest = {(r["id"], r["other"]) for r in similar.similar(vectors(spark, x), "id", "embedding", 10, asks=lambda c: c % 2 == 0, share=1.0).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = (u @ u.T).round(9)  # equal vectors are equally near
+    np.fill_diagonal(s, -9)
+    best = {n + 1: [int(j) for j in np.lexsort((np.arange(len(x)), -s[n]))[:10]] for n in range(len(x))}
+    assert pairs == {(n, j + 1) for n, b in best.items() for j in b if s[n - 1, j] >= 0.9}
+    assert nearest == {(n, j + 1) for n, b in best.items() for j in b if n % 2 == 0}
+
+
 @hypothesis_settings(max_examples=40, deadline=None)
 @given(a=st.lists(st.floats(0, 9), max_size=8), b=st.lists(st.floats(0, 9), max_size=8), r=st.floats(0, 18))
 def test_walk_is_in_order_and_complete(a, b, r):
