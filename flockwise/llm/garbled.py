@@ -4,7 +4,7 @@ A stretch is encoded again under a candidate legacy encoding and decoded strictl
 mostly UTF-8. The result is accepted when a garbling cost drops, and the round trip is repeated for nested layers. The
 cost of a character says how unusual it is in written language, with a surcharge for letter cases that don't go
 together. Text that was put in lower or upper case after the damage is met by reading lead bytes in the other case.
-Damage that can't be undone (replacement characters) is reported and left as it is.
+Damage that can't be undone (replacement characters) is reported and left as it is; what stands between is restored.
 """
 
 from __future__ import annotations
@@ -238,7 +238,7 @@ def _single(text: str, wrong: str, intended: str) -> tuple[str, float]:
     """The text with the words whose cost drops read in the other encoding, and the whole drop.
 
     A line in which that happens also has those of its words changed that cost the same. Words need two letters, and
-    a drawing is none.
+    a drawing is none. A word with a lost character keeps its rest, which is the remains of longer sequences mostly.
     """
     swaps = _swaps(wrong, intended)
     out, whole = [], 0.0
@@ -246,7 +246,7 @@ def _single(text: str, wrong: str, intended: str) -> tuple[str, float]:
         changed, drop = [], 0.0
         for m in _WORDS.finditer(line):
             word = m[0]
-            if word.isascii() or sum(map(str.isalpha, word)) < 2 or _DRAWING.search(word):
+            if word.isascii() or "�" in word or sum(map(str.isalpha, word)) < 2 or _DRAWING.search(word):
                 continue
             fixed = word.translate(swaps)
             if fixed == word:
@@ -299,7 +299,7 @@ def _possible(text: str) -> int:
 def _round_trips(text: str) -> Iterator[tuple[float, str, float]]:
     """(least drop to accept, text after the round trip, drop) of each candidate."""
     done, possible = False, _possible(text)
-    for bit, encoding in enumerate(WRONG if "�" not in text else WRONG[:1]):
+    for bit, encoding in enumerate(WRONG):
         if not possible >> bit & 1:
             continue
         seen = text.translate(_TABLES[encoding])
@@ -315,8 +315,6 @@ def _round_trips(text: str) -> Iterator[tuple[float, str, float]]:
                 yield 2 * least, *_replaced(text, seen, _RAISED, _raised, "upper")
     if done:  # other readings only of what is not UTF-8
         return
-    if "�" in text:
-        return
     for encoding, intended, runs in _DOUBLE if _LATIN_RUN.search(text) else ():
         yield 3.0, *_replaced(text, text.translate(_TABLES[encoding]), runs, _WRITTEN_IN[intended], "as is")
     if _ODD.search(text):

@@ -356,6 +356,19 @@ def test_sound_text_stays(t):
     assert garbled.restored(t) == (t, 0, False)
 
 
+@pytest.mark.parametrize("wrong", ["mac_roman", "cp437", "cp850", "cp866", "cp1251", "koi8_r", "cp1250", "iso8859_2"])
+def test_what_stands_beside_lost_characters_is_restored(wrong):
+    t, lost = "Die Größe der Bücher über Köln ist schön, sagt Jürgen. ", "Ein Zeichen fehlt: Stra\ufffde."
+    assert garbled.restored(t.encode().decode(wrong, "replace") + lost) == (t + lost, 1, True)
+
+
+def test_remains_of_lost_characters_are_left():
+    t = "Привет, это простое сообщение. "
+    assert garbled.restored(t.encode("koi8_r").decode("cp1251") + "x\ufffdy") == (t + "x\ufffdy", 1, True)
+    broken = "Кто ждёт: зде\u00d1\ufffd, шер\u00d1\ufffd\u00d1\ufffd"
+    assert garbled.restored(broken) == (broken, 0, True)
+
+
 @pytest.mark.parametrize("t", [x for x in SOUND[:7]])
 @pytest.mark.parametrize("wrong", ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251"])
 def test_round_trip_of_utf8(t, wrong):
