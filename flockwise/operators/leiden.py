@@ -19,27 +19,25 @@ from flockwise.settings import Settings
 
 #: Directed edges of a component that one task solves.
 LOCAL_EDGES = 2_000_000
-MOST_ROUNDS = 60
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that can be reached, edges taken both ways.
 
-    Labels take the least label around and then jump to their label's label, which halves paths each round; each round
-    is checkpointed. Minima are combined before the shuffle, so hubs are no hot keys.
+    Labels take the least label around and then jump to their label's label, which halves paths each round, until no
+    label changes; each round is checkpointed. Minima are combined before the shuffle, so hubs are no hot keys.
     """
     checkpoint_dir(nodes.sparkSession)
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct().checkpoint()
     labels = nodes.select("id").distinct().withColumn("component", F.col("id")).checkpoint()
-    for _ in range(MOST_ROUNDS):
+    while True:
         around = both.join(labels, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("component").alias("_m"))
         moved = labels.join(around, F.col("id") == F.col("src"), "left").select("id", F.col("component").alias("_old"), F.least("component", F.coalesce("_m", "component")).alias("component"))
         up = labels.select(F.col("id").alias("_c"), F.col("component").alias("_up"))
         jumped = moved.join(up, F.col("component") == F.col("_c"), "left").select("id", "_old", F.least("component", F.coalesce("_up", "component")).alias("component")).checkpoint()
         labels = jumped.select("id", "component")
         if jumped.where("_old <> component").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def _adjacency(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

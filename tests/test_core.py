@@ -199,6 +199,12 @@ def test_leiden_finds_two_cliques(spark):
     assert q["communities"] == 3 and q["modularity"] > alone["modularity"]
 
 
+def test_components_go_on_until_labels_settle(spark, monkeypatch):
+    monkeypatch.setattr(leiden, "MOST_ROUNDS", 1, raising=False)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(8)], "src long, dst long").coalesce(1)
+    assert rows(leiden.components(spark.range(0, 9, 1, 1), edges)) == [(i, 0) for i in range(9)]
+
+
 def test_leiden_communities_are_connected():
     rng = np.random.default_rng(3)
     n = 120
