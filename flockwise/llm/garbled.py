@@ -23,7 +23,6 @@ from flockwise.sources.tables import spread
 
 #: Encodings that UTF-8 text is often read in, most frequent first; the first also stands for Latin-1.
 WRONG = ("cp1252", "mac_roman", "cp437", "cp850", "cp866", "cp1251", "koi8_r", "cp1250", "cp1254", "iso8859_2", "cp1253")
-MAX_LAYERS = 8
 #: (read as, written in, least drop) of texts of one byte a letter; the drop adds up over the words of a text.
 SINGLE = (
     ("mac_roman", "cp1252", 1.5), ("cp437", "cp1252", 1.5), ("cp850", "cp1252", 1.5), ("cp1250", "cp1252", 1.0), ("iso8859_2", "cp1252", 1.0), ("cp1251", "cp1252", 1.5), ("cp1253", "cp1252", 1.5),
@@ -107,6 +106,7 @@ def _char_cost(c: str) -> float:
     return 3.0
 
 
+@lru_cache(maxsize=65536)
 def garbling_cost(text: str, before: str = "") -> float:
     """How unlike written language the text is; 0 for ASCII, about 1 for each usual other character."""
     cost, last, sign = 0.0, before, False
@@ -234,38 +234,54 @@ def _swaps(wrong: str, intended: str) -> dict[int, str]:
     return out
 
 
-def _single(text: str, wrong: str, intended: str) -> tuple[str, float]:
+#: Words that may have been read in another one-byte encoding: (start, end, word, its cost), by line.
+_Lines = list[list[tuple[int, int, str, float]]]
+
+
+def _candidates(text: str) -> _Lines:
+    """The words of each line that hold other characters than ASCII, but for drawings and words of one letter.
+
+    A word with a lost character keeps its rest, which is the remains of longer sequences mostly.
+    """
+    out: _Lines = []
+    at = 0
+    for line in text.split("\n"):
+        if not line.isascii():
+            words = [(at + m.start(), at + m.end(), m[0]) for m in _WORDS.finditer(line) if not m[0].isascii()]
+            out.append([(a, b, w, garbling_cost(w)) for a, b, w in words if "�" not in w and sum(map(str.isalpha, w)) >= 2 and not _DRAWING.search(w)])
+        at += len(line) + 1
+    return out
+
+
+def _single(text: str, lines: _Lines, wrong: str, intended: str) -> tuple[str, float]:
     """The text with the words whose cost drops read in the other encoding, and the whole drop.
 
-    A line in which that happens also has those of its words changed that cost the same. Words need two letters, and
-    a drawing is none. A word with a lost character keeps its rest, which is the remains of longer sequences mostly.
+    A line in which that happens also has those of its words changed that cost the same.
     """
     swaps = _swaps(wrong, intended)
-    out, whole = [], 0.0
-    for line in _lines(text):
+    changes, whole = [], 0.0
+    for words in lines:
         changed, drop = [], 0.0
-        for m in _WORDS.finditer(line):
-            word = m[0]
-            if word.isascii() or "�" in word or sum(map(str.isalpha, word)) < 2 or _DRAWING.search(word):
-                continue
+        for a, b, word, cost in words:
             fixed = word.translate(swaps)
             if fixed == word:
                 continue
-            less = garbling_cost(word) - garbling_cost(fixed)
+            less = cost - garbling_cost(fixed)
             if less >= 1:
                 drop += less
-                changed.append((m.span(), fixed))
+                changed.append((a, b, fixed))
             elif less >= 0 and not any(c in CLOSING for c in word):
-                changed.append((m.span(), fixed))
+                changed.append((a, b, fixed))
         if drop:
             whole += drop
-            at = 0
-            for (a, b), fixed in changed:
-                out += (line[at:a], fixed)
-                at = b
-            line = line[at:]
-        out.append(line)
-    return "".join(out), whole
+            changes += changed
+    if not changes:
+        return text, 0.0
+    out, at = [], 0
+    for a, b, fixed in changes:
+        out += (text[at:a], fixed)
+        at = b
+    return "".join(out) + text[at:], whole
 
 
 _DRAWING = re.compile("[\u2500-\u259f]{2}")
@@ -296,8 +312,8 @@ def _possible(text: str) -> int:
     return bits
 
 
-def _round_trips(text: str) -> Iterator[tuple[float, str, float]]:
-    """(least drop to accept, text after the round trip, drop) of each candidate."""
+def _round_trips(text: str) -> Iterator[tuple[str, float, str, float]]:
+    """(name, least drop to accept, text after the round trip, drop) of each candidate."""
     done, possible = False, _possible(text)
     for bit, encoding in enumerate(WRONG):
         if not possible >> bit & 1:
@@ -306,35 +322,53 @@ def _round_trips(text: str) -> Iterator[tuple[float, str, float]]:
         least = 1.0 if encoding in ("cp1252", "cp437", "cp850") else 2.0
         fixed, drop = _replaced(text, seen, _UTF8, _utf8, "as is")
         done |= drop >= least
-        yield least, fixed, drop
+        yield encoding, least, fixed, drop
         if encoding == "cp1252" and drop < least:
             fixed, drop = _replaced(text, seen, _LOWERED, _lowered, "lower")
             done |= drop >= least
-            yield least, fixed, drop
+            yield encoding, least, fixed, drop
             if text.isupper():
-                yield 2 * least, *_replaced(text, seen, _RAISED, _raised, "upper")
+                yield encoding, 2 * least, *_replaced(text, seen, _RAISED, _raised, "upper")
     if done:  # other readings only of what is not UTF-8
         return
     for encoding, intended, runs in _DOUBLE if _LATIN_RUN.search(text) else ():
-        yield 3.0, *_replaced(text, text.translate(_TABLES[encoding]), runs, _WRITTEN_IN[intended], "as is")
-    if _ODD.search(text):
+        yield encoding + intended, 3.0, *_replaced(text, text.translate(_TABLES[encoding]), runs, _WRITTEN_IN[intended], "as is")
+    if _odd(text):
+        lines = _candidates(text)
         for wrong, intended, least in SINGLE:
-            yield least, *_single(text, wrong, intended)
+            yield wrong + intended, least, *_single(text, lines, wrong, intended)
+
+
+_BEYOND = re.compile(r"[^\x00-\x7f]+")
+
+
+def _odd(text: str) -> bool:
+    """Whether the text has something that sound words don't have; only characters beyond ASCII and those beside them tell."""
+    beside = {text[max(0, m.start() - 1) : m.end() + 1] for m in _BEYOND.finditer(text)}
+    return bool(beside) and _ODD.search("\n".join(beside)) is not None
 
 
 def _undone(text: str) -> tuple[str, int]:
-    """The text after as many round trips as lower its cost, the best of each layer first; their number."""
-    layers = 0
-    while layers < MAX_LAYERS and (_HIGH.search(text) or _ODD.search(text)):
-        tried = [(fixed, drop) for least, fixed, drop in _round_trips(text) if drop >= least]
+    """The text after as many round trips as lower its cost, the best of each layer first; their number.
+
+    There is no bound on the layers: undoing one of several bytes a letter shortens the text, and a reading that
+    doesn't is taken once, so it comes to an end.
+    """
+    layers, used = 0, set()
+    while _HIGH.search(text) or _odd(text):
+        tried = [(drop, fixed, name) for name, least, fixed, drop in _round_trips(text) if drop >= least and (len(fixed) < len(text) or name not in used)]
         if not tried:
             break
-        text, layers = max(tried, key=lambda x: x[1])[0], layers + 1
+        _, fixed, name = max(tried, key=lambda x: x[0])
+        if len(fixed) >= len(text):
+            used.add(name)
+        text, layers = fixed, layers + 1
     return text, layers
 
 
 def _lines(text: str) -> list[str]:
-    return re.split(r"(?<=\n)", text)
+    *whole, last = text.split("\n")
+    return [*(x + "\n" for x in whole), last]
 
 
 def restored(text: str | None) -> tuple[str | None, int, bool]:
@@ -357,7 +391,7 @@ def restored(text: str | None) -> tuple[str | None, int, bool]:
         for pattern, sound in _STRIPPED:
             if pattern.search(now):
                 now, layers = pattern.sub(sound, now), max(layers, 1)
-        parts = [_undone(x) if x.isupper() else (x, 0) for x in _lines(now)] if not text.isupper() else []
+        parts = [_undone(x) if x.isupper() and not x.isascii() else (x, 0) for x in _lines(now)] if not text.isupper() else []
         if any(n for _, n in parts):
             now, layers = "".join(x for x, _ in parts), max(layers, *(n for _, n in parts))
     remains = lost or bool(re.search("[\x80-\x84\x86-\x9f]", now))

@@ -401,6 +401,15 @@ def test_restoring_never_fails_and_is_stable(t):
     assert isinstance(fixed, str) and (layers or fixed == t)
 
 
+@pytest.mark.parametrize("layers", [9, 12])
+def test_any_number_of_layers_is_undone(layers):
+    t = "Über die Straße lief é"
+    damaged = t
+    for _ in range(layers):
+        damaged = "".join(chr(b) if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in damaged.encode())
+    assert garbled.restored(damaged) == (t, layers, False)
+
+
 def test_garbled_table(spark):
     df = spark.createDataFrame([(1, "cafÃ©", "x"), (1, "cafÃ©", "x"), (2, "café", "y"), (3, None, ""), (4, "", ""), (5, "ÃƒÂ©lÃƒÂ¨ve " * 3000, "")], "doc_id long, text string, restored string")
     got = garbled.garbled(df, "doc_id", "text").collect()
