@@ -388,7 +388,7 @@ def restored(text: str | None) -> tuple[str | None, int, bool]:
         if not unicodedata.is_normalized("NFC", now) and re.search("[AaIiOo]\u0303|[AaOo]\u0302|\u0308|\u030a", now):
             now = unicodedata.normalize("NFC", now)
         now, layers = _undone(now)
-        for pattern, sound in _STRIPPED:
+        for pattern, sound in _STRIPPED if "Ã" in now else ():
             if pattern.search(now):
                 now, layers = pattern.sub(sound, now), max(layers, 1)
         parts = [_undone(x) if x.isupper() and not x.isascii() else (x, 0) for x in _lines(now)] if not text.isupper() else []

@@ -316,10 +316,39 @@ def test_shared_passages_blocks_and_empty_tables(spark):
     other = " ".join(f"word{i}" for i in range(40))
     want = [(0, 0), (0, 2), (1, 1)]
     passages = [PASSAGE, other, PASSAGE, None, "too short"]
-    assert leak_rows(spark, [PASSAGE, other, "none"], passages) == want == leak_rows(spark, [PASSAGE, other, "none"], passages, block_bytes=100)
+    assert leak_rows(spark, [PASSAGE, other, "none"], passages) == want == leak_rows(spark, [PASSAGE, other, "none"], passages, filter_bits=1 << 10)
     assert leak_rows(spark, [], passages) == [] and leak_rows(spark, [PASSAGE], []) == []
 
 
+def test_many_passages_and_a_full_filter_lose_nothing(spark):
+    rng = random.Random(11)
+    words = [f"w{n}" for n in range(3000)]
+    passages = [" ".join(rng.choices(words, k=rng.randint(15, 60))) for _ in range(400)]
+    documents, want = [], set()
+    for d in range(300):
+        own = rng.choices(words, k=rng.randint(0, 300))
+        for p in rng.sample(range(400), rng.randint(0, 2)):
+            text = passages[p].split()
+            n = rng.randint(15, len(text))
+            a = rng.randint(0, len(text) - n)
+            part = text[a : a + n]
+            for at in range(rng.randint(0, 5), n, 6):  # every sixth word is wrong
+                part[at] = "wrong"
+            own += part
+            own += rng.choices(words, k=20)
+            if any(sum(x == "wrong" for x in part[i : i + size]) <= size // 6 for size in range(15, n + 1) for i in range(n - size + 1)):
+                want.add((d, p))
+        documents.append(" ".join(own))
+    few = leak_rows(spark, documents, passages, filter_bits=1 << 10)
+    assert few == leak_rows(spark, documents, passages) and want <= set(few)
+
+
+def test_copies_null_keys_and_long_tags(spark):
+    docs = spark.createDataFrame([(None, PASSAGE), *[(7, PASSAGE)] * 50, (8, PASSAGE.replace(" why", f' <a href="{"x" * 900}">why</a><!-- {"y" * 900} -->'))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, PASSAGE), (None, PASSAGE)], "item_id long, passage string")
+    assert set(map(tuple, leaks.leaks(docs, "doc_id", "text", items, "item_id", "passage").collect())) == {(None, 1), (7, 1), (8, 1)}
+
+
 def edit_distance_within(pattern, text, budget):
     row = list(range(len(pattern) + 1))
     best = row[-1]
