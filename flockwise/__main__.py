@@ -19,6 +19,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--source", required=True)
     parser.add_argument("--root", required=True)
     parser.add_argument("--as-of", required=True)
+    parser.add_argument("--master", help="Spark master; the cluster's own under spark-submit")
     parser.add_argument("--hours", type=float, default=24.0)
     parser.add_argument("--id", type=int)
     parser.add_argument("--kind", choices=sorted(PURGES), default="interests", help="what to clean")
@@ -26,7 +27,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--target", help="where a model goes")
     parser.add_argument("--dry-run", action="store_true", help="no feeds")
     given = parser.parse_args(args)
-    engine = Engine(build_session(), given.source, given.root)
+    engine = Engine(build_session(given.master, checkpoints=f"{given.root.rstrip('/')}/_checkpoints"), given.source, given.root)
     if given.verb == "run":
         print(engine.run(given.as_of, not given.dry_run))
     elif given.verb == "refresh":

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
 
+from flockwise.functions.aggregates import top_k
 from flockwise.functions.scalar import days_before
 from flockwise.settings import Settings
 
@@ -78,7 +78,7 @@ def nearest(sources: DataFrame, posts: DataFrame, k: int, dims: int, block_rows:
 
         near = held.mapInArrow(run, "src long, dst long, cosine double")
         out = near if out is None else out.unionByName(near)
-    top = out.groupBy("src").agg(InternalFunction.collect_top_k(F.struct("cosine", (-F.col("dst")).alias("o")), k, False).alias("t"))
+    top = out.groupBy("src").agg(top_k(F.struct("cosine", (-F.col("dst")).alias("o")), k).alias("t"))
     return top.select("src", F.explode("t").alias("e")).select("src", (-F.col("e.o")).alias("dst"), F.col("e.cosine").alias("cosine"))
 
 

@@ -1,29 +1,69 @@
-"""Sessions: the settings every query of the engine relies on."""
+"""Sessions: the settings every query of the engine relies on, and the package on every worker."""
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
+_SHIPPED = "_flockwise_shipped"
+
+
+def build_session(master: str | None = "local[8]", app: str = "flockwise", shuffle_partitions: int | None = None, checkpoints: str | None = None, **extra: str) -> SparkSession:
+    """A session with UTC time, adaptive execution and Arrow; `extra` uses `_` for `.` in option names.
 
-def build_session(master: str = "local[8]", app: str = "flockwise", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
-    """A session with UTC time, adaptive execution and Arrow; `extra` uses `_` for `.` in option names."""
-    builder = (
-        SparkSession.builder.master(master)
-        .appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-    )
-    for name, value in extra.items():
-        builder = builder.config(name.replace("_", "."), value)
+    Without `master` the cluster's own is taken (spark-submit). Shuffle partitions are the cluster's setting unless
+    given; a local session has as many as cores, at least 8. `checkpoints` is a folder that all executors share; files of it are deleted when
+    nothing refers to them any more.
+    """
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
+        if shuffle_partitions is None and master.startswith("local["):
+            cores = master[6:].split("]")[0].split(",")[0]
+            shuffle_partitions = max(8, int(cores) if cores.isdigit() else os.cpu_count() or 8)
+    settings = {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+    }
+    if shuffle_partitions:
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if checkpoints:
+        settings["spark.checkpoint.dir"] = checkpoints
+    for name, value in {**settings, **{k.replace("_", "."): v for k, v in extra.items()}}.items():
+        builder = builder.config(name, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the workers of a cluster, which needn't have it installed; once a session."""
+    context = spark.sparkContext
+    if context.master.startswith("local[") or context.master == "local" or getattr(context, _SHIPPED, False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="flockwise")
+    archive = os.path.join(folder, "flockwise.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for place, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(place, name)
+                    z.write(path, os.path.join("flockwise", os.path.relpath(path, root)))
+    context.addPyFile(archive)
+    shutil.rmtree(folder, ignore_errors=True)
+    setattr(context, _SHIPPED, True)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
