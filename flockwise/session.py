@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -16,8 +17,8 @@ def build_session(master: str | None = "local[8]", app: str = "flockwise", shuff
     """A session with UTC time, adaptive execution and Arrow; `extra` uses `_` for `.` in option names.
 
     Without `master` the cluster's own is taken (spark-submit). Shuffle partitions are the cluster's setting unless
-    given; a local session has as many as cores, at least 8. `checkpoints` is a folder that all executors share; files of it are deleted when
-    nothing refers to them any more.
+    given; a local session has as many as cores, at least 8. `checkpoints` is a folder that all executors share, taken if
+    the cluster names none; its files are deleted when nothing refers to them any more.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -35,12 +36,12 @@ def build_session(master: str | None = "local[8]", app: str = "flockwise", shuff
     }
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    if checkpoints:
-        settings["spark.checkpoint.dir"] = checkpoints
     for name, value in {**settings, **{k.replace("_", "."): v for k, v in extra.items()}}.items():
         builder = builder.config(name, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if checkpoints and not _named_folder(spark):
+        spark.sparkContext.setCheckpointDir(checkpoints)
     ship_package(spark)
     return spark
 
@@ -59,19 +60,22 @@ def ship_package(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     path = os.path.join(place, name)
                     z.write(path, os.path.join("flockwise", os.path.relpath(path, root)))
-    context.addPyFile(archive)
-    shutil.rmtree(folder, ignore_errors=True)
+    context.addPyFile(archive)  # the driver serves it as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     setattr(context, _SHIPPED, True)
 
 
+def _named_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    The cluster names it in `spark.checkpoint.dir`; only where that is unset (tests, one machine) a folder
-    under the warehouse is taken, since executors of a cluster don't share temporary folders.
+    The cluster names it in `spark.checkpoint.dir`; only where that is unset (tests, one machine) the session's own
+    is taken, else one under the warehouse, since executors of a cluster don't share temporary folders.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(_named_folder(spark) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return context.getCheckpointDir()
