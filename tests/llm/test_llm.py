@@ -191,6 +191,9 @@ def test_top_n_matches_brute_force(spark):
         groups[v].append((s + 0.0, p))
     want = sorted((v, p, s, n) for v, g in groups.items() for n, (s, p) in enumerate(sorted(g, reverse=True)[:10], 1))
     assert rows(topn.top_n_per_group(df, "viewer", "post", "score", 10)) == want
+    assert rows(topn.top_n_per_group(df, "viewer", "post", "score", 10, step_rows=50, most_rows=100)) == want
+    named = df.withColumn("post", F.lpad(F.col("post").cast("string"), 3, "0"))
+    assert [(v, int(p), s, n) for v, p, s, n in rows(topn.top_n_per_group(named, "viewer", "post", "score", 10))] == want
     assert topn.top_n_per_group(df.limit(0), "viewer", "post", "score", 10).count() == 0
     with pytest.raises(ValueError):
         topn.top_n_per_group(df, "viewer", "post", "score", 0)
