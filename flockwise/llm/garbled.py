@@ -302,21 +302,36 @@ def _starts() -> dict[str, int]:
     return out
 
 
-def _possible(text: str) -> int:
-    """Bits of the encodings in which the text may be UTF-8 in places."""
+@lru_cache(maxsize=65536)
+def _possible_in(run: str) -> int:
     starts, bits = _starts(), 0
-    for m in _HIGH.finditer(text):
-        run = m[0]
-        for n in range(len(run) - 1):
-            bits |= starts.get(run[n : n + 2], 0)
+    for n in range(len(run) - 1):
+        bits |= starts.get(run[n : n + 2], 0)
+    return bits
+
+
+def _possible(runs: frozenset[str]) -> int:
+    """Bits of the encodings in which a text with these runs of characters beyond ASCII may be UTF-8 in places."""
+    bits = 0
+    for run in runs:
+        bits |= _possible_in(run)
     return bits
 
 
+@lru_cache(maxsize=65536)
+def _may_be_utf8(run: str, encoding: str) -> bool:
+    """Whether some stretch of the run, read in the encoding, has the bytes of UTF-8 in either case."""
+    seen = run.translate(_TABLES[encoding])
+    patterns = (_UTF8, _LOWERED, _RAISED) if encoding == "cp1252" else (_UTF8,)
+    return any(p.search(seen) for p in patterns)
+
+
 def _round_trips(text: str) -> Iterator[tuple[str, float, str, float]]:
     """(name, least drop to accept, text after the round trip, drop) of each candidate."""
-    done, possible = False, _possible(text)
+    runs = frozenset(_HIGH.findall(text))
+    done, possible = False, _possible(runs)
     for bit, encoding in enumerate(WRONG):
-        if not possible >> bit & 1:
+        if not possible >> bit & 1 or not any(_may_be_utf8(run, encoding) for run in runs):
             continue
         seen = text.translate(_TABLES[encoding])
         least = 1.0 if encoding in ("cp1252", "cp437", "cp850") else 2.0

@@ -46,12 +46,12 @@ _BREAK_TAG = re.compile(r"<\s*+/?\s*+(?:br|p|div|li|ul|ol|tr|td|th|h[1-6]|blockq
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _HYPHENATED = re.compile(r"[-‐‑](?<=\w.)\s*\n[\s>*|#]*(?=\w)")
 _COUNTER = re.compile(r"(?<!\S)\(?\d{1,3}/\d{1,3}\)?(?!\S)")
-_QUOTE = re.compile(r"^[ \t]*(?:[>|*#+-]+[ \t]*)+", re.M)
-_APOSTROPHE = re.compile("['’ʼ`´‘′](?<=\\w.)(?=\\w)")
+_QUOTE = re.compile(r"\n[ \t]*(?:[>|*#+-]+[ \t]*)+")
+_QUOTES = "'’ʼ`´‘′"
+_APOSTROPHE = re.compile(f"[{_QUOTES}](?<=\\w.)(?=\\w)")
 _WORD = re.compile("[a-z0-9]+")
 #: Letters that don't decompose, and what they are taken for.
 _PLAIN = {"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ı": "i", "ħ": "h", "ŧ": "t", "�": ""}
-_UNPLAIN = re.compile(f"[{''.join(_PLAIN)}]")
 
 
 _BEYOND = re.compile(r"[^\x00-\x7f]+")
@@ -64,14 +64,17 @@ def _seen(text: str) -> str:
     return text if _INVISIBLES.isdisjoint("".join(_BEYOND.findall(text))) else _INVISIBLE.sub("", text)
 
 
-def _marks() -> re.Pattern:
-    """Runs of combining marks."""
-    points = [n for n in range(0x300, 0x1E94B) if unicodedata.combining(chr(n))]
-    ranges = [[n for _, n in g] for _, g in itertools.groupby(enumerate(points), lambda x: x[1] - x[0])]
-    return re.compile("[" + "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in ranges) + "]+")
+class _PlainRuns(dict):
+    """A run of characters beyond ASCII, decomposed and in lower case -> what is left of it."""
+
+    def __missing__(self, run: str) -> str:
+        if len(self) >= 50_000:
+            self.clear()
+        self[run] = out = "".join("" if unicodedata.combining(c) else _PLAIN.get(c, "'" if c in _QUOTES else " ") for c in run)
+        return out
 
 
-_MARKS = _marks()
+_plain_runs = _PlainRuns()
 
 
 def _without_comments(text: str) -> str:
@@ -95,13 +98,14 @@ def plain_words(text: str | None) -> list[str]:
         text = _TAG.sub("", _BREAK_TAG.sub(" ", _without_comments(text)))
     if "\n" in text:
         text = _HYPHENATED.sub("", text)
-    text = _QUOTE.sub(" ", text)
+    text = _QUOTE.sub("\n ", "\n" + text)
     if "/" in text:
         text = _COUNTER.sub(" ", text)
-    if not text.isascii():
-        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
-    text = _APOSTROPHE.sub("", text.replace("*", "").replace("_", "")).casefold()
-    return _WORD.findall(text if text.isascii() else _UNPLAIN.sub(lambda m: _PLAIN[m[0]], text))
+    if text.isascii():
+        text = text.lower()
+    else:
+        text = _BEYOND.sub(lambda m: _plain_runs[m[0]], unicodedata.normalize("NFKD", text).casefold())
+    return _WORD.findall(_APOSTROPHE.sub("", text.replace("*", "").replace("_", "")))
 
 
 def lossy_words(text: str | None) -> list[str]:
@@ -294,7 +298,7 @@ def _searched(table: np.ndarray, bits: int, reach: int):
                 sizes = np.array([len(t) for t in texts], np.int64)
                 last = np.cumsum(sizes)
                 first = last - sizes
-                words = np.fromiter((number[w] for t in texts for w in t), np.uint64, int(last[-1]))
+                words = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(texts)), np.uint64, int(last[-1]))
                 numbers = piece_numbers(words)
                 inside = np.repeat(last, sizes)[: len(numbers)] - np.arange(len(numbers)) >= PIECE
                 hits = np.nonzero(inside & _in_table(table, numbers, bits))[0]
