@@ -131,6 +131,23 @@ def test_regions_and_parts_lose_nothing(spark, monkeypatch):
     assert len(got ^ want) <= 0.02 * len(want)
 
 
+def test_codebooks_grow_and_nothing_is_kept_for_each_cell():
+    sample = np.random.default_rng(1).normal(size=(3000, 64)).astype(np.float32)
+    index = similar.MultiIndex(sample, 4_000_000, 64, 1.0)
+    assert min(index.sizes) > 512 and index.region.size == index.groups[0] * index.groups[1] <= 1024 and index.region.max() + 1 >= 40
+    u = similar.unit(sample[:200])
+    away = index.distances(u, False)
+    radii = index.radii(away, 0.05)
+    own = index.place(u)
+    inside = [(away[0][n][index.sample[0]] + away[1][n][index.sample[1]] <= radii[n]).mean() for n in range(200)]
+    assert np.allclose(inside, 0.05, atol=0.002)
+    for n, met in enumerate(index.regions(away, radii)):  # every cell within the radius is in a region met
+        sums = away[0][n][:, None] + away[1][n][None]
+        i, j = np.nonzero(sums <= radii[n])
+        assert set(index.region[index.group[0][i] * index.groups[1] + index.group[1][j]].tolist()) == set(met)
+        assert index.region[index.group[0][own[0][n]] * index.groups[1] + index.group[1][own[1][n]]] in met
+
+
 def test_pairs_of_few_directions_match_brute_force(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(5000, 8)) @ rng.normal(size=(8, 64))
