@@ -2,7 +2,7 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability in a language is
 the sum over all ways to cut it into pieces, found by the forward algorithm; a sentence's is the product over its
-words, so words are scored once and kept in a bounded table per task. The piece probabilities are fitted here by
+words, so words are scored once and kept in a bounded table per task; a sum goes over the whole word, however long. The piece probabilities are fitted here by
 expectation-maximisation (forward and backward sums) on a bounded sample of labelled rows; as labels may be wrong,
 the sample's sentences are labelled again by the fitted model and fitted once more.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
+
+from flockwise.functions.aggregates import top_k
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "sv", "pl", "ru", "ja")
 #: Other codes of these languages (fixed values of ISO 639-2 and -3).
@@ -34,8 +36,14 @@ SAMPLE_ROWS = 800
 MIN_WORDS, MIN_LETTERS = 4, 8
 #: Log odds by which a sentence must prefer another language than its text's main one to be a segment of its own.
 MARGIN = 3.0
-#: Longest piece and longest stretch of a word, in bytes, that are scored as one.
-PIECE_BYTES, WORD_BYTES = 18, 48
+#: Longest word, in bytes, that the model is fitted on; words of any length are scored.
+FIT_WORD_BYTES = 512
+#: Words of a batch, and words times bytes of the longest.
+_BATCH_WORDS, _BATCH_BYTES = 4000, 400_000
+#: Score a byte, below the lowest of a thousand sentences of a language in the sample, under which text is of none; and
+#: sentences of a language that tell its lowest.
+NONE_MARGIN, NONE_SENTENCES = 0.7, 100
+NONE = "und"
 #: Words a task keeps scores of.
 KEPT_WORDS = 200_000
 _BACKGROUND = 0.02
@@ -78,80 +86,116 @@ def _bare(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
 
 
-def load_pieces(path: str = VOCABULARY) -> dict[bytes, int]:
+class Pieces(dict):
+    """Piece -> number, with the number of every beginning of a piece (-1 if it isn't a piece itself)."""
+
+    def __init__(self, pieces: dict[bytes, int]) -> None:
+        super().__init__(pieces)
+        self.tree: dict[bytes, int] = {}
+        for p, n in pieces.items():
+            for k in range(1, len(p)):
+                self.tree.setdefault(p[:k], -1)
+            self.tree[p] = n
+
+    def __reduce__(self):
+        return Pieces, (dict(self),)
+
+
+def load_pieces(path: str = VOCABULARY) -> Pieces:
     """The public vocabulary: piece -> number, all single bytes among them."""
     with open(path, "rb") as f:
         pieces = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    pieces = {p: n for p, n in pieces.items() if len(p) <= PIECE_BYTES}
     for b in range(256):
         pieces.setdefault(bytes([b]), max(pieces.values()) + 1)
-    return {p: n for n, p in enumerate(pieces)}
+    return Pieces({p: n for n, p in enumerate(pieces)})
 
 
 class Lattices:
-    """All segmentations of a batch of words: piece numbers by end and length, padded by the length of the longest."""
+    """All segmentations of a batch of words of any length, as edges: one for each piece that lies in a word.
+
+    Edges are in order of the place where they end, then of the word, so all words go forward together byte by byte.
+    """
 
     def __init__(self, words: list[str], pieces: dict[bytes, int]) -> None:
-        stretches: list[bytes] = []
-        owner: list[int] = []
-        for n, w in enumerate(words):
-            raw = b" " + w.encode("utf-8", "replace")
-            for a in range(0, len(raw), WORD_BYTES):
-                stretches.append(raw[a : a + WORD_BYTES])
-                owner.append(n)
-        self.owner = np.array(owner, np.int64)
-        self.lengths = np.array([len(s) for s in stretches], np.int64)
-        self.size = int(self.lengths.max(initial=1))
-        self.none = len(pieces)
-        self.ids = np.full((len(stretches), self.size + 1, PIECE_BYTES + 1), self.none, np.int32)
-        get = pieces.get
-        rows, ends, spans, found = [], [], [], []
-        for n, s in enumerate(stretches):
-            for a in range(len(s)):
-                for b in range(a + 1, min(len(s), a + PIECE_BYTES) + 1):
+        get = (pieces if isinstance(pieces, Pieces) else Pieces(pieces)).tree.get
+        raw = [b" " + w.encode("utf-8", "replace") for w in words]
+        rows, ends, spans, found = array("i"), array("i"), array("i"), array("i")
+        for n, s in enumerate(raw):
+            size = len(s)
+            for a in range(size):
+                for b in range(a + 1, size + 1):
                     p = get(s[a:b])
-                    if p is not None:
+                    if p is None:
+                        break
+                    if p >= 0:
                         rows.append(n), ends.append(b), spans.append(b - a), found.append(p)
-        self.ids[rows, ends, spans] = found
-
-    def forward(self, probs: np.ndarray) -> np.ndarray:
-        """Log probability of each word in each language; probs: (pieces + 1, languages), the last row zero."""
-        n, langs = len(self.lengths), probs.shape[1]
-        alpha = np.zeros((n, self.size + 1, langs))
+        self.lengths = np.array([len(s) for s in raw], np.int64)
+        self.size = int(self.lengths.max(initial=0))
+        rows, ends, spans, found = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (rows, ends, spans, found))
+        order = np.lexsort((rows, ends))
+        self.rows, self.ends, self.spans, self.found = rows[order], ends[order], spans[order], found[order]
+        self.at = np.searchsorted(self.ends, np.arange(self.size + 2))
+        self.longest = int(self.spans.max(initial=1))
+
+    @staticmethod
+    def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, sum of its values), rows being in order."""
+        first = np.concatenate([[0], np.nonzero(np.diff(rows))[0] + 1])
+        return rows[first], np.add.reduceat(values, first, axis=0)
+
+    def _forward(self, weights: np.ndarray) -> np.ndarray:
+        """Log of the summed weight of all paths of each word; weights: (edges, kinds of weight), scaled as it goes."""
+        n, kinds, window = len(self.lengths), weights.shape[1], self.longest + 1
+        alpha = np.zeros((n, window, kinds))
         alpha[:, 0] = 1
+        scale, out = np.zeros((n, kinds)), np.zeros((n, kinds))
+        by_length = np.argsort(self.lengths, kind="stable")
+        bounds = np.searchsorted(self.lengths[by_length], np.arange(self.size + 2))
         for e in range(1, self.size + 1):
-            for k in range(1, min(e, PIECE_BYTES) + 1):
-                ids = self.ids[:, e, k]
-                if (ids != self.none).any():
-                    alpha[:, e] += alpha[:, e - k] * probs[ids]
-        log = np.log(np.maximum(alpha[np.arange(n), self.lengths], 1e-300))
-        out = np.zeros((int(self.owner.max(initial=-1)) + 1, langs))
-        np.add.at(out, self.owner, log)
+            a, b = self.at[e], self.at[e + 1]
+            alpha[:, e % window] = 0
+            if b > a:
+                rows, sums = self._summed(self.rows[a:b], alpha[self.rows[a:b], (e - self.spans[a:b]) % window] * weights[a:b])
+                alpha[rows, e % window] = sums
+            done = by_length[bounds[e] : bounds[e + 1]]
+            out[done] = np.log(np.maximum(alpha[done, e % window], 1e-300)) + scale[done]
+            if e % 8 == 0:
+                top = alpha.max(1)
+                top[top <= 0] = 1
+                alpha /= top[:, None]
+                scale += np.log(top)
         return out
 
+    def forward(self, probs: np.ndarray) -> np.ndarray:
+        """Log probability of each word in each language; probs: (pieces or more, languages)."""
+        return self._forward(probs[self.found])
+
     def expected(self, probs: np.ndarray, language: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected count of each piece in each language, every word taken in its own language, by weight."""
-        n = len(self.lengths)
-        lang, w = language[self.owner], weight[self.owner]
+        n, rows, spans, found, langs = len(self.lengths), self.rows, self.spans, self.found, probs.shape[1]
+        own = probs[found, language[rows]]
+        # a factor for each byte brings a word's whole probability to one, so that sums of long words stay in range
+        rate = -self._forward(own[:, None])[:, 0] / np.maximum(self.lengths, 1)
+        own = own * np.exp(rate[rows] * spans)
         alpha, beta = np.zeros((n, self.size + 1)), np.zeros((n, self.size + 1))
         alpha[:, 0] = 1
         beta[np.arange(n), self.lengths] = 1
-        spans = range(1, min(self.size, PIECE_BYTES) + 1)
-        p = [None, *(probs[self.ids[:, :, k], lang[:, None]] for k in spans)]
         for e in range(1, self.size + 1):
-            for k in range(1, min(e, PIECE_BYTES) + 1):
-                alpha[:, e] += alpha[:, e - k] * p[k][:, e]
-        for a in range(self.size - 1, -1, -1):
-            for k in range(1, min(self.size - a, PIECE_BYTES) + 1):
-                beta[:, a] += beta[:, a + k] * p[k][:, a + k]
+            a, b = self.at[e], self.at[e + 1]
+            if b > a:
+                r, sums = self._summed(rows[a:b], alpha[rows[a:b], e - spans[a:b]] * own[a:b])
+                alpha[r, e] = sums
+        begins = self.ends - spans
+        order = np.lexsort((rows, begins))
+        at = np.searchsorted(begins[order], np.arange(self.size + 1))
+        for s in range(self.size - 1, -1, -1):
+            part = order[at[s] : at[s + 1]]
+            if len(part):
+                r, sums = self._summed(rows[part], beta[rows[part], s + spans[part]] * own[part])
+                beta[r, s] += sums
         whole = np.maximum(alpha[np.arange(n), self.lengths], 1e-300)
-        counts = np.zeros(probs.shape)
-        for k in spans:
-            share = np.zeros((n, self.size + 1))
-            share[:, k:] = alpha[:, : self.size + 1 - k] * p[k][:, k:] * beta[:, k:] / whole[:, None] * w[:, None]
-            at = np.nonzero(share)
-            np.add.at(counts, (self.ids[:, :, k][at], lang[at[0]]), share[at])
-        return counts
+        share = alpha[rows, begins] * own * beta[rows, self.ends] * (weight / whole)[rows]
+        return np.bincount(found.astype(np.int64) * langs + language[rows], weights=share, minlength=probs.size).reshape(probs.shape)
 
 
 def _smoothed(counts: np.ndarray) -> np.ndarray:
@@ -163,10 +207,17 @@ def _smoothed(counts: np.ndarray) -> np.ndarray:
     return probs
 
 
-def _batches(words: list[str], size: int = 4000) -> Iterator[list[int]]:
-    order = sorted(range(len(words)), key=lambda n: len(words[n].encode("utf-8", "replace")))
-    for a in range(0, len(order), size):
-        yield order[a : a + size]
+def _batches(words: list[str]) -> Iterator[list[int]]:
+    """Words of about the same length together, by number."""
+    sizes = [len(w.encode("utf-8", "replace")) for w in words]
+    part: list[int] = []
+    for n in sorted(range(len(words)), key=sizes.__getitem__):
+        if part and (len(part) >= _BATCH_WORDS or (len(part) + 1) * sizes[n] > _BATCH_BYTES):
+            yield part
+            part = []
+        part.append(n)
+    if part:
+        yield part
 
 
 def word_scores(words: list[str], pieces: dict[bytes, int], probs: np.ndarray) -> np.ndarray:
@@ -196,7 +247,7 @@ def fit(texts: list[tuple[str, str]], pieces: dict[bytes, int], rounds: int = 2,
                 pairs[c, w] += 1.0
                 if not w.isascii() and (bare := _bare(w)) != w:
                     pairs[c, bare] += 0.3
-        keys = sorted(pairs)
+        keys = sorted(k for k in pairs if len(k[1].encode("utf-8", "replace")) < FIT_WORD_BYTES)
         words = [w for _, w in keys]
         lang = np.array([c for c, _ in keys], np.int64)
         weight = np.array([pairs[k] for k in keys])
@@ -212,17 +263,40 @@ def fit(texts: list[tuple[str, str]], pieces: dict[bytes, int], rounds: int = 2,
     return probs
 
 
+def _sizes(words: list[str]) -> np.ndarray:
+    return np.array([len(w.encode("utf-8", "replace")) + 1 for w in words], np.int64)
+
+
+def floors(texts: list[tuple[str, str]], pieces: dict[bytes, int], probs: np.ndarray) -> np.ndarray:
+    """For each language the log probability a byte that text of none of the languages is given.
+
+    It lies below the sentences of the fitted texts. A language with few of them takes the lowest of the others.
+    """
+    sentences = [s for _, t in texts for s in _sentences(t)]
+    distinct = sorted({w for s in sentences for w in s})
+    place = {w: n for n, w in enumerate(distinct)}
+    scores, sizes = word_scores(distinct, pieces, probs), _sizes(distinct)
+    held: dict[int, list[float]] = {}
+    for s in sentences:
+        at = [place[w] for w in s]
+        total = scores[at].sum(0)
+        held.setdefault(int(total.argmax()), []).append(float(total.max() / sizes[at].sum()))
+    known = {c: float(np.quantile(x, 0.001)) - NONE_MARGIN for c, x in held.items() if len(x) >= NONE_SENTENCES}
+    return np.array([known.get(c, min(known.values(), default=-np.inf)) for c in range(len(LANGUAGES))])
+
+
 class Scorer:
     """Scores batches of texts, keeping the scores of words it has met."""
 
-    def __init__(self, pieces: dict[bytes, int], probs: np.ndarray) -> None:
+    def __init__(self, pieces: dict[bytes, int], probs: np.ndarray, floor: np.ndarray | None = None) -> None:
         self.pieces, self.probs = pieces, probs
+        self.floor = np.full(probs.shape[1], -np.inf) if floor is None else floor
         self.reset()
 
     def reset(self) -> None:
         self.place = dict.fromkeys(_ENDS, 0)
         self.scores = np.zeros((1, self.probs.shape[1]))
-        self.letters = np.zeros(1, np.int64)
+        self.letters, self.sizes = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def learn(self, words: list[str]) -> None:
         """Adds the words to the table, which starts anew when it is full."""
@@ -232,11 +306,13 @@ class Scorer:
         self.place.update((w, first + n) for n, w in enumerate(words))
         self.scores = np.concatenate([self.scores, word_scores(words, self.pieces, self.probs)])
         self.letters = np.concatenate([self.letters, [len(w) if _UNSPACED.match(w) else 0 for w in words]])
+        self.sizes = np.concatenate([self.sizes, _sizes(words)])
 
     def segments(self, texts: list[str | None]) -> list[list[tuple[int, float, int, int]]]:
         """Per text its segments in order: (language, confidence, sentences, words).
 
-        Adjoining whole sentences of one language make a segment; shorter stretches belong to none.
+        Adjoining whole sentences of one language make a segment; shorter stretches belong to none. A segment that is
+        less likely in its language than text of none of them has the language -1.
         """
         parts = [tokens_of(t) if t else [] for t in texts]
         new = {w for p in parts for w in p if w not in self.place}
@@ -260,7 +336,7 @@ class Scorer:
         if not keep.any():
             return out
         scores = np.add.reduceat(self.scores[ids], starts, axis=0)[keep]
-        text, words = text_of[starts][keep], words[keep]
+        text, words, sizes = text_of[starts][keep], words[keep], np.add.reduceat(self.sizes[ids], starts)[keep]
         first = np.concatenate([[0], np.nonzero(np.diff(text))[0] + 1])
         whole = np.add.reduceat(scores, first, axis=0)
         main = np.repeat(whole.argmax(1), np.diff(np.concatenate([first, [len(text)]])))
@@ -270,8 +346,10 @@ class Scorer:
         begin = np.concatenate([[0], np.nonzero(np.diff(text) | np.diff(own))[0] + 1])
         total = np.add.reduceat(scores, begin, axis=0)
         lang = own[begin]
-        odds = np.exp(np.clip(total - total[np.arange(len(begin)), lang][:, None], -700, 700))
-        confidence = 1 / odds.sum(1)
+        none = self.floor[lang] * np.add.reduceat(sizes, begin)
+        best = np.maximum(total[np.arange(len(begin)), lang], none)
+        confidence = 1 / (np.exp(np.clip(total - best[:, None], -700, 700)).sum(1) + np.exp(np.clip(none - best, -700, 700)))
+        lang = np.where(none > total[np.arange(len(begin)), lang], -1, lang)
         number = np.diff(np.concatenate([begin, [len(text)]]))
         for t, c, p, k, w in zip(text[begin].tolist(), lang.tolist(), confidence.tolist(), number.tolist(), np.add.reduceat(words, begin).tolist()):
             out[t].append((c, p, k, w))
@@ -282,7 +360,7 @@ def labelled_sample(rows: DataFrame, key: str, text: str, label: str, per_langua
     """(language, text) of at most `per_language` labelled rows of each language, those with the largest hash."""
     named = rows.select(label_language(F.col(label)).alias("c"), F.struct(F.xxhash64(key).alias("h"), F.col(text).alias("t")).alias("r"))
     named = named.where(F.col("c").isNotNull() & (F.length("r.t") > 0))
-    top = named.groupBy("c").agg(InternalFunction.collect_top_k(F.col("r"), per_language, False).alias("r"))
+    top = named.groupBy("c").agg(top_k(F.col("r"), per_language).alias("r"))
     return sorted((r["c"], x["t"]) for r in top.collect() for x in r["r"])
 
 
@@ -293,20 +371,23 @@ def languages(rows: DataFrame, key: str, text: str, label: str, training: DataFr
     """(key, label, language, confidence, segments): each row's text with its language and its one-language segments.
 
     `language` is that of the segment with most words, null if the text has no whole sentence (null, empty, or tags,
-    links, handles, numbers and short greetings only); then `segments` is empty. `label` is the code that the row's
+    links, handles, numbers and short greetings only), and then `segments` is empty, or if that segment, named "und",
+    is in none of the languages known here; the confidence is then that it is in none. `label` is the code that the row's
     label names, null for none. The model is fitted on at most `per_language` labelled rows of `training` (the rows
     themselves if none are given) for each language; without any labelled row every language is equally likely and
     the confidence says so. Rows are scored in one narrow pass, whole texts, ties to the language named first.
     """
     spark = rows.sparkSession
     pieces = load_pieces(vocabulary)
-    probs = fit(labelled_sample(rows if training is None else training, key, text, label, per_language), pieces)
-    sent = spark.sparkContext.broadcast((vocabulary, probs.astype(np.float32)))
+    sample = labelled_sample(rows if training is None else training, key, text, label, per_language)
+    probs = fit(sample, pieces)
+    sent = spark.sparkContext.broadcast((pieces, probs.astype(np.float32), floors(sample, pieces, probs)))
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, model = sent.value
-        scorer = Scorer(load_pieces(path), model.astype(float))
+        known, model, floor = sent.value
+        names = [*LANGUAGES, NONE]  # -1 is the last
+        scorer = Scorer(known, model.astype(float), floor)
         segment = pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("sentences", pa.int32()), ("words", pa.int32())])
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
@@ -316,9 +397,9 @@ def languages(rows: DataFrame, key: str, text: str, label: str, training: DataFr
                 columns = [
                     part.column(0),
                     part.column(1),
-                    pa.array([LANGUAGES[b[0]] if b else None for b in best], pa.string()),
+                    pa.array([names[b[0]] if b and b[0] >= 0 else None for b in best], pa.string()),
                     pa.array([b[1] if b else None for b in best], pa.float64()),
-                    pa.array([[{"lang": LANGUAGES[c], "confidence": p, "sentences": k, "words": w} for c, p, k, w in s] for s in found], pa.list_(segment)),
+                    pa.array([[{"lang": names[c], "confidence": p, "sentences": k, "words": w} for c, p, k, w in s] for s in found], pa.list_(segment)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "label", "language", "confidence", "segments"])
 
@@ -329,7 +410,7 @@ def languages(rows: DataFrame, key: str, text: str, label: str, training: DataFr
 
 def label_cases(found: DataFrame, key: str) -> DataFrame:
     """(key, lang) of rows whose label names no language or another one than the text's, or whose text is mixed."""
-    langs = F.array_distinct(F.transform("segments", lambda s: s["lang"]))
+    langs = F.array_remove(F.array_distinct(F.transform("segments", lambda s: s["lang"])), NONE)
     rows = found.select(key, "label", langs.alias("_langs"))
     case = F.col("label").isNull() | ~F.array_contains("_langs", F.col("label")) | (F.size("_langs") > 1)
     return rows.where((F.size("_langs") > 0) & case).select(key, F.explode("_langs").alias("lang"))

@@ -76,6 +76,55 @@ def test_held_out_accuracy(spark, pieces):
     assert hit / (len(data) - half) > 0.9  # about one label in twenty is wrong
 
 
+def labelled(n=4000):
+    path = "/root/testdata/sf0.01/statuses.parquet"
+    data = duckdb.sql(f"SELECT language, max(text) FROM '{path}' WHERE language IN ('en','de','fr','es','pt','it','nl','sv','pl','ru','ja') AND length(text) > 30 GROUP BY id, language ORDER BY id").fetchall()
+    random.Random(6).shuffle(data)
+    return data[:n]
+
+
+def test_text_of_no_known_language(pieces):
+    data = labelled()
+    probs = language.fit(data, pieces)
+    scorer = language.Scorer(pieces, probs, language.floors(data, pieces, probs))
+    foreign = [
+        "Minä pidän kirjojen lukemisesta illalla kun ulkona sataa vettä.", "Akşamları dışarıda yağmur yağarken kitap okumayı seviyorum.", "Večer rád čtu knihy, když venku prší a fouká vítr.", "Îmi place să citesc cărți seara când afară plouă.",
+        "Μου αρέσει να διαβάζω βιβλία το βράδυ όταν βρέχει.", "أحب قراءة الكتب في المساء عندما تمطر", "저녁에 비가 올 때 책 읽는 것을 좋아합니다", "Tôi thích đọc sách vào buổi tối khi trời mưa.",
+    ]
+    assert [[x[0] for x in s] for s in scorer.segments(foreign)] == [[-1]] * len(foreign)
+    known = scorer.segments([t for _, t in data])
+    assert sum(any(x[0] < 0 for x in s) for s in known) <= 0.001 * len(data)
+
+
+def test_confidence_is_calibrated(pieces):
+    data = labelled()
+    half = len(data) // 2
+    probs = language.fit(data[:half], pieces)
+    hit, sure = [], []
+    for (c, t), s in zip(data[half:], language.Scorer(pieces, probs, language.floors(data[:half], pieces, probs)).segments([t for _, t in data[half:]])):
+        if len(s) == 1:
+            hit.append(language.LANGUAGES[s[0][0]] == c)
+            sure.append(s[0][1])
+    # about one label in twenty is wrong, and no confidence can tell
+    assert abs(np.mean(sure) - np.mean(hit)) < 0.08 and np.mean(sure) > 0.95
+
+
+def test_words_of_any_length_are_summed_whole(pieces):
+    word = "ながいことば" * 40  # far beyond a stretch of any fixed size
+    probs = np.full((len(pieces) + 1, 2), 1e-4)
+    probs[-1] = 0
+    raw = b" " + word.encode()
+    logs = [0.0] + [-np.inf] * len(raw)
+    for e in range(1, len(raw) + 1):
+        for a in range(max(0, e - 40), e):
+            if raw[a:e] in pieces:
+                logs[e] = np.logaddexp(logs[e], logs[a] + np.log(1e-4))
+    got = language.Lattices(["kurz", word, "x"], pieces).forward(probs)
+    assert got[1, 0] == pytest.approx(logs[-1]) and got[1, 1] == pytest.approx(logs[-1])
+    long = language.word_scores(["a" * 100_000], pieces, probs)
+    assert np.isfinite(long).all() and long[0, 0] < -1000
+
+
 def test_label_notations(spark):
     labels = ["en", "EN", "en-US", "en_GB", "eng", " de ", "xx", "und", "", " ", None, "??", "unknown", "jpn"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in labels], "l string").select(language.label_language(F.col("l"))).collect()]
