@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flockwise.llm.garbled import garbled
 from flockwise.llm.language import label_cases, languages
 from flockwise.llm.leaks import leaks
-from flockwise.llm.packing import MOST_BUDGETS, pack_texts, packing_report
+from flockwise.llm.packing import pack_texts, packing_report
 from flockwise.llm.similar import similar
 from flockwise.llm.terms import marked, term_counts
 from flockwise.llm.topn import top_n_per_group
@@ -66,13 +66,13 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
 
 def p6_containers(spark: SparkSession, directory: str) -> DataFrame:
     """The container of each document, or of each piece of a document larger than the capacity, for each budget."""
-    held = table(spark, directory, "token_budgets").select("budget_id", "capacity_tokens").distinct().limit(MOST_BUDGETS + 1).collect()
+    held = table(spark, directory, "token_budgets").select("budget_id", "capacity_tokens").distinct().collect()
     budgets = sorted((r[0], r[1]) for r in held if r[0] is not None and r[1])
     return pack_texts(table(spark, directory, "documents"), "doc_id", "text", "source", budgets).withColumnRenamed("id", "doc_id")
 
 
 def p6_report(spark: SparkSession, directory: str) -> DataFrame:
-    """How well the room of the containers is used."""
+    """How well the room of the containers is used, and how near they are to the mixture of all texts."""
     return packing_report(p6_containers(spark, directory))
 
 

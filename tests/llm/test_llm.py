@@ -359,6 +359,55 @@ def test_carry_shifts_the_first_windows():
     assert first(plain) == {"a": 2, "b": 2} and first(behind) == {"a": 4}
 
 
+def distances(container, sources, sizes, target):
+    held = defaultdict(Counter)
+    for c, s, z in zip(container, sources, sizes):
+        held[c][s] += z
+    return [sum(max(0, z / sum(h.values()) - target[s]) for s, z in h.items()) for h in held.values()]
+
+
+@pytest.mark.parametrize("capacity", [1024, 4096, 16384])
+def test_windows_are_nearer_the_mixture_than_a_random_order(capacity):
+    data = duckdb.sql("SELECT coalesce(source, ''), strlen(text) FROM '/root/testdata/sf0.1/documents.parquet' WHERE strlen(text) > 0 ORDER BY hash(doc_id)").fetchall()
+    sources, sizes = [s for s, _ in data], [z % capacity or capacity for _, z in data]
+    target = Counter()
+    for s, z in zip(sources, sizes):
+        target[s] += z / sum(sizes)
+    container = packing.pack(sources, sizes, capacity, target, {})
+    order, room, n = [], capacity, 0
+    for z in sizes:
+        n, room = (n, room - z) if z <= room else (n + 1, capacity - z)
+        order.append(n)
+    own, other = distances(container, sources, sizes, target), distances(order, sources, sizes, target)
+    assert np.mean(own) < np.mean(other) and np.quantile(own, 0.9) < np.quantile(other, 0.9) and sum(sizes) / ((max(container) + 1) * capacity) > 0.99
+
+
+def test_sums_before_go_in_levels(spark):
+    rng = random.Random(4)
+    data = [(k, a, rng.randint(0, 9)) for k in "xy" for a in sorted(rng.sample(range(200), 150))]
+    df = spark.createDataFrame(data, "k string, at long, v long")
+    for keys, radix in ((["k"], 4), (["k"], 1000)):
+        got = {(r["k"], r["at"]): r["before"] for r in packing.sums_before(df, keys, "at", "v", 200, radix).collect()}
+        assert got == {(k, a): sum(v for k2, a2, v in data if k2 == k and a2 < a) for k, a, _ in data}
+
+
+def test_copies_of_a_large_text_and_tiny_capacities(spark):
+    data = [(1, "a" * 70, "s", 0), (2, "b" * 70, "s", 0), (3, "c" * 5, "t", 0), (4, "d", "t", 0)]
+    for _, capacity, filled, placed in check_packing(spark, data, [(1, 7), (2, 1), (3, 64)], partition_tokens=8):
+        assert sum(filled.values()) == 146
+    twice = spark.createDataFrame([(1, "a" * 70, "s")] * 2, "doc long, text string, source string")
+    held = Counter()
+    for r in packing.pack_texts(twice, "doc", "text", "source", [(1, 7)]).collect():
+        held[r["container"]] += r["size"]
+    assert len(held) == 20 and set(held.values()) == {7}
+
+
+def test_report_tells_the_mixture(spark):
+    df = spark.createDataFrame([(i, "x" * 10, "ab"[i % 2]) for i in range(80)], "doc long, text string, source string")
+    r = packing.packing_report(packing.pack_texts(df, "doc", "text", "source", [(1, 40)])).first()
+    assert (r["containers"], r["used"], r["pieces"]) == (20, 1.0, 80) and r["mean_distance"] < 0.05
+
+
 # 7 leaks
 
 PASSAGE = "Hardly anyone in Daskultik knew why eight hundred clerks followed the hesitant cheese exchange after burning the reports on the left-handed index near Walist, and the jury of Valtlanholm ruled against the blue-striped charter."
