@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from flockwise.functions.scalar import days_before
 from flockwise.settings import Settings
@@ -16,9 +15,14 @@ def with_labels(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_singletons(nodes: DataFrame, s: Settings) -> DataFrame:
-    """Nodes of communities of one member are put to the noise community."""
-    alone = F.count("*").over(Window.partitionBy("cluster_id")) == 1
-    return nodes.withColumn("cluster_id", F.when(F.col("cluster_id").isNotNull() & alone, F.lit(s.noise_community)).otherwise(F.col("cluster_id")))
+    """Nodes of communities of one member are put to the noise community.
+
+    Members are counted before the shuffle, and the only node of a community is known from the count, so that nodes
+    meet nodes by their own id and no community, nor all nodes without one, come into one task.
+    """
+    alone = nodes.where(F.col("cluster_id").isNotNull()).groupBy("cluster_id").agg(F.count("*").alias("_n"), F.min("id").alias("id")).where(F.col("_n") == 1)
+    joined = nodes.join(alone.select("id", F.lit(True).alias("_alone")), "id", "left")
+    return joined.withColumn("cluster_id", F.when(F.col("_alone"), F.lit(s.noise_community)).otherwise(F.col("cluster_id"))).select(*nodes.columns)
 
 
 def community_sizes(nodes: DataFrame) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Feeds for all users at once: candidates, scores, ranks, and the members of delivered feeds."""
+"""Feeds for all users at once: candidates, scores, ranks, and the members of delivered feeds.
+
+The score of a post is the same for all readers of one community with the same languages. So posts are ranked for these
+classes of readers, and a reader takes the first places of its class that it hasn't seen. No reader meets a post that
+can't be in its feed, and a post meets only classes.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from flockwise.functions.aggregates import top_k
 from flockwise.functions.scalar import days_before, language_boost, popularity, recency, whole_hours
 from flockwise.settings import Settings
 
@@ -65,28 +71,42 @@ def community_totals(interests: DataFrame, post_communities: DataFrame) -> DataF
     return sized.groupBy("uc").agg(F.sum("score").alias("sum_i"), F.max(F.coalesce("size", F.lit(0)).cast("double")).alias("max_pc_size"))
 
 
-def personalised(users: DataFrame, rated: DataFrame, interests: DataFrame, post_communities: DataFrame, seen: dict[str, DataFrame], s: Settings) -> DataFrame:
-    """Every suitable (user, post) with its score and all components.
-
-    The path user - community - interest - post community - post; communities and interests are small and may be
-    broadcast by the planner, posts and users are never multiplied without an interest between them.
-    """
-    noise = F.lit(s.noise_community)
-    readers = users.where(F.col("cluster_id").isNotNull() & (F.col("cluster_id") != noise)).select(F.col("id").alias("user_id"), F.col("cluster_id").alias("uc"), "ui_language", "languages")
-    wants = interests.where(F.col("pc") != noise).select("uc", "pc", F.col("score").alias("interest_score"), "based_on", "expires_at")
+def _wants(interests: DataFrame, post_communities: DataFrame, s: Settings) -> DataFrame:
+    """(uc, pc, interest_score, share_i, norm_pc_size): what the terms of a pair of communities are made of."""
+    wants = interests.where(F.col("pc") != F.lit(s.noise_community)).select("uc", "pc", F.col("score").alias("interest_score"))
     wants = wants.join(community_totals(interests, post_communities), "uc").join(post_communities.select(F.col("id").alias("pc"), "size"), "pc", "left")
-    items = rated.select(F.col("id").alias("post_id"), "author_id", F.col("language").alias("post_language"), F.col("created_at").alias("post_created_at"), F.col("cluster_id").alias("pc"), "local_raw", "global_raw", "popularity_contrib", "age_hours", "pagerank")
-    pairs = readers.join(wants, "uc").join(items, "pc")
-    pairs = unsuitable(pairs, seen["wrote"], seen["favourited"], seen["recommended"], seen["hates"])
     share = F.when(F.col("sum_i") > 0, F.col("interest_score") / F.col("sum_i")).otherwise(F.lit(0.0))
     size = F.when(F.col("max_pc_size") > 0, F.coalesce("size", F.lit(0)).cast("double") / F.col("max_pc_size")).otherwise(F.lit(0.0))
-    rows = pairs.withColumn("share_i", share).withColumn("norm_pc_size", size)
+    return wants.select("uc", "pc", "interest_score", share.alias("share_i"), size.alias("norm_pc_size"))
+
+
+def _items(rated: DataFrame) -> DataFrame:
+    return rated.select(F.col("id").alias("post_id"), "author_id", F.col("language").alias("post_language"), F.col("created_at").alias("post_created_at"), F.col("cluster_id").alias("pc"), "local_raw", "global_raw", "popularity_contrib", "age_hours", "pagerank")
+
+
+def _readers(users: DataFrame, s: Settings) -> DataFrame:
+    noise = F.lit(s.noise_community)
+    return users.where(F.col("cluster_id").isNotNull() & (F.col("cluster_id") != noise)).select(F.col("id").alias("user_id"), F.col("cluster_id").alias("uc"), "ui_language", "languages")
+
+
+def _score(s: Settings, base: Column) -> Column:
+    """The whole score, summed in one order everywhere, so that equal terms give equal doubles."""
+    return F.col("share_i") * s.share_weight + F.col("norm_pc_size") * s.size_weight + base + F.col("language_match")
+
+
+def _post_terms(s: Settings) -> Column:
+    return F.col("popularity_contrib") * s.popularity_weight + recency(F.col("age_hours"), s) * s.recency_weight + F.col("pagerank") * s.pagerank_weight
+
+
+def personalised(users: DataFrame, rated: DataFrame, interests: DataFrame, post_communities: DataFrame, seen: dict[str, DataFrame], s: Settings) -> DataFrame:
+    """Every suitable (user, post) with its score and all components, for a few users or posts (see `personal_feeds`).
+
+    The path user - community - interest - post community - post.
+    """
+    pairs = _readers(users, s).join(_wants(interests, post_communities, s), "uc").join(_items(rated), "pc")
+    rows = unsuitable(pairs, seen["wrote"], seen["favourited"], seen["recommended"], seen["hates"])
     rows = rows.withColumn("language_match", language_boost(F.col("post_language"), F.col("ui_language"), F.col("languages"), s))
-    score = (
-        F.col("share_i") * s.share_weight + F.col("norm_pc_size") * s.size_weight + F.col("popularity_contrib") * s.popularity_weight
-        + recency(F.col("age_hours"), s) * s.recency_weight + F.col("pagerank") * s.pagerank_weight + F.col("language_match")
-    )
-    return rows.withColumn("score", score)
+    return rows.withColumn("score", _score(s, _post_terms(s)))
 
 
 DETAIL = ("interest_score", "share_i", "norm_pc_size", "local_raw", "global_raw", "popularity_contrib", "age_hours", "pagerank", "language_match")
@@ -98,30 +118,90 @@ def top_of_users(scored: DataFrame, size: int, columns: tuple[str, ...] = ()) ->
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("user_id", "post_id", "score", "rank", *columns)
 
 
-def cold_start(users: DataFrame, rated: DataFrame, seen: dict[str, DataFrame], s: Settings) -> DataFrame:
-    """(user_id, post_id, score, rank) for users without a personalised feed, from posts with an embedding.
+#: Lists that posts are ranked in besides those of their languages: all posts, and those without a language.
+ALL_POSTS, NO_LANGUAGE = "*", ""
+
+
+def _best(rows: DataFrame, keys: list[str], by: str, k: int) -> DataFrame:
+    """The k rows of each key with the largest (by, post_id), with `place` from 1; bounded heaps before the shuffle."""
+    rest = [c for c in rows.columns if c not in (*keys, by, "post_id")]
+    heaps = rows.groupBy(*keys).agg(top_k(F.struct(by, "post_id", *rest), k).alias("_t"))
+    return heaps.select(*keys, F.posexplode(F.sort_array("_t", asc=False)).alias("_p", "_e")).select(*keys, "_e.*", (F.col("_p") + 1).alias("place"))
 
-    Posts of one language differ by a constant for any reader, so a reader needs only the best few of each language.
-    Those are found once; what a reader has seen is made up for by taking that many more, so no reader meets all posts.
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """Posts once in the list of all and once in that of their language."""
+    return rows.withColumn("list", F.explode(F.array(F.lit(ALL_POSTS), F.coalesce("post_language", F.lit(NO_LANGUAGE)))))
+
+
+def _hidden(items: DataFrame, seen: dict[str, DataFrame]) -> DataFrame:
+    """(user_id, post_id) of the items that a reader wrote, liked, was shown, or whose author it rejects."""
+    disliked = seen["hates"].select(F.col("src").alias("user_id"), F.col("dst").alias("author_id")).join(items.select("author_id", "post_id"), "author_id").select("user_id", "post_id")
+    known = [seen[k].select("user_id", "post_id") for k in ("recommended", "wrote", "favourited")]
+    every = known[0].unionByName(known[1]).unionByName(known[2]).join(items.select("post_id"), "post_id", "left_semi").select("user_id", "post_id")
+    return every.unionByName(disliked).distinct()
+
+
+def _class_feeds(readers: DataFrame, ranked: DataFrame, hidden: DataFrame, size: int, most: int, s: Settings, columns: tuple[str, ...]) -> DataFrame:
+    """The first `size` suitable posts of every reader.
+
+    `readers` is (user_id, uc, ui_language, languages), `ranked` the best `most` posts by `base` of each list of each
+    community, `most` at least `size` plus what any reader has hidden. A reader needs no place of its class beyond
+    `size` plus what it has hidden itself. A class takes the posts of its languages and of none from their own lists
+    and others from the list of all: what is among its best is among the best there.
+    """
+    need = readers.join(hidden.groupBy("user_id").agg(F.count("*").alias("_h")), "user_id", "left")
+    languages = F.array_sort(F.array_distinct(F.array_compact(F.coalesce("languages", F.array().cast("array<string>")))))
+    need = need.select("user_id", "uc", "ui_language", languages.alias("languages"), (F.coalesce("_h", F.lit(0)) + size).alias("need"))
+    need = need.withColumn("class", F.to_json(F.struct("uc", "ui_language", "languages")))
+    classes = need.groupBy("class", "uc", "ui_language", "languages").agg(F.max("need").alias("need"))
+    own = F.array_distinct(F.array_compact(F.concat(F.array(F.lit(NO_LANGUAGE), F.col("ui_language")), F.col("languages"))))
+    none = F.col("ui_language").isNull() & (F.size("languages") == 0)
+    wanted = classes.withColumn("_own", own).withColumn("list", F.explode(F.when(none, F.array(F.lit(ALL_POSTS))).otherwise(F.array_append("_own", F.lit(ALL_POSTS)))))
+    met = wanted.join(ranked, ["uc", "list"])
+    twice = (F.col("list") == ALL_POSTS) & ~none & F.array_contains("_own", F.coalesce("post_language", F.lit(NO_LANGUAGE)))
+    met = met.where(~twice).withColumn("language_match", language_boost(F.col("post_language"), F.col("ui_language"), F.col("languages"), s))
+    carried = [c for c in ("share_i", "norm_pc_size", *columns) if c in met.columns and c != "language_match"]
+    scored = met.withColumn("score", _score(s, F.col("post_base")) if "share_i" in met.columns else F.col("post_base") + F.col("language_match"))
+    best = _best(scored.select("class", "need", "post_id", "score", "language_match", *dict.fromkeys(carried)), ["class", "need"], "score", most).where(F.col("place") <= F.col("need")).drop("need")
+    # readers meet their class by blocks of `size` places, so that a long need costs its reader only
+    placed = best.withColumn("_b", F.floor((F.col("place") - 1) / size).cast("int"))
+    asked = need.select("user_id", "class", "need", F.explode(F.sequence(F.lit(0), F.floor((F.col("need") - 1) / size).cast("int"))).alias("_b"))
+    pairs = asked.join(placed, ["class", "_b"]).where(F.col("place") <= F.col("need")).join(hidden, ["user_id", "post_id"], "left_anti")
+    return top_of_users(pairs, size, columns)
+
+
+def _most(hidden: DataFrame, size: int) -> int:
+    """`size` plus the largest number of hidden posts of a reader: one number comes to the driver."""
+    return size + (hidden.groupBy("user_id").count().agg(F.max("count").alias("m")).first()["m"] or 0)
+
+
+def personal_feeds(users: DataFrame, rated: DataFrame, interests: DataFrame, post_communities: DataFrame, seen: dict[str, DataFrame], s: Settings, size: int | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """(user_id, post_id, score, rank, columns): the best suitable posts of every user, by score and then id.
+
+    The same rows as the best of `personalised`. Posts are cut to the best of each community and language, then of
+    each pair of communities, then of each class of readers, by bounded heaps, before readers come in.
     """
-    limit = min(s.feed_size, s.cold_start_limit)
+    size = s.feed_size if size is None else size
+    items, readers, wants = _items(rated), _readers(users, s), _wants(interests, post_communities, s)
+    hidden = _hidden(items, seen).join(readers.select("user_id"), "user_id", "left_semi")
+    most = _most(hidden, size)
+    listed = _best(_listed(items.withColumn("post_base", _post_terms(s))), ["pc", "list"], "post_base", most).drop("place")
+    met = wants.join(listed, "pc").withColumn("language_match", F.lit(0.0))
+    ranked = _best(met.withColumn("base", _score(s, F.col("post_base"))).drop("language_match"), ["uc", "list"], "base", most).drop("place")
+    return _class_feeds(readers, ranked, hidden, size, most, s, columns)
+
+
+def cold_start(users: DataFrame, rated: DataFrame, seen: dict[str, DataFrame], s: Settings) -> DataFrame:
+    """(user_id, post_id, score, rank) for users without a personalised feed, from posts with an embedding."""
+    size = min(s.feed_size, s.cold_start_limit)
     base = F.col("popularity_contrib") * s.cold_popularity_weight + recency(F.col("age_hours"), s) * s.cold_recency_weight + F.col("pagerank") * s.pagerank_weight
-    items = rated.where(F.col("embedding").isNotNull()).select(F.col("id").alias("post_id"), "author_id", F.col("language").alias("post_language"), base.alias("base"))
-    readers = users.select(F.col("id").alias("user_id"), "ui_language", "languages")
-    disliked = seen["hates"].select(F.col("src").alias("user_id"), F.col("dst").alias("author_id")).join(items.select("author_id", "post_id"), "author_id").select("user_id", "post_id")
-    hidden = seen["recommended"].select("user_id", "post_id").unionByName(seen["wrote"].select("user_id", "post_id")).unionByName(seen["favourited"].select("user_id", "post_id")).unionByName(disliked)
-    hidden = hidden.join(items.select("post_id"), "post_id", "left_semi").distinct()
-    need = readers.select("user_id").join(hidden.groupBy("user_id").agg(F.count("*").alias("h")), "user_id", "left").select("user_id", (F.coalesce("h", F.lit(0)) + limit).alias("need"))
-    place = F.row_number().over(Window.partitionBy("post_language").orderBy(F.desc("base"), F.desc("post_id")))
-    ranked = items.withColumn("place", place)
-    # each reader meets each language (a short list of codes), and of it the places up to its need
-    languages = items.agg(F.collect_set(F.coalesce("post_language", F.lit(""))).alias("l")).scalar()
-    wanted = readers.join(need, "user_id").withColumn("_l", F.explode(languages))
-    keyed = ranked.withColumn("_l", F.coalesce("post_language", F.lit("")))
-    pairs = wanted.join(keyed, "_l").where(F.col("place") <= F.col("need")).drop("_l")
-    pairs = pairs.join(hidden, ["user_id", "post_id"], "left_anti")
-    score = F.col("base") + language_boost(F.col("post_language"), F.col("ui_language"), F.col("languages"), s)
-    return top_of_users(pairs.withColumn("score", score), limit)
+    items = rated.where(F.col("embedding").isNotNull()).select(F.col("id").alias("post_id"), "author_id", F.col("language").alias("post_language"), base.alias("post_base"), F.lit(0).alias("uc"))
+    readers = users.select(F.col("id").alias("user_id"), F.lit(0).alias("uc"), "ui_language", "languages")
+    hidden = _hidden(items, seen).join(readers.select("user_id"), "user_id", "left_semi")
+    most = _most(hidden, size)
+    ranked = _best(_listed(items), ["uc", "list"], "post_base", most).drop("place")
+    return _class_feeds(readers, ranked, hidden, size, most, s, ())
 
 
 def public_feed(users: DataFrame, rated: DataFrame, interests: DataFrame, s: Settings, local_interests: bool, local_authors: bool, size: int) -> DataFrame:

@@ -1,9 +1,11 @@
 """Communities by the Leiden method (Traag, Waltman and van Eck 2019).
 
-Connected components are found first. One whose edges fit a task is solved there in full: fast local moving, refinement
-inside each community, aggregation, until nothing changes. In larger ones rounds over the whole graph move a hashed
-half of the nodes at a time to their best neighbouring community, and communities are cut into their connected parts
-afterwards. The objective is modularity with a resolution. Labels are the smallest node id of the community.
+A level moves nodes to neighbouring communities while modularity grows, refines each community from single nodes into
+connected parts, and makes these parts the nodes of the next level, which begins from the communities found. Connected
+components are found first. While a component's graph has more edges than a task should hold, its levels are joins and
+aggregates over the whole graph, in rounds in which a hashed share of the nodes moves at once; the graph of parts that
+fits a task is finished there, node by node. Communities are cut into their connected parts at the end. The objective
+is modularity with a resolution. Labels are the smallest node id of the community.
 """
 
 from __future__ import annotations
@@ -14,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flockwise.operators.pagerank import undirected
-from flockwise.session import checkpoint_dir
+from flockwise.session import Scratch, checkpoint_dir
 from flockwise.settings import Settings
 
-#: Directed edges of a component that one task solves.
+#: Directed edges of a component that are finished in one task.
 LOCAL_EDGES = 2_000_000
+#: A level's rounds end when fewer than one node in so many has moved.
+STILL_MOVING = 1000
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -87,11 +91,14 @@ def _moved(n: int, starts, dst, w, strength, total: float, gamma: float, label:
     return changed
 
 
-def leiden_local(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, total: float, gamma: float, levels: int) -> np.ndarray:
-    """Community of each of n nodes; edges are given both ways, `total` is the weight of the whole graph, both ways."""
+def leiden_local(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, total: float, gamma: float, levels: int, start: np.ndarray | None = None) -> np.ndarray:
+    """Community of each of n nodes; edges are given both ways, `total` is the weight of the whole graph, both ways.
+
+    A loop holds the weight inside a node, both ways. `start` gives communities to begin from, single nodes by default.
+    """
     member = np.arange(n)
     strength = np.bincount(src, weights=w, minlength=n)
-    label = np.arange(n)
+    label = np.arange(n) if start is None else np.unique(start, return_inverse=True)[1]
     size = n
     for _ in range(levels):
         starts, d, ww = _adjacency(size, src, dst, w)
@@ -115,11 +122,23 @@ def leiden_local(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, total:
     return label[member]
 
 
+def _quality(label: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, total: float, gamma: float) -> float:
+    """What the nodes of these edges add to modularity."""
+    mass = np.bincount(label[src], weights=w)
+    return float(w[label[src] == label[dst]].sum() / total - gamma * ((mass / total) ** 2).sum())
+
+
 def _solved(gamma: float, levels: int, total: float):
     def run(table: pa.Table) -> pa.Table:
         a, b, w = table["src"].to_numpy(), table["dst"].to_numpy(), table["weight"].to_numpy()
         ids, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-        label = leiden_local(len(ids), inverse[: len(a)], inverse[len(a) :], w, total, gamma, levels)
+        start = np.zeros(len(ids), np.int64)
+        start[inverse[: len(a)]] = table["community"].to_numpy()
+        src, dst = inverse[: len(a)], inverse[len(a) :]
+        label = leiden_local(len(ids), src, dst, w, total, gamma, levels)
+        if len(np.unique(start)) < len(ids):  # parts of an earlier level may do better from its communities
+            other = leiden_local(len(ids), src, dst, w, total, gamma, levels, start)
+            label = max(label, other, key=lambda x: _quality(x, src, dst, w, total, gamma))
         least = np.full(int(label.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, label, ids)
         return pa.table({"id": ids, "community": least[label]})
@@ -127,25 +146,89 @@ def _solved(gamma: float, levels: int, total: float):
     return run
 
 
-def _spread_moves(both: DataFrame, total: float, gamma: float, rounds: int) -> DataFrame:
-    """(id, community) by rounds over the whole graph, for components that no task could hold."""
-    strength = both.groupBy("src").agg(F.sum("weight").alias("k")).checkpoint()
-    labels = strength.select(F.col("src").alias("id"), F.col("src").alias("community"), "k")
-    for r in range(rounds):
-        mass = labels.groupBy("community").agg(F.sum("k").alias("m"))
-        links = both.join(labels.select(F.col("id").alias("dst"), F.col("community").alias("c")), "dst").groupBy("src", "c").agg(F.sum("weight").alias("l"))
-        stay = labels.select(F.col("id").alias("src"), F.col("community").alias("c"), F.lit(0.0).alias("l"))
-        cand = links.unionByName(stay).groupBy("src", "c").agg(F.sum("l").alias("l")).join(mass.withColumnRenamed("community", "c"), "c").join(labels.select(F.col("id").alias("src"), "community", "k"), "src")
-        gain = F.col("l") - gamma * F.col("k") * (F.col("m") - F.when(F.col("c") == F.col("community"), F.col("k")).otherwise(0.0)) / total
-        best = cand.groupBy("src").agg(F.max(F.struct(gain.alias("g"), (-F.col("c")).alias("c"))).alias("b"), F.first("community").alias("community"), F.first("k").alias("k"))
-        turn = F.pmod(F.xxhash64("src", F.lit(r)), F.lit(2)) == 0
-        moved = best.select(F.col("src").alias("id"), F.when(turn, -F.col("b.c")).otherwise(F.col("community")).alias("community"), "k", F.col("community").alias("_old")).checkpoint()
-        labels = moved.select("id", "community", "k")
-        if r % 2 and moved.where("community <> _old").isEmpty():
+def _round(edges: DataFrame, state: DataFrame, total: float, gamma: float, number: int, refining: bool) -> DataFrame:
+    """`state` (id, k, within, community) after one round, with `moved`.
+
+    A share of the nodes, by hash, goes to the neighbouring community of the largest gain. When refining, only single
+    nodes go, to communities inside their `within`, and never to a single node that may go itself, so what has
+    come together stays connected.
+    """
+    share = 2 + number // 8  # fewer move at once when many rounds were needed, so moves no longer cross
+    turn = lambda c: F.pmod(F.xxhash64(c, F.lit(number)), F.lit(share)) == 0
+    mass = state.groupBy("community").agg(F.sum("k").alias("m"), F.count("*").alias("n"))
+    there = state.select(F.col("id").alias("dst"), F.col("community").alias("c"), F.col("within").alias("w2"))
+    near = edges.where("src <> dst").join(there, "dst")
+    if refining:
+        near = near.join(state.select(F.col("id").alias("src"), "within"), "src").where("within = w2")
+    links = near.groupBy("src", "c").agg(F.sum("weight").alias("l"))
+    stay = state.select(F.col("id").alias("src"), F.col("community").alias("c"), F.lit(0.0).alias("l"))
+    both = links.unionByName(stay).groupBy("src", "c").agg(F.sum("l").alias("l"))
+    met = both.join(mass.withColumnRenamed("community", "c"), "c").join(state.withColumnRenamed("id", "src"), "src")
+    own = F.col("c") == F.col("community")
+    gain = F.col("l") - F.lit(gamma / total) * F.col("k") * (F.col("m") - F.when(own, F.col("k")).otherwise(0.0))
+    # two single nodes don't change places: the one of the larger label goes
+    allowed = (F.col("n") > 1) | (~turn("c") if refining else (F.col("c") < F.col("community")))
+    alone = F.max(F.when(own, F.col("n")))
+    best = met.groupBy("src").agg(
+        F.max(F.when(~own & allowed, F.struct(gain.alias("g"), (-F.col("c")).alias("c")))).alias("b"), F.max(F.when(~own, F.struct(gain.alias("g"), (-F.col("c")).alias("c")))).alias("any"),
+        F.max(F.when(own, gain)).alias("stay"), alone.alias("n"), F.first("k").alias("k"), F.first("within").alias("within"), F.first("community").alias("community"),
+    )
+    if refining:
+        goes = (F.col("n") == 1) & turn("src") & (F.col("b.g") > F.col("stay") + 1e-12)
+        to = -F.col("b.c")
+    else:
+        to = -F.when(F.col("n") == 1, F.col("b.c")).otherwise(F.col("any.c"))
+        goes = turn("src") & (F.when(F.col("n") == 1, F.col("b.g")).otherwise(F.col("any.g")) > F.col("stay") + 1e-12)
+    goes = F.coalesce(goes, F.lit(False))
+    return best.select(F.col("src").alias("id"), "k", "within", F.when(goes, to).otherwise(F.col("community")).alias("community"), goes.alias("moved"))
+
+
+def _settled(scratch: Scratch, edges: DataFrame, state: DataFrame, nodes: int, total: float, gamma: float, refining: bool) -> DataFrame:
+    """`state` after rounds until (almost) nothing moves in as many of them as give every node its turn."""
+    number, still = 0, 0
+    while still < 2 + number // 8:
+        state = scratch.cut(_round(edges, state, total, gamma, number, refining), "refined" if refining else "moved")
+        moved = state.where("moved").count()
+        state = state.drop("moved")
+        still = still + 1 if moved * STILL_MOVING < nodes or not moved else 0
+        number += 1
+    return state
+
+
+def _spread_levels(large: DataFrame, part: DataFrame, total: float, gamma: float, levels: int, local_edges: int) -> DataFrame:
+    """(id, community) of components that are too large for a task; `large` holds their edges both ways."""
+    scratch = Scratch(large.sparkSession)
+    edges = scratch.cut(large, "edges")
+    state = edges.groupBy("src").agg(F.sum("weight").alias("k")).select(F.col("src").alias("id"), "k", F.col("src").alias("within"), F.col("src").alias("community"))
+    state = scratch.cut(state, "state")
+    member = state.select("id", F.col("id").alias("node"))
+    nodes = state.count()
+    for level in range(levels):
+        state = _settled(scratch, edges, state, nodes, total, gamma, False)
+        fine = state.select("id", "k", F.col("community").alias("within"), F.col("id").alias("community"))
+        fine = _settled(scratch, edges, fine, nodes, total, gamma, True)
+        to = fine.select("id", F.col("community").alias("to"))
+        groups = scratch.cut(fine.groupBy("community").agg(F.sum("k").alias("k"), F.min("within").alias("within")), "groups")
+        count = groups.count()
+        if count == nodes:
             break
-    # a community is connected: each is cut into its connected parts, labelled by their smallest id
-    inside = both.join(labels.select(F.col("id").alias("src"), F.col("community").alias("c1")), "src").join(labels.select(F.col("id").alias("dst"), F.col("community").alias("c2")), "dst").where("c1 = c2")
-    return components(labels.select("id"), inside).withColumnRenamed("component", "community")
+        edges = edges.join(to.withColumnRenamed("id", "src"), "src").withColumn("src", F.col("to")).drop("to").join(to.withColumnRenamed("id", "dst"), "dst")
+        edges = scratch.cut(edges.groupBy("src", F.col("to").alias("dst")).agg(F.sum("weight").alias("weight")), "edges")
+        member = scratch.cut(member.join(to.withColumnRenamed("id", "node"), "node").select("id", F.col("to").alias("node")), "member")
+        nodes = count
+        state = groups.select(F.col("community").alias("id"), "k", "within", F.col("within").alias("community"))
+        placed = edges.join(part.select(F.col("id").alias("src"), "component"), "src")
+        if placed.groupBy("component").count().where(F.col("count") > local_edges).isEmpty():
+            begin = placed.join(state.select(F.col("id").alias("src"), "community"), "src").select("component", "src", "dst", "weight", "community")
+            state = begin.groupBy("component").applyInArrow(_solved(gamma, levels - level, total), "id long, community long")
+            break
+    # nodes that a later level has left in the wrong community go once more
+    first = large.groupBy("src").agg(F.sum("weight").alias("k")).withColumnRenamed("src", "id")
+    found = member.join(state.select(F.col("id").alias("node"), "community"), "node").select("id", "community").join(first, "id")
+    found = scratch.cut(found.select("id", "k", F.col("community").alias("within"), "community"), "found")
+    found = _settled(scratch, large, found, found.count(), total, gamma, False).select("id", "community").checkpoint()
+    scratch.drop()
+    return found
 
 
 def leiden(nodes: DataFrame, edges: DataFrame, s: Settings, local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -156,22 +239,28 @@ def leiden(nodes: DataFrame, edges: DataFrame, s: Settings, local_edges: int = L
     """
     checkpoint_dir(nodes.sparkSession)
     ids = nodes.select("id").distinct()
-    both = undirected(edges).where(F.col("weight") > 0).checkpoint()
+    both = undirected(edges).where(F.col("weight") > 0).select("src", "dst", F.col("weight").cast("double").alias("weight")).checkpoint()
     total = both.agg(F.sum("weight").alias("t")).first()["t"]
     if not total:
         return ids.withColumn("community", F.lit(0).cast("bigint"))
     part = components(both.select(F.col("src").alias("id")).distinct(), both)
-    placed = both.join(part.select(F.col("id").alias("src"), "component"), "src")
-    sizes = placed.groupBy("component").agg(F.count("*").alias("n"))
-    sized = placed.join(sizes, "component")
-    small = sized.where(F.col("n") <= local_edges).select("component", "src", "dst", "weight")
+    placed = both.join(part.select(F.col("id").alias("src"), "component"), "src").checkpoint()
+    sizes = placed.groupBy("component").agg(F.count("*").alias("n")).checkpoint()
+    small = placed.join(sizes.where(F.col("n") <= local_edges), "component").select("component", "src", "dst", "weight", F.col("src").alias("community"))
     found = small.groupBy("component").applyInArrow(_solved(s.leiden_resolution, s.leiden_levels, total), "id long, community long")
     if not sizes.where(F.col("n") > local_edges).isEmpty():
-        large = sized.where(F.col("n") > local_edges).select("src", "dst", "weight").checkpoint()
-        found = found.unionByName(_spread_moves(large, total, s.leiden_resolution, 2 * s.leiden_levels))
+        large = placed.join(sizes.where(F.col("n") > local_edges), "component").select("src", "dst", "weight").checkpoint()
+        found = found.unionByName(_spread_levels(large, part, total, s.leiden_resolution, s.leiden_levels, local_edges))
+        found = connected(both, found)
     return ids.join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
+def connected(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, community): communities cut into their connected parts, labelled by their smallest id."""
+    inside = edges.join(labels.select(F.col("id").alias("src"), F.col("community").alias("c1")), "src").join(labels.select(F.col("id").alias("dst"), F.col("community").alias("c2")), "dst").where("c1 = c2")
+    return components(labels.select("id"), inside).withColumnRenamed("component", "community")
+
+
 def modularity(edges: DataFrame, labels: DataFrame, gamma: float = 1.0) -> DataFrame:
     """(communities, modularity) of labelled nodes; one row. Loops are left out, edges taken both ways."""
     both = undirected(edges)

@@ -6,9 +6,10 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "_flockwise_shipped"
 
@@ -79,3 +80,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         context.setCheckpointDir(_named_folder(spark) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return context.getCheckpointDir()
+
+
+class Scratch:
+    """Tables in the shared folder that cut the lineage of an iteration.
+
+    A table written and read again has a plan of its own, where a checkpoint keeps what the planner knows of the rows,
+    which grows with each round. Of each name the two newest tables are kept until `drop`.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.root = f"{checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        self.written: dict[str, int] = {}
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        number = self.written[name] = self.written.get(name, 0) + 1
+        path = f"{self.root}/{name}-{number}"
+        df.write.parquet(path)
+        if number > 2:
+            self._delete(f"{self.root}/{name}-{number - 2}")
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

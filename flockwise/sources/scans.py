@@ -76,25 +76,14 @@ def corpus_extent(texts: DataFrame) -> DataFrame:
 def embeddable(texts: DataFrame, min_chars: int, skip_share: float, batch: Column | None = None) -> DataFrame:
     """Texts of at least `min_chars` characters, without the shortest share of each batch (the whole if none is given).
 
-    The shortest are told by length and then id. Batches bound the size of a sort; without one the shortest are found
-    by a global order on (length, id), which spreads by range.
+    The shortest are told by length and then id. Without batches the bound is found from counts: rows are counted per
+    length, and those of the one length that is cut within per range of ids, so nothing is sorted.
     """
     rows = texts.where((F.col("text") != "") & (F.length("text") >= min_chars)).withColumn("_n", F.length("text"))
     if skip_share <= 0:
         return rows.drop("_n")
     if batch is None:
-        # the bound is a length: all shorter texts go, and of that length those with the smallest ids
-        counts = rows.groupBy("_n").agg(F.count("*").alias("c")).collect()  # one row per distinct length
-        skip, bound = int(sum(r["c"] for r in counts) * skip_share), None
-        for r in sorted(counts, key=lambda r: r["_n"]):
-            if skip < r["c"]:
-                bound = (r["_n"], skip)
-                break
-            skip -= r["c"]
-        if bound is None:
-            return rows.limit(0).drop("_n")
-        last = rows.where(F.col("_n") == bound[0]).orderBy("id").limit(bound[1])
-        return rows.where(F.col("_n") >= bound[0]).join(last.select("id"), "id", "left_anti").select(*texts.columns)
+        return _without_shortest(rows, skip_share).select(*texts.columns)
     from pyspark.sql import Window
 
     whole = rows.withColumn("_b", batch)
@@ -103,6 +92,46 @@ def embeddable(texts: DataFrame, min_chars: int, skip_share: float, batch: Colum
     return ranked.where(F.col("_r") > F.floor(F.col("_c") * F.lit(skip_share))).select(*texts.columns)
 
 
+#: Ranges that rows of one length are counted in, and rows of a range that is sorted.
+_RANGES, _SORTED_ROWS = 1024, 1 << 16
+
+
+def _without_shortest(rows: DataFrame, skip_share: float) -> DataFrame:
+    """Rows without the shortest share by (_n, id); what comes to the driver is two numbers for each narrowing."""
+    total = rows.count()
+    skip = int(total * skip_share)
+    if not total or not skip:
+        return rows
+    counts = rows.groupBy("_n").agg(F.count("*").alias("c"))
+    # the largest length of which fewer than `skip` rows are shorter: halve the range of lengths
+    low, high = 0, rows.agg(F.max("_n").alias("m")).first()["m"]
+    while low < high:
+        middle = (low + high) // 2
+        if (counts.where(F.col("_n") <= middle).agg(F.sum("c").alias("s")).first()["s"] or 0) >= skip:
+            high = middle
+        else:
+            low = middle + 1
+    shorter = counts.where(F.col("_n") < low).agg(F.sum("c").alias("s")).first()["s"] or 0
+    left = skip - shorter
+    same = rows.where(F.col("_n") == low)
+    first, last = same.agg(F.min("id"), F.max("id")).first()
+    # of that length the `left` smallest ids go: narrow the range of ids until few rows are left in it
+    while True:
+        inside = same.where(F.col("id").between(first, last))
+        width = (last - first) // _RANGES + 1
+        per = dict(inside.groupBy(((F.col("id") - first) / width).cast("bigint").alias("b")).count().collect())
+        if sum(per.values()) <= _SORTED_ROWS or first == last:
+            break
+        for b in sorted(per):
+            if left <= per[b]:
+                first, last = first + b * width, min(last, first + (b + 1) * width - 1)
+                break
+            left -= per[b]
+    ids = [r[0] for r in inside.select("id").orderBy("id").limit(left).collect()]  # of at most _SORTED_ROWS rows
+    bound = ids[-1] if ids else first - 1
+    return rows.where((F.col("_n") > low) | ((F.col("_n") == low) & (F.col("id") > bound)))
+
+
 def account_lookup(accounts: DataFrame, username: str, domain: str | None, limit: int = 2) -> DataFrame:
     """Accounts of a name on a host, case doesn't matter; no host means local accounts."""
     wanted = F.lit(domain.lower() if domain is not None else None).cast("string")

@@ -199,6 +199,19 @@ def test_leiden_finds_two_cliques(spark):
     assert q["communities"] == 3 and q["modularity"] > alone["modularity"]
 
 
+def test_levels_over_the_whole_graph_are_as_good_as_in_a_task(spark):
+    rng = np.random.default_rng(5)
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 90, (150, 2)) if a != b} | {(int(a), int(a + d)) for a in range(90) for d in (10, 20) if a + d < 90 and rng.random() < 0.8}
+    edges = spark.createDataFrame([(a, b, 1.0 + (a % 10 == b % 10)) for a, b in sorted(pairs)], "src long, dst long, weight double")
+    nodes, s = spark.range(95), replace(S, leiden_resolution=1.0)
+    near, spread = (leiden.leiden(nodes, edges, s, local_edges=n).checkpoint() for n in (leiden.LOCAL_EDGES, 100))
+    assert spread.count() == 95 == spread.select("id").distinct().count()
+    q, r = (leiden.modularity(edges, x).first()["modularity"] for x in (near, spread))
+    assert r > 0.3 and r >= 0.97 * q
+    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    assert rows(leiden.connected(both, spread)) == rows(spread)  # connected, and labelled by the smallest id
+
+
 def test_components_go_on_until_labels_settle(spark, monkeypatch):
     monkeypatch.setattr(leiden, "MOST_ROUNDS", 1, raising=False)
     edges = spark.createDataFrame([(i, i + 1) for i in range(8)], "src long, dst long").coalesce(1)
