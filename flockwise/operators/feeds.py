@@ -204,6 +204,45 @@ def cold_start(users: DataFrame, rated: DataFrame, seen: dict[str, DataFrame], s
     return _class_feeds(readers, ranked, hidden, size, most, s, ())
 
 
+#: Why a pair isn't scored, by flag.
+NOTES = (
+    ("~within_feed_days", "Post is older than the feed's days."), ("~has_embedding", "A cold start needs a vector."), ("was_recommended", "Shown before."),
+    ("is_author", "Written by the reader."), ("has_favourited", "Favoured by the reader."), ("hates_author", "The reader rejects the author."),
+)
+
+
+def explain(pairs: DataFrame, users: DataFrame, posts: DataFrame, reactions: DataFrame, interests: DataFrame, post_communities: DataFrame, seen: dict[str, DataFrame], members: DataFrame, as_of: Column, s: Settings) -> DataFrame:
+    """One row for each (user_id, post_id) of known users and posts: how the post comes to the user's feed, or why not.
+
+    `path` is 'personalized', 'cold_start' or 'not_scored', by the rules of the feeds; the components are those of the
+    path, null for none; `member_score`, `place` (from 0, best first) and `n_members` tell the delivered feed;
+    `notes` says why a pair isn't scored. The pairs may be any table; each operator sees only their users and posts.
+    """
+    key = ["user_id", "post_id"]
+    asked = pairs.select(*key).distinct().join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    asked = asked.join(posts.select(F.col("id").alias("post_id"), "author_id", (F.col("created_at") > days_before(as_of, s.feed_days)).alias("within_feed_days"), F.col("embedding").isNotNull().alias("has_embedding")), "post_id")
+    flagged = filter_flags(asked, seen["wrote"], seen["favourited"], seen["recommended"], seen["hates"])
+    here = users.join(asked.select(F.col("user_id").alias("id")), "id", "left_semi")
+    rated = rated_posts(posts.join(asked.select(F.col("post_id").alias("id")), "id", "left_semi"), reactions, as_of, s)
+    open_ = flagged.where("NOT was_recommended AND NOT is_author AND NOT has_favourited AND NOT hates_author").select(*key)
+    items = open_.join(_items(rated), "post_id")
+    wants = _wants(interests, post_communities, s)
+    own = items.join(_readers(here, s), "user_id").join(wants, ["uc", "pc"])
+    own = own.withColumn("language_match", language_boost(F.col("post_language"), F.col("ui_language"), F.col("languages"), s))
+    own = own.select(*key, F.lit("personalized").alias("path"), _score(s, _post_terms(s)).alias("final_score"), *DETAIL)
+    cold = items.join(rated.where(F.col("embedding").isNotNull()).select(F.col("id").alias("post_id")), "post_id", "left_semi").join(own.select(*key), key, "left_anti")
+    cold = cold.join(here.select(F.col("id").alias("user_id"), "ui_language", "languages"), "user_id")
+    cold = cold.withColumn("language_match", language_boost(F.col("post_language"), F.col("ui_language"), F.col("languages"), s))
+    base = F.col("popularity_contrib") * s.cold_popularity_weight + recency(F.col("age_hours"), s) * s.cold_recency_weight + F.col("pagerank") * s.pagerank_weight
+    nothing = [F.lit(0.0).alias(c) for c in DETAIL[:3]]
+    cold = cold.select(*key, F.lit("cold_start").alias("path"), (base + F.col("language_match")).alias("final_score"), *nothing, *DETAIL[3:])
+    mine = members.join(asked.select("user_id").distinct(), "user_id", "left_semi")
+    placed = member_ranks(mine).join(feed_lengths(mine).withColumnRenamed("n", "n_members"), "user_id").select(*key, F.col("score").alias("member_score"), "place", "n_members")
+    rows = flagged.join(own.unionByName(cold), key, "left").join(placed, key, "left").withColumn("path", F.coalesce("path", F.lit("not_scored")))
+    said = F.array_compact(F.array(*[F.when((~F.col(flag[1:]) if flag[0] == "~" else F.col(flag)) & (F.col("path") == "not_scored"), F.lit(text)) for flag, text in NOTES]))
+    return rows.withColumn("notes", F.array_join(said, " "))
+
+
 def public_feed(users: DataFrame, rated: DataFrame, interests: DataFrame, s: Settings, local_interests: bool, local_authors: bool, size: int) -> DataFrame:
     """(post_id, score): the best posts for everybody.
 
@@ -251,6 +290,12 @@ def feed_members(feed: DataFrame, s: Settings) -> DataFrame:
     return feed.select("user_id", "post_id", score.cast("double").alias("score"))
 
 
+def public_members(feed: DataFrame, key: str, s: Settings) -> DataFrame:
+    """(key, post_id, score) of a public feed, which is bounded by its size: rank scores as in `feed_members`."""
+    ranked = top_of_users(feed.select(F.lit(key).alias("user_id"), "post_id", "score"), s.feed_size)
+    return feed_members(ranked, s).withColumnRenamed("user_id", "key")
+
+
 def own_entry(s: Settings) -> Column:
     """Whether a member was written by this engine: its score exceeds the id by the multiplier."""
     return F.lit(s.rank_multiplier > 1) & (F.col("score") >= F.col("post_id") * s.rank_multiplier)

@@ -132,11 +132,12 @@ def serendipity_at_random(interests: DataFrame, communities: DataFrame, s: Setti
     """(uc, pc): pairs a community with interests lacks, a share of them chosen by hash, so the same on every run.
 
     Each community looks at as many hashed post communities as the share asks for, instead of at all pairs.
-    `communities` is (pc). Distinct pairs, at most the limit, smallest hash first.
+    `communities` is (pc). Distinct pairs, at most the limit, smallest hash first. Hashes are the first seven hex
+    digits of MD5 over the seed and the ids.
     """
-    h = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 20))
-    buckets = max(1, round(1 / s.serendipity_share))
-    own = interests.select("uc").distinct().withColumn("_b", F.pmod(F.xxhash64("uc", F.lit(seed)), F.lit(buckets)))
-    other = communities.select("pc").distinct().withColumn("_b", F.pmod(F.xxhash64("pc", F.lit(seed)), F.lit(buckets)))
+    h = lambda *c: F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(x).cast("string") for x in c])), 1, 7), 16, 10).cast("bigint")
+    buckets = F.lit(max(1, round(1 / s.serendipity_share)))
+    own = interests.select("uc").distinct().withColumn("_b", F.pmod(h("uc"), buckets))
+    other = communities.select("pc").distinct().withColumn("_b", F.pmod(h("pc"), buckets))
     lacking = own.join(other, "_b").drop("_b").join(interests.select("uc", "pc"), ["uc", "pc"], "left_anti")
-    return lacking.orderBy(h("uc", "pc", F.lit(seed)), "uc", "pc").limit(s.serendipity_limit)
+    return lacking.orderBy(h("uc", "pc"), "uc", "pc").limit(s.serendipity_limit)

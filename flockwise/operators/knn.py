@@ -105,6 +105,14 @@ def posts_to_connect(posts: DataFrame, edges: DataFrame, old_signature: str | No
     return fit.join(edges.select(F.col("src").alias("id")), "id", "left_anti")
 
 
+def updated_edges(posts: DataFrame, old: DataFrame, old_signature: str | None, as_of: Column, s: Settings, dims: int, score_mode: str = "normalised") -> DataFrame:
+    """All edges after a build: the former ones and those of posts that lacked any, or all anew if the signature has changed."""
+    if old_signature != s.similarity_signature():
+        return similarity_edges(posts, as_of, s, dims, score_mode)
+    todo = posts_to_connect(posts, old, old_signature, s)
+    return old.select("src", "dst", "weight").unionByName(similarity_edges(posts, as_of, s, dims, score_mode, todo))
+
+
 def similarity_stats(edges: DataFrame, posts: DataFrame) -> DataFrame:
     """Edges, sources, least, mean, median and largest weight, posts with a vector but no edge; one row."""
     linked = posts.where(F.col("embedding").isNotNull()).select("id").join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti")

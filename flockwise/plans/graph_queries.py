@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,10 +45,6 @@ def _rated(g: dict[str, DataFrame], s: Settings = S) -> DataFrame:
     return feeds.rated_posts(g["posts"], reactions_of(g), _now(), s)
 
 
-def _scored(g: dict[str, DataFrame]) -> DataFrame:
-    return feeds.personalised(g["users"], _rated(g), _interests(g), _sizes(g, "posts"), g, S)
-
-
 def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -155,36 +152,38 @@ def feed_filter_flags(spark: SparkSession, d: str) -> DataFrame:
     return feeds.filter_flags(_pairs(g), g["wrote"], g["favourited"], g["recommended"], g["hates"]).drop("author_id")
 
 
+def _feeds(g: dict[str, DataFrame], columns: tuple[str, ...] = ()) -> DataFrame:
+    return feeds.personal_feeds(g["users"], _rated(g), _interests(g), _sizes(g, "posts"), g, S, columns=columns)
+
+
 def feed_personalized_all(spark: SparkSession, d: str) -> DataFrame:
-    """The ten best posts of every user."""
-    return _rounded(feeds.top_of_users(_scored(_graph(spark, d)), 10), "score")
+    """The feeds of all users."""
+    return _rounded(_feeds(_graph(spark, d)), "score")
 
 
 def feed_detail(spark: SparkSession, d: str) -> DataFrame:
     """The same with every component of the score."""
-    rows = feeds.top_of_users(_scored(_graph(spark, d)), 10, feeds.DETAIL)
-    return _rounded(rows, "score", *(c for c in feeds.DETAIL if c != "age_hours"))
+    return _rounded(_feeds(_graph(spark, d), feeds.DETAIL), "score", *(c for c in feeds.DETAIL if c != "age_hours"))
 
 
-def feed_explain_pair(spark: SparkSession, d: str) -> DataFrame:
-    """Why one user gets one post: components and conditions of a pair, scored or not."""
+def feed_explain_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """How, or why not, each post comes to the feed of each user that an event links to it."""
     g = _graph(spark, d)
-    user, post = 3, 5
-    pair = g["posts"].where(F.col("id") == post).select(F.lit(user).cast("bigint").alias("user_id"), F.col("id").alias("post_id"), "author_id")
-    flags = feeds.filter_flags(pair, g["wrote"], g["favourited"], g["recommended"], g["hates"])
-    none = {k: g[k].where(F.lit(False)) for k in ("wrote", "favourited", "recommended", "hates")}
-    one = {**g, "users": g["users"].where(F.col("id") == user), "posts": g["posts"].where(F.col("id") == post)}
-    rated = feeds.rated_posts(one["posts"], reactions_of(g), _now(), S)
-    parts = feeds.personalised(one["users"], rated, _interests(g), _sizes(g, "posts"), none, S).select("post_id", "interest_score", "share_i", "score")
-    rows = flags.join(parts, "post_id", "left").withColumn("path", F.when(F.col("score").isNotNull(), "personalized").otherwise("not_scored"))
-    return _rounded(rows, "interest_score", "share_i", "score")
+    shown = g["reblogged"].select("user_id", "post_id", (F.col("post_id") % 7).cast("double").alias("score"))
+    rows = feeds.explain(g["edges"].select("user_id", "post_id"), g["users"], g["posts"], reactions_of(g), _interests(g), _sizes(g, "posts"), g, shown, _now(), S)
+    return _rounded(rows, "final_score", *(c for c in feeds.DETAIL if c != "age_hours"))
 
 
 def feed_cold_start(spark: SparkSession, d: str) -> DataFrame:
-    """Feeds of users in no community."""
+    """Feeds that need no community, of all users."""
+    g = _graph(spark, d)
+    return _rounded(feeds.cold_start(g["users"], _rated(g), g, S), "score")
+
+
+def public_feed_members(spark: SparkSession, d: str) -> DataFrame:
+    """Members of a public feed with rank scores."""
     g = _graph(spark, d)
-    lone = g["users"].where("id % 5 = 2")
-    return _rounded(feeds.cold_start(lone, _rated(g), g, replace(S, feed_size=10)), "score")
+    return feeds.public_members(feeds.public_feed(g["users"], _rated(g), _interests(g), S, True, False, S.feed_size), "local", S)
 
 
 def _public(spark: SparkSession, d: str, local: bool, authors: bool) -> DataFrame:
@@ -207,7 +206,7 @@ def public_feed_local_authors(spark: SparkSession, d: str) -> DataFrame:
 def _members(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "recommendation_detail").where(F.col("viewer_user_id").isNotNull() & F.col("post_id").isNotNull())
     best = rows.groupBy(F.col("viewer_user_id").alias("user_id"), "post_id").agg(F.max("age_hours").alias("a")).withColumn("score", F.coalesce("a", F.lit(0.0)))
-    return feeds.feed_members(feeds.top_of_users(best, 20), S)
+    return feeds.feed_members(feeds.top_of_users(best, S.feed_size), S)
 
 
 def feed_rank_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -284,6 +283,13 @@ def knn_incremental(spark: SparkSession, d: str) -> DataFrame:
     return knn.posts_to_connect(v, old, _NEAR.similarity_signature(), _NEAR)
 
 
+def knn_incremental_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of a later build: the former ones of half of the vectors, and those of vectors that lacked any."""
+    v = _vectors(spark, d)
+    old = knn.similarity_edges(v.where("id % 2 = 0"), _now(), _NEAR, 64)
+    return _rounded(knn.updated_edges(v, old, _NEAR.similarity_signature(), _now(), _NEAR, 64), "weight")
+
+
 def similarity_stats(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
     return _rounded(knn.similarity_stats(knn.similarity_edges(v, _now(), _NEAR, 64), v), "min_weight", "avg_weight", "median_weight", "max_weight")
@@ -308,12 +314,9 @@ def _user_graph(g: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     return g["users"].select("id"), e.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-PR = replace(S, pagerank_iterations=6)
-
-
 def page_rank(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _user_graph(_graph(spark, d))
-    return _rounded(pagerank(nodes, edges, PR), "pagerank")
+    return _rounded(pagerank(nodes, edges, S), "pagerank")
 
 
 def _post_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -376,10 +379,40 @@ def cleanup_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 def purge_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that are left in each table, and vectors and memberships, after each kind of purge."""
     g = _graph(spark, d)
-    g["interests"] = _interests(g)
-    out = communities.purge(g, "clusters")
-    return stats.table_counts({"interests": out["interests"], "clustered": out["users"].where(F.col("cluster_id").isNotNull()), "recommended": out["recommended"], "favourited": out["favourited"]})
+    g["interests"], g["user_communities"], g["post_communities"] = _interests(g), _sizes(g, "users"), _sizes(g, "posts")
+    _, g["interacts"] = _user_graph(g)
+    counted = ("users", "posts", "favourited", "recommended", "interacts", "interests", "user_communities", "post_communities")
+
+    def left(kind: str) -> DataFrame:
+        out = communities.purge(g, kind)
+        parts = {n: out[n] for n in counted} | {"embedded": out["posts"].where("embedding IS NOT NULL"), "clustered_users": out["users"].where("cluster_id IS NOT NULL"), "clustered_posts": out["posts"].where("cluster_id IS NOT NULL")}
+        return stats.table_counts(parts).withColumn("kind", F.lit(kind))
+
+    return reduce(DataFrame.unionByName, [left(kind) for kind in communities.PURGES])
+
+
+def _soundness(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Nodes, labelled ones, communities that hang apart or have another label than their smallest id, and whether modularity is above that of single nodes."""
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    labels = labels.checkpoint()
+    apart = labels.join(leiden.connected(both, labels).withColumnRenamed("community", "c"), "id").where("c <> community")
+    gain = lambda x: leiden.modularity(edges, x).select("modularity").scalar()
+    return nodes.agg(F.count("*").alias("nodes")).select(
+        "nodes", labels.agg(F.count_distinct("id").alias("n")).scalar().alias("labelled"), apart.agg(F.count("*").alias("n")).scalar().alias("apart"),
+        (gain(labels) > gain(labels.withColumn("community", F.col("id")))).alias("better"),
+    )
+
+
+def user_community_soundness(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _user_graph(_graph(spark, d))
+    return _soundness(nodes, edges, user_communities(spark, d))
+
+
+def post_community_soundness(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _post_graph(spark, d)
+    return _soundness(nodes, edges, post_communities(spark, d))
 
 
 # statistics
@@ -505,6 +538,10 @@ _TOP = f"t AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY s
 _PAIRS = "pr AS (SELECT x.user_id, x.post_id, p.author_id FROM (SELECT user_id, post_id FROM replied UNION SELECT user_id, post_id FROM reblogged) x JOIN posts p ON p.id = x.post_id)"
 
 
+def _hash_sql(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 7) AS BIGINT)"
+
+
 def _public_sql(local: bool, authors: bool) -> str:
     interest = "SELECT pc, sum(score * n) AS ci FROM i JOIN (SELECT cluster_id AS uc, count(*) AS n FROM users WHERE is_local GROUP BY 1) USING (uc) GROUP BY 1" if local else "SELECT pc, sum(score) AS ci FROM i GROUP BY 1"
     keep = "WHERE author_id IN (SELECT id FROM users WHERE is_local)" if authors else ""
@@ -512,7 +549,7 @@ def _public_sql(local: bool, authors: bool) -> str:
 
 
 _MEM = """m0 AS (SELECT viewer_user_id AS user_id, post_id, coalesce(max(age_hours), 0.0) AS s FROM recommendation_detail WHERE viewer_user_id IS NOT NULL AND post_id IS NOT NULL GROUP BY 1, 2),
-m1 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, post_id DESC) AS rank FROM m0), m2 AS (SELECT * FROM m1 WHERE rank <= 20),
+m1 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, post_id DESC) AS rank FROM m0), m2 AS (SELECT * FROM m1 WHERE rank <= 500),
 mem AS (SELECT user_id, post_id, CAST(CAST(max(post_id) OVER w AS HUGEINT) * 10 + count(*) OVER w - (rank - 1) AS DOUBLE) AS score FROM m2 WINDOW w AS (PARTITION BY user_id)),
 mix AS (SELECT * REPLACE (CASE WHEN post_id % 3 = 0 THEN CAST(post_id AS DOUBLE) ELSE score END AS score) FROM mem)"""
 _PLACE = "pl AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, CAST(post_id AS VARCHAR) DESC) - 1 AS INTEGER) AS place FROM mix)"
@@ -531,7 +568,7 @@ _BOTH = "bo AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT src, dst, we
 _KNOWN = "bo2 AS (SELECT * FROM bo WHERE src IN (SELECT id FROM users) AND dst IN (SELECT id FROM users))"
 _RANKS = ", ".join(
     ["sh AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS s FROM bo2)", "r0 AS (SELECT id, 1.0::DOUBLE AS r FROM users)"]
-    + [f"r{n} AS (SELECT u.id, 0.15 + 0.85 * coalesce(x.g, 0.0) AS r FROM users u LEFT JOIN (SELECT dst, sum(r * s) AS g FROM sh JOIN r{n - 1} ON r{n - 1}.id = sh.src GROUP BY 1) x ON x.dst = u.id)" for n in range(1, PR.pagerank_iterations + 1)]
+    + [f"r{n} AS (SELECT u.id, 0.15 + 0.85 * coalesce(x.g, 0.0) AS r FROM users u LEFT JOIN (SELECT dst, sum(r * s) AS g FROM sh JOIN r{n - 1} ON r{n - 1}.id = sh.src GROUP BY 1) x ON x.dst = u.id)" for n in range(1, S.pagerank_iterations + 1)]
 )
 _DIRTY = "SELECT DISTINCT cluster_id FROM users WHERE id % 5 <> 1 AND cluster_id <> -1 AND id IN (SELECT user_id FROM reactions WHERE happened_at > TIMESTAMP '2024-01-30 20:00:00')"
 _LATE = "(user_id % 5 <> 1 OR happened_at <= TIMESTAMP '2024-01-29 00:00:00')"
@@ -553,18 +590,29 @@ _LEFT |= {"users": "SELECT * FROM users WHERE id NOT IN (SELECT id FROM gu)", "p
 _LEFT |= {"user_communities": f"SELECT DISTINCT cluster_id FROM ({_LEFT['users']})", "post_communities": f"SELECT DISTINCT cluster_id FROM ({_LEFT['posts']})"}
 _LEFT |= {"interests": f"SELECT * FROM i WHERE uc IN (SELECT cluster_id FROM ({_LEFT['users']})) AND pc IN (SELECT cluster_id FROM ({_LEFT['posts']}))"}
 
+#: What each kind of purge empties, of what is counted.
+_EMPTIED = {
+    "embeddings": ("embedded", "clustered_posts", "interests"), "similarity": ("clustered_posts", "interests"), "clusters": ("clustered_users", "clustered_posts", "user_communities", "post_communities", "interests", "recommended"),
+    "interests": ("interests",), "recommendations": ("recommended",), "interactions": ("interacts",),
+    "graph": ("users", "posts", "favourited", "recommended", "interacts", "interests", "user_communities", "post_communities", "embedded", "clustered_users", "clustered_posts"),
+}
+_PURGED = "kinds AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, {list(v)} AS gone" for k, v in _EMPTIED.items()) + """), tables AS (SELECT 'users' AS name, count(*) AS n FROM users UNION ALL SELECT 'posts', count(*) FROM posts UNION ALL SELECT 'favourited', count(*) FROM favourited
+UNION ALL SELECT 'recommended', count(*) FROM recommended UNION ALL SELECT 'interacts', count(*) FROM ug UNION ALL SELECT 'interests', count(*) FROM i UNION ALL SELECT 'user_communities', count(*) FROM us UNION ALL SELECT 'post_communities', count(*) FROM ps
+UNION ALL SELECT 'embedded', count(embedding) FROM posts UNION ALL SELECT 'clustered_users', count(cluster_id) FROM users UNION ALL SELECT 'clustered_posts', count(cluster_id) FROM posts)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         interest_scores, interest_scores_no_ctr, interest_dirty, interest_scores_dirty, interest_global_decay, interest_unexpired, interest_refresh, community_similarity, serendipity_similar, serendipity_random,
-        local_popularity, global_popularity, blended_popularity, recency_score, language_boosts, feed_eligible_pairs, feed_filter_flags, feed_personalized_all, feed_detail, feed_explain_pair, feed_cold_start,
+        local_popularity, global_popularity, blended_popularity, recency_score, language_boosts, feed_eligible_pairs, feed_filter_flags, feed_personalized_all, feed_detail, feed_explain_pairs, feed_cold_start, public_feed_members,
         public_feed_local, public_feed_all, public_feed_local_authors, feed_rank_scores, feed_own_entries, feed_cleared, feed_member_rank, feed_range, feed_lengths, dirty_users, merge_recommended, feed_times, active_users,
-        knn_edges, knn_edges_cosine, knn_incremental, similarity_stats, similarity_pruned, vector_readiness, user_communities, post_communities, connected_parts, modularity, singleton_collapse, community_sizes,
-        community_rebuild, graph_diagnostics, cleanup_cascade, purge_counts, node_edge_counts, connectivity, embedding_coverage, mean_interactions, top_languages, size_distribution, size_stats,
+        knn_edges, knn_edges_cosine, knn_incremental, knn_incremental_edges, similarity_stats, similarity_pruned, vector_readiness, user_communities, post_communities, connected_parts, modularity, singleton_collapse, community_sizes,
+        community_rebuild, graph_diagnostics, cleanup_cascade, purge_counts, user_community_soundness, post_community_soundness, node_edge_counts, connectivity, embedding_coverage, mean_interactions, top_languages, size_distribution, size_stats,
         top_user_communities, top_post_communities, user_profile, post_profile, interest_overview, export_interests, export_members, export_edges, graph_readiness,
     )
 } | {"pagerank": page_rank}
 
+_NOTES_SQL = ", ".join(f"CASE WHEN {flag.replace('~', 'NOT ')} THEN '{text.replace(chr(39), chr(39) * 2)}' END" for flag, text in feeds.NOTES)
 _SCORES = "SELECT uc, pc, round(score, 6) AS score, round(based_on, 6) AS based_on, last_updated, expires_at FROM"
 _DETAIL = ", ".join(c if c == "age_hours" else f"round({c}, 6) AS {c}" for c in feeds.DETAIL)
 SQL = {
@@ -582,6 +630,8 @@ j AS (SELECT uc1, uc2, k::DOUBLE / (a.n + b.n - k) AS score FROM x JOIN z a ON a
     "serendipity_similar": f"""{_B}, i AS (SELECT * FROM ({_interest_sql()}) WHERE (uc + pc) % 3 <> 0), m AS (SELECT DISTINCT user_id, post_id % 5 AS uc FROM replied), z AS (SELECT uc, count(*) AS n FROM m GROUP BY 1), x AS (SELECT a.uc AS uc1, b.uc AS uc2, count(*) AS k FROM m a JOIN m b ON a.user_id = b.user_id AND a.uc <> b.uc GROUP BY 1, 2),
 j AS (SELECT uc1, uc2, k::DOUBLE / (a.n + b.n - k) AS score FROM x JOIN z a ON a.uc = uc1 JOIN z b ON b.uc = uc2), s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uc1 ORDER BY score DESC, uc2) AS n FROM j) WHERE n <= 5)
 SELECT s.uc1 AS uc, i.pc, round(0.1::DOUBLE * min(s.score * i.score), 6) AS score FROM s JOIN i ON i.uc = s.uc2 WHERE (s.uc1, i.pc) NOT IN (SELECT (uc, pc) FROM i) GROUP BY 1, 2""",
+    "serendipity_random": f"""{_B}, i AS (SELECT * FROM ({_interest_sql()}) WHERE (uc + pc) % 3 <> 0), u AS (SELECT DISTINCT uc, {_hash_sql("'0-' || uc")} % 2 AS b FROM i), p AS (SELECT DISTINCT cluster_id AS pc, {_hash_sql("'0-' || cluster_id")} % 2 AS b FROM posts)
+SELECT uc, pc FROM u JOIN p USING (b) WHERE (uc, pc) NOT IN (SELECT (uc, pc) FROM i) ORDER BY {_hash_sql("'0-' || uc || '-' || pc")}, uc, pc LIMIT 100""",
     "local_popularity": f"{_B}, {_LOCAL} SELECT post_id, local_raw, round(log10(local_raw + 1), 6) AS contrib FROM lr",
     "global_popularity": f"{_B}, {_rated_sql()} SELECT id, round(global_raw, 6) AS global_raw, round(log10(global_raw + 1.0), 6) AS popularity_contrib FROM rp",
     "blended_popularity": f"{_B}, {_rated_sql()} SELECT id, round(0.5 * log10(local_raw + 1.0) + 0.5 * log10(global_raw + 1.0), 6) AS popularity_contrib FROM rp",
@@ -590,13 +640,23 @@ SELECT s.uc1 AS uc, i.pc, round(0.1::DOUBLE * min(s.score * i.score), 6) AS scor
     "feed_eligible_pairs": f"{_B}, {_PAIRS} SELECT user_id, post_id FROM pr WHERE {_UNSEEN.format(u='pr.user_id', p='pr.post_id', a='pr.author_id')}",
     "feed_filter_flags": f"""{_B}, {_PAIRS} SELECT user_id, post_id, (user_id, post_id) IN (SELECT (user_id, post_id) FROM recommended) AS was_recommended, (user_id, post_id) IN (SELECT (user_id, post_id) FROM wrote) AS is_author,
 (user_id, post_id) IN (SELECT (user_id, post_id) FROM favourited) AS has_favourited, (user_id, author_id) IN (SELECT (src, dst) FROM hates) AS hates_author FROM pr""",
-    "feed_personalized_all": f"{_B}, {_FEED}, {_TOP} SELECT user_id, post_id, round(score, 6) AS score, rank FROM t WHERE rank <= 10",
-    "feed_detail": f"{_B}, {_FEED}, {_TOP} SELECT user_id, post_id, round(score, 6) AS score, rank, {_DETAIL} FROM t WHERE rank <= 10",
-    "feed_explain_pair": f"""{_B}, {_FEED}, pr AS (SELECT 3::BIGINT AS user_id, id AS post_id, author_id FROM posts WHERE id = 5) SELECT pr.post_id, pr.user_id, pr.author_id, (pr.user_id, pr.post_id) IN (SELECT (user_id, post_id) FROM recommended) AS was_recommended,
-(pr.user_id, pr.post_id) IN (SELECT (user_id, post_id) FROM wrote) AS is_author, (pr.user_id, pr.post_id) IN (SELECT (user_id, post_id) FROM favourited) AS has_favourited, (pr.user_id, pr.author_id) IN (SELECT (src, dst) FROM hates) AS hates_author,
-round(interest_score, 6) AS interest_score, round(share_i, 6) AS share_i, round(score, 6) AS score, CASE WHEN score IS NOT NULL THEN 'personalized' ELSE 'not_scored' END AS path FROM pr LEFT JOIN sc ON sc.user_id = pr.user_id AND sc.post_id = pr.post_id""",
+    "feed_personalized_all": f"{_B}, {_FEED}, {_TOP} SELECT user_id, post_id, round(score, 6) AS score, rank FROM t WHERE rank <= 500",
+    "feed_detail": f"{_B}, {_FEED}, {_TOP} SELECT user_id, post_id, round(score, 6) AS score, rank, {_DETAIL} FROM t WHERE rank <= 500",
+    "feed_explain_pairs": f"""{_B}, {_FEED}, pr AS (SELECT x.user_id, x.post_id, p.author_id, created_at > {_T} - INTERVAL 7 DAY AS within_feed_days, embedding IS NOT NULL AS has_embedding,
+(x.user_id, x.post_id) IN (SELECT (user_id, post_id) FROM recommended) AS was_recommended, (x.user_id, x.post_id) IN (SELECT (user_id, post_id) FROM wrote) AS is_author, (x.user_id, x.post_id) IN (SELECT (user_id, post_id) FROM favourited) AS has_favourited,
+(x.user_id, p.author_id) IN (SELECT (src, dst) FROM hates) AS hates_author FROM (SELECT user_id, post_id FROM reactions UNION SELECT user_id, post_id FROM recommended) x JOIN posts p ON p.id = x.post_id),
+op AS (SELECT user_id, post_id FROM pr WHERE NOT was_recommended AND NOT is_author AND NOT has_favourited AND NOT hates_author),
+pa AS (SELECT user_id, post_id, 'personalized' AS path, score AS final_score, interest_score, share_i, norm_pc_size, local_raw, global_raw, popularity_contrib, age_hours, pagerank, language_match FROM sc SEMI JOIN op USING (user_id, post_id)
+UNION ALL SELECT op.user_id, op.post_id, 'cold_start', pop * 0.7 + 0.3 / (age_hours / 24.0 + 1.0) + pagerank * 0.1 + {_BOOST.format(p='p', u='u')}, 0.0, 0.0, 0.0, local_raw, global_raw, pop, age_hours, pagerank, {_BOOST.format(p='p', u='u')}
+FROM op JOIN rp p ON p.id = op.post_id JOIN users u ON u.id = op.user_id WHERE p.embedding IS NOT NULL AND (op.user_id, op.post_id) NOT IN (SELECT (user_id, post_id) FROM sc)),
+me AS (SELECT user_id, post_id, (post_id % 7)::DOUBLE AS member_score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY post_id % 7 DESC, post_id::VARCHAR DESC) - 1 AS INTEGER) AS place, count(*) OVER (PARTITION BY user_id) AS n_members FROM reblogged)
+SELECT pr.*, coalesce(path, 'not_scored') AS path, round(final_score, 6) AS final_score, {_DETAIL}, member_score, place, n_members, CASE WHEN path IS NULL THEN array_to_string(list_filter([{_NOTES_SQL}], lambda t: t IS NOT NULL), ' ') ELSE '' END AS notes
+FROM pr LEFT JOIN pa USING (user_id, post_id) LEFT JOIN me USING (user_id, post_id)""",
+    "public_feed_members": f"""{_B}, {_I}, {_rated_sql()}, w AS (SELECT pc, sum(score * n) AS ci FROM i JOIN (SELECT cluster_id AS uc, count(*) AS n FROM users WHERE is_local GROUP BY 1) USING (uc) GROUP BY 1),
+f AS (SELECT id, row_number() OVER (ORDER BY ci * 0.5 + pop * 0.3 + 0.2 / (age_hours / 24.0 + 1.0) + pagerank * 0.1 DESC, id DESC) AS rank FROM rp JOIN w ON w.pc = rp.cluster_id)
+SELECT 'local' AS key, id AS post_id, CAST(max(id) OVER () * 10 + count(*) OVER () - (rank - 1) AS DOUBLE) AS score FROM f WHERE rank <= 500""",
     "feed_cold_start": f"""{_B}, {_rated_sql()}, t AS (SELECT u.id AS user_id, p.id AS post_id, pop * 0.7 + 0.3 / (age_hours / 24.0 + 1.0) + pagerank * 0.1 + {_BOOST.format(p='p', u='u')} AS score FROM users u CROSS JOIN rp p
-WHERE u.id % 5 = 2 AND p.embedding IS NOT NULL AND {_UNSEEN.format(u='u.id', p='p.id', a='p.author_id')}) SELECT user_id, post_id, round(score, 6) AS score, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, post_id DESC) AS n FROM t) WHERE n <= 10""",
+WHERE p.embedding IS NOT NULL AND {_UNSEEN.format(u='u.id', p='p.id', a='p.author_id')}) SELECT user_id, post_id, round(score, 6) AS score, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, post_id DESC) AS n FROM t) WHERE n <= 500""",
     "public_feed_local": _public_sql(True, False),
     "public_feed_all": _public_sql(False, False),
     "public_feed_local_authors": _public_sql(True, True),
@@ -616,6 +676,7 @@ AND coalesce(feed_generated_at IS NULL OR pa > feed_generated_at OR (n.uc IS NOT
     "knn_edges": f"WITH {_V}, {_KNN} SELECT src, dst, round(weight, 6) AS weight FROM ed",
     "knn_edges_cosine": f"WITH {_V}, {_knn_sql(7, 'c', 0.2)} SELECT src, dst, round(weight, 6) AS weight FROM ed",
     "knn_incremental": f"WITH {_V}, {_knn_sql(7, '(1 + c) / 2', 0.6, 'a.id % 2 = 0 AND b.id % 2 = 0')} SELECT id FROM v WHERE id NOT IN (SELECT src FROM ed)",
+    "knn_incremental_edges": f"WITH {_V}, {_knn_sql(7, '(1 + c) / 2', 0.6, 'a.id % 2 = 0 AND b.id % 2 = 0')}, {_KNN.replace('c AS', 'c2 AS', 1).replace('ed AS', 'ed2 AS', 1).replace('FROM c)', 'FROM c2)', 1)} SELECT src, dst, round(weight, 6) AS weight FROM (SELECT * FROM ed UNION ALL SELECT * FROM ed2 WHERE src NOT IN (SELECT src FROM ed))",
     "similarity_stats": f"WITH {_V}, {_KNN} SELECT count(*) AS n_edges, count(DISTINCT src) AS n_sources, round(min(weight), 6) AS min_weight, round(avg(weight), 6) AS avg_weight, round(quantile_cont(weight, 0.5), 6) AS median_weight, round(max(weight), 6) AS max_weight, (SELECT count(*) FROM v WHERE id NOT IN (SELECT src FROM ed)) AS n_without FROM ed",
     "similarity_pruned": f"WITH {_V}, {_KNN40} SELECT src, dst, 'temporal' AS strategy FROM ed WHERE src NOT IN (SELECT id FROM v WHERE created_at < {_T} - INTERVAL 20 DAY) UNION ALL SELECT src, dst, 'partial' FROM ed WHERE weight >= 0.7",
     "vector_readiness": "SELECT count(*) AS n_posts, count(embedding) AS n_vectors, count_if(len(embedding) = 64) AS n_fit FROM post",
@@ -623,7 +684,7 @@ AND coalesce(feed_generated_at IS NULL OR pa > feed_generated_at OR (n.uc IS NOT
 reach AS (SELECT id, id AS other FROM v UNION SELECT r.id, b.dst FROM reach r JOIN b ON b.src = r.other) SELECT id, min(other) AS component FROM reach GROUP BY 1""",
     "modularity": f"""{_B}, {_UG}, {_BOTH}, x AS (SELECT a.cluster_id AS c1, b.cluster_id AS c2, weight FROM bo JOIN users a ON a.id = src JOIN users b ON b.id = dst), y AS (SELECT c1, sum(CASE WHEN c1 = c2 THEN weight ELSE 0 END) AS i, sum(weight) AS k FROM x GROUP BY 1)
 SELECT (SELECT count(DISTINCT cluster_id) FROM users) AS communities, round(sum(i / (SELECT sum(weight) FROM bo) - (k / (SELECT sum(weight) FROM bo)) * (k / (SELECT sum(weight) FROM bo))), 6) AS modularity FROM y""",
-    "pagerank": f"{_B}, {_UG}, {_BOTH}, {_KNOWN}, {_RANKS} SELECT id, round(r, 6) AS pagerank FROM r{PR.pagerank_iterations}",
+    "pagerank": f"{_B}, {_UG}, {_BOTH}, {_KNOWN}, {_RANKS} SELECT id, round(r, 6) AS pagerank FROM r{S.pagerank_iterations}",
     "singleton_collapse": f"{_B}, u AS (SELECT id, CASE WHEN id % 4 = 0 THEN id ELSE cluster_id END AS c FROM users) SELECT id, CASE WHEN count(*) OVER (PARTITION BY c) = 1 THEN -1 ELSE c END AS cluster_id FROM u",
     "community_sizes": f"{_B}, {_SIZES} SELECT *, 'user' AS kind FROM us UNION ALL SELECT *, 'post' FROM ps",
     "community_rebuild": f"{_B}, {_SIZES} SELECT * FROM us WHERE id <> 2",
@@ -631,7 +692,9 @@ SELECT (SELECT count(DISTINCT cluster_id) FROM users) AS communities, round(sum(
 (SELECT quantile_cont(d::DOUBLE, 0.5) FROM dg) AS degree_p50, (SELECT quantile_cont(d::DOUBLE, 0.9) FROM dg) AS degree_p90, (SELECT quantile_cont(d::DOUBLE, 0.99) FROM dg) AS degree_p99,
 (SELECT count(*) FROM users WHERE id NOT IN (SELECT src FROM ug) AND id NOT IN (SELECT dst FROM ug)) AS n_isolated, round(0.1::DOUBLE / sum(weight), 9) AS resolution_per_weight FROM ug""",
     "cleanup_cascade": f"{_B}, {_I}, {_GONE} " + " UNION ALL ".join(f"SELECT '{k}' AS name, count(*) AS n FROM ({q})" for k, q in _LEFT.items()),
-    "purge_counts": f"{_B} SELECT 'interests' AS name, 0::BIGINT AS n UNION ALL SELECT 'clustered', 0 UNION ALL SELECT 'recommended', 0 UNION ALL SELECT 'favourited', count(*) FROM favourited",
+    "purge_counts": f"{_B}, {_I}, {_SIZES}, {_UG}, " + _PURGED + " SELECT kind, name, CASE WHEN list_contains(gone, name) THEN 0 ELSE n END AS n FROM kinds, tables",
+    "user_community_soundness": f"{_B} SELECT count(*) AS nodes, count(*) AS labelled, 0::BIGINT AS apart, true AS better FROM users",
+    "post_community_soundness": "SELECT count(*) AS nodes, count(*) AS labelled, 0::BIGINT AS apart, true AS better FROM embeddings",
     "node_edge_counts": f"{_B} {_counts('users', 'posts', 'favourited', 'reblogged', 'replied', 'bookmarked', 'recommended', 'hates', 'wrote')}",
     "connectivity": f"{_B}, {_UG}, dg AS (SELECT u.id, count(e.dst) AS d FROM users u LEFT JOIN ug e ON e.src = u.id GROUP BY 1) SELECT round(avg(d), 6) AS avg_degree, quantile_cont(d::DOUBLE, 0.5) AS median_degree, max(d) AS max_degree, count_if(d = 0 AND id NOT IN (SELECT dst FROM ug)) AS n_isolated FROM dg",
     "embedding_coverage": "SELECT count(*) AS n_posts, count(embedding) AS n_embedded, round(count(embedding) * 100.0::DOUBLE / count(*), 6) AS percent FROM post",

@@ -41,13 +41,13 @@ def favourite_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bookmark_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Every third favourite stands for a bookmark."""
-    return scans.reactions_since(favourites_newest(spark, d).where("id % 3 = 0"), 500)
+    """Favourites stand for bookmarks."""
+    return scans.reactions_since(favourites_newest(spark, d), 500)
 
 
 def _aversions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     f = favourites_newest(spark, d).join(statuses_newest(spark, d).select(F.col("id").alias("status_id"), F.col("account_id").alias("target_account_id")), "status_id")
-    return scans.aversions_since(f.where("id % 5 = 0"), "block", 100), scans.aversions_since(f.where("id % 5 = 1"), "mute", 100)
+    return scans.aversions_since(f.where("id % 2 = 0"), "block", 100), scans.aversions_since(f.where("id % 2 = 1"), "mute", 100)
 
 
 def block_mute_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -188,6 +188,14 @@ def merge_reblogs(spark: SparkSession, d: str) -> DataFrame:
     return of("reblog_of_id").withColumn("kind", F.lit("reblogged")).unionByName(of("in_reply_to_id").withColumn("kind", F.lit("replied")))
 
 
+def merge_bookmarks(spark: SparkSession, d: str) -> DataFrame:
+    """Favourites stand for bookmarks, which come in two loads."""
+    rows = favourites_newest(spark, d).select("id", F.col("account_id").alias("user_id"), F.col("status_id").alias("post_id"), F.col("created_at").alias("happened_at"))
+    none = spark.createDataFrame([], "user_id long, post_id long, happened_at timestamp_ntz")
+    posts = statuses_newest(spark, d).select("id")
+    return merge.merge_reactions(merge.merge_reactions(none, rows.where("id <= 3000"), posts), rows.where("id > 3000"), posts)
+
+
 def merge_totals(spark: SparkSession, d: str) -> DataFrame:
     posts = table(spark, d, "post").groupBy("id").agg(F.max("author_id").alias("author_id"))
     return merge.merge_totals(posts, status_totals(spark, d))
@@ -221,8 +229,8 @@ LEFT JOIN (SELECT account_id AS b, max(created_at) AS si FROM fv GROUP BY 1) y O
 WHERE greatest(coalesce(ls, created_at), coalesce(si, created_at)) >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY"""
 _TOTALS = f"""SELECT id, coalesce(f, 0) + coalesce(CASE WHEN id % 2 = 0 THEN r END, 0) AS total_favourites, coalesce(r, 0) + 1 AS total_reblogs, p AS total_replies
 FROM (SELECT id, max(total_favourites) AS f, max(total_reblogs) AS r, max(total_replies) AS p FROM post GROUP BY id) WHERE id > {CURSOR}"""
-_AVERSE = """SELECT f.id, f.account_id, s.account_id AS target_account_id, CASE WHEN f.id % 5 = 0 THEN 'block' ELSE 'mute' END AS type
-FROM fv f JOIN st s ON s.id = f.status_id WHERE f.id > 100 AND f.id % 5 IN (0, 1)"""
+_AVERSE = """SELECT f.id, f.account_id, s.account_id AS target_account_id, CASE WHEN f.id % 2 = 0 THEN 'block' ELSE 'mute' END AS type
+FROM fv f JOIN st s ON s.id = f.status_id WHERE f.id > 100"""
 
 
 def _edges(fav: str, own: str, men: str, fol: str) -> str:
@@ -248,7 +256,7 @@ QUERIES = {
     for f in (
         status_scan_since, status_scan_cursor, favourite_scan, bookmark_scan, block_mute_scan, block_mute_union, user_activity, active_user_count, account_lookup, account_by_handle,
         status_by_uri, status_references, accounts_by_id, table_stats, snowflake_times, status_totals, interaction_cursors, interaction_edges_incremental, corpus_filter, corpus_extent,
-        corpus_tokens, embeddable_texts, embeddable_by_batch, tweet_tokens, phrases, merge_posts_keep_old, merge_favourites_first_wins, merge_reblogs, merge_totals, merge_activity,
+        corpus_tokens, embeddable_texts, embeddable_by_batch, tweet_tokens, phrases, merge_posts_keep_old, merge_favourites_first_wins, merge_reblogs, merge_bookmarks, merge_totals, merge_activity,
         ensure_users, scalar_functions,
     )
 } | {"interaction_edges": interactions}
@@ -257,7 +265,7 @@ SQL = {
     "status_scan_since": f"{_WITH} SELECT {_COLUMNS} FROM st WHERE id > {_FLOOR} AND deleted_at IS NULL",
     "status_scan_cursor": f"{_WITH} SELECT {_COLUMNS} FROM st WHERE id > {CURSOR} AND deleted_at IS NULL",
     "favourite_scan": f"{_WITH} SELECT id, account_id, status_id, created_at FROM fv WHERE id > 1000 AND created_at >= TIMESTAMP '{SINCE}'",
-    "bookmark_scan": f"{_WITH} SELECT id, account_id, status_id, created_at FROM fv WHERE id > 500 AND id % 3 = 0",
+    "bookmark_scan": f"{_WITH} SELECT id, account_id, status_id, created_at FROM fv WHERE id > 500",
     "block_mute_scan": f"{_WITH} {_AVERSE}",
     "block_mute_union": f"{_WITH} SELECT DISTINCT account_id AS src, target_account_id AS dst FROM ({_AVERSE})",
     "user_activity": f"{_WITH} {_ACTIVITY}",
@@ -285,6 +293,7 @@ SELECT a AS first, b AS second, n, round(s, 6) AS score FROM x WHERE s > 10""",
     "merge_posts_keep_old": "SELECT id, max(author_id) AS author_id, CASE WHEN id % 2 = 0 THEN max_by(total_favourites, (author_id, language, created_at, total_favourites)) ELSE -1 END AS total_favourites, CAST(1 AS INTEGER) AS dims FROM post WHERE len(embedding) = 64 GROUP BY id",
     "merge_favourites_first_wins": f"{_WITH}, r AS ({_ROWS}), a AS ({_FIRST} FROM r WHERE id % 2 = 0 GROUP BY 1, 2), b AS ({_FIRST} FROM r GROUP BY 1, 2) SELECT * FROM a UNION ALL SELECT * FROM b WHERE (user_id, post_id) NOT IN (SELECT (user_id, post_id) FROM a)",
     "merge_reblogs": f"{_WITH}, r AS (SELECT id, account_id AS user_id, reblog_of_id AS post_id, created_at AS happened_at, 'reblogged' AS kind FROM st UNION ALL SELECT id, account_id, in_reply_to_id, created_at, 'replied' FROM st) {_FIRST}, kind FROM r WHERE post_id IN (SELECT id FROM st) GROUP BY user_id, post_id, kind",
+    "merge_bookmarks": f"{_WITH} {_FIRST} FROM (SELECT id, account_id AS user_id, status_id AS post_id, created_at AS happened_at FROM fv WHERE status_id IN (SELECT id FROM st)) GROUP BY 1, 2",
     "merge_totals": f"SELECT p.id, author_id, total_favourites, total_reblogs, total_replies FROM (SELECT id, max(author_id) AS author_id FROM post GROUP BY 1) p LEFT JOIN ({_TOTALS}) t ON t.id = p.id",
     "merge_activity": f"{_WITH} SELECT ac.id, a.last_active, coalesce(a.is_local, false) AS is_local FROM ac LEFT JOIN ({_ACTIVITY}) a ON a.account_id = ac.id WHERE ac.id % 2 = 0",
     "ensure_users": f"{_WITH} SELECT id, username FROM ac UNION ALL SELECT DISTINCT account_id, NULL FROM fv WHERE account_id IS NOT NULL AND account_id NOT IN (SELECT id FROM ac)",
