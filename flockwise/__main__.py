@@ -10,7 +10,7 @@ from flockwise.operators.export import export_bundle, import_bundle
 from flockwise.plans.pipeline import Engine
 from flockwise.session import build_session
 
-VERBS = ("run", "refresh", "export", "validate", "user", "post", "train", "clean", "reindex", "model-export", "model-import")
+VERBS = ("run", "refresh", "export", "validate", "user", "post", "train", "clean", "cleanup", "reindex", "model-export", "model-import")
 
 
 def main(args: list[str] | None = None) -> int:
@@ -22,6 +22,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--master", help="Spark master; the cluster's own under spark-submit")
     parser.add_argument("--hours", type=float, default=24.0)
     parser.add_argument("--id", type=int)
+    parser.add_argument("--viewer", type=int, help="the user whose feed a post is explained for")
     parser.add_argument("--kind", choices=sorted(PURGES), default="interests", help="what to clean")
     parser.add_argument("--model", help="directory or archive of a model")
     parser.add_argument("--target", help="where a model goes")
@@ -34,13 +35,15 @@ def main(args: list[str] | None = None) -> int:
         rows = engine.refresh(given.as_of, given.hours)
         rows.write.mode("overwrite").parquet(f"{given.root}/refreshed_interests")
     elif given.verb == "export":
-        print(engine.export(given.as_of))
+        print(engine.export(given.as_of, given.id))
     elif given.verb == "validate":
-        print(engine.validate())
+        print(engine.validate(), *engine.warnings(), sep="\n")
     elif given.verb == "train":
         print(engine.train(given.model))
     elif given.verb == "clean":
         print(engine.clean(given.kind))
+    elif given.verb == "cleanup":
+        print(engine.cleanup(given.as_of))
     elif given.verb == "reindex":
         print(engine.reindex())
     elif given.verb == "model-export":
@@ -48,7 +51,8 @@ def main(args: list[str] | None = None) -> int:
     elif given.verb == "model-import":
         print(import_bundle(Path(given.model), Path(given.target)))
     else:
-        engine.table("users" if given.verb == "user" else "posts").where(f"id = {given.id}").show(truncate=60)
+        for df in engine.user(given.id) if given.verb == "user" else engine.post(given.id, given.as_of, given.viewer):
+            df.show(truncate=60, vertical=True)
     return 0
 
 

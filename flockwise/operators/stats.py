@@ -131,6 +131,23 @@ def post_profile(posts: DataFrame, post_id: int, reactions: DataFrame, sizes: Da
     return sized.select(*me.columns, "size", *[counts.select(c).scalar().alias(c) for c in counts.columns])
 
 
+def feed_top_posts(members: DataFrame, posts: DataFrame, user_id: int, limit: int = 5) -> DataFrame:
+    """(place, post_id, score, source, preview) of the first members of a user's feed."""
+    from flockwise.functions.scalar import preview
+    from flockwise.operators.feeds import entry_source, member_range
+    from flockwise.settings import Settings
+
+    mine = member_range(members.where(F.col("user_id") == user_id), 0, limit - 1)
+    text = posts.select(F.col("id").alias("post_id"), (preview(F.col("text"), 60) if "text" in posts.columns else F.lit("")).alias("preview"))
+    return mine.join(text, "post_id", "left").select("place", "post_id", "score", entry_source(Settings()).alias("source"), "preview").orderBy("place")
+
+
+def feed_shares(members: DataFrame, multiplier: int) -> DataFrame:
+    """(user_id, n, own, native) of each feed: how many members this engine wrote."""
+    mine = F.lit(multiplier > 1) & (F.col("score") >= F.col("post_id") * multiplier)
+    return members.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(mine).alias("own"), F.count_if(~mine).alias("native"))
+
+
 def interest_overview(interests: DataFrame, as_of: Column) -> DataFrame:
     """Interests, and how many of them are running or over; one row."""
     over = F.col("expires_at") < as_of

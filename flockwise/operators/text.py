@@ -20,18 +20,31 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(squeezed, F.lit(r"https?://\S+|#[\p{L}\p{N}_]+|[\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*|[:;=]-?[()dp]"), F.lit(0))
 
 
-def phrase_scores(docs: DataFrame, min_count: int = 5, threshold: float = 10.0) -> DataFrame:
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(w, c): occurrences of each word; `docs` has (tokens)."""
+    return docs.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(first, second, n): occurrences of each pair of neighbouring words."""
+    pair = F.transform(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.struct(F.col("tokens")[i - 1].alias("first"), F.col("tokens")[i].alias("second")))
+    return docs.where(F.size("tokens") > 1).select(F.explode(pair).alias("p")).groupBy("p.first", "p.second").agg(F.count("*").alias("n"))
+
+
+def scored_phrases(pairs: DataFrame, words: DataFrame, min_count: int = 5, threshold: float = 10.0) -> DataFrame:
     """(first, second, n, score) of word pairs that stand together more often than apart.
 
-    The score is (n - min_count) * vocabulary / (n of first * n of second) (Mikolov et al. 2013). `docs` has (tokens).
+    The score is (n - min_count) * vocabulary / (n of first * n of second) (Mikolov et al. 2013).
     """
-    words = docs.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count("*").alias("c"))
-    pair = F.transform(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.struct(F.col("tokens")[i - 1].alias("a"), F.col("tokens")[i].alias("b")))
-    pairs = docs.where(F.size("tokens") > 1).select(F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
     size = words.agg(F.count("*").alias("v")).scalar()
-    joined = pairs.join(words.select(F.col("w").alias("a"), F.col("c").alias("ca")), "a").join(words.select(F.col("w").alias("b"), F.col("c").alias("cb")), "b")
+    joined = pairs.where(F.col("n") >= min_count).join(words.select(F.col("w").alias("first"), F.col("c").alias("ca")), "first").join(words.select(F.col("w").alias("second"), F.col("c").alias("cb")), "second")
     score = (F.col("n") - min_count) * size / (F.col("ca") * F.col("cb"))
-    return joined.select(F.col("a").alias("first"), F.col("b").alias("second"), "n", score.cast("double").alias("score")).where(F.col("score") > threshold)
+    return joined.select("first", "second", "n", score.cast("double").alias("score")).where(F.col("score") > threshold)
+
+
+def phrase_scores(docs: DataFrame, min_count: int = 5, threshold: float = 10.0) -> DataFrame:
+    """The phrases of (tokens)."""
+    return scored_phrases(pair_counts(docs), word_counts(docs), min_count, threshold)
 
 
 def added_phrases(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -39,33 +52,63 @@ def added_phrases(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select("first", "second", "n").unionByName(new.select("first", "second", "n")).groupBy("first", "second").agg(F.sum("n").alias("n"))
 
 
-def joined_phrases(docs: DataFrame, phrases: DataFrame, limit: int = 1_000_000) -> DataFrame:
-    """Docs with phrases written as one token, a_b, greedily from the left.
+#: Phrases that are sent to all tasks, as eight bytes each; more are met in a join.
+SENT_PHRASES = 8_000_000
 
-    The phrase list is a model of bounded size: the `limit` best by score are sent to all tasks.
-    """
-    best = phrases.orderBy(F.desc("score"), "first", "second").limit(limit).select("first", "second").collect()
-    sent = docs.sparkSession.sparkContext.broadcast({(r[0], r[1]) for r in best})
-    names = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+def _phrase_number(first: str, second: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(f"{first}\x00{second}") >> 1
+
+
+def _greedy(words: list[str], starts) -> list[str]:
+    """Words with a pair written as one token wherever it starts at a place in `starts`, from the left."""
+    made, at = [], 0
+    while at < len(words):
+        if at + 1 < len(words) and at in starts:
+            made.append(f"{words[at]}_{words[at + 1]}")
+            at += 2
+        else:
+            made.append(words[at])
+            at += 1
+    return made
+
+
+def joined_phrases(docs: DataFrame, phrases: DataFrame, key: str = "id", sent: int = SENT_PHRASES) -> DataFrame:
+    """Docs with phrases written as one token, a_b, greedily from the left; `docs` has a unique `key` and `tokens`.
+
+    Up to `sent` phrases go to all tasks as numbers (64-bit hashes); of more, each pair of neighbouring tokens meets
+    its phrase in a join. Both give the same.
+    """
+    names, place = docs.columns, docs.columns.index("tokens")
+    if phrases.limit(sent + 1).count() <= sent:
+        held = np.array(sorted({_phrase_number(r[0], r[1]) for r in phrases.select("first", "second").toLocalIterator()}), np.int64)
+        known = docs.sparkSession.sparkContext.broadcast(held)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for words in batch.column(place).to_pylist():
+                    words = words or []
+                    numbers = np.array([_phrase_number(a, b) for a, b in zip(words, words[1:])], np.int64)
+                    out.append(_greedy(words, set(np.nonzero(np.isin(numbers, known.value))[0].tolist())))
+                columns = [pa.array(out, pa.list_(pa.string())) if n == "tokens" else batch.column(i) for i, n in enumerate(names)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        return docs.mapInArrow(run, docs.schema)
+    pair = F.transform(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.struct((i - 1).alias("at"), F.col("tokens")[i - 1].alias("first"), F.col("tokens")[i].alias("second")))
+    pairs = docs.where(F.size("tokens") > 1).select(F.col(key).alias("_k"), F.explode(pair).alias("p")).select("_k", "p.*")
+    found = pairs.join(phrases.select("first", "second").distinct(), ["first", "second"]).groupBy("_k").agg(F.collect_list("at").alias("_starts"))
+    met = docs.join(found, docs[key] == found["_k"], "left").select(*names, F.coalesce("_starts", F.array().cast("array<int>")).alias("_starts"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for words in batch.column(names.index("tokens")).to_pylist():
-                made, at = [], 0
-                while words and at < len(words):
-                    if at + 1 < len(words) and (words[at], words[at + 1]) in known:
-                        made.append(f"{words[at]}_{words[at + 1]}")
-                        at += 2
-                    else:
-                        made.append(words[at])
-                        at += 1
-                out.append(made)
+            out = [_greedy(w or [], set(s)) for w, s in zip(batch.column(place).to_pylist(), batch.column(len(names)).to_pylist())]
             columns = [pa.array(out, pa.list_(pa.string())) if n == "tokens" else batch.column(i) for i, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return met.mapInArrow(join, docs.schema)
 
 
 def hashed_embeddings(docs: DataFrame, dims: int = 64, ngrams: tuple[int, int] = NGRAMS) -> DataFrame:
@@ -119,6 +162,22 @@ def word2vec(docs: DataFrame, dims: int = 128, window: int = 3, min_count: int =
     return Word2Vec(vectorSize=dims, windowSize=window, minCount=min_count, maxIter=epochs, numPartitions=max(1, docs.rdd.getNumPartitions()), inputCol="tokens", outputCol="embedding", seed=seed).fit(docs)
 
 
+def trained_embeddings(docs: DataFrame, model, dims: int = 64) -> DataFrame:
+    """(id, embedding) by a trained word model: the mean of the words' vectors, of length one; `docs` has (id, tokens).
+
+    Texts without a word that the model knows get the hashed vector of the same length.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    from flockwise.functions.vectors import norm, normalised
+
+    size = model.getVectorSize()
+    rows = model.setInputCol("tokens").setOutputCol("_v").transform(docs.select("id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))).select("id", vector_to_array("_v").alias("v"))
+    own = rows.where(norm(F.col("v")) > 0).select("id", normalised(F.col("v")).cast("array<float>").alias("embedding"))
+    rest = hashed_embeddings(docs.join(own.select("id"), "id", "left_anti"), size)
+    return own.unionByName(rest)
+
+
 def served_embeddings(docs: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch_rows: int = 256, tries: int = 3) -> DataFrame:
     """(id, embedding) from any function of texts, called per sub-batch and retried; `docs` has (id, text)."""
 

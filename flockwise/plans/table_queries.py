@@ -11,8 +11,8 @@ from flockwise.operators.interactions import Cursors, interaction_edges, next_cu
 from flockwise.operators.text import phrase_scores, tokens
 from flockwise.settings import Settings
 from flockwise.sources import scans
-from flockwise.sources.fixtures import TABLE_SQL, accounts_newest, favourites_newest, statuses_newest
-from flockwise.sources.tables import table
+from flockwise.sources.fixtures import TABLE_SQL
+from flockwise.sources.tables import accounts_newest, favourites_newest, statuses_newest, table
 
 SINCE, AS_OF = "2025-10-01 00:00:00", "2026-06-01 00:00:00"
 CURSOR = 115_000_000_000_000_000

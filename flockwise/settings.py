@@ -12,6 +12,7 @@ class Settings:
     # loading
     min_embedding_chars: int = 1
     skip_shortest_share: float = 0.0
+    load_since: str = ""
     # interaction edges
     likes_weight_edge: float = 1.0
     replies_weight_edge: float = 3.0
@@ -31,6 +32,7 @@ class Settings:
     leiden_levels: int = 10
     noise_community: int = -1
     # pagerank
+    pagerank_enabled: bool = True
     damping: float = 0.85
     pagerank_iterations: int = 20
     pagerank_weight: float = 0.1
@@ -51,6 +53,7 @@ class Settings:
     serendipity_limit: int = 100
     serendipity_share: float = 0.1
     similar_communities: int = 5
+    community_similarity_enabled: bool = True
     # feeds
     feed_days: int = 7
     feed_size: int = 500
@@ -75,6 +78,11 @@ class Settings:
     ui_language_weight: float = 0.5
     rank_multiplier: int = 10
     own_entry_tolerance: float = 1e-6
+    feed_force_refresh: bool = False
+    public_feed_enabled: bool = True
+    public_feed_strategy: str = "local_communities"
+    public_timeline_key: str = "timeline:public"
+    local_timeline_key: str = "timeline:public:local"
     # users
     active_days: int = 90
 
@@ -92,10 +100,22 @@ class Settings:
             raise ValueError("popularity_mode must be local, global or blended")
         if self.prune_strategy not in ("aggressive", "partial", "temporal", "none"):
             raise ValueError("prune_strategy must be aggressive, partial, temporal or none")
+        if self.public_feed_strategy not in ("local_communities", "all_communities"):
+            raise ValueError("public_feed_strategy must be local_communities or all_communities")
+        self.since_days()
         if not 0 < self.damping < 1:
             raise ValueError("damping must lie between 0 and 1")
         return self
 
+    def since_days(self) -> int | None:
+        """The days of `load_since`, written '30d'; None if it is empty."""
+        if not self.load_since:
+            return None
+        number = self.load_since.strip().lower().removesuffix("d")
+        if not self.load_since.strip().lower().endswith("d") or not number.isdigit() or int(number) < 1:
+            raise ValueError("load_since must be a number of days like 30d")
+        return int(number)
+
     def similarity_signature(self) -> str:
         """Changes when the nearest-post graph must be built anew."""
         return f"knn:{self.knn_neighbours}:threshold:{self.similarity_threshold}:recency:{self.similarity_recency_days}"

@@ -11,6 +11,21 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def has_table(spark: SparkSession, directory: str, name: str) -> bool:
+    """Whether a data directory holds the table, on any file system Spark knows."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{directory}/{name}.parquet")
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def optional(spark: SparkSession, directory: str, name: str, like: str) -> DataFrame:
+    """The table, with the columns of the schema `like` (null where it lacks one), or an empty one."""
+    empty = spark.createDataFrame([], like)
+    if not has_table(spark, directory, name):
+        return empty
+    df = table(spark, directory, name)
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema])
+
+
 def newest(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """One row per `key`: the one with the largest `order`, then the largest other values in the order of `columns`.
 
@@ -41,3 +56,20 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def statuses_newest(spark: SparkSession, directory: str) -> DataFrame:
+    """One row per status."""
+    columns = ["id", "updated_at", "account_id", "text", "language", "visibility", "reblog_of_id", "in_reply_to_id", "in_reply_to_account_id", "created_at", "deleted_at", "reply", "uri"]
+    return newest(table(spark, directory, "statuses"), "id", "updated_at", columns)
+
+
+def favourites_newest(spark: SparkSession, directory: str) -> DataFrame:
+    """One row per favourite."""
+    return newest(table(spark, directory, "favourites"), "id", "updated_at", ["id", "updated_at", "account_id", "status_id", "created_at"])
+
+
+def accounts_newest(spark: SparkSession, directory: str) -> DataFrame:
+    """One row per account, its domain in lower case without blanks around it."""
+    rows = newest(table(spark, directory, "accounts"), "id", "updated_at", ["id", "updated_at", "username", "domain", "created_at"])
+    return rows.withColumn("domain", F.lower(F.trim("domain")))

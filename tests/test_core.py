@@ -346,7 +346,12 @@ def test_pipeline_end_to_end(spark, small, tmp_path):
     assert third.version == 3 and engine.table("interests").count() == 0 and engine.table("posts_loaded").where("embedding IS NOT NULL").count() == 0
     fourth = engine.reindex()
     assert fourth.version == 4 and engine.table("posts_loaded").where("embedding IS NULL").count() == 0
-    assert engine.train(f"file://{tmp_path}/model", min_docs=20, dims=8, min_count=2, epochs=1)["n_texts"] > 20
+    trained = engine.train(f"file://{tmp_path}/model", min_docs=20, dims=8, min_count=2, epochs=1)
+    assert trained["n_texts"] > 20 and trained["version"] == 1
+    again = engine.train(f"file://{tmp_path}/model", min_docs=20, dims=8, min_count=2, epochs=1)
+    assert again["version"] == 2 and rows(spark.read.parquet(f"{again['model']}/pair_counts")) == rows(spark.read.parquet(f"{trained['model']}/pair_counts"))
+    served = Engine(spark, small, engine.root, engine.settings, model=trained["model"], dims=8)
+    assert served.reindex().embedding_signature.startswith("trained:") and served.table("posts_loaded").where("size(embedding) <> 8").count() == 0
 
 
 def test_windowed_counts_drop_late_rows(spark, tmp_path):
