@@ -366,3 +366,142 @@ def test_windowed_counts_drop_late_rows(spark, tmp_path):
     query.awaitTermination(120)
     got = {(str(r.window_start)[11:16], r.k): r.n for r in spark.table("windows").collect()}
     assert got[("00:00", "a")] == 2 and got[("00:05", "b")] == 1
+
+
+def feed_graph(spark, seed=9, users=60, posts=300):
+    """Readers of a hot community and a hot language, posts with ties, and things they have seen."""
+    rng = np.random.default_rng(seed)
+    langs = [None, "en", "en", "en", "de", "fr", "pt"]
+    pick = lambda: langs[rng.integers(0, len(langs))]
+    u = [(i, int(rng.choice([1, 1, 1, 2, 3, -1])) if rng.random() < 0.9 else None, pick(), [x for x in (pick(), pick()) if x] if rng.random() < 0.5 else None) for i in range(users)]
+    p = [(1000 + i, int(rng.integers(0, 40)), pick(), ts("2024-01-30"), int(rng.choice([10, 10, 10, 11, 12])), float(rng.integers(0, 3)), float(rng.integers(0, 3)), float(rng.integers(0, 4)), int(rng.integers(0, 3)), 0.1, [1.0] if rng.random() < 0.8 else None) for i in range(posts)]
+    pairs = lambda n: [(int(rng.integers(0, users)), 1000 + int(rng.integers(0, posts))) for _ in range(n)]
+    g = {
+        "users": spark.createDataFrame(u, "id long, cluster_id long, ui_language string, languages array<string>"),
+        "rated": spark.createDataFrame(p, "id long, author_id long, language string, created_at timestamp_ntz, cluster_id long, local_raw double, global_raw double, popularity_contrib double, age_hours long, pagerank double, embedding array<float>"),
+        "interests": spark.createDataFrame([(c, k, w) for c, k, w in ((1, 10, 1.0), (1, 11, 0.5), (2, 11, 1.0), (2, 12, 1.0), (3, 10, 0.2), (1, -1, 1.0))], "uc long, pc long, score double").selectExpr("*", "1.0 AS based_on", "CAST(NULL AS TIMESTAMP_NTZ) AS expires_at"),
+        "sizes": spark.createDataFrame([(10, 500), (11, 50), (12, 5)], "id long, size long"),
+    }
+    seen = {k: spark.createDataFrame(pairs(n), "user_id long, post_id long") for k, n in (("favourited", 200), ("recommended", 400))}
+    seen["recommended"] = seen["recommended"].unionByName(spark.createDataFrame([(0, 1000 + i) for i in range(0, posts, 2)], "user_id long, post_id long"))
+    seen["wrote"] = g["rated"].select(F.col("author_id").alias("user_id"), F.col("id").alias("post_id"))
+    seen["hates"] = spark.createDataFrame([(int(rng.integers(0, users)), int(rng.integers(0, 40))) for _ in range(50)], "src long, dst long").distinct()
+    return g, seen
+
+
+def test_feeds_by_classes_are_those_of_all_pairs(spark):
+    g, seen = feed_graph(spark)
+    args = (g["users"], g["rated"], g["interests"], g["sizes"], seen, S)
+    want = rows(feeds.top_of_users(feeds.personalised(*args), 7, feeds.DETAIL))
+    assert len(want) > 200 and rows(feeds.personal_feeds(*args, size=7, columns=feeds.DETAIL)) == want
+    assert feeds.personal_feeds(g["users"].limit(0), *args[1:]).count() == 0 and feeds.personal_feeds(g["users"], g["rated"].limit(0), *args[2:]).count() == 0
+
+
+def test_cold_start_is_that_of_all_pairs(spark):
+    g, seen = feed_graph(spark, 10)
+    s = replace(S, feed_size=7)
+    pairs = g["users"].select(F.col("id").alias("user_id"), "ui_language", "languages").join(g["rated"].where("embedding IS NOT NULL").withColumnRenamed("id", "post_id"), F.lit(True))
+    pairs = feeds.unsuitable(pairs, seen["wrote"], seen["favourited"], seen["recommended"], seen["hates"])
+    base = F.col("popularity_contrib") * s.cold_popularity_weight + scalar.recency(F.col("age_hours"), s) * s.cold_recency_weight + F.col("pagerank") * s.pagerank_weight
+    want = rows(feeds.top_of_users(pairs.withColumn("score", base + scalar.language_boost(F.col("language"), F.col("ui_language"), F.col("languages"), s)), 7))
+    assert len(want) == 7 * 60 and rows(feeds.cold_start(g["users"], g["rated"], seen, s)) == want
+
+
+def test_shortest_texts_are_cut_by_counts(spark, monkeypatch):
+    monkeypatch.setattr(scans, "_SORTED_ROWS", 3)
+    monkeypatch.setattr(scans, "_RANGES", 4)
+    rng = np.random.default_rng(2)
+    data = [(int(i), "x" * int(rng.choice([3, 5, 5, 5, 9]))) for i in rng.choice(10_000, 200, replace=False)]
+    df = spark.createDataFrame(data, "id long, text string")
+    for share in (0.0, 0.1, 0.35, 0.7, 1.0):
+        want = sorted(data, key=lambda r: (len(r[1]), r[0]))[int(200 * share) :]
+        assert rows(scans.embeddable(df, 1, share)) == sorted(want)
+    assert scans.embeddable(df.limit(0), 1, 0.5).count() == 0
+
+
+def test_phrases_are_joined_the_same_way_by_table_and_by_join(spark):
+    rng = np.random.default_rng(1)
+    docs = spark.createDataFrame([(i, [str(x) for x in rng.integers(0, 4, rng.integers(0, 9))]) for i in range(60)] + [(99, None), (100, ["a"])], "id long, tokens array<string>")
+    phrases = spark.createDataFrame([("0", "1", 9.0), ("1", "2", 8.0), ("3", "3", 7.0)], "first string, second string, score double")
+    known = {("0", "1"), ("1", "2"), ("3", "3")}
+
+    def joined(words):
+        out, at = [], 0
+        while at < len(words):
+            two = tuple(words[at : at + 2]) in known
+            out.append("_".join(words[at : at + 2]) if two else words[at])
+            at += 2 if two else 1
+        return out
+
+    want = sorted((r["id"], joined(r["tokens"] or [])) for r in docs.collect())
+    got = [sorted((r["id"], list(r["tokens"])) for r in text.joined_phrases(docs, phrases, sent=n).collect()) for n in (10, 1)]
+    assert got[0] == got[1] == want
+
+
+def test_tokens_match_brute_force(spark):
+    import regex
+
+    texts = ["Hellooooo @ann@x.test, see https://a.test/x?y #Tag_1 :)", "it's a well-known CAFÉ 2024", "", None, "@only", "日本語 ok"]
+    word = regex.compile(r"https?://\S+|#[\p{L}\p{N}_]+|[\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*|[:;=]-?[()dp]")
+    want = [word.findall(regex.sub(r"(.)\1{2,}", r"\1\1\1", regex.sub(r"@[a-zA-Z_0-9.@-]+", " ", (t or "").lower()))) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    assert [r["w"] for r in df.select("id", text.tokens(F.col("t")).alias("w")).orderBy("id").collect()] == want
+
+
+def full_source(spark, place, more=False):
+    """Every source table; with `more` also the rows of a later load."""
+    t = lambda d: ts(f"2024-01-{d:02d}")
+    tables = {
+        "accounts": ([(101, "alice", None, t(1), t(1)), (102, "bob", None, t(1), t(1)), (103, "carol", "x.test", t(1), t(1))], "id long, username string, domain string, created_at timestamp_ntz, updated_at timestamp_ntz"),
+        "statuses": (
+            [(i, 101 + i % 3, f"a text of status {i} about things", "en", 0, None, 4 if i == 6 else None, None, t(20), t(20), None, i == 6, f"u/{i}") for i in range(1, 9)] + [(20, 102, "", "en", 0, 5, None, None, t(21), t(21), None, False, "u/20")] + ([(30, 103, "a new text about other things", "en", 0, None, 1, None, t(25), t(25), None, True, "u/30")] if more else []),
+            "id long, account_id long, text string, language string, visibility int, reblog_of_id long, in_reply_to_id long, in_reply_to_account_id long, created_at timestamp_ntz, updated_at timestamp_ntz, deleted_at timestamp_ntz, reply boolean, uri string",
+        ),
+        "favourites": ([(1, 102, 2, t(21), t(21)), (2, 103, 3, t(21), t(21)), (3, 101, 1, t(21), t(21))] + ([(9, 101, 30, t(26), t(26))] if more else []), "id long, account_id long, status_id long, created_at timestamp_ntz, updated_at timestamp_ntz"),
+        "bookmarks": ([(1, 101, 4, t(22)), (2, 102, 99, t(22))], "id long, account_id long, status_id long, created_at timestamp_ntz"),
+        "blocks": ([(1, 101, 103)], "id long, account_id long, target_account_id long"), "mutes": ([(1, 101, 103), (2, 102, 103)], "id long, account_id long, target_account_id long"),
+        "follows": ([(1, 101, 102), (2, 101, 102)], "id long, account_id long, target_account_id long"), "mentions": ([(1, 1, 103, False), (2, 2, 101, True)], "id long, status_id long, account_id long, silent boolean"),
+        "account_stats": ([(101, t(28)), (102, t(27))], "account_id long, last_status_at timestamp_ntz"), "users": ([(101, t(29), "en", ["en", "de"]), (102, t(29), None, None)], "account_id long, current_sign_in_at timestamp_ntz, locale string, chosen_languages array<string>"),
+        "status_stats": ([(1, 5, 2, 1, 1, None), (7, 50, 2, None, 0, 0)], "status_id long, favourites_count long, reblogs_count long, replies_count long, untrusted_favourites_count long, untrusted_reblogs_count long"),
+    }
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("overwrite").parquet(f"{place}/{name}.parquet")
+
+
+def test_pipeline_with_every_table(spark, tmp_path):
+    from flockwise.plans.pipeline import Engine
+
+    full_source(spark, f"file://{tmp_path}/in")
+    engine = Engine(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", replace(S, min_interactions=0.0, popularity_mode="global", leiden_resolution=1.0, feed_days=30, similarity_recency_days=30))
+    first = engine.run("2024-01-30 00:00:00")
+    assert rows(engine.table("bookmarked").select("user_id", "post_id")) == [(101, 4)] and rows(engine.table("hates")) == [(101, 103), (102, 103)]
+    assert rows(engine.table("reblogged").select("user_id", "post_id")) == [(102, 5)] and rows(engine.table("replied").select("user_id", "post_id")) == [(101, 4)]
+    # 101 follows 102 once, likes and answers it; 102 likes, mentions and reblogs 103
+    weights = {(a, b): w for a, b, w in rows(engine.table("interacts"))}
+    assert weights[101, 102] == 10 + 1 + 3 and weights[102, 103] == 1 + 1 + 2 and (101, 101) not in weights
+    totals = {r["id"]: (r["total_favourites"], r["total_reblogs"], r["total_replies"]) for r in engine.table("posts").collect()}
+    assert totals[1] == (6, 2, 1) and totals[7] == (50, 2, None) and totals[2] == (None, None, None)
+    people = {r["id"]: r for r in engine.table("users").collect()}
+    assert people[101]["languages"] == ["en", "de"] and people[101]["is_local"] and str(people[101]["last_active"]).startswith("2024-01-29") and people[103]["is_local"] is False
+    assert (first.last_favourite_id, first.last_bookmark_id, first.last_block_id, first.last_mute_id, first.last_mention_id, first.last_follow_id, first.last_stats_status_id) == (3, 2, 1, 2, 1, 2, 7)
+    fed = {r["user_id"] for r in engine.table("feed_members").collect()}
+    assert fed == {101, 102} and all(r["feed_generated_at"] for r in people.values() if r["id"] in fed)
+    posts = {r["post_id"]: r["user_id"] for r in engine.table("feed_members").collect()}
+    authors = {r["id"]: r["author_id"] for r in engine.table("posts").collect()}
+    assert 103 not in {authors[p] for p in posts}
+    same = engine.run("2024-01-30 00:00:00")
+    assert rows(engine.table("interacts")) == sorted((a, b, w) for (a, b), w in weights.items()) and rows(engine.table("favourited")) == rows(engine.table("favourited", 1))
+    assert engine.table("users_due").count() == 0 or rows(engine.table("feed_members")) != [] and same.version == 2
+    full_source(spark, f"file://{tmp_path}/in", more=True)
+    third = engine.run("2024-01-31 00:00:00")
+    assert third.last_status_id == 30 and third.last_favourite_id == 9 and {(101, 30)} <= {(r[0], r[1]) for r in rows(engine.table("favourited"))}
+    assert engine.table("interests").where("serendipity IS NULL").count() == 0 and engine.table("public_members").select("key").distinct().count() >= 1
+    profile, top = engine.user(101)
+    assert profile.first()["n_bookmarked"] == 1 and top.columns == ["place", "post_id", "score", "source", "preview"]
+    assert engine.post(30, "2024-01-31 00:00:00", 101)[1].first()["notes"].startswith("Favoured") or engine.post(30, "2024-01-31 00:00:00", 101)[1].first()["has_favourited"]
+    gone = engine.cleanup("2024-04-20 00:00:00", 90)  # 103 was last seen at the start of the year
+    assert gone.version == 4 and {r["id"] for r in engine.table("users").collect()} == {101, 102} and engine.table("posts").where("author_id = 103").count() == 0 and engine.table("interests").count() == 0
+    assert "## Feeds" in engine.export("2024-06-30 00:00:00", 101)
+    with pytest.raises(ValueError):
+        replace(S, load_since="soon").validated()
+    assert replace(S, load_since="30d").since_days() == 30
