@@ -1,4 +1,8 @@
-"""The nearest-post graph: exact cosine neighbours, statistics and pruning."""
+"""The nearest-post graph: cosine neighbours by an inverted file, statistics and pruning.
+
+Vectors are put into cells by their nearest centroid, fitted on a bounded sample. A search goes to the PROBES cells
+nearest to it, where all vectors are compared exactly. A collection of up to PROBES cells is searched whole.
+"""
 
 from __future__ import annotations
 
@@ -11,37 +15,22 @@ from pyspark.sql import functions as F
 
 from flockwise.functions.aggregates import top_k
 from flockwise.functions.scalar import days_before
+from flockwise.functions.vectors import kmeans, nearest_centre
 from flockwise.settings import Settings
 
-#: Searched vectors that are sent to the executors at once.
-BLOCK_ROWS = 8_192
+#: Vectors of a cell, about, cells that a search goes to, and searches that a task compares with a cell, about.
+CELL_ROWS, PROBES, SEARCH_ROWS = 16_384, 16, 65_536
+#: Vectors that the centroids are fitted on, at least, and for each cell.
+SAMPLE_ROWS, SAMPLE_PER_CELL = 16_384, 16
 
 
-def _block_search(ids: np.ndarray, vectors: np.ndarray, k: int):
-    """Per task the k best of each searched vector, by exact cosine in double precision."""
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
-                v = np.array(part.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(part.num_rows, -1)
-                v /= np.linalg.norm(v, axis=1, keepdims=True)
-                other = part.column(0).to_numpy()
-                sims = vectors @ v.T
-                sims[ids[:, None] == other[None]] = -np.inf
-                take = min(k, len(other))
-                # all that reach the k-th value, so that ties are settled by id and not by position
-                least = np.partition(sims, len(other) - take, axis=1)[:, len(other) - take]
-                i, j = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))
-                best.append((ids[i], other[j], sims[i, j]))
-                if sum(len(b[0]) for b in best) > 2_000_000:
-                    best = [_cut(best, k)]
-        if best:
-            src, dst, sim = _cut(best, k)
-            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(sim)], names=["src", "dst", "cosine"])
 
-    return run
+def _matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    return np.array(flat.to_numpy(zero_copy_only=False), np.float64).reshape(rows, -1)
 
 
 def _cut(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,32 +42,82 @@ def _cut(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tupl
     return src[rank < k], dst[rank < k], sim[rank < k]
 
 
-def nearest(sources: DataFrame, posts: DataFrame, k: int, dims: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _compared(k: int):
+    """The k best of each search among a cell's vectors, by exact cosine in double precision."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, ids = table["kind"].to_numpy(), table["id"].to_numpy()
+        v = _unit(_matrix(table["v"], len(ids)))
+        held, asked = np.nonzero(kind == 0)[0], np.nonzero(kind == 1)[0]
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for a in range(0, len(asked), 2048):
+            rows = asked[a : a + 2048]
+            for b in range(0, len(held), 8192):
+                there = held[b : b + 8192]
+                sims = v[rows] @ v[there].T
+                sims[ids[rows][:, None] == ids[there][None]] = -np.inf
+                take = min(k, len(there))
+                # all that reach the k-th value, so that ties are settled by id and not by position
+                least = np.partition(sims, len(there) - take, axis=1)[:, len(there) - take]
+                i, j = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))
+                best.append((ids[rows][i], ids[there][j], sims[i, j]))
+            best = [_cut(best, k)]
+        src, dst, sim = best[0]
+        return pa.table({"src": src, "dst": dst, "cosine": sim})
+
+    return run
+
+
+def nearest(sources: DataFrame, posts: DataFrame, k: int, dims: int, cell_rows: int = CELL_ROWS, probes: int = PROBES) -> DataFrame:
     """(src, dst, cosine): the k nearest of `posts` for each of `sources`, both (id, embedding), by cosine, then id.
 
-    The sources are a stated set that is searched in blocks of `block_rows`: a block goes to all executors, every task
-    keeps k per source, and only those are shuffled. Vectors of another length or without direction take no part.
+    Both are shuffled by cell, a vector once and a search to `probes` cells; exact while there are no more cells than
+    that, approximate beyond. A cell of several times its share is cut into parts, and many searches of one
+    cell too. Vectors of another length or without direction take no part.
     """
     spark = posts.sparkSession
     fine = lambda df: df.where((F.size("embedding") == dims) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("embedding", lambda x: x != 0)).select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     wanted, held = fine(sources), fine(posts)
-    blocks = max(1, -(-wanted.count() // block_rows))
-    out = None
-    for b in range(blocks):
-        part = wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
-        if not part.num_rows and out is not None:
-            continue
-        v = np.array(part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        sent = spark.sparkContext.broadcast((part["id"].to_numpy(), v))
-
-        def run(batches, sent=sent):
-            ids, vectors = sent.value
-            return _block_search(ids, vectors, k)(batches) if len(ids) else iter(())
-
-        near = held.mapInArrow(run, "src long, dst long, cosine double")
-        out = near if out is None else out.unionByName(near)
-    top = out.groupBy("src").agg(top_k(F.struct("cosine", (-F.col("dst")).alias("o")), k).alias("t"))
+    total = held.count()
+    cells = max(1, -(-total // cell_rows))
+    if cells > 1:
+        share = min(1.0, max(SAMPLE_ROWS, SAMPLE_PER_CELL * cells) / total)
+        sample = held.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").toArrow()["v"]
+        points = _unit(_matrix(sample, len(sample))).astype(np.float32)
+        centres = kmeans(points, cells)
+        expected = np.bincount(nearest_centre(points, centres), minlength=len(centres)) / max(1, len(points)) * total
+    else:
+        centres, expected = np.zeros((1, dims), np.float32), np.array([float(total)])
+    parts = np.maximum(1, np.ceil(expected / (4 * cell_rows))).astype(np.int64)
+    chunks = max(1, -(-wanted.count() * min(probes, len(centres)) // (len(centres) * SEARCH_ROWS)))
+    sent = spark.sparkContext.broadcast((centres, parts))
+
+    def placed(searching: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            book, cut = sent.value
+            for batch in batches:
+                for start in range(0, batch.num_rows, 4096):
+                    part = batch.slice(start, 4096)
+                    u = _unit(_matrix(part.column(1), part.num_rows)).astype(np.float32)
+                    away = (book**2).sum(1) - 2 * u @ book.T
+                    near = np.argpartition(away, min(probes, len(book)) - 1, axis=1)[:, : min(probes, len(book))] if searching else away.argmin(1)[:, None]
+                    at, cell = np.repeat(np.arange(len(u)), near.shape[1]), near.reshape(-1)
+                    ids = part.column(0).to_numpy()
+                    # an entry goes to its part for every chunk of searches, a search to its chunk for every part
+                    times = cut[cell] if searching else np.full(len(at), chunks)
+                    again = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                    at, cell = np.repeat(at, times), np.repeat(cell, times)
+                    entry = again if searching else ids[at] % cut[cell]
+                    chunk = ids[at] % chunks if searching else again
+                    take = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array((entry * chunks + chunk).astype(np.int64)), pa.array(np.full(len(at), int(searching), np.int8)), part.column(0).take(take), part.column(1).take(take)], names=["cell", "task", "kind", "id", "v"])
+
+        return run
+
+    kind = "cell int, task long, kind byte, id long, v array<double>"
+    both = held.mapInArrow(placed(False), kind).unionByName(wanted.mapInArrow(placed(True), kind))
+    near = both.groupBy("cell", "task").applyInArrow(_compared(k), "src long, dst long, cosine double")
+    top = near.groupBy("src").agg(top_k(F.struct("cosine", (-F.col("dst")).alias("o")), k).alias("t"))
     return top.select("src", F.explode("t").alias("e")).select("src", (-F.col("e.o")).alias("dst"), F.col("e.cosine").alias("cosine"))
 
 

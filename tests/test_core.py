@@ -184,6 +184,23 @@ def test_ctr_is_off_without_any_recommendation(spark):
     assert shown != plain
 
 
+def test_nearest_by_cells(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 1500)] + 0.3 * rng.normal(size=(1500, 16))).astype(np.float32)
+    x[:200] = x[0]  # copies: a cell of several times its share
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(9000, None), (9001, [0.0] * 16), (9002, [1.0])], "id long, embedding array<float>")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {(i, int(j)) for i in range(0, 1500, 3) for j in np.lexsort((np.arange(1500), -s[i].round(12)))[:5]}
+    asked = df.where("id % 3 = 0")
+    got = {(r["src"], r["dst"]) for r in knn.nearest(asked, df, 5, 16).collect()}
+    few = {(r["src"], r["dst"]) for r in knn.nearest(asked, df, 5, 16, cell_rows=40, probes=6).collect()}
+    strange = lambda a: {p for p in a if p[0] >= 200}  # noqa: E731  copies tie, to the last bit or not
+    assert len(strange(got) & want) >= 0.995 * len(strange(want)) and len(strange(few) & want) >= 0.9 * len(strange(want)) and len(few) == len(want)
+    assert knn.nearest(asked.limit(0), df, 5, 16).count() == 0 and knn.nearest(asked, df.limit(0), 5, 16).count() == 0
+
+
 def test_leiden_finds_two_cliques(spark):
     pairs = [(a, b, 1.0) for g in ((1, 2, 3, 4), (11, 12, 13, 14)) for a in g for b in g if a < b] + [(4, 11, 0.1)]
     edges = spark.createDataFrame(pairs, "src long, dst long, weight double")
@@ -242,12 +259,12 @@ def test_pagerank_of_a_star(spark):
     assert got[5] == pytest.approx(0.15) and got[0] > got[1] == pytest.approx(got[4]) and sum(got[i] for i in range(5)) == pytest.approx(5.0, abs=1e-3)
 
 
-def test_knn_ties_nulls_and_blocks(spark):
+def test_knn_ties_nulls_and_cells(spark):
     data = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [3.0, 0.0]), (4, [0.0, 1.0]), (5, [0.0, 0.0]), (6, None), (7, [float("nan"), 1.0]), (8, [1.0])]
     df = spark.createDataFrame(data, "id long, embedding array<float>")
     want = [(1, 2), (2, 1), (3, 1), (4, 1)]
     assert rows(knn.nearest(df, df, 1, 2).select("src", "dst")) == want
-    assert rows(knn.nearest(df, df, 1, 2, block_rows=2).select("src", "dst")) == want
+    assert rows(knn.nearest(df, df, 1, 2, cell_rows=2).select("src", "dst")) == want
     assert knn.nearest(df.limit(0), df, 1, 2).count() == 0 and knn.nearest(df, df.limit(0), 1, 2).count() == 0
 
 
