@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flockwise.session import checkpoint_dir
 from flockwise.sources.tables import table
 
 #: The time that every query of this graph is asked at.
@@ -19,8 +20,12 @@ def event_edges(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def event_graph(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
-    """Users, posts, edges of each kind (first one per pair), rejections and authorship."""
-    e = event_edges(spark, directory)
+    """Users, posts, edges of each kind (first one per pair), rejections and authorship.
+
+    The events' properties are parsed once and written to the checkpoint folder, where all tables read them.
+    """
+    checkpoint_dir(spark)
+    e = event_edges(spark, directory).checkpoint()
     languages = F.array(*[F.lit(c) for c in ("en", "de", "es", "fr")])
     u = e.groupBy(F.col("user_id").alias("id")).agg(F.max("happened_at").alias("last_active"))
     users = u.select(
