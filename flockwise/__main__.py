@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import argparse
-from pathlib import Path
 
 from flockwise.operators.communities import PURGES
-from flockwise.operators.export import export_bundle, import_bundle
+from flockwise.operators.export import BUNDLES, bundle_model, unbundle_model
 from flockwise.plans.pipeline import Engine
 from flockwise.session import build_session
 
@@ -25,6 +24,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--viewer", type=int, help="the user whose feed a post is explained for")
     parser.add_argument("--kind", choices=sorted(PURGES), default="interests", help="what to clean")
     parser.add_argument("--model", help="directory or archive of a model")
+    parser.add_argument("--mode", choices=sorted(BUNDLES), default="full", help="what a bundle holds")
     parser.add_argument("--target", help="where a model goes")
     parser.add_argument("--dry-run", action="store_true", help="no feeds")
     given = parser.parse_args(args)
@@ -47,9 +47,9 @@ def main(args: list[str] | None = None) -> int:
     elif given.verb == "reindex":
         print(engine.reindex())
     elif given.verb == "model-export":
-        print(export_bundle(Path(given.model), Path(given.target), {"source": given.source}))
+        print(bundle_model(engine.spark, given.model, given.target, {"source": given.source}, given.mode))
     elif given.verb == "model-import":
-        print(import_bundle(Path(given.model), Path(given.target)))
+        print(unbundle_model(engine.spark, given.model, given.target))
     else:
         for df in engine.user(given.id) if given.verb == "user" else engine.post(given.id, given.as_of, given.viewer):
             df.show(truncate=60, vertical=True)

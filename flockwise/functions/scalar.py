@@ -115,14 +115,22 @@ def preview(text: Column, length: int) -> Column:
     return F.replace(cut, F.lit("|"), F.lit("\\|"))
 
 
-def to_long(value: Column, default: int = 0) -> Column:
-    """A whole number from any value; the default if it isn't one."""
-    return F.coalesce(value.try_cast("bigint"), F.lit(default).cast("bigint"))
+def _strict(value: Column, made: Column, kind: str) -> Column:
+    """`made`, or an error where there is a value that isn't one of that kind."""
+    wrong = F.raise_error(F.concat(F.lit(f"not a {kind}: "), value.cast("string")))
+    return F.when(value.isNotNull() & made.isNull(), wrong).otherwise(made)
 
 
-def to_double(value: Column, default: float = 0.0) -> Column:
-    """A number from any value; the default if it isn't one."""
-    return F.coalesce(value.try_cast("double"), F.lit(float(default)))
+def to_long(value: Column, default: int = 0, strict: bool = False) -> Column:
+    """A whole number from any value; the default if it isn't one, or, if strict, an error for any value but null."""
+    made = value.try_cast("bigint")
+    return F.coalesce(_strict(value, made, "whole number") if strict else made, F.lit(default).cast("bigint"))
+
+
+def to_double(value: Column, default: float = 0.0, strict: bool = False) -> Column:
+    """A number from any value; the default if it isn't one, or, if strict, an error for any value but null."""
+    made = value.try_cast("double")
+    return F.coalesce(_strict(value, made, "number") if strict else made, F.lit(float(default)))
 
 
 def to_text(value: Column, default: str = "") -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import shutil
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Most rows of a table in a report.
 MOST_ROWS = 500
@@ -29,6 +31,11 @@ def mermaid_graph(edges: DataFrame, source: str, target: str, weight: str, prefi
     return "\n".join([*lines, "```"])
 
 
+def as_json(df: DataFrame) -> DataFrame:
+    """(json): each row of a small result as one JSON object."""
+    return df.select(F.to_json(F.struct("*")).alias("json"))
+
+
 def report(title: str, sections: dict[str, str]) -> str:
     """A Markdown document of named sections."""
     return "\n\n".join([f"# {title}", *(f"## {name}\n\n{body}" for name, body in sections.items())]) + "\n"
@@ -58,3 +65,41 @@ def import_bundle(archive: Path, target: Path, expected: dict[str, object] | Non
     shutil.rmtree(target, ignore_errors=True)
     fresh.rename(target)
     return manifest
+
+
+#: What a bundle holds: everything, or what serving needs, without the counts that training goes on from.
+BUNDLES = {"full": (), "inference": ("pair_counts", "word_counts")}
+
+
+def _moved(spark: SparkSession, source: str, target: str, here: bool) -> None:
+    """Copies a file or directory from a file system that Spark knows to this machine, or back."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(source if here else target)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if here:
+        fs.copyToLocalFile(False, place, jvm.org.apache.hadoop.fs.Path(target), True)
+    else:
+        fs.copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path(source), place)
+
+
+def bundle_model(spark: SparkSession, model: str, target: str, facts: dict[str, object], mode: str = "full") -> dict[str, object]:
+    """Packs a model version on any file system to an archive on any; the driver's disk is used in between, a model is of bounded size."""
+    left_out = BUNDLES[mode]
+    with tempfile.TemporaryDirectory() as folder:
+        _moved(spark, model, f"{folder}/model", True)
+        for name in left_out:
+            shutil.rmtree(f"{folder}/model/{name}", ignore_errors=True)
+        for p in Path(folder).rglob(".*.crc"):
+            p.unlink()
+        manifest = export_bundle(Path(folder, "model"), Path(folder, "bundle"), {**facts, "mode": mode})
+        _moved(spark, f"{folder}/bundle.tar.gz", target, False)
+    return manifest
+
+
+def unbundle_model(spark: SparkSession, archive: str, target: str, expected: dict[str, object] | None = None) -> dict[str, object]:
+    """Checks an archive on any file system and unpacks it to a directory on any."""
+    with tempfile.TemporaryDirectory() as folder:
+        _moved(spark, archive, f"{folder}/bundle.tar.gz", True)
+        manifest = import_bundle(Path(folder, "bundle.tar.gz"), Path(folder, "model"), expected)
+        _moved(spark, f"{folder}/model", target, False)
+    return manifest

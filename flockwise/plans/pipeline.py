@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flockwise.functions.scalar import days_before, moment
 from flockwise.operators import communities, feeds, interests, knn, merge, stats
-from flockwise.operators.export import markdown_table, mermaid_graph, report
+from flockwise.operators.export import as_json, markdown_table, mermaid_graph, report
 from flockwise.operators.interactions import Cursors, interaction_edges, next_cursors
 from flockwise.operators.leiden import leiden
 from flockwise.operators.pagerank import pagerank
@@ -46,7 +46,8 @@ class Engine:
     Every step writes its table to the version in work and reads it again, so a step that fails is repeated alone and
     no plan grows over the whole run. The state file is replaced last: until then the former version counts, so a run
     that is interrupted begins anew from it. Tables of SOURCES may be missing. Vectors come from `embed`, a function
-    of texts, from the model in `model` (a version that `train` has written), or from hashed subwords.
+    of texts, from the model in `model` (a version that `train` has written), or from hashed subwords; `tokenise` makes
+    words of a text for the latter two.
     """
 
     spark: SparkSession
@@ -57,6 +58,7 @@ class Engine:
     embed_name: str = ""
     model: str = ""
     dims: int = 64
+    tokenise: Callable[[Column], Column] = tokens
 
     def state(self) -> State:
         return load_state(self.spark, f"{self.root}/state.json")
@@ -73,7 +75,7 @@ class Engine:
         """(id, embedding) of (id, text)."""
         if self.embed:
             return served_embeddings(texts, self.embed)
-        words = texts.select("id", tokens(F.col("text")).alias("tokens"))
+        words = texts.select("id", self.tokenise(F.col("text")).alias("tokens"))
         if self.model:
             from pyspark.ml.feature import Word2VecModel
 
@@ -228,6 +230,7 @@ class Engine:
             "Strongest interests": mermaid_graph(stats.top_interests(wants), "uc", "pc", "score", ("U", "P")),
             "Members": markdown_table(stats.member_samples(users, self.table("user_communities"), 10, 5)), "Posts of communities": markdown_table(stats.member_samples(posts, self.table("post_communities"), 10, 5)),
             "Interactions": markdown_table(stats.edge_sample(self.table("interacts"), 30)), "Nearest posts": markdown_table(stats.edge_sample(self.table("similar"), 30)),
+            "Interaction graph": markdown_table(as_json(communities.graph_diagnostics(users, self.table("interacts"), self.settings))),
             "Feeds": markdown_table(stats.feed_shares(self.table("feed_members"), self.settings.rank_multiplier).orderBy("user_id").limit(30)),
         }
         if user_id is not None:

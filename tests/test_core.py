@@ -522,3 +522,47 @@ def test_pipeline_with_every_table(spark, tmp_path):
     with pytest.raises(ValueError):
         replace(S, load_since="soon").validated()
     assert replace(S, load_since="30d").since_days() == 30
+
+
+def test_product_quantisation_keeps_directions(spark):
+    from flockwise.operators import quantise
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(30, 16))[rng.integers(0, 30, 600)] + 0.1 * rng.normal(size=(600, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(9000, None), (9001, [1.0])], "id long, embedding array<float>")
+    books = quantise.codebooks(df, 16, 4)
+    codes = quantise.encoded(df, books)
+    back = {r["id"]: np.array(r["embedding"]) for r in quantise.decoded(codes, books).collect()}
+    assert set(back) == set(range(600)) and all(len(r["code"]) == 4 for r in codes.collect())
+    assert np.mean([x[i] @ back[i] / np.linalg.norm(x[i]) / np.linalg.norm(back[i]) for i in back]) > 0.98
+    assert quantise.encoded(df.limit(0), books).count() == 0
+    with pytest.raises(ValueError):
+        quantise.codebooks(df, 16, 5)
+
+
+def test_strict_conversions(spark):
+    df = spark.createDataFrame([("7", "1.5"), (None, None)], "a string, b string")
+    assert rows(df.select(scalar.to_long(F.col("a"), -1, True), scalar.to_double(F.col("b"), 0.5, True))) == [(-1, 0.5), (7, 1.5)]
+    for f in (scalar.to_long, scalar.to_double):
+        with pytest.raises(Exception, match="not a"):
+            spark.createDataFrame([("x",)], "a string").select(f(F.col("a"), 0, True)).collect()
+
+
+def test_model_bundles_on_any_file_system(spark, tmp_path):
+    from flockwise.operators.export import bundle_model, unbundle_model
+
+    for name in ("phrases", "pair_counts", "word_counts"):
+        spark.range(3).coalesce(1).write.parquet(f"file://{tmp_path}/model/{name}")
+    for mode, left in (("full", {"phrases", "pair_counts", "word_counts"}), ("inference", {"phrases"})):
+        bundle_model(spark, f"file://{tmp_path}/model", f"file://{tmp_path}/{mode}.tar.gz", {"dims": 8}, mode)
+        facts = unbundle_model(spark, f"file://{tmp_path}/{mode}.tar.gz", f"file://{tmp_path}/{mode}", {"dims": 8})["facts"]
+        assert facts["mode"] == mode and {p.name for p in (tmp_path / mode).iterdir() if p.is_dir()} == left
+        assert spark.read.parquet(f"file://{tmp_path}/{mode}/phrases").count() == 3
+
+
+def test_tables_of_a_database(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    options = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    spark.range(100).selectExpr("id", "id * 2 AS twice").write.jdbc(url, "things", properties=options)
+    df = scans.jdbc_table(spark, url, "things", "id", 0, 100, 4, **options)
+    assert df.rdd.getNumPartitions() == 4 and rows(df.toDF("id", "twice")) == [(i, 2 * i) for i in range(100)]
