@@ -13,7 +13,7 @@ from flockwise.operators import communities, feeds, interests, knn, leiden, merg
 from flockwise.operators.pagerank import pagerank
 from flockwise.settings import Settings
 from flockwise.sources import scans
-from flockwise.sources.fixtures import AS_OF, EVENT_SQL, event_graph, reactions_of
+from flockwise.sources.fixtures import AS_OF, EVENT_SQL, SOCIAL_AS_OF, SOCIAL_SQL, event_graph, reactions_of, social_graph
 from flockwise.sources.tables import table
 
 S = Settings()
@@ -496,13 +496,54 @@ def graph_readiness(spark: SparkSession, d: str) -> DataFrame:
     return stats.readiness(g["posts"].where(F.lit(False)), g["users"], _interests(g))
 
 
+# the relational tables as a graph, at their own size
+
+SOCIAL = replace(S, half_life_days=180.0, min_interactions=1.0, feed_days=90)
+
+
+def _social(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], Column]:
+    return social_graph(spark, d), moment(SOCIAL_AS_OF)
+
+
+def _social_interests(g: dict[str, DataFrame], now: Column) -> DataFrame:
+    return interests.rebuild_interests(_edges(g), g["users"], g["posts"], now, SOCIAL)
+
+
+def _social_rated(g: dict[str, DataFrame], now: Column) -> DataFrame:
+    return feeds.rated_posts(g["posts"], interests.reaction_union(_edges(g, False)), now, SOCIAL)
+
+
+def social_interests(spark: SparkSession, d: str) -> DataFrame:
+    """Interests of the accounts' communities in the posts' clusters."""
+    g, now = _social(spark, d)
+    return _rounded(_social_interests(g, now), "score", "based_on").select("uc", "pc", "score", "based_on")
+
+
+def social_feeds(spark: SparkSession, d: str) -> DataFrame:
+    """The feeds of all accounts."""
+    g, now = _social(spark, d)
+    return _rounded(feeds.personal_feeds(g["users"], _social_rated(g, now), _social_interests(g, now), _sizes(g, "posts"), g, SOCIAL), "score")
+
+
+def social_cold_start(spark: SparkSession, d: str) -> DataFrame:
+    """Feeds of all accounts that need no community."""
+    g, now = _social(spark, d)
+    return _rounded(feeds.cold_start(g["users"], _social_rated(g, now), g, SOCIAL), "score")
+
+
+def social_public_feed(spark: SparkSession, d: str) -> DataFrame:
+    """The best posts of local authors for everybody."""
+    g, now = _social(spark, d)
+    return _rounded(feeds.public_feed(g["users"], _social_rated(g, now), _social_interests(g, now), SOCIAL, True, True, S.feed_size), "score")
+
+
 # SQL
 
 _B = f"WITH {EVENT_SQL}"
 _T = f"TIMESTAMP '{AS_OF}'"
 
 
-def _interest_sql(at: str = AS_OF, ctr: bool = True, only: str = "true", late: str = "true") -> str:
+def _interest_sql(at: str = AS_OF, ctr: bool = True, only: str = "true", late: str = "true", half: float = 14.0, least: float = 5.0) -> str:
     """Interests at a time; `only` is a condition on uc, `late` on the reactions."""
     base = "l * 1.0 + r * 3.0 + p * 5.0 + b * 2.0"
     weight = f"({base}) * (0.5 * ((l + r + p + b + 1.0) / (rec + 1.0)) + 0.5)" if ctr else base
@@ -510,8 +551,8 @@ def _interest_sql(at: str = AS_OF, ctr: bool = True, only: str = "true", late: s
 SELECT *, max(w) OVER (PARTITION BY uc) AS top FROM (SELECT uc, pc, l + r + p + b AS n, {weight} AS w FROM (
 SELECT u.cluster_id AS uc, q.cluster_id AS pc, sum(CASE WHEN kind = 'favourited' THEN x ELSE 0.0 END) AS l, sum(CASE WHEN kind = 'reblogged' THEN x ELSE 0.0 END) AS r,
 sum(CASE WHEN kind = 'replied' THEN x ELSE 0.0 END) AS p, sum(CASE WHEN kind = 'bookmarked' THEN x ELSE 0.0 END) AS b, sum(CASE WHEN kind = 'recommended' THEN x ELSE 0.0 END) AS rec
-FROM (SELECT *, exp(-0.693147::DOUBLE * date_sub('day', happened_at, TIMESTAMP '{at}') / 14.0) AS x FROM (SELECT * FROM reactions WHERE {late} UNION ALL SELECT *, 'recommended' FROM recommended)) k
-JOIN users u ON u.id = k.user_id JOIN posts q ON q.id = k.post_id WHERE u.cluster_id <> -1 AND q.cluster_id <> -1 GROUP BY 1, 2) WHERE l + r + p + b >= 5) WHERE {only}) WHERE top > 0"""
+FROM (SELECT *, exp(-0.693147::DOUBLE * date_sub('day', happened_at, TIMESTAMP '{at}') / {half}) AS x FROM (SELECT * FROM reactions WHERE {late} UNION ALL SELECT *, 'recommended' FROM recommended)) k
+JOIN users u ON u.id = k.user_id JOIN posts q ON q.id = k.post_id WHERE u.cluster_id <> -1 AND q.cluster_id <> -1 GROUP BY 1, 2) WHERE l + r + p + b >= {least}) WHERE {only}) WHERE top > 0"""
 
 
 _I = f"i AS ({_interest_sql()})"
@@ -520,20 +561,21 @@ _LOCAL = "lr AS (SELECT p.id AS post_id, coalesce(sum(CASE kind WHEN 'favourited
 _GLOBAL = "coalesce(total_favourites, 0) / 3.0::DOUBLE + coalesce(total_reblogs, 0) / 3.0::DOUBLE + coalesce(total_replies, 0) / 3.0::DOUBLE"
 
 
-def _rated_sql(days: int = 7) -> str:
-    return f"""{_LOCAL}, rp AS (SELECT p.* REPLACE (coalesce(pagerank, 0.0) AS pagerank), local_raw, {_GLOBAL} AS global_raw, log10(local_raw + 1.0) AS pop, date_sub('hour', created_at, {_T}) AS age_hours
-FROM posts p JOIN lr ON lr.post_id = p.id WHERE created_at > {_T} - INTERVAL {days} DAY)"""
+def _rated_sql(days: int = 7, at: str = AS_OF) -> str:
+    return f"""{_LOCAL}, rp AS (SELECT p.* REPLACE (coalesce(pagerank, 0.0) AS pagerank), local_raw, {_GLOBAL} AS global_raw, log10(local_raw + 1.0) AS pop, date_sub('hour', created_at, TIMESTAMP '{at}') AS age_hours
+FROM posts p JOIN lr ON lr.post_id = p.id WHERE created_at > TIMESTAMP '{at}' - INTERVAL {days} DAY)"""
 
 
 _BOOST = """CASE WHEN {p}.language IS NULL THEN 0.3::DOUBLE WHEN {u}.ui_language IS NULL AND ({u}.languages IS NULL OR len({u}.languages) = 0) THEN 0.3
 WHEN {u}.ui_language IS NOT NULL AND {p}.language = {u}.ui_language THEN 0.5 WHEN {u}.languages IS NOT NULL AND list_contains({u}.languages, {p}.language) THEN 0.3 ELSE 0.0 END"""
 _UNSEEN = """NOT EXISTS (SELECT 1 FROM recommended z WHERE z.user_id = {u} AND z.post_id = {p}) AND NOT EXISTS (SELECT 1 FROM wrote z WHERE z.user_id = {u} AND z.post_id = {p})
 AND NOT EXISTS (SELECT 1 FROM favourited z WHERE z.user_id = {u} AND z.post_id = {p}) AND NOT EXISTS (SELECT 1 FROM hates z WHERE z.src = {u} AND z.dst = {a})"""
-_FEED = f"""{_I}, {_SIZES}, {_rated_sql()}, tot AS (SELECT uc, sum(score) AS sum_i, max(coalesce(size, 0)::DOUBLE) AS top FROM i LEFT JOIN ps ON ps.id = i.pc GROUP BY 1),
+_FEED_PART = f"""tot AS (SELECT uc, sum(score) AS sum_i, max(coalesce(size, 0)::DOUBLE) AS top FROM i LEFT JOIN ps ON ps.id = i.pc GROUP BY 1),
 fd AS (SELECT u.id AS user_id, p.id AS post_id, i.score AS interest_score, CASE WHEN sum_i > 0 THEN i.score / sum_i ELSE 0.0 END AS share_i, CASE WHEN top > 0 THEN coalesce(size, 0) / top ELSE 0.0 END AS norm_pc_size,
 local_raw, global_raw, pop AS popularity_contrib, age_hours, pagerank, {_BOOST.format(p='p', u='u')} AS language_match, p.author_id
 FROM users u JOIN i ON i.uc = u.cluster_id JOIN tot ON tot.uc = i.uc LEFT JOIN ps ON ps.id = i.pc JOIN rp p ON p.cluster_id = i.pc),
 sc AS (SELECT *, share_i * 0.45 + norm_pc_size * 0.05 + popularity_contrib * 0.3 + (1.0 / (age_hours / 24.0 + 1.0)) * 0.2 + pagerank * 0.1 + language_match AS score FROM fd)"""
+_FEED = f"{_I}, {_SIZES}, {_rated_sql()}, {_FEED_PART}"
 _TOP = f"t AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, post_id DESC) AS INTEGER) AS rank FROM sc WHERE {_UNSEEN.format(u='sc.user_id', p='sc.post_id', a='sc.author_id')})"
 _PAIRS = "pr AS (SELECT x.user_id, x.post_id, p.author_id FROM (SELECT user_id, post_id FROM replied UNION SELECT user_id, post_id FROM reblogged) x JOIN posts p ON p.id = x.post_id)"
 
@@ -600,6 +642,8 @@ _PURGED = "kinds AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, {list(v)} AS
 UNION ALL SELECT 'recommended', count(*) FROM recommended UNION ALL SELECT 'interacts', count(*) FROM ug UNION ALL SELECT 'interests', count(*) FROM i UNION ALL SELECT 'user_communities', count(*) FROM us UNION ALL SELECT 'post_communities', count(*) FROM ps
 UNION ALL SELECT 'embedded', count(embedding) FROM posts UNION ALL SELECT 'clustered_users', count(cluster_id) FROM users UNION ALL SELECT 'clustered_posts', count(cluster_id) FROM posts)"""
 
+_SOCIAL = f"WITH {SOCIAL_SQL}, i AS ({_interest_sql(SOCIAL_AS_OF, half=180.0, least=1.0)}), {_SIZES}, {_rated_sql(90, SOCIAL_AS_OF)}"
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -608,7 +652,7 @@ QUERIES = {
         public_feed_local, public_feed_all, public_feed_local_authors, feed_rank_scores, feed_own_entries, feed_cleared, feed_member_rank, feed_range, feed_lengths, dirty_users, merge_recommended, feed_times, active_users,
         knn_edges, knn_edges_cosine, knn_incremental, knn_incremental_edges, similarity_stats, similarity_pruned, vector_readiness, user_communities, post_communities, connected_parts, modularity, singleton_collapse, community_sizes,
         community_rebuild, graph_diagnostics, cleanup_cascade, purge_counts, user_community_soundness, post_community_soundness, node_edge_counts, connectivity, embedding_coverage, mean_interactions, top_languages, size_distribution, size_stats,
-        top_user_communities, top_post_communities, user_profile, post_profile, interest_overview, export_interests, export_members, export_edges, graph_readiness,
+        top_user_communities, top_post_communities, user_profile, post_profile, interest_overview, export_interests, export_members, export_edges, graph_readiness, social_interests, social_feeds, social_cold_start, social_public_feed,
     )
 } | {"pagerank": page_rank}
 
@@ -718,4 +762,11 @@ FROM t LEFT JOIN {_langs('posts', 'language')} g ON g.cluster_id = t.id""",
     "export_members": f"{_B}, {_SIZES}, t AS (SELECT * FROM us ORDER BY size DESC, id LIMIT 3) SELECT cluster_id, size, string_agg(x::VARCHAR, ',' ORDER BY x) AS members FROM (SELECT cluster_id, size, u.id AS x, row_number() OVER (PARTITION BY cluster_id ORDER BY u.id) AS n FROM users u JOIN t ON t.id = cluster_id) WHERE n <= 4 GROUP BY 1, 2",
     "export_edges": f"{_B}, {_UG} SELECT * FROM ug ORDER BY src, dst LIMIT 25",
     "graph_readiness": f"{_B}, {_I} SELECT false AS has_embeddings, true AS has_user_communities, false AS has_post_communities, (SELECT count(*) > 0 FROM i) AS has_interests",
+    "social_interests": f"{_SOCIAL} SELECT uc, pc, round(score, 6) AS score, round(based_on, 6) AS based_on FROM i",
+    "social_feeds": f"{_SOCIAL}, {_FEED_PART}, {_TOP} SELECT user_id, post_id, round(score, 6) AS score, rank FROM t WHERE rank <= 500",
+    "social_cold_start": f"""{_SOCIAL}, t AS (SELECT u.id AS user_id, p.id AS post_id, pop * 0.7 + 0.3 / (age_hours / 24.0 + 1.0) + pagerank * 0.1 + {_BOOST.format(p='p', u='u')} AS score FROM users u CROSS JOIN rp p
+WHERE p.embedding IS NOT NULL AND {_UNSEEN.format(u='u.id', p='p.id', a='p.author_id')}) SELECT user_id, post_id, round(score, 6) AS score, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, post_id DESC) AS n FROM t) WHERE n <= 500""",
+    "social_public_feed": f"""{_SOCIAL}, w AS (SELECT pc, sum(score * n) AS ci FROM i JOIN (SELECT cluster_id AS uc, count(*) AS n FROM users WHERE is_local GROUP BY 1) USING (uc) GROUP BY 1)
+SELECT id AS post_id, round(ci * 0.5 + pop * 0.3 + 0.2 / (age_hours / 24.0 + 1.0) + pagerank * 0.1, 6) AS score FROM rp JOIN w ON w.pc = rp.cluster_id WHERE author_id IN (SELECT id FROM users WHERE is_local)
+ORDER BY ci * 0.5 + pop * 0.3 + 0.2 / (age_hours / 24.0 + 1.0) + pagerank * 0.1 DESC, id DESC LIMIT 500""",
 }
