@@ -63,9 +63,11 @@ def block_mute_union(spark: SparkSession, d: str) -> DataFrame:
 def user_activity(spark: SparkSession, d: str) -> DataFrame:
     stats = statuses_newest(spark, d).groupBy("account_id").agg(F.max("created_at").alias("last_status_at"))
     signed = favourites_newest(spark, d).groupBy("account_id").agg(F.max("created_at").alias("current_sign_in_at"))
-    people = signed.withColumn("locale", F.lit(None).cast("string")).withColumn("chosen_languages", F.lit(None).cast("array<string>"))
-    rows = scans.user_activity(accounts_newest(spark, d), stats, people, moment(AS_OF), 90)
-    return rows.select("account_id", "last_active", "is_local")
+    n = F.col("account_id")
+    locale = F.when(n % 3 == 0, "en").when(n % 3 == 1, "de")
+    chosen = F.when(n % 2 == 0, F.array(F.lit("fr"), F.coalesce(locale, F.lit("pt"))))
+    people = signed.select("*", locale.alias("locale"), chosen.alias("chosen_languages"))
+    return scans.user_activity(accounts_newest(spark, d), stats, people, moment(AS_OF), 90)
 
 
 def active_user_count(spark: SparkSession, d: str) -> DataFrame:
@@ -203,8 +205,8 @@ def merge_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def merge_activity(spark: SparkSession, d: str) -> DataFrame:
     users = accounts_newest(spark, d).where("id % 2 = 0").select("id", F.lit(None).cast("timestamp_ntz").alias("last_active"), F.lit(False).alias("is_local"))
-    activity = user_activity(spark, d).withColumn("ui_language", F.lit(None).cast("string")).withColumn("languages", F.lit(None).cast("array<string>"))
-    return merge.merge_activity(users, activity)
+    users = users.select("*", F.lit("xx").alias("ui_language"), F.lit(None).cast("array<string>").alias("languages"))
+    return merge.merge_activity(users, user_activity(spark, d))
 
 
 def ensure_users(spark: SparkSession, d: str) -> DataFrame:
@@ -223,7 +225,9 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
 
 _WITH = f"WITH {TABLE_SQL}"
 _CORPUS = "SELECT id, text FROM st WHERE deleted_at IS NULL AND visibility = 0 AND reblog_of_id IS NULL AND (NOT coalesce(reply, false) OR in_reply_to_account_id = account_id) AND text <> '' AND length(text) >= 10"
-_ACTIVITY = f"""SELECT id AS account_id, greatest(coalesce(ls, created_at), coalesce(si, created_at)) AS last_active, domain IS NULL AS is_local
+_LOCALE = "CASE id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' END"
+_ACTIVITY = f"""SELECT id AS account_id, greatest(coalesce(ls, created_at), coalesce(si, created_at)) AS last_active, domain IS NULL AS is_local,
+CASE WHEN b IS NOT NULL THEN {_LOCALE} END AS ui_language, CASE WHEN b IS NOT NULL AND id % 2 = 0 THEN ['fr', coalesce({_LOCALE}, 'pt')] END AS languages
 FROM ac LEFT JOIN (SELECT account_id AS a, max(created_at) AS ls FROM st GROUP BY 1) x ON x.a = id
 LEFT JOIN (SELECT account_id AS b, max(created_at) AS si FROM fv GROUP BY 1) y ON y.b = id
 WHERE greatest(coalesce(ls, created_at), coalesce(si, created_at)) >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY"""
@@ -295,7 +299,7 @@ SELECT a AS first, b AS second, n, round(s, 6) AS score FROM x WHERE s > 10""",
     "merge_reblogs": f"{_WITH}, r AS (SELECT id, account_id AS user_id, reblog_of_id AS post_id, created_at AS happened_at, 'reblogged' AS kind FROM st UNION ALL SELECT id, account_id, in_reply_to_id, created_at, 'replied' FROM st) {_FIRST}, kind FROM r WHERE post_id IN (SELECT id FROM st) GROUP BY user_id, post_id, kind",
     "merge_bookmarks": f"{_WITH} {_FIRST} FROM (SELECT id, account_id AS user_id, status_id AS post_id, created_at AS happened_at FROM fv WHERE status_id IN (SELECT id FROM st)) GROUP BY 1, 2",
     "merge_totals": f"SELECT p.id, author_id, total_favourites, total_reblogs, total_replies FROM (SELECT id, max(author_id) AS author_id FROM post GROUP BY 1) p LEFT JOIN ({_TOTALS}) t ON t.id = p.id",
-    "merge_activity": f"{_WITH} SELECT ac.id, a.last_active, coalesce(a.is_local, false) AS is_local FROM ac LEFT JOIN ({_ACTIVITY}) a ON a.account_id = ac.id WHERE ac.id % 2 = 0",
+    "merge_activity": f"{_WITH} SELECT ac.id, a.last_active, coalesce(a.is_local, false) AS is_local, CASE WHEN a.account_id IS NULL THEN 'xx' ELSE a.ui_language END AS ui_language, a.languages FROM ac LEFT JOIN ({_ACTIVITY}) a ON a.account_id = ac.id WHERE ac.id % 2 = 0",
     "ensure_users": f"{_WITH} SELECT id, username FROM ac UNION ALL SELECT DISTINCT account_id, NULL FROM fv WHERE account_id IS NOT NULL AND account_id NOT IN (SELECT id FROM ac)",
     "scalar_functions": f"""{_WITH} SELECT id, nullif({_SUBTAG}, '') AS subtag,
 replace(CASE WHEN length(p) > 20 THEN substr(p, 1, 20) || '...' ELSE p END, '|', '\\|') AS short, coalesce(TRY_CAST(language AS BIGINT), -1) AS as_long, coalesce(TRY_CAST(CAST(account_id AS VARCHAR) AS DOUBLE), 0.0) AS as_double,

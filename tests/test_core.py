@@ -351,7 +351,7 @@ def test_stream_gives_the_same_as_batch(spark, tmp_path):
 def test_pipeline_end_to_end(spark, small, tmp_path):
     from flockwise.plans.pipeline import Engine
 
-    engine = Engine(spark, small, f"file://{tmp_path}/root", replace(S, feed_days=4000, similarity_recency_days=4000, min_interactions=0.0))
+    engine = Engine(spark, small, f"file://{tmp_path}/root", replace(S, feed_days=4000, similarity_recency_days=4000, min_interactions=0.0, pagerank_iterations=3))
     first = engine.run("2026-06-01 00:00:00")
     assert first.version == 1 and engine.validate() == "HEALTHY" and engine.table("feeds").count() > 0
     posts = engine.table("posts").count()
@@ -489,7 +489,7 @@ def test_pipeline_with_every_table(spark, tmp_path):
     from flockwise.plans.pipeline import Engine
 
     full_source(spark, f"file://{tmp_path}/in")
-    engine = Engine(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", replace(S, min_interactions=0.0, popularity_mode="global", leiden_resolution=1.0, feed_days=30, similarity_recency_days=30))
+    engine = Engine(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", replace(S, min_interactions=0.0, popularity_mode="global", leiden_resolution=1.0, feed_days=30, similarity_recency_days=30, pagerank_iterations=3))
     first = engine.run("2024-01-30 00:00:00")
     assert rows(engine.table("bookmarked").select("user_id", "post_id")) == [(101, 4)] and rows(engine.table("hates")) == [(101, 103), (102, 103)]
     assert rows(engine.table("reblogged").select("user_id", "post_id")) == [(102, 5)] and rows(engine.table("replied").select("user_id", "post_id")) == [(101, 4)]
