@@ -550,34 +550,44 @@ def _interest_sql(at: str = AS_OF, ctr: bool = True, only: str = "true", late: s
     return f"""SELECT uc, pc, w / top AS score, n AS based_on, TIMESTAMP '{at}' AS last_updated, TIMESTAMP '{at}' + INTERVAL 30 DAY AS expires_at FROM (
 SELECT *, max(w) OVER (PARTITION BY uc) AS top FROM (SELECT uc, pc, l + r + p + b AS n, {weight} AS w FROM (
 SELECT u.cluster_id AS uc, q.cluster_id AS pc, sum(CASE WHEN kind = 'favourited' THEN x ELSE 0.0 END) AS l, sum(CASE WHEN kind = 'reblogged' THEN x ELSE 0.0 END) AS r,
-sum(CASE WHEN kind = 'replied' THEN x ELSE 0.0 END) AS p, sum(CASE WHEN kind = 'bookmarked' THEN x ELSE 0.0 END) AS b, sum(CASE WHEN kind = 'recommended' THEN x ELSE 0.0 END) AS rec
-FROM (SELECT *, exp(-0.693147::DOUBLE * date_sub('day', happened_at, TIMESTAMP '{at}') / {half}) AS x FROM (SELECT * FROM reactions WHERE {late} UNION ALL SELECT *, 'recommended' FROM recommended)) k
-JOIN users u ON u.id = k.user_id JOIN posts q ON q.id = k.post_id WHERE u.cluster_id <> -1 AND q.cluster_id <> -1 GROUP BY 1, 2) WHERE l + r + p + b >= {least}) WHERE {only}) WHERE top > 0"""
+sum(CASE WHEN kind = 'replied' THEN x ELSE 0.0 END) AS p, sum(CASE WHEN kind = 'bookmarked' THEN x ELSE 0.0 END) AS b, sum(CASE WHEN kind = 'recommended' THEN x ELSE 0.0
+END) AS rec
+FROM (SELECT *, exp(-0.693147::DOUBLE * date_sub('day', happened_at, TIMESTAMP '{at}') / {half}) AS x FROM (SELECT * FROM reactions WHERE {late} UNION ALL SELECT *,
+'recommended' FROM recommended)) k
+JOIN users u ON u.id = k.user_id JOIN posts q ON q.id = k.post_id WHERE u.cluster_id <> -1 AND q.cluster_id <> -1 GROUP BY 1, 2) WHERE l + r + p + b >= {least}) WHERE
+{only}) WHERE top > 0"""
 
 
 _I = f"i AS ({_interest_sql()})"
 _SIZES = "us AS (SELECT cluster_id AS id, count(*) AS size FROM users GROUP BY 1), ps AS (SELECT cluster_id AS id, count(*) AS size FROM posts GROUP BY 1)"
-_LOCAL = "lr AS (SELECT p.id AS post_id, coalesce(sum(CASE kind WHEN 'favourited' THEN 1.0::DOUBLE WHEN 'reblogged' THEN 3.0 WHEN 'replied' THEN 5.0 WHEN 'bookmarked' THEN 2.0 END), 0.0) AS local_raw FROM posts p LEFT JOIN reactions r ON r.post_id = p.id GROUP BY 1)"
+_LOCAL = """lr AS (SELECT p.id AS post_id, coalesce(sum(CASE kind WHEN 'favourited' THEN 1.0::DOUBLE WHEN 'reblogged' THEN 3.0 WHEN 'replied' THEN 5.0 WHEN 'bookmarked' THEN 2.0
+END), 0.0) AS local_raw FROM posts p LEFT JOIN reactions r ON r.post_id = p.id GROUP BY 1)"""
 _GLOBAL = "coalesce(total_favourites, 0) / 3.0::DOUBLE + coalesce(total_reblogs, 0) / 3.0::DOUBLE + coalesce(total_replies, 0) / 3.0::DOUBLE"
 
 
 def _rated_sql(days: int = 7, at: str = AS_OF) -> str:
-    return f"""{_LOCAL}, rp AS (SELECT p.* REPLACE (coalesce(pagerank, 0.0) AS pagerank), local_raw, {_GLOBAL} AS global_raw, log10(local_raw + 1.0) AS pop, date_sub('hour', created_at, TIMESTAMP '{at}') AS age_hours
+    return f"""{_LOCAL}, rp AS (SELECT p.* REPLACE (coalesce(pagerank, 0.0) AS pagerank), local_raw, {_GLOBAL} AS global_raw, log10(local_raw + 1.0) AS pop, date_sub('hour', created_at,
+TIMESTAMP '{at}') AS age_hours
 FROM posts p JOIN lr ON lr.post_id = p.id WHERE created_at > TIMESTAMP '{at}' - INTERVAL {days} DAY)"""
 
 
 _BOOST = """CASE WHEN {p}.language IS NULL THEN 0.3::DOUBLE WHEN {u}.ui_language IS NULL AND ({u}.languages IS NULL OR len({u}.languages) = 0) THEN 0.3
-WHEN {u}.ui_language IS NOT NULL AND {p}.language = {u}.ui_language THEN 0.5 WHEN {u}.languages IS NOT NULL AND list_contains({u}.languages, {p}.language) THEN 0.3 ELSE 0.0 END"""
+WHEN {u}.ui_language IS NOT NULL AND {p}.language = {u}.ui_language THEN 0.5 WHEN {u}.languages IS NOT NULL AND list_contains({u}.languages, {p}.language) THEN 0.3 ELSE
+0.0 END"""
 _UNSEEN = """NOT EXISTS (SELECT 1 FROM recommended z WHERE z.user_id = {u} AND z.post_id = {p}) AND NOT EXISTS (SELECT 1 FROM wrote z WHERE z.user_id = {u} AND z.post_id = {p})
 AND NOT EXISTS (SELECT 1 FROM favourited z WHERE z.user_id = {u} AND z.post_id = {p}) AND NOT EXISTS (SELECT 1 FROM hates z WHERE z.src = {u} AND z.dst = {a})"""
 _FEED_PART = f"""tot AS (SELECT uc, sum(score) AS sum_i, max(coalesce(size, 0)::DOUBLE) AS top FROM i LEFT JOIN ps ON ps.id = i.pc GROUP BY 1),
-fd AS (SELECT u.id AS user_id, p.id AS post_id, i.score AS interest_score, CASE WHEN sum_i > 0 THEN i.score / sum_i ELSE 0.0 END AS share_i, CASE WHEN top > 0 THEN coalesce(size, 0) / top ELSE 0.0 END AS norm_pc_size,
+fd AS (SELECT u.id AS user_id, p.id AS post_id, i.score AS interest_score, CASE WHEN sum_i > 0 THEN i.score / sum_i ELSE 0.0 END AS share_i, CASE WHEN top > 0 THEN
+coalesce(size, 0) / top ELSE 0.0 END AS norm_pc_size,
 local_raw, global_raw, pop AS popularity_contrib, age_hours, pagerank, {_BOOST.format(p='p', u='u')} AS language_match, p.author_id
 FROM users u JOIN i ON i.uc = u.cluster_id JOIN tot ON tot.uc = i.uc LEFT JOIN ps ON ps.id = i.pc JOIN rp p ON p.cluster_id = i.pc),
-sc AS (SELECT *, share_i * 0.45 + norm_pc_size * 0.05 + popularity_contrib * 0.3 + (1.0 / (age_hours / 24.0 + 1.0)) * 0.2 + pagerank * 0.1 + language_match AS score FROM fd)"""
+sc AS (SELECT *, share_i * 0.45 + norm_pc_size * 0.05 + popularity_contrib * 0.3 + (1.0 / (age_hours / 24.0 + 1.0)) * 0.2 + pagerank * 0.1 + language_match AS score FROM
+fd)"""
 _FEED = f"{_I}, {_SIZES}, {_rated_sql()}, {_FEED_PART}"
-_TOP = f"t AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, post_id DESC) AS INTEGER) AS rank FROM sc WHERE {_UNSEEN.format(u='sc.user_id', p='sc.post_id', a='sc.author_id')})"
-_PAIRS = "pr AS (SELECT x.user_id, x.post_id, p.author_id FROM (SELECT user_id, post_id FROM replied UNION SELECT user_id, post_id FROM reblogged) x JOIN posts p ON p.id = x.post_id)"
+_TOP = f"""t AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, post_id DESC) AS INTEGER) AS rank FROM sc WHERE
+{_UNSEEN.format(u='sc.user_id', p='sc.post_id', a='sc.author_id')})"""
+_PAIRS = """pr AS (SELECT x.user_id, x.post_id, p.author_id FROM (SELECT user_id, post_id FROM replied UNION SELECT user_id, post_id FROM reblogged) x JOIN posts p ON p.id =
+x.post_id)"""
 
 
 def _hash_sql(text: str) -> str:
@@ -587,39 +597,46 @@ def _hash_sql(text: str) -> str:
 def _public_sql(local: bool, authors: bool) -> str:
     interest = "SELECT pc, sum(score * n) AS ci FROM i JOIN (SELECT cluster_id AS uc, count(*) AS n FROM users WHERE is_local GROUP BY 1) USING (uc) GROUP BY 1" if local else "SELECT pc, sum(score) AS ci FROM i GROUP BY 1"
     keep = "WHERE author_id IN (SELECT id FROM users WHERE is_local)" if authors else ""
-    return f"{_B}, {_I}, {_rated_sql()}, w AS ({interest}) SELECT id AS post_id, round(ci * 0.5 + pop * 0.3 + 0.2 / (age_hours / 24.0 + 1.0) + pagerank * 0.1, 6) AS score FROM rp JOIN w ON w.pc = rp.cluster_id {keep} ORDER BY ci * 0.5 + pop * 0.3 + 0.2 / (age_hours / 24.0 + 1.0) + pagerank * 0.1 DESC, id DESC LIMIT 20"
+    return f"""{_B}, {_I}, {_rated_sql()}, w AS ({interest}) SELECT id AS post_id, round(ci * 0.5 + pop * 0.3 + 0.2 / (age_hours / 24.0 + 1.0) + pagerank * 0.1, 6) AS score FROM rp JOIN
+w ON w.pc = rp.cluster_id {keep} ORDER BY ci * 0.5 + pop * 0.3 + 0.2 / (age_hours / 24.0 + 1.0) + pagerank * 0.1 DESC, id DESC LIMIT 20"""
 
 
-_MEM = """m0 AS (SELECT viewer_user_id AS user_id, post_id, coalesce(max(age_hours), 0.0) AS s FROM recommendation_detail WHERE viewer_user_id IS NOT NULL AND post_id IS NOT NULL GROUP BY 1, 2),
+_MEM = """m0 AS (SELECT viewer_user_id AS user_id, post_id, coalesce(max(age_hours), 0.0) AS s FROM recommendation_detail WHERE viewer_user_id IS NOT NULL AND post_id IS NOT NULL
+GROUP BY 1, 2),
 m1 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, post_id DESC) AS rank FROM m0), m2 AS (SELECT * FROM m1 WHERE rank <= 500),
-mem AS (SELECT user_id, post_id, CAST(CAST(max(post_id) OVER w AS HUGEINT) * 10 + count(*) OVER w - (rank - 1) AS DOUBLE) AS score FROM m2 WINDOW w AS (PARTITION BY user_id)),
+mem AS (SELECT user_id, post_id, CAST(CAST(max(post_id) OVER w AS HUGEINT) * 10 + count(*) OVER w - (rank - 1) AS DOUBLE) AS score FROM m2 WINDOW w AS (PARTITION BY
+user_id)),
 mix AS (SELECT * REPLACE (CASE WHEN post_id % 3 = 0 THEN CAST(post_id AS DOUBLE) ELSE score END AS score) FROM mem)"""
 _PLACE = "pl AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, CAST(post_id AS VARCHAR) DESC) - 1 AS INTEGER) AS place FROM mix)"
 _V = f"v AS (SELECT vec_id AS id, [x::DOUBLE for x in embedding] AS e, {_T} - to_days(CAST(vec_id % 30 AS INTEGER)) AS created_at FROM embeddings)"
 
 
 def _knn_sql(days: int, weight: str, least: float, keep: str = "true") -> str:
-    return f"""c AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id WHERE {keep} AND a.created_at > {_T} - INTERVAL {days} DAY),
+    return f"""c AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id WHERE {keep} AND a.created_at > {_T} - INTERVAL {days}
+DAY),
 ed AS (SELECT src, dst, {weight} AS weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY c DESC, dst) AS n FROM c) WHERE n <= 5 AND {weight} > {least})"""
 
 
 _KNN = _knn_sql(7, "(1 + c) / 2", 0.6)
 _KNN40 = _knn_sql(40, "(1 + c) / 2", 0.6)
-_UG = "ug AS (SELECT f.user_id AS src, w.user_id AS dst, count(*)::DOUBLE AS weight FROM favourited f JOIN wrote w ON w.post_id = f.post_id WHERE f.user_id <> w.user_id GROUP BY 1, 2)"
+_UG = """ug AS (SELECT f.user_id AS src, w.user_id AS dst, count(*)::DOUBLE AS weight FROM favourited f JOIN wrote w ON w.post_id = f.post_id WHERE f.user_id <> w.user_id GROUP BY
+1, 2)"""
 _BOTH = "bo AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT src, dst, weight FROM ug UNION ALL SELECT dst, src, weight FROM ug) GROUP BY 1, 2)"
 _KNOWN = "bo2 AS (SELECT * FROM bo WHERE src IN (SELECT id FROM users) AND dst IN (SELECT id FROM users))"
 _RANKS = ", ".join(
     ["sh AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS s FROM bo2)", "r0 AS (SELECT id, 1.0::DOUBLE AS r FROM users)"]
     + [f"r{n} AS (SELECT u.id, 0.15 + 0.85 * coalesce(x.g, 0.0) AS r FROM users u LEFT JOIN (SELECT dst, sum(r * s) AS g FROM sh JOIN r{n - 1} ON r{n - 1}.id = sh.src GROUP BY 1) x ON x.dst = u.id)" for n in range(1, S.pagerank_iterations + 1)]
 )
-_DIRTY = "SELECT DISTINCT cluster_id FROM users WHERE id % 5 <> 1 AND cluster_id <> -1 AND id IN (SELECT user_id FROM reactions WHERE happened_at > TIMESTAMP '2024-01-30 20:00:00')"
+_DIRTY = """SELECT DISTINCT cluster_id FROM users WHERE id % 5 <> 1 AND cluster_id <> -1 AND id IN (SELECT user_id FROM reactions WHERE happened_at > TIMESTAMP '2024-01-30 20:00:00')"""
 _LATE = "(user_id % 5 <> 1 OR happened_at <= TIMESTAMP '2024-01-29 00:00:00')"
 _AUTHORS = "sz AS (SELECT author AS id, count(*) AS size FROM documents WHERE author IS NOT NULL GROUP BY 1)"
-_ACTIVE = "acts AS (SELECT u.id, u.cluster_id, u.ui_language, coalesce(w, 0.0) + coalesce(r, 0) AS activity FROM users u LEFT JOIN (SELECT src, sum(weight) AS w FROM ug GROUP BY 1) a ON a.src = u.id LEFT JOIN (SELECT user_id, count(*) AS r FROM reactions GROUP BY 1) b ON b.user_id = u.id)"
+_ACTIVE = """acts AS (SELECT u.id, u.cluster_id, u.ui_language, coalesce(w, 0.0) + coalesce(r, 0) AS activity FROM users u LEFT JOIN (SELECT src, sum(weight) AS w FROM ug GROUP BY 1)
+a ON a.src = u.id LEFT JOIN (SELECT user_id, count(*) AS r FROM reactions GROUP BY 1) b ON b.user_id = u.id)"""
 
 
 def _langs(rows: str, column: str) -> str:
-    return f"(SELECT cluster_id, string_agg({column}, ',' ORDER BY n DESC, {column}) AS l FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, {column}) AS k FROM (SELECT cluster_id, {column}, count(*) AS n FROM {rows} WHERE {column} IS NOT NULL GROUP BY 1, 2)) WHERE k <= 3 GROUP BY 1)"
+    return f"""(SELECT cluster_id, string_agg({column}, ',' ORDER BY n DESC, {column}) AS l FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, {column}) AS k
+FROM (SELECT cluster_id, {column}, count(*) AS n FROM {rows} WHERE {column} IS NOT NULL GROUP BY 1, 2)) WHERE k <= 3 GROUP BY 1)"""
 
 
 def _counts(*names: str) -> str:
@@ -639,8 +656,10 @@ _EMPTIED = {
     "graph": ("users", "posts", "favourited", "recommended", "interacts", "interests", "user_communities", "post_communities", "embedded", "clustered_users", "clustered_posts"),
 }
 _PURGED = "kinds AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, {list(v)} AS gone" for k, v in _EMPTIED.items()) + """), tables AS (SELECT 'users' AS name, count(*) AS n FROM users UNION ALL SELECT 'posts', count(*) FROM posts UNION ALL SELECT 'favourited', count(*) FROM favourited
-UNION ALL SELECT 'recommended', count(*) FROM recommended UNION ALL SELECT 'interacts', count(*) FROM ug UNION ALL SELECT 'interests', count(*) FROM i UNION ALL SELECT 'user_communities', count(*) FROM us UNION ALL SELECT 'post_communities', count(*) FROM ps
-UNION ALL SELECT 'embedded', count(embedding) FROM posts UNION ALL SELECT 'clustered_users', count(cluster_id) FROM users UNION ALL SELECT 'clustered_posts', count(cluster_id) FROM posts)"""
+UNION ALL SELECT 'recommended', count(*) FROM recommended UNION ALL SELECT 'interacts', count(*) FROM ug UNION ALL SELECT 'interests', count(*) FROM i UNION ALL SELECT
+'user_communities', count(*) FROM us UNION ALL SELECT 'post_communities', count(*) FROM ps
+UNION ALL SELECT 'embedded', count(embedding) FROM posts UNION ALL SELECT 'clustered_users', count(cluster_id) FROM users UNION ALL SELECT 'clustered_posts',
+count(cluster_id) FROM posts)"""
 
 _SOCIAL = f"WITH {SOCIAL_SQL}, i AS ({_interest_sql(SOCIAL_AS_OF, half=180.0, least=1.0)}), {_SIZES}, {_rated_sql(90, SOCIAL_AS_OF)}"
 
@@ -665,42 +684,64 @@ SQL = {
     "interest_dirty": f"{_B} SELECT cluster_id AS uc FROM ({_DIRTY})",
     "interest_scores_dirty": f"{_B} {_SCORES} ({_interest_sql(only=f'uc IN ({_DIRTY})')})",
     "interest_global_decay": f"{_B} SELECT uc, pc, round(score * exp(-0.693147::DOUBLE * {HOURS} / (14.0 * 24.0)), 6) AS score FROM ({_interest_sql()})",
-    "interest_unexpired": f"{_B} SELECT uc, pc, ex AS expires_at FROM (SELECT uc, pc, CASE WHEN pc % 3 > 0 THEN {_T} - INTERVAL 1 DAY + to_days(CAST(pc % 3 AS INTEGER)) END AS ex FROM ({_interest_sql()})) WHERE ex IS NULL OR ex >= {_T}",
-    "interest_refresh": f"""{_B}, d AS (SELECT DISTINCT cluster_id AS uc FROM users WHERE cluster_id <> -1 AND id IN (SELECT user_id FROM reactions WHERE {_LATE} AND happened_at > TIMESTAMP '{SINCE}')),
+    "interest_unexpired": f"""{_B} SELECT uc, pc, ex AS expires_at FROM (SELECT uc, pc, CASE WHEN pc % 3 > 0 THEN {_T} - INTERVAL 1 DAY + to_days(CAST(pc % 3 AS INTEGER)) END AS ex FROM
+({_interest_sql()})) WHERE ex IS NULL OR ex >= {_T}""",
+    "interest_refresh": f"""{_B}, d AS (SELECT DISTINCT cluster_id AS uc FROM users WHERE cluster_id <> -1 AND id IN (SELECT user_id FROM reactions WHERE {_LATE} AND happened_at > TIMESTAMP
+'{SINCE}')),
 old AS ({_interest_sql('2024-01-24 00:00:00')}), new AS ({_interest_sql(only='uc IN (SELECT uc FROM d)', late=_LATE)})
-SELECT uc, pc, round(score, 6) AS score, round(based_on, 6) AS based_on FROM (SELECT uc, pc, score * CASE WHEN pc = 3 THEN 0.005::DOUBLE ELSE 1.0 END * exp(-0.693147::DOUBLE * {HOURS} / 336.0) AS score, based_on FROM old WHERE uc NOT IN (SELECT uc FROM d) UNION ALL SELECT uc, pc, score, based_on FROM new) WHERE score >= 0.01""",
-    "community_similarity": f"""{_B}, m AS (SELECT DISTINCT user_id, post_id % 10 AS uc FROM replied), z AS (SELECT uc, count(*) AS n FROM m GROUP BY 1), x AS (SELECT a.uc AS uc1, b.uc AS uc2, count(*) AS k FROM m a JOIN m b ON a.user_id = b.user_id AND a.uc <> b.uc GROUP BY 1, 2),
-j AS (SELECT uc1, uc2, k::DOUBLE / (a.n + b.n - k) AS score FROM x JOIN z a ON a.uc = uc1 JOIN z b ON b.uc = uc2) SELECT uc1, uc2, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY uc1 ORDER BY score DESC, uc2) AS n FROM j) WHERE n <= 5""",
-    "serendipity_similar": f"""{_B}, i AS (SELECT * FROM ({_interest_sql()}) WHERE (uc + pc) % 3 <> 0), m AS (SELECT DISTINCT user_id, post_id % 5 AS uc FROM replied), z AS (SELECT uc, count(*) AS n FROM m GROUP BY 1), x AS (SELECT a.uc AS uc1, b.uc AS uc2, count(*) AS k FROM m a JOIN m b ON a.user_id = b.user_id AND a.uc <> b.uc GROUP BY 1, 2),
-j AS (SELECT uc1, uc2, k::DOUBLE / (a.n + b.n - k) AS score FROM x JOIN z a ON a.uc = uc1 JOIN z b ON b.uc = uc2), s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uc1 ORDER BY score DESC, uc2) AS n FROM j) WHERE n <= 5)
-SELECT s.uc1 AS uc, i.pc, round(0.1::DOUBLE * min(s.score * i.score), 6) AS score FROM s JOIN i ON i.uc = s.uc2 WHERE (s.uc1, i.pc) NOT IN (SELECT (uc, pc) FROM i) GROUP BY 1, 2""",
-    "serendipity_random": f"""{_B}, i AS (SELECT * FROM ({_interest_sql()}) WHERE (uc + pc) % 3 <> 0), u AS (SELECT DISTINCT uc, {_hash_sql("'0-' || uc")} % 2 AS b FROM i), p AS (SELECT DISTINCT cluster_id AS pc, {_hash_sql("'0-' || cluster_id")} % 2 AS b FROM posts)
+SELECT uc, pc, round(score, 6) AS score, round(based_on, 6) AS based_on FROM (SELECT uc, pc, score * CASE WHEN pc = 3 THEN 0.005::DOUBLE ELSE 1.0 END *
+exp(-0.693147::DOUBLE * {HOURS} / 336.0) AS score, based_on FROM old WHERE uc NOT IN (SELECT uc FROM d) UNION ALL SELECT uc, pc, score, based_on FROM new) WHERE score >=
+0.01""",
+    "community_similarity": f"""{_B}, m AS (SELECT DISTINCT user_id, post_id % 10 AS uc FROM replied), z AS (SELECT uc, count(*) AS n FROM m GROUP BY 1), x AS (SELECT a.uc AS uc1, b.uc AS uc2, count(*)
+AS k FROM m a JOIN m b ON a.user_id = b.user_id AND a.uc <> b.uc GROUP BY 1, 2),
+j AS (SELECT uc1, uc2, k::DOUBLE / (a.n + b.n - k) AS score FROM x JOIN z a ON a.uc = uc1 JOIN z b ON b.uc = uc2) SELECT uc1, uc2, round(score, 6) AS score FROM (SELECT
+*, row_number() OVER (PARTITION BY uc1 ORDER BY score DESC, uc2) AS n FROM j) WHERE n <= 5""",
+    "serendipity_similar": f"""{_B}, i AS (SELECT * FROM ({_interest_sql()}) WHERE (uc + pc) % 3 <> 0), m AS (SELECT DISTINCT user_id, post_id % 5 AS uc FROM replied), z AS (SELECT uc, count(*) AS n
+FROM m GROUP BY 1), x AS (SELECT a.uc AS uc1, b.uc AS uc2, count(*) AS k FROM m a JOIN m b ON a.user_id = b.user_id AND a.uc <> b.uc GROUP BY 1, 2),
+j AS (SELECT uc1, uc2, k::DOUBLE / (a.n + b.n - k) AS score FROM x JOIN z a ON a.uc = uc1 JOIN z b ON b.uc = uc2), s AS (SELECT * FROM (SELECT *, row_number() OVER
+(PARTITION BY uc1 ORDER BY score DESC, uc2) AS n FROM j) WHERE n <= 5)
+SELECT s.uc1 AS uc, i.pc, round(0.1::DOUBLE * min(s.score * i.score), 6) AS score FROM s JOIN i ON i.uc = s.uc2 WHERE (s.uc1, i.pc) NOT IN (SELECT (uc, pc) FROM i) GROUP
+BY 1, 2""",
+    "serendipity_random": f"""{_B}, i AS (SELECT * FROM ({_interest_sql()}) WHERE (uc + pc) % 3 <> 0), u AS (SELECT DISTINCT uc, {_hash_sql("'0-' || uc")} % 2 AS b FROM i), p AS (SELECT DISTINCT
+cluster_id AS pc, {_hash_sql("'0-' || cluster_id")} % 2 AS b FROM posts)
 SELECT uc, pc FROM u JOIN p USING (b) WHERE (uc, pc) NOT IN (SELECT (uc, pc) FROM i) ORDER BY {_hash_sql("'0-' || uc || '-' || pc")}, uc, pc LIMIT 100""",
     "local_popularity": f"{_B}, {_LOCAL} SELECT post_id, local_raw, round(log10(local_raw + 1), 6) AS contrib FROM lr",
     "global_popularity": f"{_B}, {_rated_sql()} SELECT id, round(global_raw, 6) AS global_raw, round(log10(global_raw + 1.0), 6) AS popularity_contrib FROM rp",
     "blended_popularity": f"{_B}, {_rated_sql()} SELECT id, round(0.5 * log10(local_raw + 1.0) + 0.5 * log10(global_raw + 1.0), 6) AS popularity_contrib FROM rp",
-    "recency_score": f"{_B} SELECT id, date_sub('hour', created_at, {_T}) AS age_hours, round(1.0::DOUBLE / (date_sub('hour', created_at, {_T}) / 24.0 + 1.0), 6) AS recency FROM posts",
-    "language_boosts": f"{_B} SELECT f.user_id, f.post_id, {_BOOST.format(p='p', u='u')} AS boost FROM favourited f JOIN users u ON u.id = f.user_id JOIN posts p ON p.id = f.post_id",
+    "recency_score": f"""{_B} SELECT id, date_sub('hour', created_at, {_T}) AS age_hours, round(1.0::DOUBLE / (date_sub('hour', created_at, {_T}) / 24.0 + 1.0), 6) AS recency FROM posts""",
+    "language_boosts": f"""{_B} SELECT f.user_id, f.post_id, {_BOOST.format(p='p', u='u')} AS boost FROM favourited f JOIN users u ON u.id = f.user_id JOIN posts p ON p.id = f.post_id""",
     "feed_eligible_pairs": f"{_B}, {_PAIRS} SELECT user_id, post_id FROM pr WHERE {_UNSEEN.format(u='pr.user_id', p='pr.post_id', a='pr.author_id')}",
-    "feed_filter_flags": f"""{_B}, {_PAIRS} SELECT user_id, post_id, (user_id, post_id) IN (SELECT (user_id, post_id) FROM recommended) AS was_recommended, (user_id, post_id) IN (SELECT (user_id, post_id) FROM wrote) AS is_author,
+    "feed_filter_flags": f"""{_B}, {_PAIRS} SELECT user_id, post_id, (user_id, post_id) IN (SELECT (user_id, post_id) FROM recommended) AS was_recommended, (user_id, post_id) IN (SELECT (user_id,
+post_id) FROM wrote) AS is_author,
 (user_id, post_id) IN (SELECT (user_id, post_id) FROM favourited) AS has_favourited, (user_id, author_id) IN (SELECT (src, dst) FROM hates) AS hates_author FROM pr""",
     "feed_personalized_all": f"{_B}, {_FEED}, {_TOP} SELECT user_id, post_id, round(score, 6) AS score, rank FROM t WHERE rank <= 500",
     "feed_detail": f"{_B}, {_FEED}, {_TOP} SELECT user_id, post_id, round(score, 6) AS score, rank, {_DETAIL} FROM t WHERE rank <= 500",
     "feed_explain_pairs": f"""{_B}, {_FEED}, pr AS (SELECT x.user_id, x.post_id, p.author_id, created_at > {_T} - INTERVAL 7 DAY AS within_feed_days, embedding IS NOT NULL AS has_embedding,
-(x.user_id, x.post_id) IN (SELECT (user_id, post_id) FROM recommended) AS was_recommended, (x.user_id, x.post_id) IN (SELECT (user_id, post_id) FROM wrote) AS is_author, (x.user_id, x.post_id) IN (SELECT (user_id, post_id) FROM favourited) AS has_favourited,
-(x.user_id, p.author_id) IN (SELECT (src, dst) FROM hates) AS hates_author FROM (SELECT user_id, post_id FROM reactions UNION SELECT user_id, post_id FROM recommended) x JOIN posts p ON p.id = x.post_id),
+(x.user_id, x.post_id) IN (SELECT (user_id, post_id) FROM recommended) AS was_recommended, (x.user_id, x.post_id) IN (SELECT (user_id, post_id) FROM wrote) AS is_author,
+(x.user_id, x.post_id) IN (SELECT (user_id, post_id) FROM favourited) AS has_favourited,
+(x.user_id, p.author_id) IN (SELECT (src, dst) FROM hates) AS hates_author FROM (SELECT user_id, post_id FROM reactions UNION SELECT user_id, post_id FROM recommended) x
+JOIN posts p ON p.id = x.post_id),
 op AS (SELECT user_id, post_id FROM pr WHERE NOT was_recommended AND NOT is_author AND NOT has_favourited AND NOT hates_author),
-pa AS (SELECT user_id, post_id, 'personalized' AS path, score AS final_score, interest_score, share_i, norm_pc_size, local_raw, global_raw, popularity_contrib, age_hours, pagerank, language_match FROM sc SEMI JOIN op USING (user_id, post_id)
-UNION ALL SELECT op.user_id, op.post_id, 'cold_start', pop * 0.7 + 0.3 / (age_hours / 24.0 + 1.0) + pagerank * 0.1 + {_BOOST.format(p='p', u='u')}, 0.0, 0.0, 0.0, local_raw, global_raw, pop, age_hours, pagerank, {_BOOST.format(p='p', u='u')}
-FROM op JOIN rp p ON p.id = op.post_id JOIN users u ON u.id = op.user_id WHERE p.embedding IS NOT NULL AND (op.user_id, op.post_id) NOT IN (SELECT (user_id, post_id) FROM sc)),
-me AS (SELECT user_id, post_id, (post_id % 7)::DOUBLE AS member_score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY post_id % 7 DESC, post_id::VARCHAR DESC) - 1 AS INTEGER) AS place, count(*) OVER (PARTITION BY user_id) AS n_members FROM reblogged)
-SELECT pr.*, coalesce(path, 'not_scored') AS path, round(final_score, 6) AS final_score, {_DETAIL}, member_score, place, n_members, CASE WHEN path IS NULL THEN array_to_string(list_filter([{_NOTES_SQL}], lambda t: t IS NOT NULL), ' ') ELSE '' END AS notes
+pa AS (SELECT user_id, post_id, 'personalized' AS path, score AS final_score, interest_score, share_i, norm_pc_size, local_raw, global_raw, popularity_contrib, age_hours,
+pagerank, language_match FROM sc SEMI JOIN op USING (user_id, post_id)
+UNION ALL SELECT op.user_id, op.post_id, 'cold_start', pop * 0.7 + 0.3 / (age_hours / 24.0 + 1.0) + pagerank * 0.1 + {_BOOST.format(p='p', u='u')}, 0.0, 0.0, 0.0,
+local_raw, global_raw, pop, age_hours, pagerank, {_BOOST.format(p='p', u='u')}
+FROM op JOIN rp p ON p.id = op.post_id JOIN users u ON u.id = op.user_id WHERE p.embedding IS NOT NULL AND (op.user_id, op.post_id) NOT IN (SELECT (user_id, post_id) FROM
+sc)),
+me AS (SELECT user_id, post_id, (post_id % 7)::DOUBLE AS member_score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY post_id % 7 DESC, post_id::VARCHAR DESC) - 1
+AS INTEGER) AS place, count(*) OVER (PARTITION BY user_id) AS n_members FROM reblogged)
+SELECT pr.*, coalesce(path, 'not_scored') AS path, round(final_score, 6) AS final_score, {_DETAIL}, member_score, place, n_members, CASE WHEN path IS NULL THEN
+array_to_string(list_filter([{_NOTES_SQL}], lambda t: t IS NOT NULL), ' ') ELSE '' END AS notes
 FROM pr LEFT JOIN pa USING (user_id, post_id) LEFT JOIN me USING (user_id, post_id)""",
-    "public_feed_members": f"""{_B}, {_I}, {_rated_sql()}, w AS (SELECT pc, sum(score * n) AS ci FROM i JOIN (SELECT cluster_id AS uc, count(*) AS n FROM users WHERE is_local GROUP BY 1) USING (uc) GROUP BY 1),
-f AS (SELECT id, row_number() OVER (ORDER BY ci * 0.5 + pop * 0.3 + 0.2 / (age_hours / 24.0 + 1.0) + pagerank * 0.1 DESC, id DESC) AS rank FROM rp JOIN w ON w.pc = rp.cluster_id)
+    "public_feed_members": f"""{_B}, {_I}, {_rated_sql()}, w AS (SELECT pc, sum(score * n) AS ci FROM i JOIN (SELECT cluster_id AS uc, count(*) AS n FROM users WHERE is_local GROUP BY 1) USING (uc)
+GROUP BY 1),
+f AS (SELECT id, row_number() OVER (ORDER BY ci * 0.5 + pop * 0.3 + 0.2 / (age_hours / 24.0 + 1.0) + pagerank * 0.1 DESC, id DESC) AS rank FROM rp JOIN w ON w.pc =
+rp.cluster_id)
 SELECT 'local' AS key, id AS post_id, CAST(max(id) OVER () * 10 + count(*) OVER () - (rank - 1) AS DOUBLE) AS score FROM f WHERE rank <= 500""",
-    "feed_cold_start": f"""{_B}, {_rated_sql()}, t AS (SELECT u.id AS user_id, p.id AS post_id, pop * 0.7 + 0.3 / (age_hours / 24.0 + 1.0) + pagerank * 0.1 + {_BOOST.format(p='p', u='u')} AS score FROM users u CROSS JOIN rp p
-WHERE p.embedding IS NOT NULL AND {_UNSEEN.format(u='u.id', p='p.id', a='p.author_id')}) SELECT user_id, post_id, round(score, 6) AS score, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, post_id DESC) AS n FROM t) WHERE n <= 500""",
+    "feed_cold_start": f"""{_B}, {_rated_sql()}, t AS (SELECT u.id AS user_id, p.id AS post_id, pop * 0.7 + 0.3 / (age_hours / 24.0 + 1.0) + pagerank * 0.1 + {_BOOST.format(p='p', u='u')} AS score
+FROM users u CROSS JOIN rp p
+WHERE p.embedding IS NOT NULL AND {_UNSEEN.format(u='u.id', p='p.id', a='p.author_id')}) SELECT user_id, post_id, round(score, 6) AS score, CAST(n AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, post_id DESC) AS n FROM t) WHERE n <= 500""",
     "public_feed_local": _public_sql(True, False),
     "public_feed_all": _public_sql(False, False),
     "public_feed_local_authors": _public_sql(True, True),
@@ -710,63 +751,96 @@ WHERE p.embedding IS NOT NULL AND {_UNSEEN.format(u='u.id', p='p.id', a='p.autho
     "feed_member_rank": f"WITH {_MEM}, {_PLACE} SELECT user_id, post_id, place FROM pl",
     "feed_range": f"WITH {_MEM}, {_PLACE} SELECT user_id, post_id, place FROM pl WHERE place BETWEEN 2 AND 4",
     "feed_lengths": f"WITH {_MEM} SELECT user_id, count(*) AS n FROM mem GROUP BY 1",
-    "dirty_users": f"""{_B}, i AS ({_interest_sql()}), n AS (SELECT i.uc, max(p.created_at) AS pa FROM i LEFT JOIN (SELECT * FROM posts WHERE cluster_id < 5) p ON p.cluster_id = i.pc GROUP BY 1),
+    "dirty_users": f"""{_B}, i AS ({_interest_sql()}), n AS (SELECT i.uc, max(p.created_at) AS pa FROM i LEFT JOIN (SELECT * FROM posts WHERE cluster_id < 5) p ON p.cluster_id = i.pc GROUP BY
+1),
 s AS (SELECT user_id, count(*) AS n, count_if((user_id, post_id) IN (SELECT (user_id, post_id) FROM reactions)) AS c FROM recommended GROUP BY 1)
 SELECT id FROM users LEFT JOIN n ON n.uc = cluster_id LEFT JOIN s ON s.user_id = id WHERE is_local AND (last_active IS NULL OR last_active >= {_T} - INTERVAL 2 DAY)
-AND coalesce(feed_generated_at IS NULL OR pa > feed_generated_at OR (n.uc IS NOT NULL AND {_T} - INTERVAL 3 DAY > feed_generated_at) OR (n > 0 AND c >= n * 0.8::DOUBLE), false)""",
-    "merge_recommended": f"{_B} SELECT user_id, post_id, happened_at, 2.0::DOUBLE AS score FROM recommended UNION ALL SELECT user_id, post_id, {_T}, 1.0 FROM reblogged WHERE (user_id, post_id) NOT IN (SELECT (user_id, post_id) FROM recommended)",
-    "feed_times": f"{_B} SELECT id, CASE WHEN id IN (SELECT user_id FROM reblogged WHERE user_id % 4 = 1) THEN {_T} ELSE feed_generated_at END AS feed_generated_at FROM users",
+AND coalesce(feed_generated_at IS NULL OR pa > feed_generated_at OR (n.uc IS NOT NULL AND {_T} - INTERVAL 3 DAY > feed_generated_at) OR (n > 0 AND c >= n * 0.8::DOUBLE),
+false)""",
+    "merge_recommended": f"""{_B} SELECT user_id, post_id, happened_at, 2.0::DOUBLE AS score FROM recommended UNION ALL SELECT user_id, post_id, {_T}, 1.0 FROM reblogged WHERE (user_id, post_id) NOT
+IN (SELECT (user_id, post_id) FROM recommended)""",
+    "feed_times": f"""{_B} SELECT id, CASE WHEN id IN (SELECT user_id FROM reblogged WHERE user_id % 4 = 1) THEN {_T} ELSE feed_generated_at END AS feed_generated_at FROM users""",
     "active_users": f"{_B} SELECT id FROM users WHERE is_local AND (last_active IS NULL OR last_active >= {_T} - INTERVAL 1 DAY)",
     "knn_edges": f"WITH {_V}, {_KNN} SELECT src, dst, round(weight, 6) AS weight FROM ed",
     "knn_edges_cosine": f"WITH {_V}, {_knn_sql(7, 'c', 0.2)} SELECT src, dst, round(weight, 6) AS weight FROM ed",
     "knn_incremental": f"WITH {_V}, {_knn_sql(7, '(1 + c) / 2', 0.6, 'a.id % 2 = 0 AND b.id % 2 = 0')} SELECT id FROM v WHERE id NOT IN (SELECT src FROM ed)",
-    "knn_incremental_edges": f"WITH {_V}, {_knn_sql(7, '(1 + c) / 2', 0.6, 'a.id % 2 = 0 AND b.id % 2 = 0')}, {_KNN.replace('c AS', 'c2 AS', 1).replace('ed AS', 'ed2 AS', 1).replace('FROM c)', 'FROM c2)', 1)} SELECT src, dst, round(weight, 6) AS weight FROM (SELECT * FROM ed UNION ALL SELECT * FROM ed2 WHERE src NOT IN (SELECT src FROM ed))",
-    "similarity_stats": f"WITH {_V}, {_KNN} SELECT count(*) AS n_edges, count(DISTINCT src) AS n_sources, round(min(weight), 6) AS min_weight, round(avg(weight), 6) AS avg_weight, round(quantile_cont(weight, 0.5), 6) AS median_weight, round(max(weight), 6) AS max_weight, (SELECT count(*) FROM v WHERE id NOT IN (SELECT src FROM ed)) AS n_without FROM ed",
-    "similarity_pruned": f"WITH {_V}, {_KNN40} SELECT src, dst, 'temporal' AS strategy FROM ed WHERE src NOT IN (SELECT id FROM v WHERE created_at < {_T} - INTERVAL 20 DAY) UNION ALL SELECT src, dst, 'partial' FROM ed WHERE weight >= 0.7",
+    "knn_incremental_edges": f"""WITH {_V}, {_knn_sql(7, '(1 + c) / 2', 0.6, 'a.id % 2 = 0 AND b.id % 2 = 0')},
+{_KNN.replace('c AS', 'c2 AS', 1).replace('ed AS', 'ed2 AS', 1).replace('FROM c)', 'FROM c2)', 1)} SELECT src, dst, round(weight, 6) AS weight FROM (SELECT * FROM ed
+UNION ALL SELECT * FROM ed2 WHERE src NOT IN (SELECT src FROM ed))""",
+    "similarity_stats": f"""WITH {_V}, {_KNN} SELECT count(*) AS n_edges, count(DISTINCT src) AS n_sources, round(min(weight), 6) AS min_weight, round(avg(weight), 6) AS avg_weight,
+round(quantile_cont(weight, 0.5), 6) AS median_weight, round(max(weight), 6) AS max_weight, (SELECT count(*) FROM v WHERE id NOT IN (SELECT src FROM ed)) AS n_without
+FROM ed""",
+    "similarity_pruned": f"""WITH {_V}, {_KNN40} SELECT src, dst, 'temporal' AS strategy FROM ed WHERE src NOT IN (SELECT id FROM v WHERE created_at < {_T} - INTERVAL 20 DAY) UNION ALL SELECT src,
+dst, 'partial' FROM ed WHERE weight >= 0.7""",
     "vector_readiness": "SELECT count(*) AS n_posts, count(embedding) AS n_vectors, count_if(len(embedding) = 64) AS n_fit FROM post",
     "connected_parts": f"""WITH RECURSIVE {_V}, {_KNN40}, b AS (SELECT src, dst FROM ed WHERE weight > 0.68 UNION SELECT dst, src FROM ed WHERE weight > 0.68),
 reach AS (SELECT id, id AS other FROM v UNION SELECT r.id, b.dst FROM reach r JOIN b ON b.src = r.other) SELECT id, min(other) AS component FROM reach GROUP BY 1""",
-    "modularity": f"""{_B}, {_UG}, {_BOTH}, x AS (SELECT a.cluster_id AS c1, b.cluster_id AS c2, weight FROM bo JOIN users a ON a.id = src JOIN users b ON b.id = dst), y AS (SELECT c1, sum(CASE WHEN c1 = c2 THEN weight ELSE 0 END) AS i, sum(weight) AS k FROM x GROUP BY 1)
-SELECT (SELECT count(DISTINCT cluster_id) FROM users) AS communities, round(sum(i / (SELECT sum(weight) FROM bo) - (k / (SELECT sum(weight) FROM bo)) * (k / (SELECT sum(weight) FROM bo))), 6) AS modularity FROM y""",
+    "modularity": f"""{_B}, {_UG}, {_BOTH}, x AS (SELECT a.cluster_id AS c1, b.cluster_id AS c2, weight FROM bo JOIN users a ON a.id = src JOIN users b ON b.id = dst), y AS (SELECT c1,
+sum(CASE WHEN c1 = c2 THEN weight ELSE 0 END) AS i, sum(weight) AS k FROM x GROUP BY 1)
+SELECT (SELECT count(DISTINCT cluster_id) FROM users) AS communities, round(sum(i / (SELECT sum(weight) FROM bo) - (k / (SELECT sum(weight) FROM bo)) * (k / (SELECT
+sum(weight) FROM bo))), 6) AS modularity FROM y""",
     "pagerank": f"{_B}, {_UG}, {_BOTH}, {_KNOWN}, {_RANKS} SELECT id, round(r, 6) AS pagerank FROM r{S.pagerank_iterations}",
-    "singleton_collapse": f"{_B}, u AS (SELECT id, CASE WHEN id % 4 = 0 THEN id ELSE cluster_id END AS c FROM users) SELECT id, CASE WHEN count(*) OVER (PARTITION BY c) = 1 THEN -1 ELSE c END AS cluster_id FROM u",
+    "singleton_collapse": f"""{_B}, u AS (SELECT id, CASE WHEN id % 4 = 0 THEN id ELSE cluster_id END AS c FROM users) SELECT id, CASE WHEN count(*) OVER (PARTITION BY c) = 1 THEN -1 ELSE c END AS
+cluster_id FROM u""",
     "community_sizes": f"{_B}, {_SIZES} SELECT *, 'user' AS kind FROM us UNION ALL SELECT *, 'post' FROM ps",
     "community_rebuild": f"{_B}, {_SIZES} SELECT * FROM us WHERE id <> 2",
-    "graph_diagnostics": f"""{_B}, {_UG}, dg AS (SELECT u.id, count(e.dst) AS d FROM users u LEFT JOIN ug e ON e.src = u.id GROUP BY 1) SELECT count(*) AS n_edges, sum(weight) AS weight_sum, quantile_cont(weight, 0.5) AS weight_p50, quantile_cont(weight, 0.9) AS weight_p90, quantile_cont(weight, 0.99) AS weight_p99,
-(SELECT quantile_cont(d::DOUBLE, 0.5) FROM dg) AS degree_p50, (SELECT quantile_cont(d::DOUBLE, 0.9) FROM dg) AS degree_p90, (SELECT quantile_cont(d::DOUBLE, 0.99) FROM dg) AS degree_p99,
-(SELECT count(*) FROM users WHERE id NOT IN (SELECT src FROM ug) AND id NOT IN (SELECT dst FROM ug)) AS n_isolated, round(0.1::DOUBLE / sum(weight), 9) AS resolution_per_weight FROM ug""",
+    "graph_diagnostics": f"""{_B}, {_UG}, dg AS (SELECT u.id, count(e.dst) AS d FROM users u LEFT JOIN ug e ON e.src = u.id GROUP BY 1) SELECT count(*) AS n_edges, sum(weight) AS weight_sum,
+quantile_cont(weight, 0.5) AS weight_p50, quantile_cont(weight, 0.9) AS weight_p90, quantile_cont(weight, 0.99) AS weight_p99,
+(SELECT quantile_cont(d::DOUBLE, 0.5) FROM dg) AS degree_p50, (SELECT quantile_cont(d::DOUBLE, 0.9) FROM dg) AS degree_p90, (SELECT quantile_cont(d::DOUBLE, 0.99) FROM
+dg) AS degree_p99,
+(SELECT count(*) FROM users WHERE id NOT IN (SELECT src FROM ug) AND id NOT IN (SELECT dst FROM ug)) AS n_isolated, round(0.1::DOUBLE / sum(weight), 9) AS
+resolution_per_weight FROM ug""",
     "cleanup_cascade": f"{_B}, {_I}, {_GONE} " + " UNION ALL ".join(f"SELECT '{k}' AS name, count(*) AS n FROM ({q})" for k, q in _LEFT.items()),
     "purge_counts": f"{_B}, {_I}, {_SIZES}, {_UG}, " + _PURGED + " SELECT kind, name, CASE WHEN list_contains(gone, name) THEN 0 ELSE n END AS n FROM kinds, tables",
     "user_community_soundness": f"{_B} SELECT count(*) AS nodes, count(*) AS labelled, 0::BIGINT AS apart, true AS better FROM users",
     "post_community_soundness": "SELECT count(*) AS nodes, count(*) AS labelled, 0::BIGINT AS apart, true AS better FROM embeddings",
     "node_edge_counts": f"{_B} {_counts('users', 'posts', 'favourited', 'reblogged', 'replied', 'bookmarked', 'recommended', 'hates', 'wrote')}",
-    "connectivity": f"{_B}, {_UG}, dg AS (SELECT u.id, count(e.dst) AS d FROM users u LEFT JOIN ug e ON e.src = u.id GROUP BY 1) SELECT round(avg(d), 6) AS avg_degree, quantile_cont(d::DOUBLE, 0.5) AS median_degree, max(d) AS max_degree, count_if(d = 0 AND id NOT IN (SELECT dst FROM ug)) AS n_isolated FROM dg",
+    "connectivity": f"""{_B}, {_UG}, dg AS (SELECT u.id, count(e.dst) AS d FROM users u LEFT JOIN ug e ON e.src = u.id GROUP BY 1) SELECT round(avg(d), 6) AS avg_degree, quantile_cont(d::DOUBLE,
+0.5) AS median_degree, max(d) AS max_degree, count_if(d = 0 AND id NOT IN (SELECT dst FROM ug)) AS n_isolated FROM dg""",
     "embedding_coverage": "SELECT count(*) AS n_posts, count(embedding) AS n_embedded, round(count(embedding) * 100.0::DOUBLE / count(*), 6) AS percent FROM post",
-    "mean_interactions": f"{_B}, k AS (SELECT * FROM reactions WHERE kind <> 'bookmarked') SELECT (SELECT count(*) FROM users) AS n_users, (SELECT round(avg(c), 6) FROM (SELECT u.id, count(k.kind) AS c FROM users u LEFT JOIN k ON k.user_id = u.id GROUP BY 1)) AS per_user, (SELECT round(avg(c), 6) FROM (SELECT p.id, count(k.kind) AS c FROM posts p LEFT JOIN k ON k.post_id = p.id GROUP BY 1)) AS per_post",
+    "mean_interactions": f"""{_B}, k AS (SELECT * FROM reactions WHERE kind <> 'bookmarked') SELECT (SELECT count(*) FROM users) AS n_users, (SELECT round(avg(c), 6) FROM (SELECT u.id, count(k.kind)
+AS c FROM users u LEFT JOIN k ON k.user_id = u.id GROUP BY 1)) AS per_user, (SELECT round(avg(c), 6) FROM (SELECT p.id, count(k.kind) AS c FROM posts p LEFT JOIN k ON
+k.post_id = p.id GROUP BY 1)) AS per_post""",
     "top_languages": "SELECT lang AS language, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
-    "size_distribution": f"WITH {_AUTHORS} SELECT CASE WHEN size <= 1 THEN '1' WHEN size <= 5 THEN '2-5' WHEN size <= 20 THEN '6-20' WHEN size <= 100 THEN '21-100' ELSE '100+' END AS bucket, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM sz), 6) AS percent FROM sz GROUP BY 1",
-    "size_stats": f"WITH {_AUTHORS} SELECT count(*) AS n, round(avg(size), 6) AS avg_size, round(quantile_cont(size::DOUBLE, 0.5), 6) AS median_size, round(quantile_cont(size::DOUBLE, 0.9), 6) AS p90_size, min(size) AS min_size, max(size) AS max_size FROM sz",
-    "top_user_communities": f"""{_B}, {_UG}, {_SIZES}, {_ACTIVE}, t AS (SELECT * FROM us ORDER BY size DESC, id LIMIT 10) SELECT t.id AS cluster_id, size, (SELECT id FROM acts a WHERE a.cluster_id = t.id ORDER BY activity DESC, id LIMIT 1) AS most_active,
-(SELECT round(max(activity), 6) FROM acts a WHERE a.cluster_id = t.id) AS most_active_activity, (SELECT round(avg(activity), 6) FROM acts a WHERE a.cluster_id = t.id) AS avg_activity, coalesce(l, '') AS languages FROM t LEFT JOIN {_langs('users', 'ui_language')} g ON g.cluster_id = t.id""",
+    "size_distribution": f"""WITH {_AUTHORS} SELECT CASE WHEN size <= 1 THEN '1' WHEN size <= 5 THEN '2-5' WHEN size <= 20 THEN '6-20' WHEN size <= 100 THEN '21-100' ELSE '100+' END AS bucket,
+count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM sz), 6) AS percent FROM sz GROUP BY 1""",
+    "size_stats": f"""WITH {_AUTHORS} SELECT count(*) AS n, round(avg(size), 6) AS avg_size, round(quantile_cont(size::DOUBLE, 0.5), 6) AS median_size, round(quantile_cont(size::DOUBLE, 0.9),
+6) AS p90_size, min(size) AS min_size, max(size) AS max_size FROM sz""",
+    "top_user_communities": f"""{_B}, {_UG}, {_SIZES}, {_ACTIVE}, t AS (SELECT * FROM us ORDER BY size DESC, id LIMIT 10) SELECT t.id AS cluster_id, size, (SELECT id FROM acts a WHERE a.cluster_id =
+t.id ORDER BY activity DESC, id LIMIT 1) AS most_active,
+(SELECT round(max(activity), 6) FROM acts a WHERE a.cluster_id = t.id) AS most_active_activity, (SELECT round(avg(activity), 6) FROM acts a WHERE a.cluster_id = t.id) AS
+avg_activity, coalesce(l, '') AS languages FROM t LEFT JOIN {_langs('users', 'ui_language')} g ON g.cluster_id = t.id""",
     "top_post_communities": f"""{_B}, {_SIZES}, {_rated_sql(100)}, t AS (SELECT * FROM ps ORDER BY size DESC, id LIMIT 10), au AS (SELECT cluster_id, author_id, count(*) AS n FROM posts GROUP BY 1, 2)
-SELECT t.id AS cluster_id, size, (SELECT id FROM rp WHERE rp.cluster_id = t.id ORDER BY pop DESC, id LIMIT 1) AS popular_post, (SELECT round(max(pop), 6) FROM rp WHERE rp.cluster_id = t.id) AS popular_post_popularity_contrib,
-(SELECT author_id FROM au WHERE au.cluster_id = t.id ORDER BY n DESC, author_id LIMIT 1) AS top_author, (SELECT max(n) FROM au WHERE au.cluster_id = t.id) AS top_author_posts, (SELECT round(avg(pop), 6) FROM rp WHERE rp.cluster_id = t.id) AS avg_popularity, coalesce(l, '') AS languages
+SELECT t.id AS cluster_id, size, (SELECT id FROM rp WHERE rp.cluster_id = t.id ORDER BY pop DESC, id LIMIT 1) AS popular_post, (SELECT round(max(pop), 6) FROM rp WHERE
+rp.cluster_id = t.id) AS popular_post_popularity_contrib,
+(SELECT author_id FROM au WHERE au.cluster_id = t.id ORDER BY n DESC, author_id LIMIT 1) AS top_author, (SELECT max(n) FROM au WHERE au.cluster_id = t.id) AS
+top_author_posts, (SELECT round(avg(pop), 6) FROM rp WHERE rp.cluster_id = t.id) AS avg_popularity, coalesce(l, '') AS languages
 FROM t LEFT JOIN {_langs('posts', 'language')} g ON g.cluster_id = t.id""",
-    "user_profile": f"""{_B}, {_I}, m AS (SELECT * FROM users WHERE id = 3), r AS (SELECT * FROM reactions WHERE user_id = 3) SELECT id, cluster_id, is_local, ui_language, last_active, (SELECT count(*) FROM wrote WHERE user_id = 3) AS n_posts, (SELECT count_if(kind = 'favourited') FROM r) AS n_favourited,
-(SELECT count_if(kind = 'reblogged') FROM r) AS n_reblogged, (SELECT count_if(kind = 'replied') FROM r) AS n_replied, (SELECT count_if(kind = 'bookmarked') FROM r) AS n_bookmarked,
-(SELECT string_agg(pc::VARCHAR, ',' ORDER BY score DESC, pc) FROM (SELECT * FROM i WHERE uc = (SELECT cluster_id FROM m) ORDER BY score DESC, pc LIMIT 5)) AS top_interests FROM m""",
-    "post_profile": f"""{_B}, {_SIZES}, r AS (SELECT * FROM reactions WHERE post_id = 5) SELECT p.id, author_id, cluster_id, language, created_at, total_favourites, pagerank, size, (SELECT count_if(kind = 'favourited') FROM r) AS n_favourited, (SELECT count_if(kind = 'reblogged') FROM r) AS n_reblogged,
-(SELECT count_if(kind = 'replied') FROM r) AS n_replied, (SELECT count_if(kind = 'bookmarked') FROM r) AS n_bookmarked FROM posts p LEFT JOIN ps ON ps.id = cluster_id WHERE p.id = 5""",
-    "interest_overview": f"{_B}, {_I} SELECT count(*) AS n, count_if(pc % 3 <> 0 AND pc % 3 <> 0 AND NOT {_T} - INTERVAL 1 DAY + to_days(CAST(pc % 3 AS INTEGER)) < {_T} OR pc % 3 = 0) AS n_active, count_if(pc % 3 <> 0 AND {_T} - INTERVAL 1 DAY + to_days(CAST(pc % 3 AS INTEGER)) < {_T}) AS n_expired FROM i",
+    "user_profile": f"""{_B}, {_I}, m AS (SELECT * FROM users WHERE id = 3), r AS (SELECT * FROM reactions WHERE user_id = 3) SELECT id, cluster_id, is_local, ui_language, last_active, (SELECT
+count(*) FROM wrote WHERE user_id = 3) AS n_posts, (SELECT count_if(kind = 'favourited') FROM r) AS n_favourited,
+(SELECT count_if(kind = 'reblogged') FROM r) AS n_reblogged, (SELECT count_if(kind = 'replied') FROM r) AS n_replied, (SELECT count_if(kind = 'bookmarked') FROM r) AS
+n_bookmarked,
+(SELECT string_agg(pc::VARCHAR, ',' ORDER BY score DESC, pc) FROM (SELECT * FROM i WHERE uc = (SELECT cluster_id FROM m) ORDER BY score DESC, pc LIMIT 5)) AS
+top_interests FROM m""",
+    "post_profile": f"""{_B}, {_SIZES}, r AS (SELECT * FROM reactions WHERE post_id = 5) SELECT p.id, author_id, cluster_id, language, created_at, total_favourites, pagerank, size, (SELECT
+count_if(kind = 'favourited') FROM r) AS n_favourited, (SELECT count_if(kind = 'reblogged') FROM r) AS n_reblogged,
+(SELECT count_if(kind = 'replied') FROM r) AS n_replied, (SELECT count_if(kind = 'bookmarked') FROM r) AS n_bookmarked FROM posts p LEFT JOIN ps ON ps.id = cluster_id
+WHERE p.id = 5""",
+    "interest_overview": f"""{_B}, {_I} SELECT count(*) AS n, count_if(pc % 3 <> 0 AND pc % 3 <> 0 AND NOT {_T} - INTERVAL 1 DAY + to_days(CAST(pc % 3 AS INTEGER)) < {_T} OR pc % 3 = 0) AS n_active,
+count_if(pc % 3 <> 0 AND {_T} - INTERVAL 1 DAY + to_days(CAST(pc % 3 AS INTEGER)) < {_T}) AS n_expired FROM i""",
     "export_interests": f"{_B}, {_I} SELECT uc, pc, round(score, 6) AS score FROM i ORDER BY i.score DESC, uc, pc LIMIT 30",
-    "export_members": f"{_B}, {_SIZES}, t AS (SELECT * FROM us ORDER BY size DESC, id LIMIT 3) SELECT cluster_id, size, string_agg(x::VARCHAR, ',' ORDER BY x) AS members FROM (SELECT cluster_id, size, u.id AS x, row_number() OVER (PARTITION BY cluster_id ORDER BY u.id) AS n FROM users u JOIN t ON t.id = cluster_id) WHERE n <= 4 GROUP BY 1, 2",
+    "export_members": f"""{_B}, {_SIZES}, t AS (SELECT * FROM us ORDER BY size DESC, id LIMIT 3) SELECT cluster_id, size, string_agg(x::VARCHAR, ',' ORDER BY x) AS members FROM (SELECT cluster_id,
+size, u.id AS x, row_number() OVER (PARTITION BY cluster_id ORDER BY u.id) AS n FROM users u JOIN t ON t.id = cluster_id) WHERE n <= 4 GROUP BY 1, 2""",
     "export_edges": f"{_B}, {_UG} SELECT * FROM ug ORDER BY src, dst LIMIT 25",
-    "graph_readiness": f"{_B}, {_I} SELECT false AS has_embeddings, true AS has_user_communities, false AS has_post_communities, (SELECT count(*) > 0 FROM i) AS has_interests",
+    "graph_readiness": f"""{_B}, {_I} SELECT false AS has_embeddings, true AS has_user_communities, false AS has_post_communities, (SELECT count(*) > 0 FROM i) AS has_interests""",
     "social_interests": f"{_SOCIAL} SELECT uc, pc, round(score, 6) AS score, round(based_on, 6) AS based_on FROM i",
     "social_feeds": f"{_SOCIAL}, {_FEED_PART}, {_TOP} SELECT user_id, post_id, round(score, 6) AS score, rank FROM t WHERE rank <= 500",
-    "social_cold_start": f"""{_SOCIAL}, t AS (SELECT u.id AS user_id, p.id AS post_id, pop * 0.7 + 0.3 / (age_hours / 24.0 + 1.0) + pagerank * 0.1 + {_BOOST.format(p='p', u='u')} AS score FROM users u CROSS JOIN rp p
-WHERE p.embedding IS NOT NULL AND {_UNSEEN.format(u='u.id', p='p.id', a='p.author_id')}) SELECT user_id, post_id, round(score, 6) AS score, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, post_id DESC) AS n FROM t) WHERE n <= 500""",
+    "social_cold_start": f"""{_SOCIAL}, t AS (SELECT u.id AS user_id, p.id AS post_id, pop * 0.7 + 0.3 / (age_hours / 24.0 + 1.0) + pagerank * 0.1 + {_BOOST.format(p='p', u='u')} AS score FROM users
+u CROSS JOIN rp p
+WHERE p.embedding IS NOT NULL AND {_UNSEEN.format(u='u.id', p='p.id', a='p.author_id')}) SELECT user_id, post_id, round(score, 6) AS score, CAST(n AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, post_id DESC) AS n FROM t) WHERE n <= 500""",
     "social_public_feed": f"""{_SOCIAL}, w AS (SELECT pc, sum(score * n) AS ci FROM i JOIN (SELECT cluster_id AS uc, count(*) AS n FROM users WHERE is_local GROUP BY 1) USING (uc) GROUP BY 1)
-SELECT id AS post_id, round(ci * 0.5 + pop * 0.3 + 0.2 / (age_hours / 24.0 + 1.0) + pagerank * 0.1, 6) AS score FROM rp JOIN w ON w.pc = rp.cluster_id WHERE author_id IN (SELECT id FROM users WHERE is_local)
+SELECT id AS post_id, round(ci * 0.5 + pop * 0.3 + 0.2 / (age_hours / 24.0 + 1.0) + pagerank * 0.1, 6) AS score FROM rp JOIN w ON w.pc = rp.cluster_id WHERE author_id IN
+(SELECT id FROM users WHERE is_local)
 ORDER BY ci * 0.5 + pop * 0.3 + 0.2 / (age_hours / 24.0 + 1.0) + pagerank * 0.1 DESC, id DESC LIMIT 500""",
 }

@@ -224,7 +224,8 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
 
 
 _WITH = f"WITH {TABLE_SQL}"
-_CORPUS = "SELECT id, text FROM st WHERE deleted_at IS NULL AND visibility = 0 AND reblog_of_id IS NULL AND (NOT coalesce(reply, false) OR in_reply_to_account_id = account_id) AND text <> '' AND length(text) >= 10"
+_CORPUS = """SELECT id, text FROM st WHERE deleted_at IS NULL AND visibility = 0 AND reblog_of_id IS NULL AND (NOT coalesce(reply, false) OR in_reply_to_account_id = account_id) AND
+text <> '' AND length(text) >= 10"""
 _LOCALE = "CASE id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' END"
 _ACTIVITY = f"""SELECT id AS account_id, greatest(coalesce(ls, created_at), coalesce(si, created_at)) AS last_active, domain IS NULL AS is_local,
 CASE WHEN b IS NOT NULL THEN {_LOCALE} END AS ui_language, CASE WHEN b IS NOT NULL AND id % 2 = 0 THEN ['fr', coalesce({_LOCALE}, 'pt')] END AS languages
@@ -239,12 +240,18 @@ FROM fv f JOIN st s ON s.id = f.status_id WHERE f.id > 100"""
 
 def _edges(fav: str, own: str, men: str, fol: str) -> str:
     w = f"{S.likes_weight_edge}, {S.replies_weight_edge}, {S.reblogs_weight_edge}, {S.mentions_weight_edge}, {S.follows_weight_edge}".split(", ")
-    return f"""SELECT src, dst, CAST(sum(w) AS DOUBLE) AS weight, CAST(max(mf) AS BIGINT) AS max_favourite_id, CAST(max(ms) AS BIGINT) AS max_status_id, CAST(max(mm) AS BIGINT) AS max_mention_id, CAST(max(ml) AS BIGINT) AS max_follow_id FROM (
-SELECT f.account_id AS src, s.account_id AS dst, count(*) * {w[0]}::DOUBLE AS w, max(f.id) AS mf, NULL AS ms, NULL AS mm, NULL AS ml FROM fv f JOIN st s ON s.id = f.status_id WHERE f.account_id <> s.account_id AND {fav} GROUP BY 1, 2
-UNION ALL SELECT r.account_id, p.account_id, count(*) * {w[1]}::DOUBLE, NULL, max(r.id), NULL, NULL FROM st r JOIN st p ON p.id = r.in_reply_to_id WHERE r.account_id <> p.account_id AND {own} GROUP BY 1, 2
-UNION ALL SELECT r.account_id, p.account_id, count(*) * {w[2]}::DOUBLE, NULL, max(r.id), NULL, NULL FROM st r JOIN st p ON p.id = r.reblog_of_id WHERE r.account_id <> p.account_id AND {own} GROUP BY 1, 2
-UNION ALL SELECT r.account_id, r.in_reply_to_account_id, count(*) * {w[3]}::DOUBLE, NULL, NULL, max(r.id), NULL FROM st r WHERE r.in_reply_to_account_id IS NOT NULL AND r.id % 3 <> 0 AND r.account_id <> r.in_reply_to_account_id AND {men} GROUP BY 1, 2
-UNION ALL SELECT r.account_id, r.in_reply_to_account_id, {w[4]}::DOUBLE, NULL, NULL, NULL, max(r.id) FROM st r WHERE r.in_reply_to_account_id IS NOT NULL AND r.account_id <> r.in_reply_to_account_id AND {fol} GROUP BY 1, 2
+    return f"""SELECT src, dst, CAST(sum(w) AS DOUBLE) AS weight, CAST(max(mf) AS BIGINT) AS max_favourite_id, CAST(max(ms) AS BIGINT) AS max_status_id, CAST(max(mm) AS BIGINT) AS
+max_mention_id, CAST(max(ml) AS BIGINT) AS max_follow_id FROM (
+SELECT f.account_id AS src, s.account_id AS dst, count(*) * {w[0]}::DOUBLE AS w, max(f.id) AS mf, NULL AS ms, NULL AS mm, NULL AS ml FROM fv f JOIN st s ON s.id =
+f.status_id WHERE f.account_id <> s.account_id AND {fav} GROUP BY 1, 2
+UNION ALL SELECT r.account_id, p.account_id, count(*) * {w[1]}::DOUBLE, NULL, max(r.id), NULL, NULL FROM st r JOIN st p ON p.id = r.in_reply_to_id WHERE r.account_id <>
+p.account_id AND {own} GROUP BY 1, 2
+UNION ALL SELECT r.account_id, p.account_id, count(*) * {w[2]}::DOUBLE, NULL, max(r.id), NULL, NULL FROM st r JOIN st p ON p.id = r.reblog_of_id WHERE r.account_id <>
+p.account_id AND {own} GROUP BY 1, 2
+UNION ALL SELECT r.account_id, r.in_reply_to_account_id, count(*) * {w[3]}::DOUBLE, NULL, NULL, max(r.id), NULL FROM st r WHERE r.in_reply_to_account_id IS NOT NULL AND
+r.id % 3 <> 0 AND r.account_id <> r.in_reply_to_account_id AND {men} GROUP BY 1, 2
+UNION ALL SELECT r.account_id, r.in_reply_to_account_id, {w[4]}::DOUBLE, NULL, NULL, NULL, max(r.id) FROM st r WHERE r.in_reply_to_account_id IS NOT NULL AND r.account_id
+<> r.in_reply_to_account_id AND {fol} GROUP BY 1, 2
 ) GROUP BY 1, 2"""
 
 
@@ -274,34 +281,45 @@ SQL = {
     "block_mute_union": f"{_WITH} SELECT DISTINCT account_id AS src, target_account_id AS dst FROM ({_AVERSE})",
     "user_activity": f"{_WITH} {_ACTIVITY}",
     "active_user_count": f"{_WITH} SELECT count(*) AS n_active FROM ({_ACTIVITY})",
-    "account_lookup": f"{_WITH} SELECT id, username, domain FROM ac WHERE domain IS NULL AND lower(username) = (SELECT lower(username) FROM ac WHERE domain IS NULL ORDER BY id LIMIT 1) ORDER BY id LIMIT 5",
+    "account_lookup": f"""{_WITH} SELECT id, username, domain FROM ac WHERE domain IS NULL AND lower(username) = (SELECT lower(username) FROM ac WHERE domain IS NULL ORDER BY id LIMIT 1) ORDER BY
+id LIMIT 5""",
     "account_by_handle": f"{_WITH} SELECT id, username AS name, domain AS host FROM ac",
     "status_by_uri": f"{_WITH} SELECT DISTINCT id, uri FROM st WHERE contains(uri, '/statuses/11') ORDER BY id LIMIT 25",
     "status_references": f"{_WITH} SELECT id, TRY_CAST(nullif(regexp_extract(trim(uri), '(?:/statuses/|/@[^/]+/|^)(\\d+)/?(?:[?#].*)?$', 1), '') AS BIGINT) AS ref FROM st WHERE uri IS NOT NULL",
     "accounts_by_id": f"{_WITH} SELECT id, username, domain FROM ac ORDER BY id LIMIT 20",
-    "table_stats": f"{_WITH} SELECT 'statuses' AS table_name, max(id) AS max_id, count(*) AS n_rows, make_timestamp((max(id) >> 16) * 1000) AS max_date FROM st UNION ALL SELECT 'favourites', max(id), count(*), max(created_at) FROM fv",
+    "table_stats": f"""{_WITH} SELECT 'statuses' AS table_name, max(id) AS max_id, count(*) AS n_rows, make_timestamp((max(id) >> 16) * 1000) AS max_date FROM st UNION ALL SELECT 'favourites',
+max(id), count(*), max(created_at) FROM fv""",
     "snowflake_times": f"{_WITH} SELECT id, make_timestamp((id >> 16) * 1000) AS at_time FROM st",
     "status_totals": _TOTALS,
     "interaction_edges": f"{_WITH} {_ALL_EDGES}",
-    "interaction_cursors": f"{_WITH} SELECT coalesce(max(max_favourite_id), 0) AS max_favourite_id, coalesce(max(max_status_id), 0) AS max_status_id, coalesce(max(max_mention_id), 0) AS max_mention_id, coalesce(max(max_follow_id), 0) AS max_follow_id FROM ({_ALL_EDGES})",
+    "interaction_cursors": f"""{_WITH} SELECT coalesce(max(max_favourite_id), 0) AS max_favourite_id, coalesce(max(max_status_id), 0) AS max_status_id, coalesce(max(max_mention_id), 0) AS
+max_mention_id, coalesce(max(max_follow_id), 0) AS max_follow_id FROM ({_ALL_EDGES})""",
     "interaction_edges_incremental": f"{_WITH} SELECT src, dst, weight FROM ({_ALL_EDGES})",
     "corpus_filter": f"{_WITH} {_CORPUS}",
     "corpus_extent": f"{_WITH} SELECT count(*) AS n_texts, max(id) AS max_id FROM ({_CORPUS})",
     "corpus_tokens": f"{_WITH} SELECT id, CAST(len(t) AS INTEGER) AS n_tokens FROM ({_TOKENS})",
-    "embeddable_texts": f"{_WITH}, t AS (SELECT id, row_number() OVER (ORDER BY length(text), id) AS r, count(*) OVER () AS c FROM st WHERE text <> '' AND length(text) >= 10) SELECT id FROM t WHERE r > floor(c * 0.1::DOUBLE)",
-    "embeddable_by_batch": f"{_WITH}, t AS (SELECT id, row_number() OVER (PARTITION BY id % 7 ORDER BY length(text), id) AS r, count(*) OVER (PARTITION BY id % 7) AS c FROM st WHERE text <> '' AND length(text) >= 10) SELECT id FROM t WHERE r > floor(c * 0.1::DOUBLE)",
+    "embeddable_texts": f"""{_WITH}, t AS (SELECT id, row_number() OVER (ORDER BY length(text), id) AS r, count(*) OVER () AS c FROM st WHERE text <> '' AND length(text) >= 10) SELECT id FROM t
+WHERE r > floor(c * 0.1::DOUBLE)""",
+    "embeddable_by_batch": f"""{_WITH}, t AS (SELECT id, row_number() OVER (PARTITION BY id % 7 ORDER BY length(text), id) AS r, count(*) OVER (PARTITION BY id % 7) AS c FROM st WHERE text <> '' AND
+length(text) >= 10) SELECT id FROM t WHERE r > floor(c * 0.1::DOUBLE)""",
     "phrases": f"""{_WITH}, t AS ({_TOKENS}), w AS (SELECT w, count(*) AS c FROM (SELECT unnest(t) AS w FROM t) GROUP BY 1),
 p AS (SELECT t[i] AS a, t[i + 1] AS b, count(*) AS n FROM (SELECT t, unnest(range(1, len(t))) AS i FROM t) GROUP BY 1, 2 HAVING count(*) >= 5),
 x AS (SELECT a, b, n, (n - 5) * (SELECT count(*) FROM w)::DOUBLE / (wa.c * wb.c) AS s FROM p JOIN w wa ON wa.w = a JOIN w wb ON wb.w = b)
 SELECT a AS first, b AS second, n, round(s, 6) AS score FROM x WHERE s > 10""",
-    "merge_posts_keep_old": "SELECT id, max(author_id) AS author_id, CASE WHEN id % 2 = 0 THEN max_by(total_favourites, (author_id, language, created_at, total_favourites)) ELSE -1 END AS total_favourites, CAST(1 AS INTEGER) AS dims FROM post WHERE len(embedding) = 64 GROUP BY id",
-    "merge_favourites_first_wins": f"{_WITH}, r AS ({_ROWS}), a AS ({_FIRST} FROM r WHERE id % 2 = 0 GROUP BY 1, 2), b AS ({_FIRST} FROM r GROUP BY 1, 2) SELECT * FROM a UNION ALL SELECT * FROM b WHERE (user_id, post_id) NOT IN (SELECT (user_id, post_id) FROM a)",
-    "merge_reblogs": f"{_WITH}, r AS (SELECT id, account_id AS user_id, reblog_of_id AS post_id, created_at AS happened_at, 'reblogged' AS kind FROM st UNION ALL SELECT id, account_id, in_reply_to_id, created_at, 'replied' FROM st) {_FIRST}, kind FROM r WHERE post_id IN (SELECT id FROM st) GROUP BY user_id, post_id, kind",
-    "merge_bookmarks": f"{_WITH} {_FIRST} FROM (SELECT id, account_id AS user_id, status_id AS post_id, created_at AS happened_at FROM fv WHERE status_id IN (SELECT id FROM st)) GROUP BY 1, 2",
-    "merge_totals": f"SELECT p.id, author_id, total_favourites, total_reblogs, total_replies FROM (SELECT id, max(author_id) AS author_id FROM post GROUP BY 1) p LEFT JOIN ({_TOTALS}) t ON t.id = p.id",
-    "merge_activity": f"{_WITH} SELECT ac.id, a.last_active, coalesce(a.is_local, false) AS is_local, CASE WHEN a.account_id IS NULL THEN 'xx' ELSE a.ui_language END AS ui_language, a.languages FROM ac LEFT JOIN ({_ACTIVITY}) a ON a.account_id = ac.id WHERE ac.id % 2 = 0",
-    "ensure_users": f"{_WITH} SELECT id, username FROM ac UNION ALL SELECT DISTINCT account_id, NULL FROM fv WHERE account_id IS NOT NULL AND account_id NOT IN (SELECT id FROM ac)",
+    "merge_posts_keep_old": """SELECT id, max(author_id) AS author_id, CASE WHEN id % 2 = 0 THEN max_by(total_favourites, (author_id, language, created_at, total_favourites)) ELSE -1 END AS
+total_favourites, CAST(1 AS INTEGER) AS dims FROM post WHERE len(embedding) = 64 GROUP BY id""",
+    "merge_favourites_first_wins": f"""{_WITH}, r AS ({_ROWS}), a AS ({_FIRST} FROM r WHERE id % 2 = 0 GROUP BY 1, 2), b AS ({_FIRST} FROM r GROUP BY 1, 2) SELECT * FROM a UNION ALL SELECT * FROM b WHERE
+(user_id, post_id) NOT IN (SELECT (user_id, post_id) FROM a)""",
+    "merge_reblogs": f"""{_WITH}, r AS (SELECT id, account_id AS user_id, reblog_of_id AS post_id, created_at AS happened_at, 'reblogged' AS kind FROM st UNION ALL SELECT id, account_id,
+in_reply_to_id, created_at, 'replied' FROM st) {_FIRST}, kind FROM r WHERE post_id IN (SELECT id FROM st) GROUP BY user_id, post_id, kind""",
+    "merge_bookmarks": f"""{_WITH} {_FIRST} FROM (SELECT id, account_id AS user_id, status_id AS post_id, created_at AS happened_at FROM fv WHERE status_id IN (SELECT id FROM st)) GROUP BY 1, 2""",
+    "merge_totals": f"""SELECT p.id, author_id, total_favourites, total_reblogs, total_replies FROM (SELECT id, max(author_id) AS author_id FROM post GROUP BY 1) p LEFT JOIN ({_TOTALS}) t ON
+t.id = p.id""",
+    "merge_activity": f"""{_WITH} SELECT ac.id, a.last_active, coalesce(a.is_local, false) AS is_local, CASE WHEN a.account_id IS NULL THEN 'xx' ELSE a.ui_language END AS ui_language, a.languages
+FROM ac LEFT JOIN ({_ACTIVITY}) a ON a.account_id = ac.id WHERE ac.id % 2 = 0""",
+    "ensure_users": f"""{_WITH} SELECT id, username FROM ac UNION ALL SELECT DISTINCT account_id, NULL FROM fv WHERE account_id IS NOT NULL AND account_id NOT IN (SELECT id FROM ac)""",
     "scalar_functions": f"""{_WITH} SELECT id, nullif({_SUBTAG}, '') AS subtag,
-replace(CASE WHEN length(p) > 20 THEN substr(p, 1, 20) || '...' ELSE p END, '|', '\\|') AS short, coalesce(TRY_CAST(language AS BIGINT), -1) AS as_long, coalesce(TRY_CAST(CAST(account_id AS VARCHAR) AS DOUBLE), 0.0) AS as_double,
+replace(CASE WHEN length(p) > 20 THEN substr(p, 1, 20) || '...' ELSE p END, '|', '\\|') AS short, coalesce(TRY_CAST(language AS BIGINT), -1) AS as_long,
+coalesce(TRY_CAST(CAST(account_id AS VARCHAR) AS DOUBLE), 0.0) AS as_double,
 'postgresql://u' || account_id || ':***@host/db' AS dsn FROM (SELECT *, regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g') AS p FROM st)""",
 }
