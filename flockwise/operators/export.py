@@ -68,7 +68,7 @@ def import_bundle(archive: Path, target: Path, expected: dict[str, object] | Non
 
 
 #: What a bundle holds: everything, or what serving needs, without the counts that training goes on from.
-BUNDLES = {"full": (), "inference": ("pair_counts", "word_counts")}
+BUNDLES = {"full": (), "inference": ("pair_counts", "word_counts", "corpus")}
 
 
 def _moved(spark: SparkSession, source: str, target: str, here: bool) -> None:

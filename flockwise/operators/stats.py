@@ -181,6 +181,32 @@ def readiness(posts: DataFrame, users: DataFrame, interests: DataFrame) -> DataF
     )
 
 
+def constraint_violations(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]], dims: int) -> DataFrame:
+    """(name, rule, n): rows beyond the first of a key, and vectors of another length, of each table.
+
+    What a database keeps by unique constraints and a vector index of fixed length is checked here, as merges already
+    keep it; nothing else needs an index.
+    """
+    found = []
+    for name, key in keys.items():
+        df = tables[name]
+        many = df.groupBy(*key).agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("n"))
+        found.append(many.select(F.lit(name).alias("name"), F.lit("unique " + ", ".join(key)).alias("rule"), "n"))
+        if "embedding" in df.columns:
+            found.append(df.agg(F.count_if(F.size("embedding") != dims).alias("n")).select(F.lit(name).alias("name"), F.lit("vector length").alias("rule"), "n"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def in_both(a: DataFrame, b: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Distinct rows of the columns that both tables have."""
+    return a.select(*columns).intersect(b.select(*columns))
+
+
+def only_in_first(a: DataFrame, b: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Distinct rows of the columns that only the first table has."""
+    return a.select(*columns).subtract(b.select(*columns))
+
+
 def health(user_communities: int, posts: int, warnings: int) -> str:
     """'FAILED' without user communities, 'DEGRADED' with warnings or without posts, else 'HEALTHY'."""
     if not user_communities:

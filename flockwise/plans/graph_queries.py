@@ -415,6 +415,25 @@ def post_community_soundness(spark: SparkSession, d: str) -> DataFrame:
     return _soundness(nodes, edges, post_communities(spark, d))
 
 
+def constraint_check(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated keys and vectors of another length in the tables as they come."""
+    tables = {"post": table(spark, d, "post"), "statuses": table(spark, d, "statuses"), "favourites": table(spark, d, "favourites"), "embeddings": table(spark, d, "embeddings")}
+    keys = {"post": ("id",), "statuses": ("id",), "favourites": ("account_id", "status_id"), "embeddings": ("vec_id",)}
+    return stats.constraint_violations(tables, keys, 64)
+
+
+def pairs_in_both(spark: SparkSession, d: str) -> DataFrame:
+    """Users and posts that are linked by a favourite and by a reblog."""
+    g = _graph(spark, d)
+    return stats.in_both(g["favourited"], g["reblogged"], ("user_id", "post_id"))
+
+
+def pairs_in_first(spark: SparkSession, d: str) -> DataFrame:
+    """Users and posts that are linked by a favourite and not by a reply."""
+    g = _graph(spark, d)
+    return stats.only_in_first(g["favourited"], g["replied"], ("user_id", "post_id"))
+
+
 # statistics
 
 def node_edge_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -671,7 +690,7 @@ QUERIES = {
         public_feed_local, public_feed_all, public_feed_local_authors, feed_rank_scores, feed_own_entries, feed_cleared, feed_member_rank, feed_range, feed_lengths, dirty_users, merge_recommended, feed_times, active_users,
         knn_edges, knn_edges_cosine, knn_incremental, knn_incremental_edges, similarity_stats, similarity_pruned, vector_readiness, user_communities, post_communities, connected_parts, modularity, singleton_collapse, community_sizes,
         community_rebuild, graph_diagnostics, cleanup_cascade, purge_counts, user_community_soundness, post_community_soundness, node_edge_counts, connectivity, embedding_coverage, mean_interactions, top_languages, size_distribution, size_stats,
-        top_user_communities, top_post_communities, user_profile, post_profile, interest_overview, export_interests, export_members, export_edges, graph_readiness, social_interests, social_feeds, social_cold_start, social_public_feed,
+        top_user_communities, top_post_communities, user_profile, post_profile, interest_overview, export_interests, export_members, export_edges, graph_readiness, constraint_check, pairs_in_both, pairs_in_first, social_interests, social_feeds, social_cold_start, social_public_feed,
     )
 } | {"pagerank": page_rank}
 
@@ -833,6 +852,11 @@ count_if(pc % 3 <> 0 AND {_T} - INTERVAL 1 DAY + to_days(CAST(pc % 3 AS INTEGER)
 size, u.id AS x, row_number() OVER (PARTITION BY cluster_id ORDER BY u.id) AS n FROM users u JOIN t ON t.id = cluster_id) WHERE n <= 4 GROUP BY 1, 2""",
     "export_edges": f"{_B}, {_UG} SELECT * FROM ug ORDER BY src, dst LIMIT 25",
     "graph_readiness": f"""{_B}, {_I} SELECT false AS has_embeddings, true AS has_user_communities, false AS has_post_communities, (SELECT count(*) > 0 FROM i) AS has_interests""",
+    "constraint_check": """SELECT 'post' AS name, 'unique id' AS rule, count(*) - count(DISTINCT id) AS n FROM post UNION ALL SELECT 'post', 'vector length', count_if(len(embedding) <> 64) FROM post
+UNION ALL SELECT 'statuses', 'unique id', count(*) - count(DISTINCT id) FROM statuses UNION ALL SELECT 'favourites', 'unique account_id, status_id', count(*) - (SELECT count(*) FROM (SELECT DISTINCT account_id, status_id FROM favourites)) FROM favourites
+UNION ALL SELECT 'embeddings', 'unique vec_id', count(*) - count(DISTINCT vec_id) FROM embeddings UNION ALL SELECT 'embeddings', 'vector length', count_if(len(embedding) <> 64) FROM embeddings""",
+    "pairs_in_both": f"{_B} SELECT user_id, post_id FROM favourited INTERSECT SELECT user_id, post_id FROM reblogged",
+    "pairs_in_first": f"{_B} SELECT user_id, post_id FROM favourited EXCEPT SELECT user_id, post_id FROM replied",
     "social_interests": f"{_SOCIAL} SELECT uc, pc, round(score, 6) AS score, round(based_on, 6) AS based_on FROM i",
     "social_feeds": f"{_SOCIAL}, {_FEED_PART}, {_TOP} SELECT user_id, post_id, round(score, 6) AS score, rank FROM t WHERE rank <= 500",
     "social_cold_start": f"""{_SOCIAL}, t AS (SELECT u.id AS user_id, p.id AS post_id, pop * 0.7 + 0.3 / (age_hours / 24.0 + 1.0) + pagerank * 0.1 + {_BOOST.format(p='p', u='u')} AS score FROM users

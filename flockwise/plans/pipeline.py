@@ -296,7 +296,9 @@ class Engine:
             df.write.mode("overwrite").parquet(f"{place}/{name[:-1]}_counts")
         pairs, words = (self.spark.read.parquet(f"{place}/{n}_counts") for n in ("pair", "word"))
         scored_phrases(pairs, words).write.mode("overwrite").parquet(f"{place}/phrases")
-        joined = joined_phrases(scans.corpus_tokens(texts), self.spark.read.parquet(f"{place}/phrases"))
+        # tokens and phrases are made once and read in every pass of the training
+        joined_phrases(scans.corpus_tokens(texts), self.spark.read.parquet(f"{place}/phrases")).write.mode("overwrite").parquet(f"{place}/corpus")
+        joined = self.spark.read.parquet(f"{place}/corpus")
         word2vec(joined, min_docs=min_docs, **options).write().overwrite().save(f"{place}/words")
         extent = scans.corpus_extent(texts).first().asDict()
         save_state(self.spark, f"{model_dir}/state.json", old.advanced(version=old.version + 1, last_status_id=extent["max_id"] or 0))
@@ -308,6 +310,9 @@ class Engine:
         ready = knn.vector_readiness(posts, self.dims).first()
         empty = {"interests": "no interests", "similar": "no nearest posts", "feed_members": "no feeds"}
         out = [text for name, text in empty.items() if self.table(name).isEmpty()]
+        keys = {"users": ("id",), "posts": ("id",), "interacts": ("src", "dst"), "favourited": ("user_id", "post_id"), "recommended": ("user_id", "post_id")}
+        broken = stats.constraint_violations({n: self.table(n) for n in keys}, keys, self.dims).where((F.col("n") > 0) & (F.col("rule") != "vector length"))
+        out += [f"{r['name']}: {r['n']} rows against {r['rule']}" for r in broken.collect()]
         return out + ([f"{ready['n_posts'] - ready['n_fit']} posts without a fitting vector"] if ready["n_fit"] < ready["n_posts"] else [])
 
     def validate(self) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flockwise.functions.scalar import days_before, moment, snowflake_floor, snowflake_time
+from flockwise.session import checkpoint_dir
 
 
 def statuses_since(df: DataFrame, last_id: int = 0, since: str | datetime | None = None) -> DataFrame:
@@ -98,13 +99,13 @@ _RANGES, _SORTED_ROWS = 1024, 1 << 16
 
 def _without_shortest(rows: DataFrame, skip_share: float) -> DataFrame:
     """Rows without the shortest share by (_n, id); what comes to the driver is two numbers for each narrowing."""
-    total = rows.count()
-    skip = int(total * skip_share)
-    if not total or not skip:
+    skip = int(rows.count() * skip_share)
+    if not skip:
         return rows
-    counts = rows.groupBy("_n").agg(F.count("*").alias("c"))
+    checkpoint_dir(rows.sparkSession)
+    counts = rows.groupBy("_n").agg(F.count("*").alias("c")).checkpoint()  # one row for each length
     # the largest length of which fewer than `skip` rows are shorter: halve the range of lengths
-    low, high = 0, rows.agg(F.max("_n").alias("m")).first()["m"]
+    low, high = 0, counts.agg(F.max("_n").alias("m")).first()["m"]
     while low < high:
         middle = (low + high) // 2
         if (counts.where(F.col("_n") <= middle).agg(F.sum("c").alias("s")).first()["s"] or 0) >= skip:

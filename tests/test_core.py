@@ -566,3 +566,18 @@ def test_tables_of_a_database(spark, tmp_path):
     spark.range(100).selectExpr("id", "id * 2 AS twice").write.jdbc(url, "things", properties=options)
     df = scans.jdbc_table(spark, url, "things", "id", 0, 100, 4, **options)
     assert df.rdd.getNumPartitions() == 4 and rows(df.toDF("id", "twice")) == [(i, 2 * i) for i in range(100)]
+
+
+def test_random_projection_brings_neighbours_together(spark):
+    from flockwise.operators import projection
+
+    groups = ((1, 2, 3, 4, 5), (11, 12, 13, 14, 15))
+    edges = spark.createDataFrame([(a, b, 1.0) for g in groups for a in g for b in g if a < b] + [(5, 11, 0.1)], "src long, dst long, weight double")
+    nodes = spark.createDataFrame([(i,) for g in (*groups, (99,)) for i in g], "id long")
+    found = projection.random_projection(nodes, edges)
+    v = {r["id"]: np.array(r["embedding"]) for r in found.collect()}
+    cos = lambda a, b: v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b])
+    assert len(v) == 11 and not v[99].any() and min(cos(1, b) for b in (2, 3, 4)) > max(cos(1, b) for b in (12, 13, 14, 15))
+    label = dict(rows(projection.grouped(found.where("id <> 99"), 2)))
+    assert len({label[i] for i in groups[0]}) == 1 == len({label[i] for i in groups[1]}) and label[1] != label[11]
+    assert rows(projection.random_projection(nodes, edges)) == rows(found) and projection.random_projection(nodes.limit(0), edges).count() == 0
