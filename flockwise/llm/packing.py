@@ -213,8 +213,11 @@ def packing_report(placed: DataFrame) -> DataFrame:
     """Per budget: containers, tokens, the fullest container, pieces, the share of room used, and the mixture.
 
     `mean_distance` and `p90_distance` tell how far containers are from the mixture of all tokens: the share of a
-    container's tokens that would have to be of other sources, on average and for nine in ten (to 0.0001).
+    container's tokens that would have to be of other sources, on average and for nine in ten (to 0.0001). What is
+    placed is written to the checkpoint folder, as it is read several times.
     """
+    checkpoint_dir(placed.sparkSession)
+    placed = placed.checkpoint()
     parts = placed.groupBy("budget_id", "capacity", "container", "source").agg(F.sum("size").alias("tokens"), F.count("*").alias("pieces"))
     sources = placed.groupBy("budget_id", "source").agg(F.sum("size").alias("held"))
     goal = sources.join(sources.groupBy("budget_id").agg(F.sum("held").alias("all")), "budget_id").select("budget_id", "source", (F.col("held") / F.col("all")).alias("target"))
