@@ -46,10 +46,12 @@ def graph_diagnostics(nodes: DataFrame, edges: DataFrame, s: Settings) -> DataFr
     seen = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
     isolated = nodes.select("id").join(seen, "id", "left_anti").agg(F.count("*").alias("n")).scalar()
     p = lambda c, x: F.coalesce(F.percentile(c, x), F.lit(0.0))
-    weights = edges.agg(F.count("*").alias("n_edges"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight_sum"), p("weight", 0.5).alias("weight_p50"), p("weight", 0.9).alias("weight_p90"), p("weight", 0.99).alias("weight_p99"))
+    weights = edges.agg(F.count("*").alias("n_edges"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight_sum"), p("weight", 0.5).alias("weight_p50"),
+        p("weight", 0.9).alias("weight_p90"), p("weight", 0.99).alias("weight_p99"))
     ofdeg = lambda x: degree.agg(p("d", x).alias("v")).scalar()
     hint = F.when(F.col("weight_sum") > 0, F.lit(s.leiden_resolution) / F.col("weight_sum")).otherwise(F.lit(0.0))
-    return weights.select("*", ofdeg(0.5).alias("degree_p50"), ofdeg(0.9).alias("degree_p90"), ofdeg(0.99).alias("degree_p99"), isolated.alias("n_isolated"), hint.alias("resolution_per_weight"))
+    return weights.select("*", ofdeg(0.5).alias("degree_p50"), ofdeg(0.9).alias("degree_p90"), ofdeg(0.99).alias("degree_p99"), isolated.alias("n_isolated"),
+        hint.alias("resolution_per_weight"))
 
 
 def inactive(users: DataFrame, as_of: Column, days: int) -> DataFrame:
@@ -93,7 +95,8 @@ PURGES = {
     "interests": ("interests",),
     "recommendations": ("recommended",),
     "interactions": ("interacts",),
-    "graph": ("users", "posts", "favourited", "reblogged", "replied", "bookmarked", "recommended", "hates", "interacts", "similar", "interests", "user_communities", "post_communities"),
+    "graph": ("users", "posts", "favourited", "reblogged", "replied", "bookmarked", "recommended", "hates", "interacts", "similar", "interests",
+        "user_communities", "post_communities"),
 }
 
 

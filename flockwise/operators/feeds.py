@@ -32,7 +32,8 @@ def local_counts(posts: DataFrame, reactions: DataFrame, s: Settings) -> DataFra
 def global_count(s: Settings) -> Column:
     """Weighted counters of a post."""
     zero = F.lit(0)
-    return F.coalesce("total_favourites", zero) * F.lit(s.global_favourites_weight) + F.coalesce("total_reblogs", zero) * F.lit(s.global_reblogs_weight) + F.coalesce("total_replies", zero) * F.lit(s.global_replies_weight)
+    return F.coalesce("total_favourites", zero) * F.lit(s.global_favourites_weight) + F.coalesce("total_reblogs",
+        zero) * F.lit(s.global_reblogs_weight) + F.coalesce("total_replies", zero) * F.lit(s.global_replies_weight)
 
 
 def rated_posts(posts: DataFrame, reactions: DataFrame, as_of: Column, s: Settings) -> DataFrame:
@@ -81,12 +82,14 @@ def _wants(interests: DataFrame, post_communities: DataFrame, s: Settings) -> Da
 
 
 def _items(rated: DataFrame) -> DataFrame:
-    return rated.select(F.col("id").alias("post_id"), "author_id", F.col("language").alias("post_language"), F.col("created_at").alias("post_created_at"), F.col("cluster_id").alias("pc"), "local_raw", "global_raw", "popularity_contrib", "age_hours", "pagerank")
+    return rated.select(F.col("id").alias("post_id"), "author_id", F.col("language").alias("post_language"), F.col("created_at").alias("post_created_at"),
+        F.col("cluster_id").alias("pc"), "local_raw", "global_raw", "popularity_contrib", "age_hours", "pagerank")
 
 
 def _readers(users: DataFrame, s: Settings) -> DataFrame:
     noise = F.lit(s.noise_community)
-    return users.where(F.col("cluster_id").isNotNull() & (F.col("cluster_id") != noise)).select(F.col("id").alias("user_id"), F.col("cluster_id").alias("uc"), "ui_language", "languages")
+    return users.where(F.col("cluster_id").isNotNull() & (F.col("cluster_id") != noise)).select(F.col("id").alias("user_id"), F.col("cluster_id").alias("uc"),
+        "ui_language", "languages")
 
 
 def _score(s: Settings, base: Column) -> Column:
@@ -136,7 +139,8 @@ def _listed(rows: DataFrame) -> DataFrame:
 
 def _hidden(items: DataFrame, seen: dict[str, DataFrame]) -> DataFrame:
     """(user_id, post_id) of the items that a reader wrote, liked, was shown, or whose author it rejects."""
-    disliked = seen["hates"].select(F.col("src").alias("user_id"), F.col("dst").alias("author_id")).join(items.select("author_id", "post_id"), "author_id").select("user_id", "post_id")
+    disliked = seen["hates"].select(F.col("src").alias("user_id"), F.col("dst").alias("author_id")).join(items.select("author_id", "post_id"),
+        "author_id").select("user_id", "post_id")
     known = [seen[k].select("user_id", "post_id") for k in ("recommended", "wrote", "favourited")]
     every = known[0].unionByName(known[1]).unionByName(known[2]).join(items.select("post_id"), "post_id", "left_semi").select("user_id", "post_id")
     return every.unionByName(disliked).distinct()
@@ -163,7 +167,8 @@ def _class_feeds(readers: DataFrame, ranked: DataFrame, hidden: DataFrame, size:
     met = met.where(~twice).withColumn("language_match", language_boost(F.col("post_language"), F.col("ui_language"), F.col("languages"), s))
     carried = [c for c in ("share_i", "norm_pc_size", *columns) if c in met.columns and c != "language_match"]
     scored = met.withColumn("score", _score(s, F.col("post_base")) if "share_i" in met.columns else F.col("post_base") + F.col("language_match"))
-    best = _best(scored.select("class", "need", "post_id", "score", "language_match", *dict.fromkeys(carried)), ["class", "need"], "score", most).where(F.col("place") <= F.col("need")).drop("need")
+    best = _best(scored.select("class", "need", "post_id", "score", "language_match", *dict.fromkeys(carried)), ["class", "need"], "score",
+        most).where(F.col("place") <= F.col("need")).drop("need")
     # readers meet their class by blocks of `size` places, so that a long need costs its reader only
     placed = best.withColumn("_b", F.floor((F.col("place") - 1) / size).cast("int"))
     asked = need.select("user_id", "class", "need", F.explode(F.sequence(F.lit(0), F.floor((F.col("need") - 1) / size).cast("int"))).alias("_b"))
@@ -176,7 +181,8 @@ def _most(hidden: DataFrame, size: int) -> int:
     return size + (hidden.groupBy("user_id").count().agg(F.max("count").alias("m")).first()["m"] or 0)
 
 
-def personal_feeds(users: DataFrame, rated: DataFrame, interests: DataFrame, post_communities: DataFrame, seen: dict[str, DataFrame], s: Settings, size: int | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+def personal_feeds(users: DataFrame, rated: DataFrame, interests: DataFrame, post_communities: DataFrame, seen: dict[str, DataFrame], s: Settings,
+    size: int | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
     """(user_id, post_id, score, rank, columns): the best suitable posts of every user, by score and then id.
 
     The same rows as the best of `personalised`. Posts are cut to the best of each community and language, then of
@@ -196,7 +202,8 @@ def cold_start(users: DataFrame, rated: DataFrame, seen: dict[str, DataFrame], s
     """(user_id, post_id, score, rank) for users without a personalised feed, from posts with an embedding."""
     size = min(s.feed_size, s.cold_start_limit)
     base = F.col("popularity_contrib") * s.cold_popularity_weight + recency(F.col("age_hours"), s) * s.cold_recency_weight + F.col("pagerank") * s.pagerank_weight
-    items = rated.where(F.col("embedding").isNotNull()).select(F.col("id").alias("post_id"), "author_id", F.col("language").alias("post_language"), base.alias("post_base"), F.lit(0).alias("uc"))
+    items = rated.where(F.col("embedding").isNotNull()).select(F.col("id").alias("post_id"), "author_id", F.col("language").alias("post_language"),
+        base.alias("post_base"), F.lit(0).alias("uc"))
     readers = users.select(F.col("id").alias("user_id"), F.lit(0).alias("uc"), "ui_language", "languages")
     hidden = _hidden(items, seen).join(readers.select("user_id"), "user_id", "left_semi")
     most = _most(hidden, size)
@@ -211,7 +218,8 @@ NOTES = (
 )
 
 
-def explain(pairs: DataFrame, users: DataFrame, posts: DataFrame, reactions: DataFrame, interests: DataFrame, post_communities: DataFrame, seen: dict[str, DataFrame], members: DataFrame, as_of: Column, s: Settings) -> DataFrame:
+def explain(pairs: DataFrame, users: DataFrame, posts: DataFrame, reactions: DataFrame, interests: DataFrame, post_communities: DataFrame,
+    seen: dict[str, DataFrame], members: DataFrame, as_of: Column, s: Settings) -> DataFrame:
     """One row for each (user_id, post_id) of known users and posts: how the post comes to the user's feed, or why not.
 
     `path` is 'personalized', 'cold_start' or 'not_scored', by the rules of the feeds; the components are those of the
@@ -220,7 +228,8 @@ def explain(pairs: DataFrame, users: DataFrame, posts: DataFrame, reactions: Dat
     """
     key = ["user_id", "post_id"]
     asked = pairs.select(*key).distinct().join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
-    asked = asked.join(posts.select(F.col("id").alias("post_id"), "author_id", (F.col("created_at") > days_before(as_of, s.feed_days)).alias("within_feed_days"), F.col("embedding").isNotNull().alias("has_embedding")), "post_id")
+    asked = asked.join(posts.select(F.col("id").alias("post_id"), "author_id",
+        (F.col("created_at") > days_before(as_of, s.feed_days)).alias("within_feed_days"), F.col("embedding").isNotNull().alias("has_embedding")), "post_id")
     flagged = filter_flags(asked, seen["wrote"], seen["favourited"], seen["recommended"], seen["hates"])
     here = users.join(asked.select(F.col("user_id").alias("id")), "id", "left_semi")
     rated = rated_posts(posts.join(asked.select(F.col("post_id").alias("id")), "id", "left_semi"), reactions, as_of, s)
@@ -259,7 +268,8 @@ def public_feed(users: DataFrame, rated: DataFrame, interests: DataFrame, s: Set
     if local_authors:
         items = items.join(users.where("is_local").select(F.col("id").alias("author_id")), "author_id", "left_semi")
     rows = items.join(total, F.col("cluster_id") == F.col("pc"))
-    score = F.col("community_interest") * (s.share_weight + s.size_weight) + F.col("popularity_contrib") * s.popularity_weight + recency(F.col("age_hours"), s) * s.recency_weight + F.col("pagerank") * s.pagerank_weight
+    score = F.col("community_interest") * (s.share_weight + s.size_weight) + F.col("popularity_contrib") * s.popularity_weight + recency(F.col("age_hours"),
+        s) * s.recency_weight + F.col("pagerank") * s.pagerank_weight
     return rows.select(F.col("id").alias("post_id"), score.alias("score")).orderBy(F.desc("score"), F.desc("post_id")).limit(size)
 
 

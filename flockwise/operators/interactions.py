@@ -21,7 +21,8 @@ class Cursors:
     follows: int = 0
 
 
-def interaction_edges(favourites: DataFrame, statuses: DataFrame, mentions: DataFrame, follows: DataFrame, s: Settings, since: Cursors = Cursors(), authors: DataFrame | None = None) -> DataFrame:
+def interaction_edges(favourites: DataFrame, statuses: DataFrame, mentions: DataFrame, follows: DataFrame, s: Settings, since: Cursors = Cursors(),
+    authors: DataFrame | None = None) -> DataFrame:
     """(src, dst, weight, max_favourite_id, max_status_id, max_mention_id, max_follow_id).
 
     Favourites, replies, reblogs and loud mentions count by number, a follow once per pair; nobody counts towards

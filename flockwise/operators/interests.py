@@ -52,7 +52,8 @@ def scored_interests(weights: DataFrame, as_of: Column, s: Settings) -> DataFram
     """
     top = F.max("weight").over(Window.partitionBy("uc"))
     rows = weights.withColumn("_top", top).where(F.col("_top") > 0)
-    return rows.select("uc", "pc", (F.col("weight") / F.col("_top")).alias("score"), F.col("interactions").alias("based_on"), as_of.alias("last_updated"), days_before(as_of, -s.interest_ttl_days).alias("expires_at"))
+    return rows.select("uc", "pc", (F.col("weight") / F.col("_top")).alias("score"), F.col("interactions").alias("based_on"), as_of.alias("last_updated"),
+        days_before(as_of, -s.interest_ttl_days).alias("expires_at"))
 
 
 def rebuild_interests(edges: dict[str, DataFrame] | DataFrame, users: DataFrame, posts: DataFrame, as_of: Column, s: Settings, communities: DataFrame | None = None) -> DataFrame:

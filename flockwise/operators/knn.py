@@ -76,7 +76,8 @@ def nearest(sources: DataFrame, posts: DataFrame, k: int, dims: int, cell_rows:
     cell too. Vectors of another length or without direction take no part.
     """
     spark = posts.sparkSession
-    fine = lambda df: df.where((F.size("embedding") == dims) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("embedding", lambda x: x != 0)).select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    fine = lambda df: df.where((F.size("embedding") == dims) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("embedding",
+        lambda x: x != 0)).select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     wanted, held = fine(sources), fine(posts)
     total = held.count()
     cells = max(1, -(-total // cell_rows))
@@ -110,7 +111,8 @@ def nearest(sources: DataFrame, posts: DataFrame, k: int, dims: int, cell_rows:
                     entry = again if searching else ids[at] % cut[cell]
                     chunk = ids[at] % chunks if searching else again
                     take = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array((entry * chunks + chunk).astype(np.int64)), pa.array(np.full(len(at), int(searching), np.int8)), part.column(0).take(take), part.column(1).take(take)], names=["cell", "task", "kind", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array((entry * chunks + chunk).astype(np.int64)),
+                        pa.array(np.full(len(at), int(searching), np.int8)), part.column(0).take(take), part.column(1).take(take)], names=["cell", "task", "kind", "id", "v"])
 
         return run
 
@@ -156,7 +158,8 @@ def similarity_stats(edges: DataFrame, posts: DataFrame) -> DataFrame:
     """Edges, sources, least, mean, median and largest weight, posts with a vector but no edge; one row."""
     linked = posts.where(F.col("embedding").isNotNull()).select("id").join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
     return edges.agg(
-        F.count("*").alias("n_edges"), F.count_distinct("src").alias("n_sources"), F.coalesce(F.min("weight"), F.lit(0.0)).alias("min_weight"), F.coalesce(F.avg("weight"), F.lit(0.0)).alias("avg_weight"),
+        F.count("*").alias("n_edges"), F.count_distinct("src").alias("n_sources"), F.coalesce(F.min("weight"), F.lit(0.0)).alias("min_weight"),
+            F.coalesce(F.avg("weight"), F.lit(0.0)).alias("avg_weight"),
         F.coalesce(F.percentile("weight", 0.5), F.lit(0.0)).alias("median_weight"), F.coalesce(F.max("weight"), F.lit(0.0)).alias("max_weight"),
     ).withColumn("n_without", linked.agg(F.count("*").alias("n")).scalar())
 

@@ -36,9 +36,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     labels = nodes.select("id").distinct().withColumn("component", F.col("id")).checkpoint()
     while True:
         around = both.join(labels, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("component").alias("_m"))
-        moved = labels.join(around, F.col("id") == F.col("src"), "left").select("id", F.col("component").alias("_old"), F.least("component", F.coalesce("_m", "component")).alias("component"))
+        moved = labels.join(around, F.col("id") == F.col("src"), "left").select("id", F.col("component").alias("_old"),
+            F.least("component", F.coalesce("_m", "component")).alias("component"))
         up = labels.select(F.col("id").alias("_c"), F.col("component").alias("_up"))
-        jumped = moved.join(up, F.col("component") == F.col("_c"), "left").select("id", "_old", F.least("component", F.coalesce("_up", "component")).alias("component")).checkpoint()
+        jumped = moved.join(up, F.col("component") == F.col("_c"), "left").select("id", "_old",
+            F.least("component", F.coalesce("_up", "component")).alias("component")).checkpoint()
         labels = jumped.select("id", "component")
         if jumped.where("_old <> component").isEmpty():
             return labels
@@ -170,7 +172,8 @@ def _round(edges: DataFrame, state: DataFrame, total: float, gamma: float, numbe
     allowed = (F.col("n") > 1) | (~turn("c") if refining else (F.col("c") < F.col("community")))
     alone = F.max(F.when(own, F.col("n")))
     best = met.groupBy("src").agg(
-        F.max(F.when(~own & allowed, F.struct(gain.alias("g"), (-F.col("c")).alias("c")))).alias("b"), F.max(F.when(~own, F.struct(gain.alias("g"), (-F.col("c")).alias("c")))).alias("any"),
+        F.max(F.when(~own & allowed, F.struct(gain.alias("g"), (-F.col("c")).alias("c")))).alias("b"),
+            F.max(F.when(~own, F.struct(gain.alias("g"), (-F.col("c")).alias("c")))).alias("any"),
         F.max(F.when(own, gain)).alias("stay"), alone.alias("n"), F.first("k").alias("k"), F.first("within").alias("within"), F.first("community").alias("community"),
     )
     if refining:
@@ -257,7 +260,8 @@ def leiden(nodes: DataFrame, edges: DataFrame, s: Settings, local_edges: int = L
 
 def connected(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, community): communities cut into their connected parts, labelled by their smallest id."""
-    inside = edges.join(labels.select(F.col("id").alias("src"), F.col("community").alias("c1")), "src").join(labels.select(F.col("id").alias("dst"), F.col("community").alias("c2")), "dst").where("c1 = c2")
+    inside = edges.join(labels.select(F.col("id").alias("src"), F.col("community").alias("c1")),
+        "src").join(labels.select(F.col("id").alias("dst"), F.col("community").alias("c2")), "dst").where("c1 = c2")
     return components(labels.select("id"), inside).withColumnRenamed("component", "community")
 
 
@@ -266,7 +270,9 @@ def modularity(edges: DataFrame, labels: DataFrame, gamma: float = 1.0) -> DataF
     both = undirected(edges)
     a = labels.select(F.col("id").alias("src"), F.col("community").alias("c1"))
     b = labels.select(F.col("id").alias("dst"), F.col("community").alias("c2"))
-    per = both.join(a, "src").join(b, "dst").groupBy("c1").agg(F.sum(F.when(F.col("c1") == F.col("c2"), F.col("weight")).otherwise(0.0)).alias("inside"), F.sum("weight").alias("k"))
+    per = both.join(a, "src").join(b, "dst").groupBy("c1").agg(F.sum(F.when(F.col("c1") == F.col("c2"), F.col("weight")).otherwise(0.0)).alias("inside"),
+        F.sum("weight").alias("k"))
     total = both.agg(F.sum("weight").alias("t")).scalar()
     q = F.sum(F.col("inside") / total - F.lit(gamma) * (F.col("k") / total) * (F.col("k") / total))
-    return per.agg(q.alias("modularity")).select(labels.agg(F.count_distinct("community").alias("n")).scalar().alias("communities"), F.coalesce("modularity", F.lit(0.0)).alias("modularity"))
+    return per.agg(q.alias("modularity")).select(labels.agg(F.count_distinct("community").alias("n")).scalar().alias("communities"),
+        F.coalesce("modularity", F.lit(0.0)).alias("modularity"))

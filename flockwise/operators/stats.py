@@ -21,7 +21,8 @@ def connectivity(users: DataFrame, interacts: DataFrame) -> DataFrame:
     out = interacts.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
     into = interacts.select(F.col("dst").alias("id")).distinct().withColumn("_i", F.lit(1))
     rows = users.select("id").join(out, "id", "left").join(into, "id", "left").select(F.coalesce("d", F.lit(0)).alias("d"), F.col("_i"))
-    return rows.agg(F.coalesce(F.avg("d"), F.lit(0.0)).alias("avg_degree"), F.coalesce(F.percentile("d", 0.5), F.lit(0.0)).alias("median_degree"), F.coalesce(F.max("d"), F.lit(0)).alias("max_degree"), F.count_if((F.col("d") == 0) & F.col("_i").isNull()).alias("n_isolated"))
+    return rows.agg(F.coalesce(F.avg("d"), F.lit(0.0)).alias("avg_degree"), F.coalesce(F.percentile("d", 0.5), F.lit(0.0)).alias("median_degree"),
+        F.coalesce(F.max("d"), F.lit(0)).alias("max_degree"), F.count_if((F.col("d") == 0) & F.col("_i").isNull()).alias("n_isolated"))
 
 
 def embedding_coverage(posts: DataFrame) -> DataFrame:
@@ -33,7 +34,8 @@ def embedding_coverage(posts: DataFrame) -> DataFrame:
 def mean_interactions(users: DataFrame, posts: DataFrame, reactions: DataFrame) -> DataFrame:
     """Mean favourites, reblogs and replies per user and per post; bookmarks don't count; one row."""
     rows = reactions.where(F.col("kind").isin(*REACTIONS[:3]))
-    per = lambda nodes, key: nodes.select(F.col("id").alias(key)).join(rows.groupBy(key).agg(F.count("*").alias("c")), key, "left").agg(F.coalesce(F.avg(F.coalesce("c", F.lit(0))), F.lit(0.0)).alias("v")).scalar()
+    per = lambda nodes, key: nodes.select(F.col("id").alias(key)).join(rows.groupBy(key).agg(F.count("*").alias("c")), key,
+        "left").agg(F.coalesce(F.avg(F.coalesce("c", F.lit(0))), F.lit(0.0)).alias("v")).scalar()
     return users.agg(F.count("*").alias("n_users")).select("n_users", per(users, "user_id").alias("per_user"), per(posts, "post_id").alias("per_post"))
 
 
@@ -62,7 +64,8 @@ def size_distribution(sizes: DataFrame) -> DataFrame:
 def size_stats(sizes: DataFrame) -> DataFrame:
     """Number, mean, median, percentiles and extremes of community sizes; one row."""
     z = lambda c: F.coalesce(c, F.lit(0.0))
-    return sizes.agg(F.count("*").alias("n"), z(F.avg("size")).alias("avg_size"), z(F.percentile("size", 0.5)).alias("median_size"), z(F.percentile("size", 0.9)).alias("p90_size"), F.coalesce(F.min("size"), F.lit(0)).alias("min_size"), F.coalesce(F.max("size"), F.lit(0)).alias("max_size"))
+    return sizes.agg(F.count("*").alias("n"), z(F.avg("size")).alias("avg_size"), z(F.percentile("size", 0.5)).alias("median_size"),
+        z(F.percentile("size", 0.9)).alias("p90_size"), F.coalesce(F.min("size"), F.lit(0)).alias("min_size"), F.coalesce(F.max("size"), F.lit(0)).alias("max_size"))
 
 
 def largest(sizes: DataFrame, limit: int) -> DataFrame:
@@ -96,7 +99,8 @@ def top_user_communities(users: DataFrame, sizes: DataFrame, interacts: DataFram
     means = scores.groupBy("cluster_id").agg(F.avg("activity").alias("avg_activity"))
     out = largest(sizes, limit).withColumnRenamed("id", "cluster_id").join(_first(scores, "cluster_id", "activity", "most_active"), "cluster_id").join(means, "cluster_id")
     tops = top_values(scores, "cluster_id", "ui_language", 3)
-    return out.join(tops, "cluster_id", "left").select("cluster_id", "size", "most_active", "most_active_activity", "avg_activity", F.array_join(F.coalesce("top", F.array().cast("array<string>")), ",").alias("languages"))
+    return out.join(tops, "cluster_id", "left").select("cluster_id", "size", "most_active", "most_active_activity", "avg_activity",
+        F.array_join(F.coalesce("top", F.array().cast("array<string>")), ",").alias("languages"))
 
 
 def top_post_communities(posts: DataFrame, sizes: DataFrame, rated: DataFrame, limit: int = 10) -> DataFrame:
@@ -108,8 +112,10 @@ def top_post_communities(posts: DataFrame, sizes: DataFrame, rated: DataFrame, l
     authors = rows.groupBy("cluster_id", F.col("author_id").alias("id")).agg(F.count("*").alias("posts"))
     means = rows.groupBy("cluster_id").agg(F.avg("popularity_contrib").alias("avg_popularity"))
     out = largest(sizes, limit).withColumnRenamed("id", "cluster_id").join(_first(rows, "cluster_id", "popularity_contrib", "popular_post"), "cluster_id")
-    out = out.join(_first(authors, "cluster_id", "posts", "top_author"), "cluster_id").join(means, "cluster_id").join(top_values(rows, "cluster_id", "language", 3), "cluster_id", "left")
-    return out.select("cluster_id", "size", "popular_post", "popular_post_popularity_contrib", "top_author", "top_author_posts", "avg_popularity", F.array_join(F.coalesce("top", F.array().cast("array<string>")), ",").alias("languages"))
+    out = out.join(_first(authors, "cluster_id", "posts", "top_author"), "cluster_id").join(means,
+        "cluster_id").join(top_values(rows, "cluster_id", "language", 3), "cluster_id", "left")
+    return out.select("cluster_id", "size", "popular_post", "popular_post_popularity_contrib", "top_author", "top_author_posts", "avg_popularity",
+        F.array_join(F.coalesce("top", F.array().cast("array<string>")), ",").alias("languages"))
 
 
 def user_profile(users: DataFrame, user_id: int, wrote: DataFrame, reactions: DataFrame, interests: DataFrame) -> DataFrame:
@@ -119,7 +125,8 @@ def user_profile(users: DataFrame, user_id: int, wrote: DataFrame, reactions: Da
     counts = mine.agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in REACTIONS])
     posts = wrote.where(F.col("user_id") == user_id).agg(F.count("*").alias("n")).scalar()
     wants = interests.join(me.select(F.col("cluster_id").alias("uc")), "uc", "left_semi").orderBy(F.desc("score"), "pc").limit(5)
-    top = wants.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "pc"))), lambda x: x["pc"].cast("string")), ",").alias("top")).scalar()
+    top = wants.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "pc"))), lambda x: x["pc"].cast("string")),
+        ",").alias("top")).scalar()
     return me.select("*", posts.alias("n_posts"), *[counts.select(c).scalar().alias(c) for c in counts.columns], top.alias("top_interests"))
 
 

@@ -37,7 +37,8 @@ def scored_phrases(pairs: DataFrame, words: DataFrame, min_count: int = 5, thres
     The score is (n - min_count) * vocabulary / (n of first * n of second) (Mikolov et al. 2013).
     """
     size = words.agg(F.count("*").alias("v")).scalar()
-    joined = pairs.where(F.col("n") >= min_count).join(words.select(F.col("w").alias("first"), F.col("c").alias("ca")), "first").join(words.select(F.col("w").alias("second"), F.col("c").alias("cb")), "second")
+    joined = pairs.where(F.col("n") >= min_count).join(words.select(F.col("w").alias("first"), F.col("c").alias("ca")),
+        "first").join(words.select(F.col("w").alias("second"), F.col("c").alias("cb")), "second")
     score = (F.col("n") - min_count) * size / (F.col("ca") * F.col("cb"))
     return joined.select("first", "second", "n", score.cast("double").alias("score")).where(F.col("score") > threshold)
 
@@ -97,7 +98,8 @@ def joined_phrases(docs: DataFrame, phrases: DataFrame, key: str = "id", sent: i
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
         return docs.mapInArrow(run, docs.schema)
-    pair = F.transform(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.struct((i - 1).alias("at"), F.col("tokens")[i - 1].alias("first"), F.col("tokens")[i].alias("second")))
+    pair = F.transform(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.struct((i - 1).alias("at"), F.col("tokens")[i - 1].alias("first"),
+        F.col("tokens")[i].alias("second")))
     pairs = docs.where(F.size("tokens") > 1).select(F.col(key).alias("_k"), F.explode(pair).alias("p")).select("_k", "p.*")
     found = pairs.join(phrases.select("first", "second").distinct(), ["first", "second"]).groupBy("_k").agg(F.collect_list("at").alias("_starts"))
     met = docs.join(found, docs[key] == found["_k"], "left").select(*names, F.coalesce("_starts", F.array().cast("array<int>")).alias("_starts"))
@@ -159,7 +161,8 @@ def word2vec(docs: DataFrame, dims: int = 128, window: int = 3, min_count: int =
 
     if docs.limit(min_docs).count() < min_docs:
         raise ValueError(f"training needs at least {min_docs} texts")
-    return Word2Vec(vectorSize=dims, windowSize=window, minCount=min_count, maxIter=epochs, numPartitions=max(1, docs.rdd.getNumPartitions()), inputCol="tokens", outputCol="embedding", seed=seed).fit(docs)
+    return Word2Vec(vectorSize=dims, windowSize=window, minCount=min_count, maxIter=epochs, numPartitions=max(1, docs.rdd.getNumPartitions()),
+        inputCol="tokens", outputCol="embedding", seed=seed).fit(docs)
 
 
 def trained_embeddings(docs: DataFrame, model, dims: int = 64) -> DataFrame:
@@ -172,7 +175,8 @@ def trained_embeddings(docs: DataFrame, model, dims: int = 64) -> DataFrame:
     from flockwise.functions.vectors import norm, normalised
 
     size = model.getVectorSize()
-    rows = model.setInputCol("tokens").setOutputCol("_v").transform(docs.select("id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))).select("id", vector_to_array("_v").alias("v"))
+    rows = model.setInputCol("tokens").setOutputCol("_v").transform(docs.select("id",
+        F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))).select("id", vector_to_array("_v").alias("v"))
     own = rows.where(norm(F.col("v")) > 0).select("id", normalised(F.col("v")).cast("array<float>").alias("embedding"))
     rest = hashed_embeddings(docs.join(own.select("id"), "id", "left_anti"), size)
     return own.unionByName(rest)

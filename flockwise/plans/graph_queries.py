@@ -86,7 +86,8 @@ def interest_unexpired(spark: SparkSession, d: str) -> DataFrame:
 def interest_refresh(spark: SparkSession, d: str) -> DataFrame:
     """Interests of a week earlier, brought up to date; only communities of late reactions are computed anew."""
     g = _graph(spark, d)
-    old = interests.rebuild_interests(_edges(g), g["users"], g["posts"], moment("2024-01-24 00:00:00"), S).withColumn("score", F.col("score") * F.when(F.col("pc") == 3, 0.005).otherwise(1.0))
+    old = interests.rebuild_interests(_edges(g), g["users"], g["posts"], moment("2024-01-24 00:00:00"), S).withColumn("score",
+        F.col("score") * F.when(F.col("pc") == 3, 0.005).otherwise(1.0))
     late = {**_edges(g), **{k: g[k].where("user_id % 5 <> 1 OR happened_at <= TIMESTAMP_NTZ '2024-01-29 00:00:00'") for k in interests.REACTIONS}}
     return _rounded(interests.refresh_interests(old, late, g["users"], g["posts"], moment(SINCE), HOURS, _now(), S), "score", "based_on").select("uc", "pc", "score", "based_on")
 
@@ -240,7 +241,8 @@ def feed_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 def dirty_users(spark: SparkSession, d: str) -> DataFrame:
     g = _graph(spark, d)
-    return feeds.dirty_users(g["users"], g["posts"].where("cluster_id < 5"), _interests(g).withColumn("last_updated", days_before(_now(), 3)), g["recommended"], reactions_of(g), _now(), replace(S, active_days=2))
+    return feeds.dirty_users(g["users"], g["posts"].where("cluster_id < 5"), _interests(g).withColumn("last_updated", days_before(_now(), 3)), g["recommended"],
+        reactions_of(g), _now(), replace(S, active_days=2))
 
 
 def merge_recommended(spark: SparkSession, d: str) -> DataFrame:
@@ -264,7 +266,8 @@ _NEAR = replace(S, similarity_threshold=0.6, knn_neighbours=5)
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", days_before(_now(), 0).alias("created_at")).withColumn("created_at", F.col("created_at") - F.make_dt_interval((F.col("id") % 30).cast("int")))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", days_before(_now(), 0).alias("created_at")).withColumn("created_at",
+        F.col("created_at") - F.make_dt_interval((F.col("id") % 30).cast("int")))
 
 
 def knn_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -375,7 +378,8 @@ def cleanup_cascade(spark: SparkSession, d: str) -> DataFrame:
     g = _graph(spark, d)
     g["interests"], g["user_communities"], g["post_communities"] = _interests(g), _sizes(g, "users"), _sizes(g, "posts")
     del g["edges"]
-    return stats.table_counts(communities.cascade(g, communities.inactive(g["users"].withColumn("last_active", F.when(F.col("id") % 6 > 0, F.col("last_active"))), moment("2024-01-31 18:00:00"), 1)))
+    return stats.table_counts(communities.cascade(g, communities.inactive(g["users"].withColumn("last_active",
+        F.when(F.col("id") % 6 > 0, F.col("last_active"))), moment("2024-01-31 18:00:00"), 1)))
 
 
 def purge_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -387,7 +391,8 @@ def purge_counts(spark: SparkSession, d: str) -> DataFrame:
 
     def left(kind: str) -> DataFrame:
         out = communities.purge(g, kind)
-        parts = {n: out[n] for n in counted} | {"embedded": out["posts"].where("embedding IS NOT NULL"), "clustered_users": out["users"].where("cluster_id IS NOT NULL"), "clustered_posts": out["posts"].where("cluster_id IS NOT NULL")}
+        parts = {n: out[n] for n in counted} | {"embedded": out["posts"].where("embedding IS NOT NULL"),
+            "clustered_users": out["users"].where("cluster_id IS NOT NULL"), "clustered_posts": out["posts"].where("cluster_id IS NOT NULL")}
         return stats.table_counts(parts).withColumn("kind", F.lit(kind))
 
     return reduce(DataFrame.unionByName, [left(kind) for kind in communities.PURGES])
@@ -663,18 +668,22 @@ def _counts(*names: str) -> str:
 
 
 _GONE = """gu AS (SELECT id FROM users WHERE id % 6 > 0 AND last_active < TIMESTAMP '2024-01-31 18:00:00' - INTERVAL 1 DAY), gp AS (SELECT id FROM posts WHERE author_id IN (SELECT id FROM gu))"""
-_LEFT = {k: f"SELECT * FROM {k} WHERE user_id NOT IN (SELECT id FROM gu) AND post_id NOT IN (SELECT id FROM gp)" for k in ("favourited", "reblogged", "replied", "bookmarked", "recommended", "wrote")}
-_LEFT |= {"users": "SELECT * FROM users WHERE id NOT IN (SELECT id FROM gu)", "posts": "SELECT * FROM posts WHERE id NOT IN (SELECT id FROM gp)", "hates": "SELECT * FROM hates WHERE src NOT IN (SELECT id FROM gu) AND dst NOT IN (SELECT id FROM gu)"}
+_LEFT = {k: f"SELECT * FROM {k} WHERE user_id NOT IN (SELECT id FROM gu) AND post_id NOT IN (SELECT id FROM gp)" for k in ("favourited", "reblogged", "replied",
+    "bookmarked", "recommended", "wrote")}
+_LEFT |= {"users": "SELECT * FROM users WHERE id NOT IN (SELECT id FROM gu)", "posts": "SELECT * FROM posts WHERE id NOT IN (SELECT id FROM gp)",
+    "hates": "SELECT * FROM hates WHERE src NOT IN (SELECT id FROM gu) AND dst NOT IN (SELECT id FROM gu)"}
 _LEFT |= {"user_communities": f"SELECT DISTINCT cluster_id FROM ({_LEFT['users']})", "post_communities": f"SELECT DISTINCT cluster_id FROM ({_LEFT['posts']})"}
 _LEFT |= {"interests": f"SELECT * FROM i WHERE uc IN (SELECT cluster_id FROM ({_LEFT['users']})) AND pc IN (SELECT cluster_id FROM ({_LEFT['posts']}))"}
 
 #: What each kind of purge empties, of what is counted.
 _EMPTIED = {
-    "embeddings": ("embedded", "clustered_posts", "interests"), "similarity": ("clustered_posts", "interests"), "clusters": ("clustered_users", "clustered_posts", "user_communities", "post_communities", "interests", "recommended"),
+    "embeddings": ("embedded", "clustered_posts", "interests"), "similarity": ("clustered_posts", "interests"),
+        "clusters": ("clustered_users", "clustered_posts", "user_communities", "post_communities", "interests", "recommended"),
     "interests": ("interests",), "recommendations": ("recommended",), "interactions": ("interacts",),
     "graph": ("users", "posts", "favourited", "recommended", "interacts", "interests", "user_communities", "post_communities", "embedded", "clustered_users", "clustered_posts"),
 }
-_PURGED = "kinds AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, {list(v)} AS gone" for k, v in _EMPTIED.items()) + """), tables AS (SELECT 'users' AS name, count(*) AS n FROM users UNION ALL SELECT 'posts', count(*) FROM posts UNION ALL SELECT 'favourited', count(*) FROM favourited
+_PURGED = "kinds AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, {list(v)} AS gone" for k,
+    v in _EMPTIED.items()) + """), tables AS (SELECT 'users' AS name, count(*) AS n FROM users UNION ALL SELECT 'posts', count(*) FROM posts UNION ALL SELECT 'favourited', count(*) FROM favourited
 UNION ALL SELECT 'recommended', count(*) FROM recommended UNION ALL SELECT 'interacts', count(*) FROM ug UNION ALL SELECT 'interests', count(*) FROM i UNION ALL SELECT
 'user_communities', count(*) FROM us UNION ALL SELECT 'post_communities', count(*) FROM ps
 UNION ALL SELECT 'embedded', count(embedding) FROM posts UNION ALL SELECT 'clustered_users', count(cluster_id) FROM users UNION ALL SELECT 'clustered_posts',
@@ -685,12 +694,18 @@ _SOCIAL = f"WITH {SOCIAL_SQL}, i AS ({_interest_sql(SOCIAL_AS_OF, half=180.0, le
 QUERIES = {
     f.__name__: f
     for f in (
-        interest_scores, interest_scores_no_ctr, interest_dirty, interest_scores_dirty, interest_global_decay, interest_unexpired, interest_refresh, community_similarity, serendipity_similar, serendipity_random,
-        local_popularity, global_popularity, blended_popularity, recency_score, language_boosts, feed_eligible_pairs, feed_filter_flags, feed_personalized_all, feed_detail, feed_explain_pairs, feed_cold_start, public_feed_members,
-        public_feed_local, public_feed_all, public_feed_local_authors, feed_rank_scores, feed_own_entries, feed_cleared, feed_member_rank, feed_range, feed_lengths, dirty_users, merge_recommended, feed_times, active_users,
-        knn_edges, knn_edges_cosine, knn_incremental, knn_incremental_edges, similarity_stats, similarity_pruned, vector_readiness, user_communities, post_communities, connected_parts, modularity, singleton_collapse, community_sizes,
-        community_rebuild, graph_diagnostics, cleanup_cascade, purge_counts, user_community_soundness, post_community_soundness, node_edge_counts, connectivity, embedding_coverage, mean_interactions, top_languages, size_distribution, size_stats,
-        top_user_communities, top_post_communities, user_profile, post_profile, interest_overview, export_interests, export_members, export_edges, graph_readiness, constraint_check, pairs_in_both, pairs_in_first, social_interests, social_feeds, social_cold_start, social_public_feed,
+        interest_scores, interest_scores_no_ctr, interest_dirty, interest_scores_dirty, interest_global_decay, interest_unexpired, interest_refresh,
+            community_similarity, serendipity_similar, serendipity_random,
+        local_popularity, global_popularity, blended_popularity, recency_score, language_boosts, feed_eligible_pairs, feed_filter_flags, feed_personalized_all,
+            feed_detail, feed_explain_pairs, feed_cold_start, public_feed_members,
+        public_feed_local, public_feed_all, public_feed_local_authors, feed_rank_scores, feed_own_entries, feed_cleared, feed_member_rank, feed_range,
+            feed_lengths, dirty_users, merge_recommended, feed_times, active_users,
+        knn_edges, knn_edges_cosine, knn_incremental, knn_incremental_edges, similarity_stats, similarity_pruned, vector_readiness, user_communities,
+            post_communities, connected_parts, modularity, singleton_collapse, community_sizes,
+        community_rebuild, graph_diagnostics, cleanup_cascade, purge_counts, user_community_soundness, post_community_soundness, node_edge_counts, connectivity,
+            embedding_coverage, mean_interactions, top_languages, size_distribution, size_stats,
+        top_user_communities, top_post_communities, user_profile, post_profile, interest_overview, export_interests, export_members, export_edges,
+            graph_readiness, constraint_check, pairs_in_both, pairs_in_first, social_interests, social_feeds, social_cold_start, social_public_feed,
     )
 } | {"pagerank": page_rank}
 

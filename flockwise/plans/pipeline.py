@@ -32,7 +32,8 @@ SOURCES = {
     "status_stats": "status_id long, favourites_count long, reblogs_count long, replies_count long, untrusted_favourites_count long, untrusted_reblogs_count long",
 }
 #: Tables of a version that a clean-up or a new embedding carries over.
-KEPT = ("posts_loaded", "users_loaded", "users", "posts", "favourited", "reblogged", "replied", "bookmarked", "recommended", "hates", "interacts", "similar", "interests", "user_communities", "post_communities", "similar_communities", "feed_members", "public_members")
+KEPT = ("posts_loaded", "users_loaded", "users", "posts", "favourited", "reblogged", "replied", "bookmarked", "recommended", "hates", "interacts", "similar",
+    "interests", "user_communities", "post_communities", "similar_communities", "feed_members", "public_members")
 
 
 def _last(df: DataFrame, column: str = "id") -> int:
@@ -128,14 +129,17 @@ class Engine:
         posts = keep("posts_loaded", merge.merge_totals(posts, scans.status_totals(self._source("status_stats"), old.last_stats_status_id)))
 
         edges = {}
-        for name, rows in (("favourited", scans.reactions_since(favourites, cursor("last_favourite_id"), since)), ("bookmarked", scans.reactions_since(bookmarks, cursor("last_bookmark_id"), since))):
+        for name, rows in (("favourited", scans.reactions_since(favourites, cursor("last_favourite_id"), since)),
+            ("bookmarked", scans.reactions_since(bookmarks, cursor("last_bookmark_id"), since))):
             rows = rows.select("id", F.col("account_id").alias("user_id"), F.col("status_id").alias("post_id"), F.col("created_at").alias("happened_at"))
             edges[name] = keep(name, merge.merge_reactions(before(name, _EDGE), rows, posts))
         for name, column in (("reblogged", "reblog_of_id"), ("replied", "in_reply_to_id")):
-            rows = fresh.where(F.col(column).isNotNull()).select("id", F.col("account_id").alias("user_id"), F.col(column).alias("post_id"), F.col("created_at").alias("happened_at"))
+            rows = fresh.where(F.col(column).isNotNull()).select("id", F.col("account_id").alias("user_id"), F.col(column).alias("post_id"),
+                F.col("created_at").alias("happened_at"))
             edges[name] = keep(name, merge.merge_reactions(before(name, _EDGE), rows, posts))
         edges["recommended"] = before("recommended", f"{_EDGE}, score double")
-        hates = keep("hates", merge.merge_aversions(before("hates", "src long, dst long"), scans.aversions_since(blocks, "block", old.last_block_id), scans.aversions_since(mutes, "mute", old.last_mute_id)))
+        hates = keep("hates", merge.merge_aversions(before("hates", "src long, dst long"), scans.aversions_since(blocks, "block", old.last_block_id),
+            scans.aversions_since(mutes, "mute", old.last_mute_id)))
         beyond = Cursors(old.last_interaction_favourite_id, old.last_interaction_status_id, old.last_mention_id, old.last_follow_id)
         more = keep("interactions_new", interaction_edges(favourites, statuses, mentions, follows, s, beyond, authors=statuses))
         interacts = keep("interacts", merge.merge_interactions(before("interacts", "src long, dst long, weight double"), more))
@@ -150,12 +154,15 @@ class Engine:
             seen = statuses.groupBy("account_id").agg(F.max("created_at").alias("last_status_at"))
         signed = self._source("users")
         if not has_table(spark, self.source, "users"):
-            signed = favourites.groupBy("account_id").agg(F.max("created_at").alias("current_sign_in_at")).select("*", F.lit(None).cast("string").alias("locale"), F.lit(None).cast("array<string>").alias("chosen_languages"))
+            signed = favourites.groupBy("account_id").agg(F.max("created_at").alias("current_sign_in_at")).select("*",
+                F.lit(None).cast("string").alias("locale"), F.lit(None).cast("array<string>").alias("chosen_languages"))
         users = keep("users_loaded", merge.merge_activity(people, scans.user_activity(accounts, seen, signed, now, s.active_days)))
 
         met = next_cursors(more).first()
-        reached = {"last_status_id": _last(fresh), "last_favourite_id": _last(favourites), "last_bookmark_id": _last(bookmarks), "last_block_id": _last(blocks), "last_mute_id": _last(mutes)}
-        reached |= {"last_interaction_favourite_id": met["max_favourite_id"], "last_interaction_status_id": met["max_status_id"], "last_mention_id": met["max_mention_id"], "last_follow_id": met["max_follow_id"]}
+        reached = {"last_status_id": _last(fresh), "last_favourite_id": _last(favourites), "last_bookmark_id": _last(bookmarks), "last_block_id": _last(blocks),
+            "last_mute_id": _last(mutes)}
+        reached |= {"last_interaction_favourite_id": met["max_favourite_id"], "last_interaction_status_id": met["max_status_id"],
+            "last_mention_id": met["max_mention_id"], "last_follow_id": met["max_follow_id"]}
         reached |= {"last_stats_status_id": _last(self._source("status_stats"), "status_id"), "last_activity_account_id": _last(accounts)}
         return {"posts": posts, "users": users, "interacts": interacts, "hates": hates, **edges}, reached
 
@@ -183,14 +190,17 @@ class Engine:
         else:
             other = posts.where(F.col("cluster_id").isNotNull() & (F.col("cluster_id") != s.noise_community)).select(F.col("cluster_id").alias("pc"))
             more = interests.serendipity_at_random(own, other, s).withColumn("score", F.lit(s.serendipity_score))
-        more = more.select("uc", "pc", "score", F.lit(0.0).alias("based_on"), now.alias("last_updated"), days_before(now, -s.interest_ttl_days).alias("expires_at"), F.lit(True).alias("serendipity"))
+        more = more.select("uc", "pc", "score", F.lit(0.0).alias("based_on"), now.alias("last_updated"),
+            days_before(now, -s.interest_ttl_days).alias("expires_at"), F.lit(True).alias("serendipity"))
         return keep("interests", own.withColumn("serendipity", F.lit(False)).unionByName(more))
 
-    def _feeds(self, users: DataFrame, posts: DataFrame, edges: dict[str, DataFrame], wants: DataFrame, hates: DataFrame, now: Column, s: Settings, keep, before, feeds_too: bool) -> None:
+    def _feeds(self, users: DataFrame, posts: DataFrame, edges: dict[str, DataFrame], wants: DataFrame, hates: DataFrame, now: Column, s: Settings, keep,
+        before, feeds_too: bool) -> None:
         """Feeds of the users who are due, all in one job; the others keep theirs."""
         members = before("feed_members", "user_id long, post_id long, score double")
         if not feeds_too:
-            keep("feed_members", members), keep("recommended", edges["recommended"]), keep("users", users), keep("public_members", before("public_members", "key string, post_id long, score double"))
+            keep("feed_members", members), keep("recommended", edges["recommended"]), keep("users", users), keep("public_members",
+                before("public_members", "key string, post_id long, score double"))
             return
         sizes = communities.community_sizes(posts)
         hidden = {**edges, "wrote": posts.select(F.col("author_id").alias("user_id"), F.col("id").alias("post_id")), "hates": hates}
@@ -219,7 +229,8 @@ class Engine:
             self.run(as_of)
             return self.table("interests")
         edges = {k: self.table(k) for k in (*interests.REACTIONS, "recommended")}
-        return interests.refresh_interests(self.table("interests"), edges, self.table("users"), self.table("posts"), moment(old.last_rebuild_at), hours, moment(as_of), self.settings)
+        return interests.refresh_interests(self.table("interests"), edges, self.table("users"), self.table("posts"), moment(old.last_rebuild_at), hours,
+            moment(as_of), self.settings)
 
     def export(self, as_of: str, user_id: int | None = None) -> str:
         """A Markdown report of the state of the graph, with the feed of one user if asked for."""
@@ -228,7 +239,8 @@ class Engine:
         sections = {
             "Tables": markdown_table(overview.orderBy("name")), "Interests": markdown_table(stats.interest_overview(wants, moment(as_of))),
             "Strongest interests": mermaid_graph(stats.top_interests(wants), "uc", "pc", "score", ("U", "P")),
-            "Members": markdown_table(stats.member_samples(users, self.table("user_communities"), 10, 5)), "Posts of communities": markdown_table(stats.member_samples(posts, self.table("post_communities"), 10, 5)),
+            "Members": markdown_table(stats.member_samples(users, self.table("user_communities"), 10, 5)),
+                "Posts of communities": markdown_table(stats.member_samples(posts, self.table("post_communities"), 10, 5)),
             "Interactions": markdown_table(stats.edge_sample(self.table("interacts"), 30)), "Nearest posts": markdown_table(stats.edge_sample(self.table("similar"), 30)),
             "Interaction graph": markdown_table(as_json(communities.graph_diagnostics(users, self.table("interacts"), self.settings))),
             "Feeds": markdown_table(stats.feed_shares(self.table("feed_members"), self.settings.rank_multiplier).orderBy("user_id").limit(30)),
@@ -254,7 +266,8 @@ class Engine:
             loaded = loaded.withColumn("embedding", F.lit(None).cast("array<float>"))
         if kind == "graph":
             changed |= {n: changed[n].where(F.lit(False)) for n in ("feed_members", "public_members", "similar_communities")}
-            return self._new_version({**changed, "posts_loaded": loaded.where(F.lit(False)), "users_loaded": people.where(F.lit(False))}, **{k: v for k, v in State().__dict__.items() if k.startswith("last_")})
+            return self._new_version({**changed, "posts_loaded": loaded.where(F.lit(False)), "users_loaded": people.where(F.lit(False))},
+                **{k: v for k, v in State().__dict__.items() if k.startswith("last_")})
         return self._new_version({**changed, "posts_loaded": loaded})
 
     def cleanup(self, as_of: str, days: int | None = None) -> State:
@@ -264,7 +277,8 @@ class Engine:
         left = communities.cascade(known, communities.inactive(known["users"], now, s.active_days if days is None else days))
         left["interests"] = interests.unexpired(left["interests"], now)
         left["similar"] = knn.pruned(left["similar"], left["posts"], now, s)
-        loaded = {"posts_loaded": self.table("posts_loaded").join(left["posts"].select("id"), "id", "left_semi"), "users_loaded": self.table("users_loaded").join(left["users"].select("id"), "id", "left_semi")}
+        loaded = {"posts_loaded": self.table("posts_loaded").join(left["posts"].select("id"), "id", "left_semi"),
+            "users_loaded": self.table("users_loaded").join(left["users"].select("id"), "id", "left_semi")}
         return self._new_version({**left, **loaded})
 
     def reindex(self) -> State:

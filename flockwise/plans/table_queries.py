@@ -21,7 +21,8 @@ _FLOOR = f"epoch_ms(TIMESTAMP '{SINCE}') << 16"
 
 
 def _mentions(statuses: DataFrame) -> DataFrame:
-    return statuses.where(F.col("in_reply_to_account_id").isNotNull()).select("id", F.col("id").alias("status_id"), F.col("in_reply_to_account_id").alias("account_id"), (F.col("id") % 3 == 0).alias("silent"))
+    return statuses.where(F.col("in_reply_to_account_id").isNotNull()).select("id", F.col("id").alias("status_id"),
+        F.col("in_reply_to_account_id").alias("account_id"), (F.col("id") % 3 == 0).alias("silent"))
 
 
 def _follows(statuses: DataFrame) -> DataFrame:
@@ -110,8 +111,10 @@ def snowflake_times(spark: SparkSession, d: str) -> DataFrame:
 
 
 def status_totals(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "post").groupBy("id").agg(F.max("total_favourites").alias("favourites_count"), F.max("total_reblogs").alias("reblogs_count"), F.max("total_replies").alias("replies_count"))
-    stats = p.select(F.col("id").alias("status_id"), "favourites_count", "reblogs_count", "replies_count", F.when(F.col("id") % 2 == 0, F.col("reblogs_count")).alias("untrusted_favourites_count"), F.lit(1).cast("bigint").alias("untrusted_reblogs_count"))
+    p = table(spark, d, "post").groupBy("id").agg(F.max("total_favourites").alias("favourites_count"), F.max("total_reblogs").alias("reblogs_count"),
+        F.max("total_replies").alias("replies_count"))
+    stats = p.select(F.col("id").alias("status_id"), "favourites_count", "reblogs_count", "replies_count",
+        F.when(F.col("id") % 2 == 0, F.col("reblogs_count")).alias("untrusted_favourites_count"), F.lit(1).cast("bigint").alias("untrusted_reblogs_count"))
     return scans.status_totals(stats, CURSOR)
 
 
@@ -164,7 +167,8 @@ def phrases(spark: SparkSession, d: str) -> DataFrame:
 
 def merge_posts_keep_old(spark: SparkSession, d: str) -> DataFrame:
     """Half of the posts are known; all come in with another vector and counter."""
-    p = table(spark, d, "post").where(F.size("embedding") == 64).groupBy("id").agg(F.max(F.struct("author_id", "language", "created_at", "total_favourites", "embedding")).alias("r")).select("id", "r.*")
+    p = table(spark, d, "post").where(F.size("embedding") == 64).groupBy("id").agg(F.max(F.struct("author_id", "language", "created_at", "total_favourites",
+        "embedding")).alias("r")).select("id", "r.*")
     fresh = p.withColumn("embedding", F.array(F.col("id").cast("float"))).withColumn("total_favourites", F.lit(-1).cast("bigint"))
     out = merge.merge_posts(p.where("id % 2 = 0"), fresh)
     return out.select("id", "author_id", "total_favourites", F.size("embedding").alias("dims"))
@@ -265,9 +269,12 @@ _COLUMNS = "id, account_id, text, language, reblog_of_id, in_reply_to_id, create
 QUERIES = {
     f.__name__: f
     for f in (
-        status_scan_since, status_scan_cursor, favourite_scan, bookmark_scan, block_mute_scan, block_mute_union, user_activity, active_user_count, account_lookup, account_by_handle,
-        status_by_uri, status_references, accounts_by_id, table_stats, snowflake_times, status_totals, interaction_cursors, interaction_edges_incremental, corpus_filter, corpus_extent,
-        corpus_tokens, embeddable_texts, embeddable_by_batch, tweet_tokens, phrases, merge_posts_keep_old, merge_favourites_first_wins, merge_reblogs, merge_bookmarks, merge_totals, merge_activity,
+        status_scan_since, status_scan_cursor, favourite_scan, bookmark_scan, block_mute_scan, block_mute_union, user_activity, active_user_count,
+            account_lookup, account_by_handle,
+        status_by_uri, status_references, accounts_by_id, table_stats, snowflake_times, status_totals, interaction_cursors, interaction_edges_incremental,
+            corpus_filter, corpus_extent,
+        corpus_tokens, embeddable_texts, embeddable_by_batch, tweet_tokens, phrases, merge_posts_keep_old, merge_favourites_first_wins, merge_reblogs,
+            merge_bookmarks, merge_totals, merge_activity,
         ensure_users, scalar_functions,
     )
 } | {"interaction_edges": interactions}

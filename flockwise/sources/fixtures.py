@@ -37,9 +37,11 @@ def event_graph(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
     p = e.groupBy(F.col("post_id").alias("id")).agg(F.count("*").alias("n"))
     v = table(spark, directory, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     posts = p.join(v, "id", "left").select(
-        "id", (F.col("id") % 7).alias("author_id"), (F.col("id") % 10).alias("cluster_id"), F.when(F.col("id") % 7 != 0, F.get(languages, (F.col("id") % 4).cast("int"))).alias("language"),
+        "id", (F.col("id") % 7).alias("author_id"), (F.col("id") % 10).alias("cluster_id"),
+            F.when(F.col("id") % 7 != 0, F.get(languages, (F.col("id") % 4).cast("int"))).alias("language"),
         (F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), (F.col("id") * 5 + 1).cast("int"))).alias("created_at"),
-        (F.col("n") * 3).alias("total_favourites"), F.col("n").alias("total_reblogs"), F.when(F.col("id") % 4 != 0, F.col("n") % 11).alias("total_replies"), (F.col("id") / 1000.0).alias("pagerank"), "embedding",
+        (F.col("n") * 3).alias("total_favourites"), F.col("n").alias("total_reblogs"), F.when(F.col("id") % 4 != 0, F.col("n") % 11).alias("total_replies"),
+            (F.col("id") / 1000.0).alias("pagerank"), "embedding",
     )
 
     def first(kind: str) -> DataFrame:
@@ -92,7 +94,8 @@ def social_graph(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
     graph["bookmarked"] = graph["favourited"].where((F.col("user_id") + F.col("post_id")) % 3 == 0)
     shown = table(spark, directory, "recommendation_detail").where("viewer_user_id IS NOT NULL AND post_id IS NOT NULL").groupBy(F.col("viewer_user_id").alias("user_id"), "post_id").agg(F.max("post_created_at").alias("happened_at"))
     graph["recommended"] = shown.join(known, "post_id", "left_semi").select("user_id", "post_id", "happened_at")
-    graph["hates"] = statuses.where("id % 11 = 0 AND in_reply_to_account_id <> account_id").select(F.col("account_id").alias("src"), F.col("in_reply_to_account_id").alias("dst")).distinct()
+    graph["hates"] = statuses.where("id % 11 = 0 AND in_reply_to_account_id <> account_id").select(F.col("account_id").alias("src"),
+        F.col("in_reply_to_account_id").alias("dst")).distinct()
     graph["wrote"] = posts.select(F.col("author_id").alias("user_id"), F.col("id").alias("post_id"))
     return {"users": users, "posts": posts, **graph}
 

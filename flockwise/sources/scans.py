@@ -42,7 +42,8 @@ def user_activity(accounts: DataFrame, account_stats: DataFrame, users: DataFram
     people = users.select(F.col("account_id").alias("_u"), "current_sign_in_at", "locale", "chosen_languages")
     joined = accounts.join(stats, F.col("id") == F.col("_s"), "left").join(people, F.col("id") == F.col("_u"), "left")
     last = F.greatest(F.coalesce("last_status_at", "created_at"), F.coalesce("current_sign_in_at", "created_at"))
-    rows = joined.select(F.col("id").alias("account_id"), last.alias("last_active"), F.col("domain").isNull().alias("is_local"), F.col("locale").alias("ui_language"), F.col("chosen_languages").alias("languages"))
+    rows = joined.select(F.col("id").alias("account_id"), last.alias("last_active"), F.col("domain").isNull().alias("is_local"),
+        F.col("locale").alias("ui_language"), F.col("chosen_languages").alias("languages"))
     return rows.where((F.col("last_active") >= days_before(as_of, active_days)) & (F.col("account_id") > last_account_id))
 
 

@@ -60,7 +60,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 def statuses_newest(spark: SparkSession, directory: str) -> DataFrame:
     """One row per status."""
-    columns = ["id", "updated_at", "account_id", "text", "language", "visibility", "reblog_of_id", "in_reply_to_id", "in_reply_to_account_id", "created_at", "deleted_at", "reply", "uri"]
+    columns = ["id", "updated_at", "account_id", "text", "language", "visibility", "reblog_of_id", "in_reply_to_id", "in_reply_to_account_id", "created_at",
+        "deleted_at", "reply", "uri"]
     return newest(table(spark, directory, "statuses"), "id", "updated_at", columns)
 
 

@@ -57,10 +57,12 @@ def orphan_case(spark, refs, parents):
 
 def test_orphans_by_kind(spark):
     a, b, c = ts("2024-01-31 23:59:59"), ts("2024-02-01"), ts("2024-03-01")
-    refs = [(1, 10, a, a, "x"), (1, 10, a, a, "x"), (2, 11, b, b, ""), (3, 12, b, b, None), (4, 13, b, b, None), (5, None, b, b, None), (6, 14, None, b, None), (7, 99, None, b, None)]
+    refs = [(1, 10, a, a, "x"), (1, 10, a, a, "x"), (2, 11, b, b, ""), (3, 12, b, b, None), (4, 13, b, b, None), (5, None, b, b, None), (6, 14, None, b, None),
+        (7, 99, None, b, None)]
     parents = [(10, a, None, a, 0), (11, a, c, c, 0), (11, a, None, b, 0), (12, c, None, c, 0), (14, c, None, c, 0), (12, c, c, b, 0), (None, a, None, a, 0)]
     found = orphan_case(spark, refs, parents)
-    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("refs", 2, "deleted", "2024-02"), ("refs", 3, "late", "2024-02"), ("refs", 4, "missing", "2024-02"), ("refs", 7, "missing", None)]))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str,
+        [("refs", 2, "deleted", "2024-02"), ("refs", 3, "late", "2024-02"), ("refs", 4, "missing", "2024-02"), ("refs", 7, "missing", None)]))
     assert {(r["kind"], r["n_refs"]) for r in orphans.orphan_report(found).collect()} == {("deleted", 1), ("late", 1), ("missing", 1)}
 
 
@@ -82,24 +84,29 @@ def test_snowflake_and_ages(spark):
     df = spark.createDataFrame([(ts("2024-01-15 12:00:00"),)], "t timestamp_ntz")
     r = df.select(scalar.snowflake_floor(F.col("t")).alias("i")).withColumn("b", scalar.snowflake_time(F.col("i"))).first()
     assert r["i"] == 1705320000000 << 16 and r["b"] == ts("2024-01-15 12:00:00")
-    r = df.select(scalar.whole_hours(F.col("t"), scalar.moment("2024-01-15 13:59:59")).alias("h"), scalar.whole_days(F.col("t"), scalar.moment("2024-01-17 11:00:00")).alias("d")).first()
+    r = df.select(scalar.whole_hours(F.col("t"), scalar.moment("2024-01-15 13:59:59")).alias("h"),
+        scalar.whole_days(F.col("t"), scalar.moment("2024-01-17 11:00:00")).alias("d")).first()
     assert (r["h"], r["d"]) == (1, 1)
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([("@ann@host.test", "en-GB", "https://h/@u/123", "a|b\nc" * 9, "postgres://u:pw@h/d"), ("bob", "PT_br", "77", None, "x"), (None, " ", "nothing", "", None)], "h string, l string, r string, t string, d string")
-    got = df.select(scalar.handle_user(F.col("h")), scalar.handle_domain(F.col("h")), scalar.primary_subtag(F.col("l")), scalar.status_reference(F.col("r")), scalar.preview(F.col("t"), 8), scalar.without_secrets(F.col("d"))).collect()
+    df = spark.createDataFrame([("@ann@host.test", "en-GB", "https://h/@u/123", "a|b\nc" * 9, "postgres://u:pw@h/d"), ("bob", "PT_br", "77", None, "x"),
+        (None, " ", "nothing", "", None)], "h string, l string, r string, t string, d string")
+    got = df.select(scalar.handle_user(F.col("h")), scalar.handle_domain(F.col("h")), scalar.primary_subtag(F.col("l")), scalar.status_reference(F.col("r")),
+        scalar.preview(F.col("t"), 8), scalar.without_secrets(F.col("d"))).collect()
     assert tuple(got[0]) == ("ann", "host.test", "en", 123, "a\\|b ca\\|b...", "postgres://u:***@h/d")
     assert tuple(got[1]) == ("bob", None, "pt", 77, "", "x")
     assert tuple(got[2]) == (None, None, None, None, "", None)
     tags = spark.createDataFrame([(["en-US", "en", None, "de_AT"],)], "t array<string>").select(scalar.primary_subtags(F.col("t"))).first()[0]
     assert tags == ["en", "de"]
-    c = spark.createDataFrame([("12",), ("x",), (None,)], "v string").select(scalar.to_long(F.col("v"), -1), scalar.to_double(F.col("v")), scalar.to_text(F.col("v"), "-")).collect()
+    c = spark.createDataFrame([("12",), ("x",), (None,)], "v string").select(scalar.to_long(F.col("v"), -1), scalar.to_double(F.col("v")),
+        scalar.to_text(F.col("v"), "-")).collect()
     assert [tuple(x) for x in c] == [(12, 12.0, "12"), (-1, 0.0, "x"), (-1, 0.0, "-")]
 
 
 def test_language_boost_arms(spark):
-    df = spark.createDataFrame([(None, "en", None), ("fr", None, None), ("en", "en", ["en"]), ("pt", "en", ["pt"]), ("fr", "en", ["pt"]), ("fr", None, [])], "p string, u string, l array<string>")
+    df = spark.createDataFrame([(None, "en", None), ("fr", None, None), ("en", "en", ["en"]), ("pt", "en", ["pt"]), ("fr", "en", ["pt"]), ("fr", None, [])],
+        "p string, u string, l array<string>")
     assert [r[0] for r in df.select(scalar.language_boost(F.col("p"), F.col("u"), F.col("l"), S)).collect()] == [0.3, 0.3, 0.5, 0.3, 0.0, 0.3]
 
 
@@ -113,8 +120,10 @@ def test_cosine_is_that_of_numpy(spark, a, b):
 
 def test_interaction_edges_of_the_golden_case(spark):
     at = ts("2024-01-01")
-    statuses = spark.createDataFrame([(1, 101), (2, 102), (3, 101), (4, 103), (5, 102), (6, 103)], "id long, account_id long").withColumn("in_reply_to_id", F.lit(None).cast("long")).withColumn("reblog_of_id", F.lit(None).cast("long"))
-    favourites = spark.createDataFrame([(1, 102, 1, at), (2, 103, 1, at), (3, 101, 2, at), (4, 102, 5, at), (5, 103, 6, at)], "id long, account_id long, status_id long, created_at timestamp_ntz")
+    statuses = spark.createDataFrame([(1, 101), (2, 102), (3, 101), (4, 103), (5, 102), (6, 103)], "id long, account_id long").withColumn("in_reply_to_id",
+        F.lit(None).cast("long")).withColumn("reblog_of_id", F.lit(None).cast("long"))
+    favourites = spark.createDataFrame([(1, 102, 1, at), (2, 103, 1, at), (3, 101, 2, at), (4, 102, 5, at), (5, 103, 6, at)],
+        "id long, account_id long, status_id long, created_at timestamp_ntz")
     follows = spark.createDataFrame([(1, 101, 102), (2, 102, 103), (3, 103, 101), (4, 103, 101)], "id long, account_id long, target_account_id long")
     mentions = spark.createDataFrame([(1, 2, 101, True)], "id long, status_id long, account_id long, silent boolean")
     edges = interaction_edges(favourites, statuses, mentions, follows, S)
@@ -143,7 +152,8 @@ def test_merges_are_idempotent_and_keep_the_first(spark):
 def test_soft_diversity_shares(spark):
     now = scalar.moment("2024-01-02 00:00:00")
     users = spark.createDataFrame([(1, 5)], "id long, cluster_id long").withColumn("ui_language", F.lit("en")).withColumn("languages", F.array(F.lit("en")))
-    posts = spark.createDataFrame([(1, 9, 1), (2, 9, 2)], "id long, author_id long, cluster_id long").withColumn("created_at", scalar.moment("2024-01-01 23:00:00")).withColumn("language", F.lit("en"))
+    posts = spark.createDataFrame([(1, 9, 1), (2, 9, 2)], "id long, author_id long, cluster_id long").withColumn("created_at",
+        scalar.moment("2024-01-01 23:00:00")).withColumn("language", F.lit("en"))
     posts = posts.withColumns({c: F.lit(None).cast("long") for c in ("total_favourites", "total_reblogs", "total_replies")}).withColumn("pagerank", F.lit(None).cast("double"))
     wants = spark.createDataFrame([(5, 1, 1.0), (5, 2, 1.0)], "uc long, pc long, score double").withColumn("based_on", F.lit(1.0)).withColumn("expires_at", now)
     sizes = spark.createDataFrame([(1, 1000), (2, 100)], "id long, size long")
@@ -218,7 +228,8 @@ def test_leiden_finds_two_cliques(spark):
 
 def test_levels_over_the_whole_graph_are_as_good_as_in_a_task(spark):
     rng = np.random.default_rng(5)
-    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 90, (150, 2)) if a != b} | {(int(a), int(a + d)) for a in range(90) for d in (10, 20) if a + d < 90 and rng.random() < 0.8}
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 90, (150, 2)) if a != b} | {(int(a), int(a + d)) for a in range(90) for d in (10,
+        20) if a + d < 90 and rng.random() < 0.8}
     edges = spark.createDataFrame([(a, b, 1.0 + (a % 10 == b % 10)) for a, b in sorted(pairs)], "src long, dst long, weight double")
     nodes, s = spark.range(95), replace(S, leiden_resolution=1.0)
     near, spread = (leiden.leiden(nodes, edges, s, local_edges=n).checkpoint() for n in (leiden.LOCAL_EDGES, 100))
@@ -273,7 +284,8 @@ def test_cleanup_keeps_users_never_seen(spark):
     users = spark.createDataFrame([(1, at, 1), (2, None, 2), (3, ts("2024-03-01"), 1)], "id long, last_active timestamp_ntz, cluster_id long")
     posts = spark.createDataFrame([(10, 1, 5), (11, 2, 6)], "id long, author_id long, cluster_id long")
     likes = spark.createDataFrame([(2, 10, at), (2, 11, at), (1, 11, at)], EDGE)
-    graph = {"users": users, "posts": posts, "favourited": likes, "similar": spark.createDataFrame([(10, 11, 1.0)], "src long, dst long, weight double"), "user_communities": communities.community_sizes(users), "interests": spark.createDataFrame([(1, 5), (2, 6), (1, 6)], "uc long, pc long")}
+    graph = {"users": users, "posts": posts, "favourited": likes, "similar": spark.createDataFrame([(10, 11, 1.0)], "src long, dst long, weight double"),
+        "user_communities": communities.community_sizes(users), "interests": spark.createDataFrame([(1, 5), (2, 6), (1, 6)], "uc long, pc long")}
     out = communities.cascade(graph, communities.inactive(users, scalar.moment("2024-03-02 00:00:00"), 30))
     assert {k: v.count() for k, v in out.items()} == {"users": 2, "posts": 1, "favourited": 1, "similar": 0, "user_communities": 2, "interests": 2}
 
@@ -300,7 +312,8 @@ def test_embeddings_are_stable_units(spark):
     assert {r.id: r.tokens for r in joined.collect()}[1] == ["harbour_storm"]
     served = text.served_embeddings(spark.createDataFrame([(1, "a"), (2, None)], "id long, text string"), lambda t: [[float(len(x))] for x in t])
     assert rows(served) == [(1, [1.0]), (2, [0.0])]
-    assert text.embedding_provider("tfidf", "http://x") == "local" and text.embedding_provider("other", "http://x") == "served" and text.embedding_provider("other", None) == "local"
+    assert text.embedding_provider("tfidf", "http://x") == "local" and text.embedding_provider("other",
+        "http://x") == "served" and text.embedding_provider("other", None) == "local"
 
 
 def test_word2vec_needs_texts(spark):
@@ -390,13 +403,16 @@ def feed_graph(spark, seed=9, users=60, posts=300):
     rng = np.random.default_rng(seed)
     langs = [None, "en", "en", "en", "de", "fr", "pt"]
     pick = lambda: langs[rng.integers(0, len(langs))]
-    u = [(i, int(rng.choice([1, 1, 1, 2, 3, -1])) if rng.random() < 0.9 else None, pick(), [x for x in (pick(), pick()) if x] if rng.random() < 0.5 else None) for i in range(users)]
-    p = [(1000 + i, int(rng.integers(0, 40)), pick(), ts("2024-01-30"), int(rng.choice([10, 10, 10, 11, 12])), float(rng.integers(0, 3)), float(rng.integers(0, 3)), float(rng.integers(0, 4)), int(rng.integers(0, 3)), 0.1, [1.0] if rng.random() < 0.8 else None) for i in range(posts)]
+    u = [(i, int(rng.choice([1, 1, 1, 2, 3, -1])) if rng.random() < 0.9 else None, pick(),
+        [x for x in (pick(), pick()) if x] if rng.random() < 0.5 else None) for i in range(users)]
+    p = [(1000 + i, int(rng.integers(0, 40)), pick(), ts("2024-01-30"), int(rng.choice([10, 10, 10, 11, 12])), float(rng.integers(0, 3)),
+        float(rng.integers(0, 3)), float(rng.integers(0, 4)), int(rng.integers(0, 3)), 0.1, [1.0] if rng.random() < 0.8 else None) for i in range(posts)]
     pairs = lambda n: [(int(rng.integers(0, users)), 1000 + int(rng.integers(0, posts))) for _ in range(n)]
     g = {
         "users": spark.createDataFrame(u, "id long, cluster_id long, ui_language string, languages array<string>"),
         "rated": spark.createDataFrame(p, "id long, author_id long, language string, created_at timestamp_ntz, cluster_id long, local_raw double, global_raw double, popularity_contrib double, age_hours long, pagerank double, embedding array<float>"),
-        "interests": spark.createDataFrame([(c, k, w) for c, k, w in ((1, 10, 1.0), (1, 11, 0.5), (2, 11, 1.0), (2, 12, 1.0), (3, 10, 0.2), (1, -1, 1.0))], "uc long, pc long, score double").selectExpr("*", "1.0 AS based_on", "CAST(NULL AS TIMESTAMP_NTZ) AS expires_at"),
+        "interests": spark.createDataFrame([(c, k, w) for c, k, w in ((1, 10, 1.0), (1, 11, 0.5), (2, 11, 1.0), (2, 12, 1.0), (3, 10, 0.2), (1, -1, 1.0))],
+            "uc long, pc long, score double").selectExpr("*", "1.0 AS based_on", "CAST(NULL AS TIMESTAMP_NTZ) AS expires_at"),
         "sizes": spark.createDataFrame([(10, 500), (11, 50), (12, 5)], "id long, size long"),
     }
     seen = {k: spark.createDataFrame(pairs(n), "user_id long, post_id long") for k, n in (("favourited", 200), ("recommended", 400))}
@@ -417,7 +433,8 @@ def test_feeds_by_classes_are_those_of_all_pairs(spark):
 def test_cold_start_is_that_of_all_pairs(spark):
     g, seen = feed_graph(spark, 10)
     s = replace(S, feed_size=7)
-    pairs = g["users"].select(F.col("id").alias("user_id"), "ui_language", "languages").join(g["rated"].where("embedding IS NOT NULL").withColumnRenamed("id", "post_id"), F.lit(True))
+    pairs = g["users"].select(F.col("id").alias("user_id"), "ui_language",
+        "languages").join(g["rated"].where("embedding IS NOT NULL").withColumnRenamed("id", "post_id"), F.lit(True))
     pairs = feeds.unsuitable(pairs, seen["wrote"], seen["favourited"], seen["recommended"], seen["hates"])
     base = F.col("popularity_contrib") * s.cold_popularity_weight + scalar.recency(F.col("age_hours"), s) * s.cold_recency_weight + F.col("pagerank") * s.pagerank_weight
     want = rows(feeds.top_of_users(pairs.withColumn("score", base + scalar.language_boost(F.col("language"), F.col("ui_language"), F.col("languages"), s)), 7))
@@ -469,17 +486,26 @@ def full_source(spark, place, more=False):
     """Every source table; with `more` also the rows of a later load."""
     t = lambda d: ts(f"2024-01-{d:02d}")
     tables = {
-        "accounts": ([(101, "alice", None, t(1), t(1)), (102, "bob", None, t(1), t(1)), (103, "carol", "x.test", t(1), t(1))], "id long, username string, domain string, created_at timestamp_ntz, updated_at timestamp_ntz"),
+        "accounts": ([(101, "alice", None, t(1), t(1)), (102, "bob", None, t(1), t(1)), (103, "carol", "x.test", t(1), t(1))],
+            "id long, username string, domain string, created_at timestamp_ntz, updated_at timestamp_ntz"),
         "statuses": (
-            [(i, 101 + i % 3, f"a text of status {i} about things", "en", 0, None, 4 if i == 6 else None, None, t(20), t(20), None, i == 6, f"u/{i}") for i in range(1, 9)] + [(20, 102, "", "en", 0, 5, None, None, t(21), t(21), None, False, "u/20")] + ([(30, 103, "a new text about other things", "en", 0, None, 1, None, t(25), t(25), None, True, "u/30")] if more else []),
+            [(i, 101 + i % 3, f"a text of status {i} about things", "en", 0, None, 4 if i == 6 else None, None, t(20), t(20), None, i == 6,
+                f"u/{i}") for i in range(1, 9)] + [(20, 102, "", "en", 0, 5, None, None, t(21), t(21), None, False,
+                "u/20")] + ([(30, 103, "a new text about other things", "en", 0, None, 1, None, t(25), t(25), None, True, "u/30")] if more else []),
             "id long, account_id long, text string, language string, visibility int, reblog_of_id long, in_reply_to_id long, in_reply_to_account_id long, created_at timestamp_ntz, updated_at timestamp_ntz, deleted_at timestamp_ntz, reply boolean, uri string",
         ),
-        "favourites": ([(1, 102, 2, t(21), t(21)), (2, 103, 3, t(21), t(21)), (3, 101, 1, t(21), t(21))] + ([(9, 101, 30, t(26), t(26))] if more else []), "id long, account_id long, status_id long, created_at timestamp_ntz, updated_at timestamp_ntz"),
+        "favourites": ([(1, 102, 2, t(21), t(21)), (2, 103, 3, t(21), t(21)), (3, 101, 1, t(21), t(21))] + ([(9, 101, 30, t(26), t(26))] if more else []),
+            "id long, account_id long, status_id long, created_at timestamp_ntz, updated_at timestamp_ntz"),
         "bookmarks": ([(1, 101, 4, t(22)), (2, 102, 99, t(22))], "id long, account_id long, status_id long, created_at timestamp_ntz"),
-        "blocks": ([(1, 101, 103)], "id long, account_id long, target_account_id long"), "mutes": ([(1, 101, 103), (2, 102, 103)], "id long, account_id long, target_account_id long"),
-        "follows": ([(1, 101, 102), (2, 101, 102)], "id long, account_id long, target_account_id long"), "mentions": ([(1, 1, 103, False), (2, 2, 101, True)], "id long, status_id long, account_id long, silent boolean"),
-        "account_stats": ([(101, t(28)), (102, t(27))], "account_id long, last_status_at timestamp_ntz"), "users": ([(101, t(29), "en", ["en", "de"]), (102, t(29), None, None)], "account_id long, current_sign_in_at timestamp_ntz, locale string, chosen_languages array<string>"),
-        "status_stats": ([(1, 5, 2, 1, 1, None), (7, 50, 2, None, 0, 0)], "status_id long, favourites_count long, reblogs_count long, replies_count long, untrusted_favourites_count long, untrusted_reblogs_count long"),
+        "blocks": ([(1, 101, 103)], "id long, account_id long, target_account_id long"),
+            "mutes": ([(1, 101, 103), (2, 102, 103)], "id long, account_id long, target_account_id long"),
+        "follows": ([(1, 101, 102), (2, 101, 102)], "id long, account_id long, target_account_id long"),
+            "mentions": ([(1, 1, 103, False), (2, 2, 101, True)], "id long, status_id long, account_id long, silent boolean"),
+        "account_stats": ([(101, t(28)), (102, t(27))], "account_id long, last_status_at timestamp_ntz"),
+            "users": ([(101, t(29), "en", ["en", "de"]), (102, t(29), None, None)],
+            "account_id long, current_sign_in_at timestamp_ntz, locale string, chosen_languages array<string>"),
+        "status_stats": ([(1, 5, 2, 1, 1, None), (7, 50, 2, None, 0, 0)],
+            "status_id long, favourites_count long, reblogs_count long, replies_count long, untrusted_favourites_count long, untrusted_reblogs_count long"),
     }
     for name, (data, schema) in tables.items():
         spark.createDataFrame(data, schema).coalesce(1).write.mode("overwrite").parquet(f"{place}/{name}.parquet")
@@ -489,7 +515,8 @@ def test_pipeline_with_every_table(spark, tmp_path):
     from flockwise.plans.pipeline import Engine
 
     full_source(spark, f"file://{tmp_path}/in")
-    engine = Engine(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", replace(S, min_interactions=0.0, popularity_mode="global", leiden_resolution=1.0, feed_days=30, similarity_recency_days=30, pagerank_iterations=3))
+    engine = Engine(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out",
+        replace(S, min_interactions=0.0, popularity_mode="global", leiden_resolution=1.0, feed_days=30, similarity_recency_days=30, pagerank_iterations=3))
     first = engine.run("2024-01-30 00:00:00")
     assert rows(engine.table("bookmarked").select("user_id", "post_id")) == [(101, 4)] and rows(engine.table("hates")) == [(101, 103), (102, 103)]
     assert rows(engine.table("reblogged").select("user_id", "post_id")) == [(102, 5)] and rows(engine.table("replied").select("user_id", "post_id")) == [(101, 4)]
@@ -500,7 +527,8 @@ def test_pipeline_with_every_table(spark, tmp_path):
     assert totals[1] == (6, 2, 1) and totals[7] == (50, 2, None) and totals[2] == (None, None, None)
     people = {r["id"]: r for r in engine.table("users").collect()}
     assert people[101]["languages"] == ["en", "de"] and people[101]["is_local"] and str(people[101]["last_active"]).startswith("2024-01-29") and people[103]["is_local"] is False
-    assert (first.last_favourite_id, first.last_bookmark_id, first.last_block_id, first.last_mute_id, first.last_mention_id, first.last_follow_id, first.last_stats_status_id) == (3, 2, 1, 2, 1, 2, 7)
+    assert (first.last_favourite_id, first.last_bookmark_id, first.last_block_id, first.last_mute_id, first.last_mention_id, first.last_follow_id,
+        first.last_stats_status_id) == (3, 2, 1, 2, 1, 2, 7)
     fed = {r["user_id"] for r in engine.table("feed_members").collect()}
     assert fed == {101, 102} and all(r["feed_generated_at"] for r in people.values() if r["id"] in fed)
     posts = {r["post_id"]: r["user_id"] for r in engine.table("feed_members").collect()}
@@ -517,7 +545,8 @@ def test_pipeline_with_every_table(spark, tmp_path):
     assert profile.first()["n_bookmarked"] == 1 and top.columns == ["place", "post_id", "score", "source", "preview"]
     assert engine.post(30, "2024-01-31 00:00:00", 101)[1].first()["notes"].startswith("Favoured") or engine.post(30, "2024-01-31 00:00:00", 101)[1].first()["has_favourited"]
     gone = engine.cleanup("2024-04-20 00:00:00", 90)  # 103 was last seen at the start of the year
-    assert gone.version == 4 and {r["id"] for r in engine.table("users").collect()} == {101, 102} and engine.table("posts").where("author_id = 103").count() == 0 and engine.table("interests").count() == 0
+    assert gone.version == 4 and {r["id"] for r in engine.table("users").collect()} == {101,
+        102} and engine.table("posts").where("author_id = 103").count() == 0 and engine.table("interests").count() == 0
     assert "## Feeds" in engine.export("2024-06-30 00:00:00", 101)
     with pytest.raises(ValueError):
         replace(S, load_since="soon").validated()
