@@ -25,9 +25,11 @@ from flockwise.sources.tables import spread
 WRONG = ("cp1252", "mac_roman", "cp437", "cp850", "cp866", "cp1251", "koi8_r", "cp1250", "cp1254", "iso8859_2", "cp1253")
 #: (read as, written in, least drop) of texts of one byte a letter; the drop adds up over the words of a text.
 SINGLE = (
-    ("mac_roman", "cp1252", 1.5), ("cp437", "cp1252", 1.5), ("cp850", "cp1252", 1.5), ("cp1250", "cp1252", 1.0), ("iso8859_2", "cp1252", 1.0), ("cp1251", "cp1252", 1.5), ("cp1253", "cp1252", 1.5),
+    ("mac_roman", "cp1252", 1.5), ("cp437", "cp1252", 1.5), ("cp850", "cp1252", 1.5), ("cp1250", "cp1252", 1.0), ("iso8859_2", "cp1252", 1.0),
+        ("cp1251", "cp1252", 1.5), ("cp1253", "cp1252", 1.5),
     ("cp1252", "iso8859_2", 2.0), ("cp1252", "cp1250", 2.0), ("cp1252", "mac_roman", 2.0), ("cp1252", "cp437", 2.0), ("cp1252", "cp850", 2.0),
-    ("cp1252", "cp1251", 3.0), ("cp1252", "koi8_r", 3.0), ("cp1252", "cp866", 3.0), ("cp1251", "koi8_r", 3.0), ("koi8_r", "cp1251", 3.0), ("cp866", "cp1251", 3.0), ("cp1251", "cp866", 3.0), ("koi8_r", "cp866", 3.0), ("mac_roman", "cp1251", 3.0),
+    ("cp1252", "cp1251", 3.0), ("cp1252", "koi8_r", 3.0), ("cp1252", "cp866", 3.0), ("cp1251", "koi8_r", 3.0), ("koi8_r", "cp1251", 3.0),
+        ("cp866", "cp1251", 3.0), ("cp1251", "cp866", 3.0), ("koi8_r", "cp866", 3.0), ("mac_roman", "cp1251", 3.0),
 )
 #: Letters beyond ASCII of the languages texts are expected in and of their neighbours.
 LATIN = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßœąćęłńśźż"
@@ -424,7 +426,8 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fixed.append(now)
                 layers.append(n)
                 left.append(remains)
-        yield pa.RecordBatch.from_arrays([keys.take(pa.array(kept, pa.int64())), pa.array(fixed, pa.string()), pa.array(layers, pa.int32()), pa.array(left, pa.bool_())], names=["key", "text", "layers", "remains"])
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(kept, pa.int64())), pa.array(fixed, pa.string()), pa.array(layers, pa.int32()),
+            pa.array(left, pa.bool_())], names=["key", "text", "layers", "remains"])
 
 
 def garbled(df: DataFrame, key: str, text: str) -> DataFrame:

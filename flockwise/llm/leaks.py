@@ -227,7 +227,8 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = len(left) == len(words)
             other = np.array([number[w] if w else int(o) for w, o in zip(left, own)], np.uint64) if same else own
             at.append(n), plain.append(own.tobytes()), lossy.append(other.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(plain, pa.binary()), pa.array(lossy, pa.binary())], names=["p", "plain", "lossy"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(plain, pa.binary()), pa.array(lossy, pa.binary())],
+            names=["p", "plain", "lossy"])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +241,8 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ways = [(plain[j], lossy[j]) if plain[j] != lossy[j] else (plain[j],) for j in range(k, k + PIECE)]
                 found |= {(int(piece_numbers(np.array(way, np.uint64))[0]), k) for way in itertools.product(*ways)}
             h, k = zip(*sorted(found))
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[n].as_py()] * len(h), pa.string()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(k, pa.int32())], names=["p", "h", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[n].as_py()] * len(h), pa.string()), pa.array(np.array(h, np.uint64).view(np.int64)),
+                pa.array(k, pa.int32())], names=["p", "h", "k"])
 
 
 def _filter(pieces: DataFrame, most_bits: int) -> tuple[np.ndarray, int]:
@@ -309,7 +311,8 @@ def _searched(table: np.ndarray, bits: int, reach: int):
                     rows.append(d), name.append(xxhash.xxh3_128_hexdigest(raw)), held.append(raw)
                     pieces.append(numbers[own].view(np.int64)), places.append((own - a).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows, pa.int64())), pa.array(name, pa.string()), pa.array(held, pa.binary()), pa.array(pieces, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
+                    [part.column(0).take(pa.array(rows, pa.int64())), pa.array(name, pa.string()), pa.array(held, pa.binary()),
+                        pa.array(pieces, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
                     names=["key", "f", "words", "h", "at"],
                 )
 
@@ -341,7 +344,8 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, pas
     """
     spark = docs.sparkSession
     checkpoint_dir(spark)
-    held = items.where(F.col(passage).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("long").alias("i"), F.col(passage).alias("t")).withColumn("p", F.md5(F.encode("t", "UTF-8")))
+    held = items.where(F.col(passage).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("long").alias("i"),
+        F.col(passage).alias("t")).withColumn("p", F.md5(F.encode("t", "UTF-8")))
     passages = held.groupBy("p").agg(F.first("t").alias("t")).select("p", "t").mapInArrow(_indexed, "p string, plain binary, lossy binary").checkpoint()
     pieces = passages.mapInArrow(_pieces, "p string, h long, k int")
     longest = passages.agg(F.coalesce(F.max(F.octet_length("plain")), F.lit(0)).alias("n")).first()["n"] // 8
@@ -357,7 +361,8 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, pas
     found = rows.mapInArrow(search, f"key {kind}, f string, words binary, h array<long>, at array<int>").checkpoint()
     stretches = found.groupBy("f").agg(F.first("words").alias("words"), F.first(F.arrays_zip("h", "at")).alias("hits"))
     hits = stretches.select("f", F.explode("hits").alias("x")).select("f", "x.h", "x.at")
-    met = hits.join(pieces, "h").groupBy("f", "p").agg(F.count("*").alias("n"), F.collect_set(F.floor((F.col("at") - F.col("k")) / 4).cast("int")).alias("diagonals")).where(F.col("n") >= LEAST_HITS)
+    met = hits.join(pieces, "h").groupBy("f", "p").agg(F.count("*").alias("n"),
+        F.collect_set(F.floor((F.col("at") - F.col("k")) / 4).cast("int")).alias("diagonals")).where(F.col("n") >= LEAST_HITS)
     pairs = met.join(stretches.select("f", "words"), "f").join(passages, "p").select("f", "p", "words", "plain", "lossy", "diagonals")
     leaked = pairs.mapInArrow(_verified, "f string, p string")
     out = found.select("key", "f").join(leaked, "f").join(held.select("p", "i"), "p")

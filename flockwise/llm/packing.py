@@ -132,7 +132,8 @@ def _packed(first: int):
             "budget_id": fixed(table["budget_id"][0].as_py(), pa.int32()), "part": fixed(part, pa.int64()),
             "container": pa.array(first + (part << _PART_BITS) + np.concatenate([container, n + np.arange(len(of))])), "capacity": fixed(capacity, pa.int64()),
             "filled": pa.array(np.concatenate([filled, np.full(len(of), capacity, np.int64)])), "id": pa.array(ids[at]),
-            "piece": pa.array(np.concatenate([piece[loose] + whole[loose], number]).astype(np.int32)), "start": pa.array(np.concatenate([start[loose] + whole[loose] * capacity, number * capacity])),
+            "piece": pa.array(np.concatenate([piece[loose] + whole[loose], number]).astype(np.int32)),
+                "start": pa.array(np.concatenate([start[loose] + whole[loose] * capacity, number * capacity])),
             "size": pa.array(np.concatenate([rest[loose], np.full(len(of), capacity, np.int64)])), "source": pa.array(source[at].tolist(), pa.string()),
         })
 
@@ -166,7 +167,8 @@ def _carries(held: DataFrame, goal: DataFrame, parts: int) -> DataFrame:
     return given.join(passed, "part").join(goal, "source", "left").select("part", "source", target.alias("target"), (target * F.col("passed") - F.col("given")).alias("carry"))
 
 
-def pack_texts(docs: DataFrame, key: str, text: str, source: str, budgets: list[tuple[int, int]], shares: dict[str, float] | None = None, partition_tokens: int = PARTITION_TOKENS) -> DataFrame:
+def pack_texts(docs: DataFrame, key: str, text: str, source: str, budgets: list[tuple[int, int]], shares: dict[str, float] | None = None,
+    partition_tokens: int = PARTITION_TOKENS) -> DataFrame:
     """(budget_id, container, capacity, filled, id, piece, start, size, source): where each text of a budget lies.
 
     `budgets` are (budget_id, capacity) pairs. A text of at most the capacity is one piece; a larger one is cut into
@@ -192,7 +194,8 @@ def pack_texts(docs: DataFrame, key: str, text: str, source: str, budgets: list[
         goal = spark.createDataFrame([(s, x / scale) for s, x in shares.items()] or [("", 0.0)], "source string, target double")
     each = F.array(*[F.struct(F.lit(b).cast("int").alias("budget_id"), F.lit(c).cast("long").alias("capacity")) for b, c in budgets])
     start = [F.lit(0).cast("int").alias("piece"), F.lit(0).cast("long").alias("start")]
-    wide = sizes.join(_carries(held, goal, parts), ["part", "source"]).select("part", "source", "target", "carry", F.col("id").cast("long").alias("id"), "size", *start, F.explode(each).alias("b"))
+    wide = sizes.join(_carries(held, goal, parts), ["part", "source"]).select("part", "source", "target", "carry", F.col("id").cast("long").alias("id"), "size",
+        *start, F.explode(each).alias("b"))
     packed = wide.select("*", "b.*").drop("b").groupBy("budget_id", "part").applyInArrow(_packed(0), _PLACED).checkpoint()
 
     joined = F.shiftright("part", JOINED.bit_length() - 1).alias("part")
@@ -223,7 +226,8 @@ def packing_report(placed: DataFrame) -> DataFrame:
     goal = sources.join(sources.groupBy("budget_id").agg(F.sum("held").alias("all")), "budget_id").select("budget_id", "source", (F.col("held") / F.col("all")).alias("target"))
     filled = parts.groupBy("budget_id", "container").agg(F.sum("tokens").alias("filled"))
     off = F.greatest(F.col("tokens") / F.col("filled") - F.col("target"), F.lit(0.0))
-    per = parts.join(filled, ["budget_id", "container"]).join(goal, ["budget_id", "source"]).groupBy("budget_id", "capacity", "container").agg(F.sum("tokens").alias("tokens"), F.sum("pieces").alias("pieces"), F.sum(off).alias("distance"))
+    per = parts.join(filled, ["budget_id", "container"]).join(goal, ["budget_id", "source"]).groupBy("budget_id", "capacity",
+        "container").agg(F.sum("tokens").alias("tokens"), F.sum("pieces").alias("pieces"), F.sum(off).alias("distance"))
     room = F.count("*") * F.col("capacity")
     return per.groupBy("budget_id", "capacity").agg(
         F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.sum("pieces").alias("pieces"),

@@ -103,7 +103,9 @@ SELECT viewer_user_id, post_id, final_score, rank FROM (
         WHERE viewer_user_id IS NOT NULL AND post_id IS NOT NULL AND final_score IS NOT NULL AND isfinite(final_score)
         GROUP BY 1, 2)) WHERE rank <= 10"""
 
-QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_top_posts": p3_top_posts, "p5_found": p5_found, "p5_terms": p5_terms, "p6_containers": p6_containers, "p6_report": p6_report, "p7_found": p7_found, "p7_item_report": p7_item_report, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found,
+    "p3_top_posts": p3_top_posts, "p5_found": p5_found, "p5_terms": p5_terms, "p6_containers": p6_containers, "p6_report": p6_report, "p7_found": p7_found,
+    "p7_item_report": p7_item_report, "p8_found": p8_found, "p8_restored": p8_restored}
 _NEAR = """
 WITH v AS (SELECT id, [x::DOUBLE for x in max(embedding)] AS e FROM post
            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0

@@ -51,8 +51,10 @@ TEXTS = {
 def test_languages_and_cases(spark, small):
     train = spark.createDataFrame([(i, c, t, 0) for i, (c, t) in enumerate(TEXTS.items())], "id long, label string, text string, lang int")
     data = [
-        (10, "en", "The cat walked to the harbour before breakfast."), (11, None, "Die Katze sitzt im Fenster der Bücherei."), (12, "FR", "we walked to the old library."), (13, "eng", "We walked to the library."),
-        (14, "de-AT", "Die Katze sitzt im Fenster. Nous avons marché à la bibliothèque."), (15, "xx", "@ann https://x.test/the/cat #cat 12"), (16, None, None), (17, None, ""), (18, None, "Guten Tag"), (19, "de", "DIE KATZE SITZT IM FENSTER DER BUCHEREI"),
+        (10, "en", "The cat walked to the harbour before breakfast."), (11, None, "Die Katze sitzt im Fenster der Bücherei."),
+            (12, "FR", "we walked to the old library."), (13, "eng", "We walked to the library."),
+        (14, "de-AT", "Die Katze sitzt im Fenster. Nous avons marché à la bibliothèque."), (15, "xx", "@ann https://x.test/the/cat #cat 12"), (16, None, None),
+            (17, None, ""), (18, None, "Guten Tag"), (19, "de", "DIE KATZE SITZT IM FENSTER DER BUCHEREI"),
     ]
     df = spark.createDataFrame(data, "id long, label string, text string").withColumn("language", F.lit(1)).withColumn("segments", F.lit("x"))
     found = language.languages(df, "id", "text", "label", training=train)
@@ -88,7 +90,8 @@ def test_text_of_no_known_language(pieces):
     probs = language.fit(data, pieces)
     scorer = language.Scorer(pieces, probs, language.floors(data, pieces, probs))
     foreign = [
-        "Minä pidän kirjojen lukemisesta illalla kun ulkona sataa vettä.", "Akşamları dışarıda yağmur yağarken kitap okumayı seviyorum.", "Večer rád čtu knihy, když venku prší a fouká vítr.", "Îmi place să citesc cărți seara când afară plouă.",
+        "Minä pidän kirjojen lukemisesta illalla kun ulkona sataa vettä.", "Akşamları dışarıda yağmur yağarken kitap okumayı seviyorum.",
+            "Večer rád čtu knihy, když venku prší a fouká vítr.", "Îmi place să citesc cărți seara când afară plouă.",
         "Μου αρέσει να διαβάζω βιβλία το βράδυ όταν βρέχει.", "أحب قراءة الكتب في المساء عندما تمطر", "저녁에 비가 올 때 책 읽는 것을 좋아합니다", "Tôi thích đọc sách vào buổi tối khi trời mưa.",
     ]
     assert [[x[0] for x in s] for s in scorer.segments(foreign)] == [[-1]] * len(foreign)
@@ -135,7 +138,8 @@ def test_label_notations(spark):
 
 
 def vectors(spark, x, ids=None):
-    return spark.createDataFrame([(int(i), [float(v) for v in r], "dup") for i, r in zip(ids if ids is not None else range(1, len(x) + 1), x)], "id long, embedding array<float>, v string")
+    return spark.createDataFrame([(int(i), [float(v) for v in r], "dup") for i, r in zip(ids if ids is not None else range(1, len(x) + 1), x)],
+        "id long, embedding array<float>, v string")
 
 
 def brute(x, k, least):
@@ -207,7 +211,8 @@ def test_pairs_of_few_directions_match_brute_force(spark):
 
 def test_copies_nulls_and_empty_vectors(spark):
     one, two = [1.0] * 64, [-1.0] * 64
-    data = [(i, one) for i in range(1, 31)] + [(40, two), (41, [x * 2 for x in two]), (50, None), (51, [0.0] * 64), (52, [float("nan")] * 64), (53, one[:63]), (54, [None, *one[1:]]), (55, [float("inf"), *one[1:]]), (1, one), (None, one)]
+    data = [(i, one) for i in range(1, 31)] + [(40, two), (41, [x * 2 for x in two]), (50, None), (51, [0.0] * 64), (52, [float("nan")] * 64), (53, one[:63]),
+        (54, [None, *one[1:]]), (55, [float("inf"), *one[1:]]), (1, one), (None, one)]
     df = spark.createDataFrame(data, "id long, embedding array<float>")
     got = defaultdict(list)
     for r in sorted(similar.similar(df, "id", "embedding", 10, least=0.9).collect(), key=lambda r: r["rank"]):
@@ -246,7 +251,8 @@ def test_walk_is_in_order_and_complete(a, b, r):
 def test_top_n_matches_brute_force(spark):
     rng = random.Random(7)
     odd = [None, float("nan"), float("inf"), float("-inf")]
-    data = [(1 if rng.random() < 0.4 else rng.choice([None, *range(2, 40)]), rng.choice([None, *range(60)]), rng.choice(odd) if rng.random() < 0.1 else rng.choice([0.0, -0.0, 1.5, 2.5, rng.random()])) for _ in range(4000)]
+    data = [(1 if rng.random() < 0.4 else rng.choice([None, *range(2, 40)]), rng.choice([None, *range(60)]),
+        rng.choice(odd) if rng.random() < 0.1 else rng.choice([0.0, -0.0, 1.5, 2.5, rng.random()])) for _ in range(4000)]
     df = spark.createDataFrame(data, "viewer long, post long, score double").withColumn("rank", F.lit("x"))
     best = {}
     for v, p, s in data:
@@ -424,8 +430,10 @@ def test_leaks_by_length_and_errors(spark):
     part = lambda a, n: " ".join(w[a : a + n])
     wrong = lambda ws, *at: " ".join("zebra" if i in at else x for i, x in enumerate(ws))
     documents = [
-        PASSAGE, part(3, 15), part(3, 12), wrong(w[:15], 4, 9), wrong(w[:15], 3, 7, 11), "intro text here " + part(5, 16).upper() + " and more", part(2, 17).replace("e", "é"), "<p>" + part(0, 8) + "<br/><b>" + part(8, 9) + "</b></p>",
-        part(4, 18).encode().decode("cp1252"), "​".join(part(0, 15)), None, "", "nothing of it", "> " + part(0, 8) + "\n> " + part(8, 9), " ".join(x for i, x in enumerate(w[:17]) if i not in (5, 12)), "x " * 5000 + PASSAGE,
+        PASSAGE, part(3, 15), part(3, 12), wrong(w[:15], 4, 9), wrong(w[:15], 3, 7, 11), "intro text here " + part(5, 16).upper() + " and more",
+            part(2, 17).replace("e", "é"), "<p>" + part(0, 8) + "<br/><b>" + part(8, 9) + "</b></p>",
+        part(4, 18).encode().decode("cp1252"), "​".join(part(0, 15)), None, "", "nothing of it", "> " + part(0, 8) + "\n> " + part(8, 9),
+            " ".join(x for i, x in enumerate(w[:17]) if i not in (5, 12)), "x " * 5000 + PASSAGE,
     ]
     assert {d for d, _ in leak_rows(spark, documents, [PASSAGE])} == {0, 1, 3, 5, 6, 7, 8, 9, 13, 14, 15}
 
@@ -462,7 +470,8 @@ def test_many_passages_and_a_full_filter_lose_nothing(spark):
 
 
 def test_copies_null_keys_and_long_tags(spark):
-    docs = spark.createDataFrame([(None, PASSAGE), *[(7, PASSAGE)] * 50, (8, PASSAGE.replace(" why", f' <a href="{"x" * 900}">why</a><!-- {"y" * 900} -->'))], "doc_id long, text string")
+    docs = spark.createDataFrame([(None, PASSAGE), *[(7, PASSAGE)] * 50, (8, PASSAGE.replace(" why", f' <a href="{"x" * 900}">why</a><!-- {"y" * 900} -->'))],
+        "doc_id long, text string")
     items = spark.createDataFrame([(1, PASSAGE), (None, PASSAGE)], "item_id long, passage string")
     assert set(map(tuple, leaks.leaks(docs, "doc_id", "text", items, "item_id", "passage").collect())) == {(None, 1), (7, 1), (8, 1)}
 
@@ -493,8 +502,11 @@ def test_myers_is_the_edit_distance(pattern, text, budget):
 # 8 garbled
 
 SOUND = [
-    "The café on the corner — “very” nice… isn’t it? €5", "Über die Straße lief ein größerer Bär", "Où est l’élève ? À bientôt, ça va.", "¿Dónde está mañana el niño? ¡Aquí!", "Zażółć gęślą jaźń, proszę bardzo", "Все счастливые семьи похожи друг на друга", "図書館の窓辺の猫をもっと大切にしたい",
-    "ÂGE, ÎLE, CHÂTEAU, À BIENTÔT", "SÃO JOÃO, CONCEIÇÃO, ÂNGELA, FRANÇA", "Þórður, Æsa, Ðalvík, Ågot, Øyvind", "┌──────┐\n│ ok ▒ │\n└──────┘", "√2 ≈ 1.41, ∑ ≤ ∞, π ≠ 3, Ω", "caf&eacute; &amp; bar", unicodedata.normalize("NFD", "élève à Århus"), "Sizes: ¼, ½ cup; 180 °C ± 5; © 2019; £3; §4, µm, ×2", "A MINHA IRMÃ", "PÅ”", "",
+    "The café on the corner — “very” nice… isn’t it? €5", "Über die Straße lief ein größerer Bär", "Où est l’élève ? À bientôt, ça va.",
+        "¿Dónde está mañana el niño? ¡Aquí!", "Zażółć gęślą jaźń, proszę bardzo", "Все счастливые семьи похожи друг на друга", "図書館の窓辺の猫をもっと大切にしたい",
+    "ÂGE, ÎLE, CHÂTEAU, À BIENTÔT", "SÃO JOÃO, CONCEIÇÃO, ÂNGELA, FRANÇA", "Þórður, Æsa, Ðalvík, Ågot, Øyvind", "┌──────┐\n│ ok ▒ │\n└──────┘",
+        "√2 ≈ 1.41, ∑ ≤ ∞, π ≠ 3, Ω", "caf&eacute; &amp; bar", unicodedata.normalize("NFD", "élève à Århus"),
+        "Sizes: ¼, ½ cup; 180 °C ± 5; © 2019; £3; §4, µm, ×2", "A MINHA IRMÃ", "PÅ”", "",
 ]
 
 
@@ -520,7 +532,8 @@ def test_remains_of_lost_characters_are_left():
 @pytest.mark.parametrize("wrong", ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251"])
 def test_round_trip_of_utf8(t, wrong):
     def damage(x):
-        return "".join(chr(b) if wrong == "cp1252" and b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode(wrong) if not (wrong == "cp1251" and b == 0x98) else "\x98" for b in x.encode())
+        return "".join(chr(b) if wrong == "cp1252" and b in (0x81, 0x8D, 0x8F, 0x90,
+            0x9D) else bytes([b]).decode(wrong) if not (wrong == "cp1251" and b == 0x98) else "\x98" for b in x.encode())
 
     once = damage(t)
     fixed, layers, remains = garbled.restored(once)
@@ -558,7 +571,8 @@ def test_any_number_of_layers_is_undone(layers):
 
 
 def test_garbled_table(spark):
-    df = spark.createDataFrame([(1, "cafÃ©", "x"), (1, "cafÃ©", "x"), (2, "café", "y"), (3, None, ""), (4, "", ""), (5, "ÃƒÂ©lÃƒÂ¨ve " * 3000, "")], "doc_id long, text string, restored string")
+    df = spark.createDataFrame([(1, "cafÃ©", "x"), (1, "cafÃ©", "x"), (2, "café", "y"), (3, None, ""), (4, "", ""), (5, "ÃƒÂ©lÃƒÂ¨ve " * 3000, "")],
+        "doc_id long, text string, restored string")
     got = garbled.garbled(df, "doc_id", "text").collect()
     assert sorted(r["doc_id"] for r in got) == [1, 1, 5] and {r["restored"] for r in got if r["doc_id"] == 1} == {"café"} and next(r for r in got if r["doc_id"] == 5)["restored"] == "élève " * 3000
     assert garbled.garbled(df.limit(0), "doc_id", "text").count() == 0
@@ -573,7 +587,9 @@ def test_runs_on_the_smallest_tables(spark, small, name):
 
 
 def test_found_columns(spark, small):
-    want = {"p1_found": {"id": "bigint", "lang": "string"}, "p2_found": {"id_a": "bigint", "id_b": "bigint"}, "p3_found": {"viewer_user_id": "bigint", "post_id": "bigint"}, "p5_found": {"term": "string", "mark": "string"}, "p7_found": {"doc_id": "bigint", "item_id": "bigint"}, "p8_found": {"doc_id": "bigint"}}
+    want = {"p1_found": {"id": "bigint", "lang": "string"}, "p2_found": {"id_a": "bigint", "id_b": "bigint"},
+        "p3_found": {"viewer_user_id": "bigint", "post_id": "bigint"}, "p5_found": {"term": "string", "mark": "string"},
+        "p7_found": {"doc_id": "bigint", "item_id": "bigint"}, "p8_found": {"doc_id": "bigint"}}
     for name, columns in want.items():
         df = Q.QUERIES[name](spark, small)
         assert dict(df.dtypes) == columns and df.count() == df.distinct().count()
