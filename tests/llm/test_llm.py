@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import random
+import time
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -184,6 +186,42 @@ def test_regions_and_parts_lose_nothing(spark, monkeypatch):
     assert len(got ^ want) <= 0.02 * len(want)
 
 
+def test_regions_are_filled_in_passes(spark, monkeypatch):
+    x, cut, cuts, roots = clustered(500, 3), similar.Scratch.cut, [], set()
+    for name, value in (("REGION_ROWS", 20), ("CERTAIN_ROWS", 100), ("PASS_ROWS", 0.5)):
+        monkeypatch.setattr(similar, name, value)
+
+    def noted(self, df, name, free=False):
+        cuts.append((name, free))
+        roots.add(self.root)
+        return cut(self, df, name, free)
+
+    monkeypatch.setattr(similar.Scratch, "cut", noted)
+    got = {(r["id"], r["other"]) for r in similar.similar(vectors(spark, x), "id", "embedding", 5, least=0.9).collect()}
+    assert len(got ^ brute(x, 5, 0.9)) <= 0.02 * len(got)
+    assert sum(name.startswith("near") for name, _ in cuts) >= 2 and all(free for _, free in cuts)
+    assert not any(os.path.exists(root.removeprefix("file:")) for root in roots)
+
+
+def test_shuffles_of_a_pass_are_deleted(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: "".join(f.getName() + " " for f in (files.getAllFiles().apply(n) for n in range(files.getAllFiles().size()))).count("shuffle_")
+    scratch, before = similar.Scratch(spark), held()
+    scratch.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "t", True)
+    for _ in range(20):
+        if held() > before:
+            time.sleep(0.25)
+    scratch.drop()
+    assert held() <= before
+
+
+def test_few_sectors_lie_near_a_vector():
+    x = np.random.default_rng(5).normal(size=(20_000, 64)) + 2 * np.random.default_rng(6).normal(size=(24, 64))[np.arange(20_000) % 24]
+    sectors = similar.Sectors(x[:16_384], 1_000_000, 64, similar.REGION_ROWS)
+    first, _ = similar.measured_radii(sectors, x[:4096], 1_000_000, 0.9, similar.SPREAD)
+    assert len(sectors.centres) >= 24 and (sectors.distances(similar.unit(x[16_384:]))[0] <= first).sum(1).mean() < 4
+
+
 def test_codebooks_grow_and_nothing_is_kept_for_each_cell():
     sample = np.random.default_rng(1).normal(size=(3000, 64)).astype(np.float32)
     index = similar.MultiIndex(sample, 4_000_000, 64, 1.0)
